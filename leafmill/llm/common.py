@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A key is hot when it holds at least 1 / HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys, whatever the data.
 HOT_SHARE = 1000
 #: Rows in an Arrow batch handed to Python; texts may be long, so the default of 10,000 rows is too many.
@@ -28,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; a smaller limit of the session stays."""
+    """Send the code to the workers, and keep Arrow batches of whole texts small; a smaller limit of the session stays."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)

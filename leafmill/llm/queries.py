@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, warc
+from . import chat, license_scan, packing, quality_cnn, quality_rules, url_tree, warc
 from .common import table
 
 
@@ -16,9 +17,42 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc)}
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = url_tree.bad_by_document(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+    return url_tree.judge(pages, F.col("_bad")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_cnn.score(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digest(chat.format_turns(turns.withColumn("parts", chat.text_part(F.col("text")))))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_urls, op6_quality, op8_licenses, op9_rules, op10_chat)}
 
 SQL: dict[str, str] = {
+    "op10_chat": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(length(replace(replace(text, chr(92), chr(92) || 'b'), '<|', chr(92) || 'p')) + length(replace(replace(replace(role, chr(92), chr(92) || 'b'), '<|', chr(92) || 'p'), '|>', chr(92) || 'q')) + 18)::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id""",
     "op2_warc": """
         WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
         g AS (SELECT h, max(page_id) AS m FROM d GROUP BY h)
