@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, license_scan, packing, quality_cnn, quality_rules, url_tree, warc
+from . import chat, jaccard, license_scan, line_dedup, packing, quality_cnn, quality_rules, url_tree, warc
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_tree.judge(pages, F.col("_bad")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_cnn.score(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
@@ -42,9 +50,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns.withColumn("parts", chat.text_part(F.col("text")))))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_urls, op6_quality, op8_licenses, op9_rules, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_urls, op4_jaccard, op5_lines, op6_quality, op8_licenses, op9_rules, op10_chat)}
 
 SQL: dict[str, str] = {
+    "op5_lines": """
+        WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+        k AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE length(line) >= 20 GROUP BY line),
+        c AS (SELECT line, first, length(line) AS n, substr(line, 1, length(line) // 2) AS head, substr(line, length(line) // 2 + 1) AS tail,
+            substr(line, 1, (length(line) - 1) // 2) AS head1, substr(line, (length(line) - 1) // 2 + 2) AS tail1 FROM k),
+        p AS (SELECT a.line AS x, a.first AS xf, b.line AS y, b.first AS yf FROM c a JOIN c b ON a.n = b.n AND a.head = b.head WHERE a.line <> b.line
+            UNION ALL SELECT a.line, a.first, b.line, b.first FROM c a JOIN c b ON a.n = b.n AND a.tail = b.tail WHERE a.line <> b.line
+            UNION ALL SELECT a.line, a.first, b.line, b.first FROM c a JOIN c b ON a.n + 1 = b.n AND a.head = b.head1
+            UNION ALL SELECT a.line, a.first, b.line, b.first FROM c a JOIN c b ON a.n + 1 = b.n AND a.tail = b.tail1),
+        q AS (SELECT x, xf, y, yf FROM p UNION SELECT y, yf, x, xf FROM p),
+        near AS (SELECT DISTINCT x AS line FROM q WHERE yf < xf AND abs(length(x) - length(y)) <= 1 AND list_max(list_transform(range(length(x) + 1), lambda i:
+            CASE WHEN substr(x, 1, i) = substr(y, 1, i) AND (substr(x, i + 2) = substr(y, i + 2) OR substr(x, i + 1) = substr(y, i + 2) OR substr(x, i + 2) = substr(y, i + 1)) THEN 1 ELSE 0 END)) = 1),
+        j AS (SELECT l.*, length(l.line) >= 20 AND ((l.doc_id, l.pos) <> k.first OR near.line IS NOT NULL) AS gone FROM l LEFT JOIN k USING (line) LEFT JOIN near USING (line))
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT coalesce(gone, FALSE)), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped_lines FROM j GROUP BY doc_id""",
     "op10_chat": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
