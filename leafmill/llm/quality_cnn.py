@@ -170,3 +170,15 @@ def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "te
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = own.mapInArrow(run, "doc_id bigint, score double, predicted int")
     return out.select("doc_id", F.coalesce(is_held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, net: Network, text: str = "text", bar: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``bar``."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(net.scores(Texts(batch.column(at))) >= bar))
+
+    return docs.mapInArrow(run, docs.schema)

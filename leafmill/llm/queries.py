@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, license_scan, line_dedup, packing, quality_cnn, quality_rules, url_tree, warc
+from . import chat, decontam, jaccard, license_scan, line_dedup, packing, quality_cnn, quality_rules, url_tree, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -50,7 +54,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns.withColumn("parts", chat.text_part(F.col("text")))))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_urls, op4_jaccard, op5_lines, op6_quality, op8_licenses, op9_rules, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_urls, op4_jaccard, op5_lines, op6_quality, op7_decontamination, op8_licenses, op9_rules, op10_chat)}
 
 SQL: dict[str, str] = {
     "op5_lines": """
