@@ -35,39 +35,51 @@ def _key(what: str, length: Column, i: int, text: Column, start: Column, size: C
 
 
 def segment_keys(text: Column, length: Column, threshold: int, what: str = "line") -> Column:
-    """Keys (key, short) of a text: as the shorter of a pair (its own segments) and as the longer one."""
+    """Keys (key, own) of a text: its segments, and the substrings that segments of an equally long or shorter partner could be.
+
+    Substrings that its own segments stand for are not repeated; a key is null where the text is too short for it."""
     n, out = threshold + 1, []
-    for i in range(n):
-        start, size = segment(length, i, n)
-        out.append(F.struct(_key(what, length, i, text, start, size).alias("key"), F.lit(True).alias("short")))
     for extra in range(threshold + 1):
         short = length - extra
         for i in range(n):
             start, size = segment(short, i, n)
             low, high = max(-i, extra - (threshold - i)), min(i, extra + (threshold - i))
             for shift in range(low, high + 1):
+                own = extra == 0 and shift == 0
+                key = _key(what, short, i, text, start + shift, size)
                 inside = (start + shift >= 1) & (start + shift + size - 1 <= length)
-                out.append(F.when(inside, F.struct(_key(what, short, i, text, start + shift, size).alias("key"), F.lit(False).alias("short"))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+                out.append(F.struct((key if own else F.when(inside, key)).alias("key"), F.lit(own).alias("own")))
+    return F.array(*out)
 
 
 def refined_keys(text: Column, length: Column) -> Column:
     """For a threshold of one: keys that hold a half of the line and, as what is left again has one error at most, a half of that."""
     out = []
-    for short, extras in ((True, (0,)), (False, (0, 1))):
-        for extra in extras:
-            own = length - extra  # the shorter one's length
-            (s0, n0), (s1, n1) = segment(own, 0, 2), segment(own, 1, 2)
-            for half in (0, 1):
-                # The half that is alike, and the rest of this line; the rest of the shorter one has ``rest`` characters.
-                start, size, rest = (s0, n0, n1) if half == 0 else (s1 + extra, n1, n0)
-                at = s0 + n0 if half == 0 else F.lit(1)
-                for i in (0, 1):
-                    r, k = segment(rest, i, 2)
-                    where = at + r - 1 + (extra if i == 1 else 0)
-                    parts = (F.lit(f"fine{half}{i}"), own, F.substring(text, start, size), F.substring(text, where.cast("int"), k))
-                    out.append(F.struct(F.xxhash64(*parts).alias("key"), F.lit(short).alias("short")))
-    return F.array_distinct(F.array(*out))
+    for extra in (0, 1):
+        own = length - extra  # the shorter one's length
+        (s0, n0), (s1, n1) = segment(own, 0, 2), segment(own, 1, 2)
+        for half in (0, 1):
+            # The half that is alike, and the rest of this line; the rest of the shorter one has ``rest`` characters.
+            start, size, rest = (s0, n0, n1) if half == 0 else (s1 + extra, n1, n0)
+            at = s0 + n0 if half == 0 else F.lit(1)
+            for i in (0, 1):
+                r, k = segment(rest, i, 2)
+                where = at + r - 1 + (extra if i == 1 else 0)
+                parts = (F.lit(f"fine{half}{i}"), own, F.substring(text, start, size), F.substring(text, where.cast("int"), k))
+                out.append(F.struct(F.xxhash64(*parts).alias("key"), F.lit(extra == 0).alias("own")))
+    return F.array(*out)
+
+
+def may_be_within(a: Column, b: Column, threshold: int) -> Column:
+    """A cheap necessary condition: of twice as many finer segments of ``a`` all but ``threshold`` stand in ``b``, near their place."""
+    n, found = 2 * (threshold + 1), F.lit(0)
+    for i in range(n):
+        start, size = segment(F.length(a), i, n)
+        same = F.lit(False)
+        for shift in range(-threshold, threshold + 1):
+            same = same | ((start + shift >= 1) & (F.substring(a, start, size) == F.substring(b, F.greatest(start + shift, F.lit(1)), size)))
+        found = found + F.when(same, 1).otherwise(0)
+    return found >= n - threshold
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -77,7 +89,6 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     character of a match keeps the diagonal, an error keeps it or moves to a neighbour.
     """
     t, mask = threshold, (1 << (2 * threshold + 1)) - 1
-    chars = F.split(b, "")
 
     def closed(rows: list[Column]) -> Column:
         for e in range(1, t + 1):
@@ -86,17 +97,23 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
     start = closed([F.lit(1 << t).cast("bigint"), *[F.lit(0).cast("bigint")] * t])
 
-    def step(state: Column, x: Column) -> Column:
-        match = sum(F.when(F.get(x["b"], x["i"] + (j - t)) == x["c"], F.lit(1 << j)).otherwise(0) for j in range(2 * t + 1)).cast("bigint")
-        rows = [state["r0"].bitwiseAND(match)]
-        for e in range(1, t + 1):
-            before = state[f"r{e - 1}"]
-            rows.append(state[f"r{e}"].bitwiseAND(match).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)))
-        return closed(rows)
+    def walk(chars: Column) -> Column:
+        """Over arrays of characters a and b, both computed once."""
+
+        def step(state: Column, x: Column) -> Column:
+            match = sum((F.when(F.get(chars["b"], x["i"] + (j - t)) == x["c"], F.lit(1 << j)).otherwise(0) for j in range(2 * t + 1)), F.lit(0)).cast("bigint")
+            rows = [state["r0"].bitwiseAND(match)]
+            for e in range(1, t + 1):
+                before = state[f"r{e - 1}"]
+                rows.append(state[f"r{e}"].bitwiseAND(match).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)))
+            return closed(rows)
+
+        return F.aggregate(F.transform(chars["a"], lambda c, i: F.struct(c.alias("c"), i.alias("i"))), start, step)[f"r{t}"]
 
-    walked = F.aggregate(F.transform(F.split(a, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"), chars.alias("b"))), start, step)
     apart = F.length(b) - F.length(a) + t
-    return F.when((apart < 0) | (apart > 2 * t), False).when((F.length(a) == 0) | (F.length(b) == 0), True).otherwise(F.call_function("shiftright", walked[f"r{t}"], apart.cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    last = F.get(F.transform(F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))), walk), F.lit(0))
+    ended = F.call_function("shiftright", last, apart.cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    return F.when((apart < 0) | (apart > 2 * t), False).when((F.length(a) == 0) | (F.length(b) == 0), True).otherwise(ended)
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -106,35 +123,37 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _meet(keys: DataFrame) -> DataFrame:
-    """Pairs (a1, a2, b1, b2) of different lines that meet at a key, one as the shorter and one as the longer."""
-    short = keys.where("short").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    long = keys.where("not short").select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    return short.join(long, "key").where("a1 <> b1 or a2 <> b2").select("a1", "a2", "b1", "b2").distinct()
+    """Pairs (a1, a2, b1, b2) of different lines that meet at a key: own segments with one another, and with substrings of longer lines."""
+    left = keys.where("own").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
+    right = keys.select("key", F.col("own").alias("b_own"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    once = F.struct("a1", "a2") < F.struct("b1", "b2")
+    other = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
+    return left.join(right, "key").where(F.when(F.col("b_own"), once).otherwise(other)).select("a1", "a2", "b1", "b2").distinct()
 
 
 def near_pairs(lines: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     """(a1, a2, b1, b2) of all pairs of different lines within the threshold."""
-    length = F.length("line")
-    emitted = lines.select("h1", "h2", F.inline(segment_keys(F.col("line"), length, threshold)))
-    # Copies of a line collapse map-side; a key that has one line, or no longer and shorter side, is of no use.
-    keys = emitted.distinct()
-    use = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi").select("key", "n")
-    keys = scratch.save(keys, "keys")
-    counted = scratch.save(use, "counted")
-    light = keys.join(counted.where(F.col("n") <= HEAVY) if threshold == 1 else counted, "key").select("key", "short", "h1", "h2")
+    sized = lines.select("h1", "h2", "line", F.length("line").alias("n"))
+    emitted = sized.select("h1", "h2", F.inline(segment_keys(F.col("line"), F.col("n"), threshold))).where("key is not null")
+    # Most keys have one line: a count by key, summed map-side, finds the others, and only their rows are dealt out again.
+    shared = emitted.groupBy("key").agg(F.min("h1").alias("l1"), F.max("h1").alias("g1"), F.min("h2").alias("l2"), F.max("h2").alias("g2")).where("l1 < g1 or l2 < g2")
+    keys = scratch.save(emitted.join(scratch.save(shared.select("key"), "shared"), "key").distinct(), "keys")
+    counted = keys.groupBy("key").agg(F.count("*").alias("m"))
+    light = keys.join(counted.where(F.col("m") <= HEAVY) if threshold == 1 else counted, "key").select("key", "own", "h1", "h2")
     pairs = _meet(light)
     if threshold == 1:
-        heavy = look_up(keys, counted.where(F.col("n") > HEAVY), ["key"], "n", keys.count(), F.col("h1"), "inner").select("h1", "h2").distinct()
+        heavy = look_up(keys, counted.where(F.col("m") > HEAVY), ["key"], "m", keys.count(), F.col("h1"), "inner").select("h1", "h2").distinct()
         heavy = scratch.save(heavy, "heavy")
         if not heavy.isEmpty():
-            again = lines.join(heavy, ["h1", "h2"], "left_semi").select("h1", "h2", F.inline(refined_keys(F.col("line"), length))).distinct()
+            again = sized.join(heavy, ["h1", "h2"], "left_semi").select("h1", "h2", F.inline(refined_keys(F.col("line"), F.col("n")))).distinct()
             pairs = pairs.unionByName(_meet(scratch.save(again, "fine"))).distinct()
     pairs = scratch.save(pairs, "pairs")
     scratch.drop(keys)
     ends = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
-    texts = scratch.save(lines.select("h1", "h2", "line").join(ends, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line")), "texts")
+    texts = scratch.save(lines.select("h1", "h2", "line").join(ends.hint("merge"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line")), "texts")
     both = pairs.join(texts.toDF("a1", "a2", "a"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "b"), ["b1", "b2"])
-    return both.where(within(F.col("a"), F.col("b"), threshold)).select("a1", "a2", "b1", "b2")
+    a, b = F.col("a"), F.col("b")
+    return both.where(F.when(may_be_within(a, b, threshold), within(a, b, threshold)).otherwise(False)).select("a1", "a2", "b1", "b2")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, threshold: int = THRESHOLD) -> DataFrame:
@@ -161,9 +180,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
     keyed = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST))).withColumn("_hash", F.xxhash64(F.col(text).cast("string")))
     gone = gone.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), "_gone")
     out = keyed.join(gone, ["_doc", "_hash"], "left")
-    split = F.split(F.col(text).cast("string"), "\n")
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(split))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    cut = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
+    whole = F.col(text).cast("string")
+    n = F.coalesce(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+
+    def kept(own: Column) -> Column:
+        """Of lines, split once, and the places of those that go, what stays."""
+        stay = F.array_except(F.sequence(F.lit(0), F.size(own["lines"]) - 1), own["gone"])
+        return F.array_join(F.transform(stay, lambda i: F.get(own["lines"], i)), "\n")
+
+    cut = F.get(F.transform(F.array(F.struct(F.split(whole, "\n").alias("lines"), F.col("_gone").alias("gone"))), kept), F.lit(0))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped_lines")]
     return out.select(*[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text else F.col(c) for c in names], n.cast("bigint").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped_lines"))
