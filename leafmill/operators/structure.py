@@ -152,8 +152,8 @@ def speak_text(lines: Column, markers: Column, paragraph_ends: Column, language:
 
 def paragraph_ends(blocks: Column) -> Column:
     """Greatest line index of each paragraph or heading block."""
-    own = F.filter(F.coalesce(blocks, F.array().cast("array<struct<kind:string,line_indices:array<int>>>")), lambda b: b["kind"].isin("paragraph", "chapter_heading"))
-    return F.array_compact(F.transform(own, lambda b: F.array_max(b["line_indices"])))
+    own = F.filter(blocks, lambda b: b["kind"].isin("paragraph", "chapter_heading"))
+    return F.coalesce(F.array_compact(F.transform(own, lambda b: F.array_max(b["line_indices"]))), F.array().cast("array<int>"))
 
 
 def remapped(positions: Column, lines: Column) -> Column:

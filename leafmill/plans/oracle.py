@@ -269,4 +269,7 @@ SQL: dict[str, str] = {
         SELECT tag_id, scan_id, coalesce(last_value(vote IGNORE NULLS) OVER (PARTITION BY tag_id ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'reader2') AS orientation FROM s""",
     "volume_levels": f"""WITH r AS (SELECT unnest(range(2, 40))::INT AS n), l AS (SELECT n, list_transform(range(n), lambda i: round_even(5 + 85.0::DOUBLE * i / (n - 1), 0)::INT) AS a FROM r)
         SELECT n, array_to_string(a, ',') AS levels, (list_position(list_transform(a, lambda x: abs(x - 47)), list_min(list_transform(a, lambda x: abs(x - 47)))) - 1)::INT AS nearest FROM l""",
+    "stream_usage_window": f"""WITH {V_USAGE} SELECT (ts - INTERVAL 4 HOURS)::DATE AS period_key, tag_id, count(*) AS n, round(sum(CASE WHEN kind = 'audio' AND seconds > 0 THEN seconds ELSE 0 END), 3) AS audio_seconds FROM v_usage GROUP BY ALL""",
+    "stream_sections": f"WITH RECURSIVE {BOOK_PAGES} SELECT tag_id, sequence, start_position::INT AS start_position, start_offset::INT AS start_offset, end_position::INT AS end_position, end_offset::INT AS end_offset, next_position::INT AS next_position, next_offset::INT AS next_offset, boundary_kind FROM bounds",
+    "stream_pending_tail": f"""WITH {SPOKEN} SELECT tag_id, substr(s.created_at, 15, 2)::DOUBLE AS seq, side, (SELECT nullif(trim(p.tail_fragment), '') FROM spoken p WHERE p.tag_id = s.tag_id AND p.side = 'right' AND p.created_at < s.created_at ORDER BY p.created_at DESC LIMIT 1) AS pending FROM spoken s""",
 }

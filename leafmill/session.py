@@ -22,6 +22,21 @@ def local_session(cpus: int | None = None, partitions: int | None = None) -> Spa
     )
 
 
+_own_dir: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    import tempfile
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not _own_dir:
+        _own_dir.append("file://" + tempfile.mkdtemp(prefix="leafmill-"))
+    return _own_dir[0]
+
+
 _shipped: set[str] = set()
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -61,7 +60,6 @@ def lookup_key(key: Column) -> Column:
 
 # --- recognisers: several result shapes, one line shape
 
-LINE = T.StructType.fromDDL(f"text string, confidence double, bbox {POINTS}")
 
 
 def recognised(rows: DataFrame, key: str = "page_id", value: str = "result") -> DataFrame:

@@ -1,3 +1,104 @@
-"""Streaming queries over stored rows."""
+"""Streaming queries over stored rows: each view is written to the shared folder as files of a stream, run to its end, and the sink is read."""
 
-STREAMS: dict = {}
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.numbers import DAY_START_HOUR
+from ..operators import sections
+from ..plans.queries import _book_pages, _spoken
+from ..plans.views import table, v_pages, v_usage
+from ..session import shared_dir
+from . import folds
+
+STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FILES = 4
+
+
+def query(f):
+    STREAMS[f.__name__] = f
+    return f
+
+
+def replay(spark: SparkSession, rows: DataFrame, order: str, work: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """Rows in ``order`` as a stream of several micro-batches through ``work``; what the sink holds at the end."""
+    folder = f"{shared_dir(spark)}/leafmill-streams/{uuid.uuid4().hex[:12]}"
+    # One task writes the files one after another, so their times, by which the source takes them, follow the order.
+    rows.repartition(1).sortWithinPartitions(order).write.option("maxRecordsPerFile", -(-max(rows.count(), 1) // FILES)).parquet(f"{folder}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    made = work(source)
+
+    def store(part: DataFrame, number: int) -> None:
+        # The same batch may be run again: it overwrites what it wrote.
+        part.write.mode("overwrite").parquet(f"{folder}/out/batch={0 if mode == 'complete' else number}")
+
+    made.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{folder}/out/*")
+
+
+def daily_windows(events: DataFrame) -> DataFrame:
+    """Events and positive audio seconds per book and reporting day, a day's window beginning at four."""
+    day = F.window("ts", "1 day", "1 day", f"{DAY_START_HOUR} hours")
+    return events.groupBy(day.alias("w"), "tag_id").agg(F.count("*").alias("n"), F.round(F.sum(F.when((F.col("kind") == "audio") & (F.col("seconds") > 0), F.col("seconds")).otherwise(0.0)), 3).alias("audio_seconds")).select(F.to_date("w.start").alias("period_key"), "tag_id", "n", "audio_seconds")
+
+
+@query
+def stream_usage_window(spark, sf_dir):
+    rows = v_usage(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return replay(spark, rows, "ts", daily_windows, "complete")
+
+
+def guard_rows(spark, sf_dir) -> DataFrame:
+    """Left pages of books with some scans repeated and some delivered out of order."""
+    p = F.col("page_number")
+    left = v_pages(spark, sf_dir).where("side = 'left'").select("tag_id", "scan_id", p.cast("double").alias("seq"), F.array(p, p + 1).alias("numbers"))
+    again = left.where("seq % 20 = 1").select("tag_id", F.concat(F.lit("again_"), "scan_id").alias("scan_id"), (F.col("seq") + 0.5).alias("seq"), "numbers")
+    back = left.where("seq % 34 = 1").select("tag_id", F.concat(F.lit("back_"), "scan_id").alias("scan_id"), (F.col("seq") + 10.5).alias("seq"), "numbers")
+    return left.unionByName(again).unionByName(back)
+
+
+@query
+def sequence_guard(spark, sf_dir):
+    return folds.batch(guard_rows(spark, sf_dir), "tag_id", folds.GUARD)
+
+
+@query
+def stream_sequence_guard(spark, sf_dir):
+    return replay(spark, guard_rows(spark, sf_dir), "seq", lambda s: folds.stream(s, "tag_id", folds.GUARD))
+
+
+def tail_rows(spark, sf_dir) -> DataFrame:
+    return _spoken(spark, sf_dir).select("tag_id", "side", "tail_fragment", (F.regexp_extract("created_at", r":(\d\d):", 1).cast("double")).alias("seq"))
+
+
+@query
+def stream_pending_tail(spark, sf_dir):
+    return replay(spark, tail_rows(spark, sf_dir), "seq", lambda s: folds.stream(s, "tag_id", folds.PENDING_TAIL))
+
+
+@query
+def stream_sections(spark, sf_dir):
+    facts = sections.page_facts(sections.assembly_order(_book_pages(spark, sf_dir)))
+    return replay(spark, facts, "position", lambda s: folds.stream(s, "tag_id", folds.SECTIONS))
+
+
+def panel_rows(spark, sf_dir) -> DataFrame:
+    """Panel events of a user: presses, releases and steps, close together in time."""
+    names = F.array(*map(F.lit, (*folds.CHORD, "encoder_button")))
+    k = F.col("event_id")
+    kind = F.when(F.col("event_type") == "click", "down").when(F.col("event_type") == "view", "down").when(F.col("event_type") == "signup", "step").otherwise("up")
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("panel"), (k * 0.02).alias("t"), kind.alias("event_type"), F.get(names, (k % 4).cast("int")).alias("control"), F.when(k % 2 == 0, 1).otherwise(-1).alias("delta"))
+
+
+@query
+def chord_actions(spark, sf_dir):
+    return folds.batch(panel_rows(spark, sf_dir), "panel", folds.CHORDS)
+
+
+@query
+def stream_chord(spark, sf_dir):
+    return replay(spark, panel_rows(spark, sf_dir), "t", lambda s: folds.stream(s, "panel", folds.CHORDS))
