@@ -3,7 +3,7 @@
 Segments that are plainly variable (numbers, hexadecimal ids, very long slugs) become typed wildcards at once. The tree is then
 walked level by level: under each node, a branch stays literal only if it has support and its share of bad pages differs
 significantly from that of its siblings together; branches that are statistically alike merge into one wildcard. A template is
-rejected when its smoothed share of bad labelled pages reaches a bar.
+rejected when its smoothed share of bad labelled pages reaches a bar; without any label it is allowed.
 
 All steps are aggregations over (host, typed path), so a host of any size is summed map-side first; no host meets in one task.
 """
@@ -97,7 +97,7 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         tree = new
     leaf = tree.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb"), F.count("*").alias("k"))
     purity = (F.col("tb") + PRIOR * share) / (F.col("tl") + PRIOR)
-    leaf = leaf.select("host", "template", "k", F.col("tl").alias("template_labelled"), purity.alias("purity"), (purity >= BAR).alias("rejected"))
+    leaf = leaf.select("host", "template", "k", F.col("tl").alias("template_labelled"), purity.alias("purity"), ((F.col("tl") > 0) & (purity >= BAR)).alias("rejected"))
     return look_up(tree, leaf, ["host", "template"], "k", n_typed, F.col("typed")).drop("segs")
 
 
