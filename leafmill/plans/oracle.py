@@ -272,4 +272,10 @@ SQL: dict[str, str] = {
     "stream_usage_window": f"""WITH {V_USAGE} SELECT (ts - INTERVAL 4 HOURS)::DATE AS period_key, tag_id, count(*) AS n, round(sum(CASE WHEN kind = 'audio' AND seconds > 0 THEN seconds ELSE 0 END), 3) AS audio_seconds FROM v_usage GROUP BY ALL""",
     "stream_sections": f"WITH RECURSIVE {BOOK_PAGES} SELECT tag_id, sequence, start_position::INT AS start_position, start_offset::INT AS start_offset, end_position::INT AS end_position, end_offset::INT AS end_offset, next_position::INT AS next_position, next_offset::INT AS next_offset, boundary_kind FROM bounds",
     "stream_pending_tail": f"""WITH {SPOKEN} SELECT tag_id, substr(s.created_at, 15, 2)::DOUBLE AS seq, side, (SELECT nullif(trim(p.tail_fragment), '') FROM spoken p WHERE p.tag_id = s.tag_id AND p.side = 'right' AND p.created_at < s.created_at ORDER BY p.created_at DESC LIMIT 1) AS pending FROM spoken s""",
+    "contrast_bounds": "SELECT lang, round(quantile_cont(n_chars, 0.05), 6) AS low, round(quantile_cont(n_chars, 0.95), 6) AS high FROM documents GROUP BY lang",
+    "stale_gaps": "SELECT * FROM (SELECT user_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS since, ts AS until FROM events) WHERE until - since > INTERVAL 86400 SECONDS",
+    "new_page_keys": f"WITH {V_USAGE}, f AS (SELECT tag_id, page_key, min((ts - INTERVAL 4 HOURS)::DATE) AS day FROM v_usage WHERE kind = 'scan' GROUP BY ALL) SELECT tag_id, day, count(*) AS n FROM f GROUP BY ALL",
+    "neighbour_distance": """WITH p AS (SELECT DISTINCT o_orderkey % 50 AS board, o_orderkey % 7 AS r, o_orderkey % 11 AS c, (o_orderkey % 7 * 10 + o_orderkey % 50 % 3)::DOUBLE AS x, (o_orderkey % 11 * 12)::DOUBLE AS y FROM orders),
+        d AS (SELECT a.board, median(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)) AS d FROM p a JOIN p b ON a.board = b.board AND ((b.r = a.r AND b.c = a.c + 1) OR (b.r = a.r + 1 AND b.c = a.c)) GROUP BY a.board) SELECT DISTINCT p.board, round(coalesce(d, 10.0), 6) AS distance FROM p LEFT JOIN d USING (board)""",
+    "empty_scans": f"WITH {V_PAGES} SELECT tag_id, scan_id FROM v_pages GROUP BY ALL HAVING bool_and(page_number % 40 < 6)",
 }

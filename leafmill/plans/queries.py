@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import speech as S
 from ..functions import text as T
-from ..operators import identity, layout, sections, speech, stitch, structure, summaries, usage
+from ..operators import identity, layout, metrics, sections, speech, stitch, structure, summaries, usage
 from ..sources import readers
 from .views import table, v_books, v_lines, v_page_lines, v_pages, v_turns, v_usage, v_words
 
@@ -488,3 +488,35 @@ def volume_levels(spark, sf_dir):
     n = F.col("n")
     rows = spark.range(2, 40).select(F.col("id").cast("int").alias("n")).withColumn("levels", N.volume_ladder(F.lit(5), F.lit(90), n))
     return rows.select("n", F.array_join("levels", ",").alias("levels"), N.nearest_level(F.col("levels"), F.lit(47)).alias("nearest"))
+
+
+# --- measures
+
+
+@query
+def contrast_bounds(spark, sf_dir):
+    return metrics.contrast_bounds(table(spark, sf_dir, "documents"), "lang", "n_chars").select("lang", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query
+def stale_gaps(spark, sf_dir):
+    return metrics.stale_gaps(table(spark, sf_dir, "events"), "user_id", 86400)
+
+
+@query
+def new_page_keys(spark, sf_dir):
+    events = v_usage(spark, sf_dir).where("kind = 'scan'").withColumn("day", N.reporting_day(F.col("ts")))
+    return metrics.new_keys(events, "tag_id", "day", "page_key")
+
+
+@query
+def neighbour_distance(spark, sf_dir):
+    k = F.col("o_orderkey")
+    points = table(spark, sf_dir, "orders").select((k % 50).alias("board"), (k % 7).alias("row"), (k % 11).alias("col"), (k % 7 * 10 + k % 50 % 3).cast("double").alias("x"), (k % 11 * 12).cast("double").alias("y")).distinct()
+    return metrics.neighbour_distance(points, "board").select("board", F.round("distance", 6).alias("distance"))
+
+
+@query
+def empty_scans(spark, sf_dir):
+    pages = v_pages(spark, sf_dir).withColumn("speak_text", F.when(F.col("page_number") % 40 < 6, F.lit(" \n")).otherwise(F.col("text")))
+    return metrics.empty_scans(pages)

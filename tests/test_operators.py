@@ -165,3 +165,18 @@ def test_streams_equal_their_batch_forms(spark):
 def test_latest_and_placeholders(spark):
     df = spark.createDataFrame([("B", "s", "left", "p1", None), ("B", "s", "left", "p1", 4), ("B", "s", "right", "p1", None)], "tag_id string, scan_id string, side string, report_page_id string, page_number int")
     assert sorted((r["side"], r["page_number"] or 0) for r in stitch.without_placeholders(df).collect()) == [("left", 4), ("right", 0)]
+
+
+def test_measures(spark):
+    from leafmill.operators import metrics as M
+
+    r = spark.range(1).select(
+        M.total_seconds(F.create_map(F.lit("a"), F.lit(1.5), F.lit("b"), F.lit(2.0))).alias("sum"), M.preferred_first(F.array(*map(F.lit, "cab")), F.array(F.lit("b"), F.lit("x"))).alias("order"),
+        M.recap_label(F.lit(3), F.lit(5), F.lit(False)).alias("label"), M.archived_day(F.lit("2026-02-30.json")).alias("bad"), M.archived_day(F.lit("2026-02-03.json")).cast("string").alias("day"),
+        M.wav_seconds(F.lit(100), F.lit(0)).alias("none"), M.is_inside(F.lit("/a/b"), F.lit("/a/")).alias("inside"), M.is_inside(F.lit("/a/../b"), F.lit("/a")).alias("out"), F.size(M.grid(3, 2, 5.0)).alias("grid"), M.stretched(F.lit(60.0), F.lit(50.0), F.lit(70.0)).alias("grey"),
+    ).first()
+    assert (r["sum"], r["order"], r["label"], r["bad"], r["day"], r["none"], r["inside"], r["out"], r["grid"], r["grey"]) == (3.5, ["b", "c", "a"], "kapitel-zusammenfassung:3-5", None, "2026-02-03", None, True, False, 6, 127.5)
+    files = spark.createDataFrame([("g", "preferred", False, 9), ("g", "preferred", True, 8), ("g", "fallback", True, 5)], "g string, source string, exists boolean, modified int")
+    assert tuple(M.latest_source(files, "g").first()) == ("g", 5, True, "fallback")
+    said = spark.createDataFrame([("x", "ab", 2.0, 5.0), ("x", "c", 1.0, 1.5)], "g string, text string, queued_at double, ready_at double")
+    assert tuple(M.batch_counters(said, "g").first()) == ("x", 2, 3, 0.5)
