@@ -235,9 +235,9 @@ SQL: dict[str, str] = {
         WHEN regexp_matches(clean_text, '[.!?…]') THEN length(regexp_extract(clean_text, '(?s)^(.*[.!?…]{CLOSERS})', 1)) ELSE length(clean_text) END)::INT AS "offset" FROM d""",
     "section_bounds": f"WITH RECURSIVE {BOOK_PAGES} SELECT tag_id, sequence, start_position::INT AS start_position, start_offset::INT AS start_offset, end_position::INT AS end_position, end_offset::INT AS end_offset, next_position::INT AS next_position, next_offset::INT AS next_offset, boundary_kind FROM bounds",
     "section_text": f"""WITH RECURSIVE {BOOK_PAGES}, {slices("bounds")} SELECT tag_id, sequence, start_position::INT AS start_position, end_position::INT AS end_position, boundary_kind, printf('chapter_%04d', sequence) AS chapter_id, {norm_ends("string_agg(slice, chr(10) || chr(10) ORDER BY position)")} AS text,
-        list(page_id ORDER BY position) AS page_ids, list(page_number::INT ORDER BY position) AS page_numbers, min(page_number)::INT AS start_page, max(page_number)::INT AS end_page, (end_position - start_position + 1)::INT AS page_span, count(*)::INT AS content_page_count FROM sl WHERE slice <> '' GROUP BY tag_id, sequence, start_position, end_position, boundary_kind""",
+        string_agg(page_id, ',' ORDER BY position) AS page_ids, string_agg(page_number::VARCHAR, ',' ORDER BY position) AS page_numbers, min(page_number)::INT AS start_page, max(page_number)::INT AS end_page, (end_position - start_position + 1)::INT AS page_span, count(*)::INT AS content_page_count FROM sl WHERE slice <> '' GROUP BY tag_id, sequence, start_position, end_position, boundary_kind""",
     "pending_content": f"""WITH RECURSIVE {BOOK_PAGES}, o AS (SELECT e.tag_id, coalesce(b.next_position, 0) AS start_position, coalesce(b.next_offset, 0) AS start_offset, e.p AS end_position, e.n AS end_offset FROM (SELECT tag_id, max(position) AS p, arg_max(length(clean_text), position) AS n FROM bp GROUP BY tag_id) e LEFT JOIN (SELECT tag_id, arg_max(next_position, sequence) AS next_position, arg_max(next_offset, sequence) AS next_offset FROM bounds GROUP BY tag_id) b ON b.tag_id = e.tag_id), {slices("o")}
-        SELECT tag_id, {norm_ends("string_agg(slice, chr(10) || chr(10) ORDER BY position)")} AS text, list(page_id ORDER BY position) AS page_ids, list(page_number::INT ORDER BY position) AS page_numbers FROM sl WHERE slice <> '' GROUP BY tag_id""",
+        SELECT tag_id, {norm_ends("string_agg(slice, chr(10) || chr(10) ORDER BY position)")} AS text, string_agg(page_id, ',' ORDER BY position) AS page_ids, string_agg(page_number::VARCHAR, ',' ORDER BY position) AS page_numbers FROM sl WHERE slice <> '' GROUP BY tag_id""",
     "boundary_resolve": f"WITH RECURSIVE {BOOK_PAGES} SELECT tag_id, page_id, position::INT AS resolved_position FROM bp WHERE page_number % 11 = 0",
     "chapter_sequence": """WITH a AS (SELECT o_custkey::VARCHAR AS tag_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 40 END AS n FROM orders) SELECT tag_id, (CASE WHEN coalesce(max(n), 0) > 0 THEN max(n) ELSE count(*) END + 1)::INT AS next_sequence FROM a GROUP BY tag_id""",
     "summary_fingerprint": """SELECT conv_id::VARCHAR AS tag_id, count(*) AS n, sha256(string_agg(printf('chapter_%04d', turn + 1) || chr(0) || '2026-02-03T04:05:06Z' || chr(0) || text || chr(0), '' ORDER BY turn, text)) AS fingerprint FROM conversations WHERE role <> 'system' GROUP BY conv_id""",

@@ -295,6 +295,11 @@ def _book_pages(spark, sf_dir):
     return pages.withColumn("created_at", F.lit("2026-01-01")).withColumn("page_id", F.format_string("page_%04d", "page_number")).withColumn("report_page_id", F.lit(None).cast("string"))
 
 
+def _flat(rows):
+    """Lists as text, which any engine compares alike."""
+    return rows.withColumn("page_ids", F.array_join("page_ids", ",")).withColumn("page_numbers", F.array_join(F.transform("page_numbers", lambda n: n.cast("string")), ","))
+
+
 @query
 def assembly_order(spark, sf_dir):
     pages = v_turns(spark, sf_dir).withColumn("page_id", F.concat_ws("_", "scan_id", "side"))
@@ -322,13 +327,13 @@ def section_bounds(spark, sf_dir):
 @query
 def section_text(spark, sf_dir):
     pages = sections.assembly_order(_book_pages(spark, sf_dir))
-    return sections.section_text(pages, sections.boundaries(pages))
+    return _flat(sections.section_text(pages, sections.boundaries(pages)))
 
 
 @query
 def pending_content(spark, sf_dir):
     pages = sections.assembly_order(_book_pages(spark, sf_dir))
-    return sections.section_text(pages, sections.pending(pages, sections.boundaries(pages))).select("tag_id", "text", "page_ids", "page_numbers")
+    return _flat(sections.section_text(pages, sections.pending(pages, sections.boundaries(pages)))).select("tag_id", "text", "page_ids", "page_numbers")
 
 
 @query
