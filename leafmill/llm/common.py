@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: A key is hot when it holds at least 1 / HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys, whatever the data.
 HOT_SHARE = 1000
 #: Rows in an Arrow batch handed to Python; texts may be long, so the default of 10,000 rows is too many.
 BATCH_ROWS = 1000
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="leafmill-"))
-    return _own_dir[0]
-
-
 def prepare(spark: SparkSession) -> None:
     """Send the code to the workers, and keep Arrow batches of whole texts small; a smaller limit of the session stays."""
     ship(spark)
@@ -57,8 +43,15 @@ class Scratch:
     def path_of(self, df: DataFrame) -> str:
         return self._made[id(df)]
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later job reads."""
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of plans that are done with; else they stay until the driver happens to collect garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def drop(self, *tables: DataFrame, free: bool = True) -> None:
+        """Delete tables that no later job reads, and free shuffle files."""
+        if free:
+            self.free()
         for t in tables:
             path = self._made.pop(id(t), None)
             if path:
@@ -84,10 +77,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def slug(text: str) -> str:
-    return re.sub(r"\W+", "_", text)
-
-
 def look_up(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: Column, how: str = "left") -> DataFrame:
     """Join ``left`` with ``right``, which has one row a key and in ``weight`` the number of left rows of that key.
 

@@ -70,5 +70,5 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         small = look_up(large, least, ["a"], "k", n, F.col("b")).select("a", "b", "m")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         new = scratch.save(contract(small).distinct(), "links")
-        scratch.drop(now, large)
+        scratch.drop(now, large, free=False)
         now = new

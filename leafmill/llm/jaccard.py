@@ -7,7 +7,7 @@
    its smallest hashes, of which two such sets that link share one.
 3. Within a tile, bit counts of hashed bitmaps bound the overlap from above; what passes is compared exactly.
 4. Tiles of up to SMALL members give all pairs. Larger ones first give a chain and a star; pairs are then compared only where members of a tile are still
-   in different components. So each pair that could link is compared, refuted by its bound, or already connected: no link is lost.
+   in different components, each pair once: what the bitmaps leave connected forms families, and these are cut into blocks by size band. So each pair that could link is compared, refuted by its bound, or already connected: no link is lost.
 
 Keys are shuffled as packed blocks, one row for each task's batch and destination.
 """
@@ -29,8 +29,8 @@ from .textkit import U64, Texts, distinct, mix
 
 SIZE, PERCENT = 5, 80
 SMALL = 8
-#: Members of one block of a large tile.
-BLOCK = 2048
+#: Members of one block of a large tile or family at most, on average, and elements of their sets in a family's block.
+BLOCK, BLOCK_ELEMENTS = 8192, 1 << 22
 
 NODE = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("n", "<i4")])
 KEY = np.dtype([("key", "<u4"), ("at", "<u2")])
@@ -71,8 +71,9 @@ def keys_of(values: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bitmap_of(values: np.ndarray) -> bytes:
-    bits = max(64, 1 << int(2 * len(values) - 1).bit_length())
+def bitmap_of(values: np.ndarray, each: int = 2) -> bytes:
+    """At least ``each`` bits an element, a power of two in all."""
+    bits = max(64, 1 << int(each * len(values) - 1).bit_length())
     flags = np.zeros(bits, np.uint8)
     flags[(values & U64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -241,39 +242,119 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (x, fx), (y, fy) = sets_of(batch.column(2), size), sets_of(batch.column(3), size)
-            linked = []
-            for i in range(batch.num_rows):
-                p, q = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) and len(p) else 0
-                linked.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            found = [linked(x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]], percent) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], ["a", "b", "linked"])
 
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("atext")), "a")
-    return left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("btext")), "b").select("a", "b", "atext", "btext").mapInArrow(run, "a bigint, b bigint, linked boolean")
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("atext")).hint("merge"), "a")
+    return left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("btext")).hint("merge"), "b").select("a", "b", "atext", "btext").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
-def crossing(tiles: DataFrame, percent: int) -> DataFrame:
-    """Of blocks of large tiles (rows tile, x, y, rep, n, bits, root): pairs of different roots that their bitmaps allow."""
+def related(tiles: DataFrame, percent: int) -> DataFrame:
+    """Of blocks of large tiles (rows tile, x, y, mine, node, n, bits, root): pairs of roots (a, b) that connect all roots of which
+    some members' bitmaps allow a link. Pairs of roots already connected in the block are passed over, so it gives fewer pairs than it has roots."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rep, n, root = group["rep"].to_numpy(), group["n"].to_numpy(np.int64), group["root"].to_numpy()
+        group = group.sort_values("node", kind="stable")
+        n, root, mine = group["n"].to_numpy(np.int64), group["root"].to_numpy(), group["mine"].to_numpy()
         maps = [np.frombuffer(b, np.uint64) for b in group["bits"]]
         words = min(map(len, maps))
         m = np.stack([folded(b, words) for b in maps])
-        out = []
-        for i in range(len(rep) - 1):
-            rest = np.flatnonzero((root[i + 1 :] != root[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
+        inner = group["x"].iloc[0] == group["y"].iloc[0]
+        left, right = (np.arange(len(n)),) * 2 if inner else (np.flatnonzero(mine), np.flatnonzero(~mine))
+        joined, out = root.copy(), []
+        for i in left:
+            rest = right[right > i] if inner else right
+            rest = rest[(joined[rest] != joined[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
             if len(rest):
                 most = np.minimum(n[i] - np.bitwise_count(m[i] & ~m[rest]).sum(1, dtype=np.int64), n[rest] - np.bitwise_count(m[rest] & ~m[i]).sum(1, dtype=np.int64))
-                hit = rest[100 * most >= percent * (n[i] + n[rest] - most)]
-                out.append(np.stack([np.minimum(rep[i], rep[hit]), np.maximum(rep[i], rep[hit])], 1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 1], "b": found[:, 0]})
+                for j in rest[100 * most >= percent * (n[i] + n[rest] - most)]:
+                    if joined[j] != joined[i]:
+                        out.append((root[i], root[j]))
+                        joined[joined == joined[j]] = joined[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return tiles.groupBy("tile", "x", "y").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
+def tile_blocks(rooted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (tile, node, root) of tiles with several roots, dealt into pairs of blocks of each tile, with sizes and bitmaps."""
+    mixed = rooted.groupBy("tile").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("k")).where("r < s").select("tile", F.ceil(F.col("k") / BLOCK).cast("int").alias("c"))
+    own = rooted.join(mixed, "tile").join(nodes.select("node", "n", "bits").hint("merge"), "node").withColumn("at", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    return own.select("tile", F.least("at", "j").alias("x"), F.greatest("at", "j").alias("y"), (F.col("at") <= F.col("j")).alias("mine"), "node", "n", "bits", "root")
+
+
+def compared(tiles: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of blocks of families (rows family, band, kind, x, y, mine, node, n, root, text): links (a, b) that connect different roots.
+
+    Pairs of one root are passed over, also once a link of this block has joined their roots; so a block gives fewer links than it has members."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node", kind="stable")
+        node, n, root = group["node"].to_numpy(), group["n"].to_numpy(np.int64), group["root"].to_numpy().copy()
+        values, first = sets_of(pa.array(group["text"], pa.string()), size)
+        own = [values[first[i] : first[i + 1]] for i in range(len(node))]
+        words = max(1, 1 << int(8 * n.max() - 1).bit_length() >> 6)
+        maps = np.stack([_spread(v, words) for v in own])
+        inner = group["kind"].iloc[0] == 0 and group["x"].iloc[0] == group["y"].iloc[0]
+        mine = group["mine"].to_numpy()
+        left, right = (np.arange(len(node)),) * 2 if inner else (np.flatnonzero(mine), np.flatnonzero(~mine))
+        out = []
+        for i in left:
+            rest = right[right > i] if inner else right
+            rest = rest[(root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
+            if not len(rest):
+                continue
+            most = np.minimum(n[i] - np.bitwise_count(maps[i] & ~maps[rest]).sum(1, dtype=np.int64), n[rest] - np.bitwise_count(maps[rest] & ~maps[i]).sum(1, dtype=np.int64))
+            for j in rest[100 * most >= percent * (n[i] + n[rest] - most)]:
+                if root[j] != root[i] and linked(own[i], own[j], percent):
+                    out.append((max(node[i], node[j]), min(node[i], node[j])))
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return tiles.groupBy("family", "band", "kind", "x", "y").applyInPandas(run, "a bigint, b bigint").distinct()
+
+
+def _spread(values: np.ndarray, words: int) -> np.ndarray:
+    flags = np.zeros(words * 64, np.uint8)
+    flags[(values & U64(words * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """The exact comparison of two sorted arrays."""
+    if not len(p) or not len(q):
+        return False
+    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return both > 0 and 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def family_blocks(members: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Members of families dealt into blocks by size band and hash; every two blocks of bands that can link form one tile of compared().
+
+    ``members``: (node, root, family). A member is repeated for each block that its own meets."""
+    low = [int(x) for x in bands(percent)[:64]]
+    band = sum((F.when(F.col("n") >= x, 1).otherwise(0) for x in low[1:]), F.lit(0))
+    own = members.join(nodes.select("node", "n"), "node").withColumn("band", band)
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int")
+    count = own.groupBy("family", "band").agg(parts.alias("c"))
+    near = lambda by, name: count.select("family", (F.col("band") + by).alias("band"), F.col("c").alias(name))
+    own = own.join(near(0, "c"), ["family", "band"]).join(near(-1, "above"), ["family", "band"], "left").join(near(1, "below"), ["family", "band"], "left")
+    own = own.withColumn("at", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    lowest = lambda by: F.get(F.array(*map(F.lit, low)), F.col("band") + by)
+    # The smallest sizes of a band don't reach the band above, nor the largest the band below.
+    reaches = {"c": F.lit(True), "above": 100 * F.col("n") >= percent * lowest(1), "below": percent * F.col("n") <= 100 * (lowest(0) - 1)}
+    upto = lambda c: F.when((F.col(c) > 0) & reaches[c], F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda b, k, x, y, mine: F.struct(b.cast("int").alias("band"), F.lit(k).alias("kind"), x.alias("x"), y.alias("y"), mine.alias("mine"))
+    at = F.col("at")
+    every = F.concat(
+        F.transform(upto("c"), lambda j: tile(F.col("band"), 0, F.least(at, j), F.greatest(at, j), at <= j)),
+        F.transform(upto("above"), lambda j: tile(F.col("band"), 1, at, j, F.lit(True))),
+        F.transform(upto("below"), lambda j: tile(F.col("band") - 1, 1, j, at, F.lit(False))),
+    )
+    return own.select("family", "node", "n", "root", F.explode(every).alias("t")).select("family", "t.*", "node", "n", "root").join(texts.hint("merge"), "node")
+
+
 def node_texts(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """(node, text) of the rows of ``needed`` (node, rep, hi, lo): a text of document ``rep`` that has the node's set."""
 
@@ -283,8 +364,9 @@ def node_texts(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
             same = (hi == batch.column(1).to_numpy()) & (lo == batch.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["node", "text"]).filter(pa.array(same))
 
-    found = docs.join(needed, docs["doc_id"] == needed["rep"]).select("node", "hi", "lo", "text")
-    return found.mapInArrow(run, "node bigint, text string").dropDuplicates(["node"])
+    # Repeated rows collapse where the join has put them; the hint keeps the same plan at every size.
+    found = docs.join(needed.hint("merge"), docs["doc_id"] == needed["rep"]).groupBy("doc_id", "node", "hi", "lo", F.xxhash64("text").alias("h")).agg(F.max("text").alias("text"))
+    return found.select("node", "hi", "lo", "text").mapInArrow(run, "node bigint, text string")
 
 
 def members_of(tiles: DataFrame) -> DataFrame:
@@ -309,52 +391,59 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     prepare(spark)
     scratch, dests = Scratch(spark, "jaccard"), partitions(spark)
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # Merge hints below keep one plan at every size; what is broadcast on small inputs would not be on large ones.
     made = scratch.save(node_table(own, size, percent, dests), "made")
-    rows = made.where("dest is null").select("doc_id", "hi", "lo", "n")
+    rows = scratch.save(made.where("dest is null").select("doc_id", "hi", "lo", "n"), "rows")
     # A bitmap stands with the first row of its set in each task; all of them are equal.
     sets = made.where("dest is null and n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bitmap").alias("bits"), F.count("*").alias("k"))
     nodes = scratch.save(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     found = scratch.save(candidates(made.where("dest is not null").select("dest", "nodes", "keys"), percent, dests), "found")
+    scratch.drop(made)
 
     def side(s: str) -> DataFrame:
         return nodes.where("bits is not null").select(F.col("hi").alias(f"{s}_hi"), F.col("lo").alias(f"{s}_lo"), F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits"))
 
     pairs = found.where("a_hi is not null").select("a_hi", "a_lo", "b_hi", "b_lo").distinct()
-    pairs = bounded(pairs.join(side("a"), ["a_hi", "a_lo"]).join(side("b"), ["b_hi", "b_lo"]), percent)
+    pairs = bounded(pairs.join(side("a").hint("merge"), ["a_hi", "a_lo"]).join(side("b").hint("merge"), ["b_hi", "b_lo"]), percent)
     pairs = scratch.save(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "pairs")
-    members = members_of(found.where("tile is not null").select("tile", "members")).join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("tile", "node")
+    members = members_of(found.where("tile is not null").select("tile", "members")).join(nodes.select("hi", "lo", "node").hint("merge"), ["hi", "lo"]).select("tile", "node")
     members = scratch.save(members, "members")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(members.select("node")).distinct()
     texts = scratch.save(node_texts(own, needed.join(nodes.select("node", "rep", "hi", "lo"), "node"), size), "texts")
 
-    # Two pairs of each node, with its smallest and its largest neighbour, connect most of a group.
+    # One pair of each node, with its smallest neighbour, connects most of a group.
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    few = both.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("b")).select("a", F.explode("b").alias("b"))
+    few = both.groupBy("a").agg(F.min("b").alias("b"))
     few = few.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     first = scratch.save(verified(few, texts, size, percent), "first")
+    scratch.free()
     roots = scratch.save(components(first.where("linked"), scratch), "roots")
 
-    # Then whatever is still apart: the other pairs, and all pairs within large tiles.
-    def root_of(df: DataFrame, node: str, name: str) -> DataFrame:
-        return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    # Then whatever is still apart. Roots whose members' bitmaps allow a link in some tile form families; these are compared block by block.
+    def root_of(df: DataFrame, node: str, name: str, of: DataFrame = roots) -> DataFrame:
+        return df.join(of.select(F.col("node").alias(node), F.col("root").alias(name)).hint("merge"), node, "left").withColumn(name, F.coalesce(name, node))
 
-    apart = root_of(root_of(pairs, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
     rooted = scratch.save(root_of(members, "node", "root"), "rooted")
-    mixed = rooted.groupBy("tile").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("k")).where("r < s").select("tile", F.ceil(F.col("k") / BLOCK).cast("int").alias("c"))
-    blocked = rooted.join(mixed, "tile").join(nodes.select("node", "n", "bits"), "node").withColumn("x", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
-    blocked = blocked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("tile", F.least("x", "j").alias("x"), F.greatest("x", "j").alias("y"), F.col("node").alias("rep"), "n", "bits", "root")
-    rest = apart.unionByName(crossing(blocked, percent)).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = scratch.save(verified(rest, texts, size, percent), "second")
+    families = scratch.save(components(related(tile_blocks(rooted, nodes), percent), scratch), "families")
+    inside = rooted.select("node", "root").distinct().join(families.select(F.col("node").alias("root"), F.col("root").alias("family")), "root")
+    inside = scratch.save(inside.select("node", "root", "family"), "inside")
+    blocks = family_blocks(inside, nodes, texts, percent)
+    joined = compared(blocks, size, percent).withColumn("linked", F.lit(True))
+    apart = root_of(root_of(pairs, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
+    own_family = inside.select("node", F.col("family").alias("root"))
+    apart = root_of(root_of(apart, "a", "fa", own_family), "b", "fb", own_family).where("fa <> fb").select("a", "b")
+    apart = apart.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = scratch.save(verified(apart, texts, size, percent).unionByName(joined), "second")
     if second.where("linked").isEmpty():
         final = roots
     else:
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second.where("linked").select("a", "b"))
         final = scratch.save(components(links, scratch), "roots")
-    scratch.drop(found, pairs, members, texts, rooted)
+    scratch.drop(found, pairs, members, texts, rooted, families, inside)
 
-    inside = final.join(nodes.select("node", "rep"), "node")
-    least = inside.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("w"))
-    named = look_up(inside, least, ["root"], "w", nodes.count(), F.col("node"), "inner").select("node", "component_id")
+    ends = final.join(nodes.select("node", "rep"), "node")
+    least = ends.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("w"))
+    named = look_up(ends, least, ["root"], "w", nodes.count(), F.col("node"), "inner").select("node", "component_id")
     known = scratch.save(nodes.join(named, "node", "left").select("hi", "lo", "k", F.coalesce("component_id", "rep").alias("component_id")), "known")
     out = look_up(rows.withColumn("hi", F.when(F.col("n") > 0, F.col("hi"))), known, ["hi", "lo"], "k", rows.count(), F.coalesce("doc_id", F.lit(0)))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
