@@ -29,7 +29,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex[:12]}"
-        self._made: dict[int, str] = {}
+        self._made: list[tuple[DataFrame, str]] = []
         self._count = 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -37,12 +37,9 @@ class Scratch:
         path = f"{self.root}/{name}-{self._count}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._made[id(out)] = path
+        self._made.append((out, path))
         return out
 
-    def path_of(self, df: DataFrame) -> str:
-        return self._made[id(df)]
-
     def free(self) -> None:
         """Let Spark delete the shuffle files of plans that are done with; else they stay until the driver happens to collect garbage."""
         gc.collect()
@@ -50,12 +47,19 @@ class Scratch:
 
     def drop(self, *tables: DataFrame, free: bool = True) -> None:
         """Delete tables that no later job reads, and free shuffle files."""
+        self._delete([x for x in self._made if any(x[0] is t for t in tables)])
         if free:
             self.free()
-        for t in tables:
-            path = self._made.pop(id(t), None)
-            if path:
-                delete(self.spark, path)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all other tables, once the result needs these alone."""
+        self._delete([x for x in self._made if not any(x[0] is t for t in tables)])
+        self.free()
+
+    def _delete(self, gone: list) -> None:
+        self._made = [x for x in self._made if not any(x is g for g in gone)]
+        for _, path in gone:
+            delete(self.spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -6,8 +6,9 @@
    can link, and to share a common passage isn't enough. A set with so few non-empty parts that this proof fails also gets keys by prefix:
    its smallest hashes, of which two such sets that link share one.
 3. Within a tile, bit counts of hashed bitmaps bound the overlap from above; what passes is compared exactly.
-4. Tiles of up to SMALL members give all pairs. Larger ones first give a chain and a star; pairs are then compared only where members of a tile are still
-   in different components, each pair once: what the bitmaps leave connected forms families, and these are cut into blocks by size band. So each pair that could link is compared, refuted by its bound, or already connected: no link is lost.
+4. Tiles of up to SMALL members give all pairs. In larger ones, members whose bitmaps allow a link are connected by a forest; what it connects
+   is a family. One pair a node is verified first, and joins most of a family; pairs of a family are then compared only where they are
+   still in different components, each pair once, in blocks by size band. So each pair that could link is compared, refuted by its bound, or already connected: no link is lost.
 
 Keys are shuffled as packed blocks, one row for each task's batch and destination.
 """
@@ -32,7 +33,6 @@ SMALL = 8
 #: Members of one block of a large tile or family at most, on average, and elements of their sets in a family's block.
 BLOCK, BLOCK_ELEMENTS = 8192, 1 << 22
 
-NODE = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("n", "<i4")])
 KEY = np.dtype([("key", "<u4"), ("at", "<u2")])
 
 
@@ -146,10 +146,9 @@ def node_table(docs: DataFrame, size: int, percent: int, dests: int) -> DataFram
                     at = order[cuts[d] : cuts[d + 1]]
                     if len(at):
                         owners, local = np.unique(who[at], return_inverse=True)
-                        nodes, packed = np.empty(len(owners), NODE), np.empty(len(at), KEY)
-                        nodes["hi"], nodes["lo"], nodes["n"] = hi[some[owners]], lo[some[owners]], n[some[owners]]
+                        packed = np.empty(len(at), KEY)
                         packed["key"], packed["at"] = every[at] >> U64(32), local
-                        for col, x in zip(blocks, (d, nodes.tobytes(), packed.tobytes()), strict=True):
+                        for col, x in zip(blocks, (d, lo[some[owners]].tobytes(), packed.tobytes()), strict=True):
                             col.append(x)
                 k = len(blocks[0])
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())), pa.array(blocks[0], pa.int32()), pa.array(blocks[1], pa.binary()), pa.array(blocks[2], pa.binary())], schema=schema)
@@ -157,46 +156,32 @@ def node_table(docs: DataFrame, size: int, percent: int, dests: int) -> DataFram
     return docs.mapInArrow(run, "doc_id bigint, hi bigint, lo bigint, n int, bitmap binary, dest int, nodes binary, keys binary")
 
 
-def tile_pairs(tiles: np.ndarray, member: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """From (tile, member) pairs sorted by tile, then member: candidate pairs of members, and the members of each large tile.
-
-    Members are numbered by size, so neighbours in a chain are of like size."""
+def tile_pairs(tiles: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """From (tile, member) pairs sorted by tile, then member: all pairs of members of small tiles, and the members of each large one."""
     begin = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1]]))
     count = np.diff(np.concatenate([begin, [len(tiles)]]))
-    left, right, large = [], [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(2, SMALL + 1):
         at = begin[count == k]
         for i in range(k):
             for j in range(i + 1, k):
                 left.append(member[at + i])
                 right.append(member[at + j])
-    big = np.flatnonzero(count > SMALL)
-    if len(big):
-        spans = [member[begin[t] : begin[t] + count[t]] for t in big]
-        score = np.bincount(np.concatenate(spans), minlength=len(n))
-        for span in spans:
-            hub = span[np.argmax(score[span])]
-            left += [span[:-1], np.minimum(span, hub)]
-            right += [span[1:], np.maximum(span, hub)]
-            large.append(span)
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), large
-    a, b = np.concatenate(left), np.concatenate(right)
-    fits = (a != b) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-    pairs = np.unique(a[fits].astype(np.int64) << 32 | b[fits])
-    return pairs >> 32, pairs & 0xFFFFFFFF, large
-
-
-def candidates(blocks: DataFrame, percent: int, dests: int) -> DataFrame:
-    """Rows (a_hi, a_lo, b_hi, b_lo) of candidate pairs, and rows (tile, members) of large tiles."""
+    pairs = np.unique(np.concatenate(left) << 32 | np.concatenate(right))
+    return pairs >> 32, pairs & 0xFFFFFFFF, [member[begin[t] : begin[t] + count[t]] for t in np.flatnonzero(count > SMALL)]
+
+
+def candidates(blocks: DataFrame, dests: int) -> DataFrame:
+    """Rows (a, b) of pairs of small tiles, and rows (tile, members) of large tiles. Members are the low halves of signatures; two sets
+    that share theirs are both meant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*((c, pa.int64()) for c in ("a_hi", "a_lo", "b_hi", "b_lo", "tile")), ("members", pa.binary())])
-        nodes, keys, at, total, dest = [], [], [], 0, None
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tile", pa.int64()), ("members", pa.binary())])
+        nodes, keys, at, total, dest = [], [], [], 0, 0
         for batch in batches:
             for d, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 dest = d
-                nodes.append(np.frombuffer(x.as_buffer(), NODE))
+                nodes.append(np.frombuffer(x.as_buffer(), np.int64))
                 packed = np.frombuffer(y.as_buffer(), KEY)
                 keys.append(packed["key"])
                 at.append(packed["at"].astype(np.int64) + total)
@@ -204,24 +189,17 @@ def candidates(blocks: DataFrame, percent: int, dests: int) -> DataFrame:
         if not total:
             return
         every, inverse = np.unique(np.concatenate(nodes), return_inverse=True)
-        by_size = np.lexsort((every["lo"], every["hi"], every["n"]))
-        rank = np.empty(len(every), np.int64)
-        rank[by_size] = np.arange(len(every))
-        every = every[by_size]
-        member = rank[inverse][np.concatenate(at)]
-        key = np.concatenate(keys)
-        both = np.unique(key.astype(U64) << U64(32) | member.astype(U64))
-        tiles, member = both >> U64(32), (both & U64(0xFFFFFFFF)).astype(np.int64)
-        a, b, large = tile_pairs(tiles, member, every["n"].astype(np.int64), percent)
+        both = np.unique(np.concatenate(keys).astype(U64) << U64(32) | inverse[np.concatenate(at)].astype(U64))
+        a, b, large = tile_pairs(both >> U64(32), (both & U64(0xFFFFFFFF)).astype(np.int64))
         for low in range(0, len(a), 1 << 16):
             x, y = every[a[low : low + (1 << 16)]], every[b[low : low + (1 << 16)]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (x["hi"], x["lo"], y["hi"], y["lo"])] + [pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary())], schema=schema)
         for t, span in enumerate(large):
-            for low in range(0, len(span), BLOCK):
-                some = every[span[low : low + BLOCK]]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([(dest << 32) + t]), pa.array([np.stack([some["hi"], some["lo"]], 1).tobytes()], pa.binary())], schema=schema)
+            for low in range(0, len(span), 1 << 14):
+                some = every[span[low : low + (1 << 14)]]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([(dest << 32) + t]), pa.array([some.tobytes()], pa.binary())], schema=schema)
 
-    return blocks.repartitionById(dests, "dest").mapInArrow(run, "a_hi bigint, a_lo bigint, b_hi bigint, b_lo bigint, tile bigint, members binary")
+    return blocks.repartitionById(dests, "dest").mapInArrow(run, "a bigint, b bigint, tile bigint, members binary")
 
 
 def bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -250,18 +228,18 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 
 def related(tiles: DataFrame, percent: int) -> DataFrame:
-    """Of blocks of large tiles (rows tile, x, y, mine, node, n, bits, root): pairs of roots (a, b) that connect all roots of which
-    some members' bitmaps allow a link. Pairs of roots already connected in the block are passed over, so it gives fewer pairs than it has roots."""
+    """Of blocks of large tiles (rows tile, x, y, mine, node, n, bits): pairs (a, b) that connect all members whose bitmaps allow a link
+    in a block. Members already connected in the block are passed over, so it gives fewer pairs than it has members."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node", kind="stable")
-        n, root, mine = group["n"].to_numpy(np.int64), group["root"].to_numpy(), group["mine"].to_numpy()
+        n, node, mine = group["n"].to_numpy(np.int64), group["node"].to_numpy(), group["mine"].to_numpy()
         maps = [np.frombuffer(b, np.uint64) for b in group["bits"]]
         words = min(map(len, maps))
         m = np.stack([folded(b, words) for b in maps])
         inner = group["x"].iloc[0] == group["y"].iloc[0]
         left, right = (np.arange(len(n)),) * 2 if inner else (np.flatnonzero(mine), np.flatnonzero(~mine))
-        joined, out = root.copy(), []
+        joined, out = np.arange(len(n)), []
         for i in left:
             rest = right[right > i] if inner else right
             rest = rest[(joined[rest] != joined[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
@@ -269,19 +247,19 @@ def related(tiles: DataFrame, percent: int) -> DataFrame:
                 most = np.minimum(n[i] - np.bitwise_count(m[i] & ~m[rest]).sum(1, dtype=np.int64), n[rest] - np.bitwise_count(m[rest] & ~m[i]).sum(1, dtype=np.int64))
                 for j in rest[100 * most >= percent * (n[i] + n[rest] - most)]:
                     if joined[j] != joined[i]:
-                        out.append((root[i], root[j]))
+                        out.append((max(node[i], node[j]), min(node[i], node[j])))
                         joined[joined == joined[j]] = joined[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return tiles.groupBy("tile", "x", "y").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
-def tile_blocks(rooted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (tile, node, root) of tiles with several roots, dealt into pairs of blocks of each tile, with sizes and bitmaps."""
-    mixed = rooted.groupBy("tile").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("k")).where("r < s").select("tile", F.ceil(F.col("k") / BLOCK).cast("int").alias("c"))
-    own = rooted.join(mixed, "tile").join(nodes.select("node", "n", "bits").hint("merge"), "node").withColumn("at", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+def tile_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (tile, node) dealt into pairs of blocks of each tile, with sizes and bitmaps."""
+    count = members.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("c"))
+    own = members.join(count, "tile").join(nodes.select("node", "n", "bits").hint("merge"), "node").withColumn("at", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
     own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    return own.select("tile", F.least("at", "j").alias("x"), F.greatest("at", "j").alias("y"), (F.col("at") <= F.col("j")).alias("mine"), "node", "n", "bits", "root")
+    return own.select("tile", F.least("at", "j").alias("x"), F.greatest("at", "j").alias("y"), (F.col("at") <= F.col("j")).alias("mine"), "node", "n", "bits")
 
 
 def compared(tiles: DataFrame, size: int, percent: int) -> DataFrame:
@@ -370,15 +348,15 @@ def node_texts(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
 
 
 def members_of(tiles: DataFrame) -> DataFrame:
-    """(tile, hi, lo) of each member of the large tiles."""
+    """(tile, lo) of each member of the large tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tile, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                pair = np.frombuffer(members.as_buffer(), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), tile)), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["tile", "hi", "lo"])
+                low = np.frombuffer(members.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low), tile)), pa.array(low)], ["tile", "lo"])
 
-    return tiles.mapInArrow(run, "tile bigint, hi bigint, lo bigint")
+    return tiles.mapInArrow(run, "tile bigint, lo bigint")
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -397,18 +375,20 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     # A bitmap stands with the first row of its set in each task; all of them are equal.
     sets = made.where("dest is null and n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bitmap").alias("bits"), F.count("*").alias("k"))
     nodes = scratch.save(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    found = scratch.save(candidates(made.where("dest is not null").select("dest", "nodes", "keys"), percent, dests), "found")
+    found = scratch.save(candidates(made.where("dest is not null").select("dest", "nodes", "keys"), dests), "found")
     scratch.drop(made)
 
     def side(s: str) -> DataFrame:
-        return nodes.where("bits is not null").select(F.col("hi").alias(f"{s}_hi"), F.col("lo").alias(f"{s}_lo"), F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits"))
-
-    pairs = found.where("a_hi is not null").select("a_hi", "a_lo", "b_hi", "b_lo").distinct()
-    pairs = bounded(pairs.join(side("a").hint("merge"), ["a_hi", "a_lo"]).join(side("b").hint("merge"), ["b_hi", "b_lo"]), percent)
-    pairs = scratch.save(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "pairs")
-    members = members_of(found.where("tile is not null").select("tile", "members")).join(nodes.select("hi", "lo", "node").hint("merge"), ["hi", "lo"]).select("tile", "node")
-    members = scratch.save(members, "members")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(members.select("node")).distinct()
+        return nodes.select(F.col("lo").alias(f"{s}_lo"), F.col("node").alias(s), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits")).hint("merge")
+
+    pairs = found.where("a is not null").select(F.col("a").alias("a_lo"), F.col("b").alias("b_lo")).distinct()
+    pairs = bounded(pairs.join(side("a"), "a_lo").join(side("b"), "b_lo"), percent)
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    members = members_of(found.where("tile is not null").select("tile", "members")).join(nodes.select("lo", "node").hint("merge"), "lo").select("tile", "node")
+    tied = scratch.save(related(tile_blocks(scratch.save(members, "members"), nodes), percent), "tied")
+    families = scratch.save(components(tied, scratch), "families").select("node", F.col("root").alias("family"))
+    pairs = scratch.save(pairs.unionByName(tied).distinct(), "pairs")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     texts = scratch.save(node_texts(own, needed.join(nodes.select("node", "rep", "hi", "lo"), "node"), size), "texts")
 
     # One pair of each node, with its smallest neighbour, connects most of a group.
@@ -419,16 +399,14 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     scratch.free()
     roots = scratch.save(components(first.where("linked"), scratch), "roots")
 
-    # Then whatever is still apart. Roots whose members' bitmaps allow a link in some tile form families; these are compared block by block.
+    # Then whatever is still apart: families with several roots, block by block, and the other pairs.
     def root_of(df: DataFrame, node: str, name: str, of: DataFrame = roots) -> DataFrame:
         return df.join(of.select(F.col("node").alias(node), F.col("root").alias(name)).hint("merge"), node, "left").withColumn(name, F.coalesce(name, node))
 
-    rooted = scratch.save(root_of(members, "node", "root"), "rooted")
-    families = scratch.save(components(related(tile_blocks(rooted, nodes), percent), scratch), "families")
-    inside = rooted.select("node", "root").distinct().join(families.select(F.col("node").alias("root"), F.col("root").alias("family")), "root")
-    inside = scratch.save(inside.select("node", "root", "family"), "inside")
-    blocks = family_blocks(inside, nodes, texts, percent)
-    joined = compared(blocks, size, percent).withColumn("linked", F.lit(True))
+    inside = root_of(families, "node", "root")
+    mixed = inside.groupBy("family").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("family")
+    inside = scratch.save(inside.join(mixed, "family").select("node", "root", "family"), "inside")
+    joined = compared(family_blocks(inside, nodes, texts, percent), size, percent).withColumn("linked", F.lit(True))
     apart = root_of(root_of(pairs, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
     own_family = inside.select("node", F.col("family").alias("root"))
     apart = root_of(root_of(apart, "a", "fa", own_family), "b", "fb", own_family).where("fa <> fb").select("a", "b")
@@ -439,12 +417,13 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     else:
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second.where("linked").select("a", "b"))
         final = scratch.save(components(links, scratch), "roots")
-    scratch.drop(found, pairs, members, texts, rooted, families, inside)
+    scratch.drop(found, pairs, texts, inside)
 
     ends = final.join(nodes.select("node", "rep"), "node")
     least = ends.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("w"))
     named = look_up(ends, least, ["root"], "w", nodes.count(), F.col("node"), "inner").select("node", "component_id")
     known = scratch.save(nodes.join(named, "node", "left").select("hi", "lo", "k", F.coalesce("component_id", "rep").alias("component_id")), "known")
+    scratch.keep_only(rows, known)
     out = look_up(rows.withColumn("hi", F.when(F.col("n") > 0, F.col("hi"))), known, ["hi", "lo"], "k", rows.count(), F.coalesce("doc_id", F.lit(0)))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))

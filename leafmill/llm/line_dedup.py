@@ -175,6 +175,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
     judged = judged.withColumn("whole", F.coalesce(F.col("theirs") < F.col("first"), F.lit(False))).where("n > 1 or whole").select("h1", "h2", "n", "first", "whole")
     judged = scratch.save(judged, "judged")
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    scratch.keep_only(judged)
     found = look_up(lines.select("doc", "text_hash", "pos", "h1", "h2"), judged, ["h1", "h2"], "n", total, F.xxhash64("doc", "pos"), "inner")
     gone = found.where(F.col("whole") | (F.col("first") != place)).groupBy("doc", "text_hash").agg(F.array_distinct(F.collect_list("pos")).alias("_gone"))
     keyed = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST))).withColumn("_hash", F.xxhash64(F.col(text).cast("string")))

@@ -93,7 +93,7 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         grown = look_up(here, decided, ["host", "template", "seg"], "k", n_typed, F.col("typed"))
         grown = grown.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).drop("seg", "step")
         new = scratch.save(grown, f"tree{level}")
-        scratch.drop(tree, child)
+        scratch.drop(tree, child, free=False)
         tree = new
     leaf = tree.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb"), F.count("*").alias("k"))
     purity = (F.col("tb") + PRIOR * share) / (F.col("tl") + PRIOR)
