@@ -86,21 +86,16 @@ class Network:
         total = np.bincount(owner[chunk], logit[chunk], minlength=texts.n)
         return 1 / (1 + np.exp(-(total / np.maximum(n, 1) + float(self.c[0]))))
 
-    def fit(self, texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 48, seed: int = SEED) -> "Network":
+    def fit(self, chunks: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 48, seed: int = SEED) -> "Network":
         """Adam on the log loss; the gradient of a max-pooled output goes to the bytes of the window that won."""
         rng = np.random.default_rng(seed)
         size = 2 * BLOCK + self.width - 1
         rows, owner = [], []
-        for i, text in enumerate(texts):
-            data = (text or "").encode()
-            starts = range(0, max(1, len(data) + 1 - BLOCK), BLOCK)
-            picks = starts if len(starts) <= TRAIN_CHUNKS else [starts[int(j)] for j in np.linspace(0, len(starts) - 1, TRAIN_CHUNKS)]
-            for s in picks:
-                piece = data[s : s + size]
-                rows.append(np.frombuffer(piece + bytes(size - len(piece)), np.uint8))
-                owner.append(i)
+        for i, pieces in enumerate(chunks):
+            rows += [np.frombuffer(piece + bytes(size - len(piece)), np.uint8) for piece in pieces]
+            owner += [i] * len(pieces)
         x, owner = np.stack(rows), np.array(owner)
-        span = np.searchsorted(owner, np.arange(len(texts) + 1))
+        span = np.searchsorted(owner, np.arange(len(chunks) + 1))
         # A window beyond the text's end holds padding only and equals the one kept for it.
         parts = [self.w, self.b, self.v, self.c]
         m, s = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
@@ -108,7 +103,7 @@ class Network:
         share = labels.mean() if len(labels) else 0.5
         weight = np.where(labels == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)) ** 0.5
         for _ in range(epochs):
-            for at in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
+            for at in np.array_split(rng.permutation(len(chunks)), max(1, len(chunks) // batch)):
                 take = np.concatenate([np.arange(span[i], span[i + 1]) for i in at])
                 doc = np.repeat(np.arange(len(at)), [span[i + 1] - span[i] for i in at])
                 data = x[take]
@@ -139,6 +134,14 @@ class Network:
         return self
 
 
+def training_chunks(data: bytes, width: int = WIDTH) -> list[bytes]:
+    """At most TRAIN_CHUNKS chunks, evenly spaced over the whole text; a short one is filled up with zeros later."""
+    starts = range(0, max(1, len(data) + 1 - BLOCK), BLOCK)
+    if len(starts) > TRAIN_CHUNKS:
+        starts = [starts[int(j)] for j in np.linspace(0, len(starts) - 1, TRAIN_CHUNKS)]
+    return [data[s : s + 2 * BLOCK + width - 1] for s in starts]
+
+
 def is_held_out(doc_id):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1
 
@@ -147,11 +150,20 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Fit on at most ``rows`` labelled rows outside the held-out third. Without any the network stays as drawn."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~is_held_out(doc_id))
     chosen = chosen.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
-    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    found = own.join(F.broadcast(chosen), "_id").orderBy("_id", "_label", F.xxhash64("_text")).limit(rows).collect()
+    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = [training_chunks((t or "").encode()) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chunks, pa.list_(pa.binary()))], ["id", "label", "chunks"])
+
+    # Only chunks, a few kilobytes a row, reach the driver.
+    prepare(docs.sparkSession)
+    sample = own.join(F.broadcast(chosen), "_id").select(F.col("_id").cast("bigint"), F.col("_label").cast("double"), "_text").mapInArrow(pick, "id bigint, label double, chunks array<binary>")
+    found = sample.orderBy("id", "label", "chunks").limit(rows).collect()
     net = Network()
     if found:
-        net.fit([r["_text"] for r in found], np.array([float(r["_label"]) for r in found]))
+        net.fit([[bytes(c) for c in r["chunks"]] for r in found], np.array([r["label"] for r in found]))
     return net
 
 

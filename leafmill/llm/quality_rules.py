@@ -24,8 +24,8 @@ UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
-#: Rows on which costs and selectivities are estimated.
-SAMPLE_ROWS = 1000
+#: Rows on which costs and selectivities are estimated, and characters that such a row may have: the sample goes to the driver.
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 1 << 16
 
 
 def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tu
     prepare(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = own.count()
-    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // sample_rows))) == 0).select("text").limit(sample_rows)
+    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // sample_rows))) == 0).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("text").limit(sample_rows)
     cost_order = ordered([r["text"] for r in some.collect()], rules) if n else rules
     names = [r.name for r in cost_order]
 
