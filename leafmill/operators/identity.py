@@ -14,12 +14,19 @@ def aliases(lines: DataFrame) -> DataFrame:
 
 
 def reader_tags(status: DataFrame, key: str = "line_id") -> DataFrame:
-    """(key, position, technology, uid, reader_id) of status lines ``READER id=… uid14443a=… uid15693=…``; repeated tags count once, the first."""
-    pairs = F.str_to_map(F.trim(F.regexp_replace("line", r"^\s*READER\s+", "")), F.lit(r"\s+"), F.lit("="))
-    own = status.where(F.col("line").rlike(r"^\s*READER\s")).withColumn("m", pairs)
-    each = own.select(key, F.element_at("m", "id").alias("reader_id"), F.posexplode(F.array(*[F.struct(F.lit(t).alias("technology"), T.reader_uid(F.element_at("m", f"uid{c}")).alias("uid"), (F.coalesce(F.element_at("m", f"tag{c}"), F.lit("1")) != "0").alias("seen")) for t, c in (("iso14443a", "14443a"), ("iso15693", "15693"))])).alias("position", "t"))
-    found = each.where("t.seen and t.uid is not null").select(key, "position", "t.technology", "t.uid", "reader_id")
-    return found.groupBy(key, "technology", "uid", "reader_id").agg(F.min("position").alias("position"))
+    """(key, position, technology, uid, reader_id) of status lines "READER id=1 tag14443a=1 uid14443a=… tag15693=0", or, without these
+    fields, "tag=1 uid=… tech=…". Absent tags and lines whose reader isn't a number don't count; repeated tags count once, the first."""
+    tokens = F.filter(F.split(F.trim("line"), r"\s+"), lambda t: F.contains(t, F.lit("=")))
+    pairs = F.transform(tokens, lambda t: F.struct(F.substring_index(t, "=", 1).alias("k"), F.substring(t, F.instr(t, "=") + 1, F.length(t)).alias("v")))
+    # The last value of a repeated field counts.
+    field = lambda name: F.element_at(F.when(F.exists("p", lambda x: x["k"] == name), F.filter("p", lambda x: x["k"] == name)), -1)["v"]
+    own = status.where(F.col("line").startswith("READER ")).withColumn("p", pairs).withColumn("reader_id", F.coalesce(field("id"), F.lit("0")).try_cast("int")).where("reader_id is not null")
+    new_style = F.coalesce(field("tag14443a").isNotNull() | field("tag15693").isNotNull(), F.lit(False))
+    seen = lambda flag, uid: (flag == "1") & (uid != "") & (uid != "-")
+    made = [F.when(seen(field(f"tag{c}"), field(f"uid{c}")), F.struct(F.lit(t).alias("technology"), T.reader_uid(field(f"uid{c}")).alias("uid"))) for t, c in (("iso14443a", "14443a"), ("iso15693", "15693"))]
+    old = F.when(~new_style & seen(field("tag"), field("uid")) & field("tech").isin("ISO14443A", "ISO15693"), F.struct(F.lower(field("tech")).alias("technology"), T.reader_uid(field("uid")).alias("uid")))
+    each = own.select(key, "reader_id", F.posexplode(F.array(*made, old)).alias("position", "t")).where("t is not null and t.uid is not null").select(key, "position", "t.technology", "t.uid", "reader_id")
+    return each.groupBy(key, "technology", "uid", "reader_id").agg(F.min("position").alias("position"))
 
 
 def resolve(tags: DataFrame, alias: DataFrame, books: DataFrame, scan: str = "scan") -> DataFrame:

@@ -97,15 +97,15 @@ def reading_order(pages: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def plausibility(text: Column, mean_confidence: Column, style: str = "detector") -> Column:
-    """How much a page reads like text: confidence, share of plausible words, share of letters, and bonuses for structure."""
+    """How much a page reads like text: confidence, share of words with two letters in a row, share of letters, and bonuses for punctuation
+    and lower case. The two styles weigh these differently; a page without text has no plausibility at all."""
     w = T.words(text)
-    n = F.greatest(F.size(w), F.lit(1))
-    good = F.size(F.filter(w, lambda x: F.regexp_replace(x, r"[^\p{L}]", "").rlike(r"^\p{L}{2,}$"))) / n
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / F.greatest(F.length(text), F.lit(1))
-    ends = F.when(text.rlike("[.!?]"), 1).otherwise(0)
-    long = F.when(F.size(w) >= 5, 1).otherwise(0)
+    valid = F.size(F.filter(w, lambda x: x.rlike("[A-Za-zÄÖÜäöüß]{2,}"))) / F.greatest(F.size(w), F.lit(1))
+    t = T.trim(text)
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / F.greatest(F.length(t), F.lit(1))
+    marks, lower = F.when(t.rlike("[.?!,:;]"), 1.0).otherwise(0.0), F.when(t.rlike(r"\p{Ll}"), 1.0).otherwise(0.0)
     a, b, c, d, e = (0.60, 0.25, 0.05, 0.2, 0.1) if style == "detector" else (0.60, 0.24, 0.08, 0.08, 0.08)
-    return mean_confidence * a + good * b + letters * c + ends * d + long * e
+    return F.when(t == "", float("-inf")).otherwise(mean_confidence * a + valid * b + letters * c + marks * d + lower * e)
 
 
 def best_candidate(candidates: DataFrame, page: Sequence[str]) -> DataFrame:

@@ -72,9 +72,16 @@ def preferred_first(names: Column, preferred: Column) -> Column:
     return F.transform(F.sort_array(ranked), lambda r: r["x"])
 
 
-def recap_label(start: Column, end: Column, temporary: Column) -> Column:
-    span = F.when(start.isNotNull() & end.isNotNull(), F.concat(F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))).otherwise("")
-    return F.concat(F.when(temporary, "kapitel-zwischenstand").otherwise("kapitel-zusammenfassung"), span)
+def recap_label(start: Column, end: Column, chapter_id: Column) -> Column:
+    """Label of a section's recap: its pages, or its id where they aren't known."""
+    pages = F.when(start == end, start.cast("string")).otherwise(F.concat(start.cast("string"), F.lit("-"), end.cast("string")))
+    return F.concat(F.lit("kapitel-zusammenfassung:"), F.coalesce(pages, chapter_id))
+
+
+def progress_label(start: Column, end: Column) -> Column:
+    """Label of a recap of what is read of an open section."""
+    known = F.concat(F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+    return F.concat(F.lit("kapitel-zusammenfassung-temporaer"), F.coalesce(known, F.lit("")))
 
 
 def scan_name(ts: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import ship
 
-LENGTH_POLICY_VERSION = 2
+LENGTH_POLICY_VERSION = 1
 #: A summary may be longer than asked for by this factor.
 SLACK = 1.1
 

@@ -259,8 +259,8 @@ SQL: dict[str, str] = {
     "book_upsert": """WITH s AS (SELECT user_id, min(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS a, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS z, CASE WHEN user_id % 2 = 0 THEN 'de' ELSE 'en' END AS lang FROM events GROUP BY user_id),
         b AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'en' END AS language FROM customer WHERE c_custkey <= 60), j AS (SELECT coalesce(k, user_id) AS id, k IS NOT NULL AS old, b.language, s.*, k IS NOT NULL AND lang IS NOT NULL AND coalesce(b.language, 'de') <> lang AS clash FROM b FULL JOIN s ON k = user_id)
         SELECT id::VARCHAR AS tag_id, CASE WHEN old THEN '2023-05-06T00:00:00' ELSE a END AS created_at, CASE WHEN clash OR a IS NULL THEN '2023-06-07T00:00:00' ELSE z END AS last_seen_at, CASE WHEN NOT old THEN lang WHEN language IS NULL AND lang = 'de' THEN 'de' ELSE language END AS language FROM j""",
-    "nfc_parse": """WITH k AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 10 <> 0) SELECT k AS line_id, 'iso14443a' AS technology, 'AA' || lpad((k % 100)::VARCHAR, 2, '0') AS uid, 'r' || (k % 3) AS reader_id, 0 AS position FROM k WHERE k % 2 = 1
-        UNION ALL SELECT k, 'iso15693', 'E0' || lpad((k % 50)::VARCHAR, 2, '0'), 'r' || (k % 3), 1 FROM k""",
+    "nfc_parse": """WITH k AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 10 <> 0) SELECT k AS line_id, 'iso14443a' AS technology, 'AA' || lpad((k % 100)::VARCHAR, 2, '0') AS uid, (k % 3)::INT AS reader_id, 0 AS position FROM k WHERE k % 2 = 1
+        UNION ALL SELECT k, 'iso15693', 'E0' || lpad((k % 50)::VARCHAR, 2, '0'), (k % 3)::INT, 1 FROM k""",
     "nmcli_parse": "SELECT 'net:' || c_custkey AS name, 'uuid-' || c_custkey AS uuid, '802-11-wireless' AS kind, 'wlan0' AS device FROM customer WHERE c_custkey % 2 = 0",
     "orientation_vote": f"""WITH {V_LINES}, c AS (SELECT tag_id, page_number, CASE WHEN length(text) % 4 = 0 THEN 180 ELSE 0 END AS l, 0.4::DOUBLE + (length(text) % 7) / 10.0::DOUBLE AS c FROM v_lines WHERE line_index < 3),
         v AS (SELECT tag_id, page_number, count(*) AS n, count(*) FILTER (c >= 0.55) AS accepted, coalesce(sum(c) FILTER (c >= 0.55 AND l = 0), 0) - coalesce(sum(c) FILTER (c >= 0.55 AND l = 180), 0) AS d FROM c GROUP BY ALL)
@@ -278,4 +278,7 @@ SQL: dict[str, str] = {
     "neighbour_distance": """WITH p AS (SELECT DISTINCT o_orderkey % 50 AS board, o_orderkey % 7 AS r, o_orderkey % 11 AS c, (o_orderkey % 7 * 10 + o_orderkey % 50 % 3)::DOUBLE AS x, (o_orderkey % 11 * 12)::DOUBLE AS y FROM orders),
         d AS (SELECT a.board, median(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)) AS d FROM p a JOIN p b ON a.board = b.board AND ((b.r = a.r AND b.c = a.c + 1) OR (b.r = a.r + 1 AND b.c = a.c)) GROUP BY a.board) SELECT DISTINCT p.board, round(coalesce(d, 10.0), 6) AS distance FROM p LEFT JOIN d USING (board)""",
     "empty_scans": f"WITH {V_PAGES} SELECT tag_id, scan_id FROM v_pages GROUP BY ALL HAVING bool_and(page_number % 40 < 6)",
+    "plausibility_score": f"""WITH {V_LINES}, p AS (SELECT tag_id, page_number, string_agg(text, ' ' ORDER BY line_index) AS t, avg(confidence) AS c FROM v_lines GROUP BY ALL),
+        q AS (SELECT *, len(list_filter({words("t")}, lambda w: regexp_matches(w, '[A-Za-zÄÖÜäöüß]{{2,}}')))::DOUBLE / greatest(len({words("t")}), 1) AS v, {letters("t")}::DOUBLE / length(t) AS a, CASE WHEN regexp_matches(t, '[.?!,:;]') THEN 1.0::DOUBLE ELSE 0 END AS m, CASE WHEN regexp_matches(t, '\\p{{Ll}}') THEN 1.0::DOUBLE ELSE 0 END AS l FROM p)
+        SELECT tag_id, page_number, round(c * 0.6::DOUBLE + v * 0.25::DOUBLE + a * 0.05::DOUBLE + m * 0.2::DOUBLE + l * 0.1::DOUBLE, 6) AS detector, round(c * 0.6::DOUBLE + v * 0.24::DOUBLE + (a + m + l) * 0.08::DOUBLE, 6) AS capture FROM q""",
 }

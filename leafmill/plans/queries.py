@@ -458,7 +458,7 @@ def book_upsert(spark, sf_dir):
 @query
 def nfc_parse(spark, sf_dir):
     k = F.col("o_orderkey")
-    line = F.concat(F.lit("READER id=r"), (k % 3).cast("string"), F.lit(" tag14443a="), (k % 2).cast("string"), F.lit(" uid14443a=aa:"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit(" tag15693=1 uid15693=e0-"), F.lpad((k % 50).cast("string"), 2, "0"))
+    line = F.concat(F.lit("READER id="), (k % 3).cast("string"), F.lit(" tag14443a="), (k % 2).cast("string"), F.lit(" uid14443a=aa:"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit(" tag15693=1 uid15693=e0-"), F.lpad((k % 50).cast("string"), 2, "0"))
     lines = table(spark, sf_dir, "orders").select(k.alias("line_id"), F.when(k % 10 == 0, "IDLE").otherwise(line).alias("line"))
     return identity.reader_tags(lines)
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 POINTS = "array<array<double>>"
+# Names of page images, the preferred ones first.
+LEFT_STEMS, RIGHT_STEMS = ("left", "page_left", "links", "seite_links"), ("right", "page_right", "rechts", "seite_rechts")
 OCR_LINE = f"struct<text:string,confidence:double,bbox:{POINTS},metadata:map<string,string>>"
 BLOCK = f"struct<kind:string,text:string,line_indices:array<int>,bbox:{POINTS}>"
 REPORT = (
@@ -97,13 +99,13 @@ def terse_fields(line: Column) -> Column:
 def network_profiles(lines: DataFrame, line: str = "line") -> DataFrame:
     """(name, uuid, kind, device) of terse lines with four fields that are wireless profiles."""
     own = lines.select(terse_fields(F.col(line)).alias("f")).where((F.size("f") == 4) & F.get("f", F.lit(2)).isin("802-11-wireless", "wifi"))
-    return own.select(*[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(("name", "uuid", "kind", "device"))])
+    return own.select(*[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(("name", "uuid", "kind"))], F.nullif(F.get("f", F.lit(3)), F.lit("")).alias("device"))
 
 
 def pin_levels(lines: DataFrame, line: str = "line") -> DataFrame:
     """(pin, level) of lines such as ``17: ip pu | hi // GPIO17 = input``."""
-    pattern = r"^\s*(\d+):.*\|\s*(hi|lo)\b"
-    return lines.where(F.col(line).rlike(pattern)).select(F.regexp_extract(line, pattern, 1).cast("int").alias("pin"), (F.regexp_extract(line, pattern, 2) == "hi").alias("level"))
+    pattern = r"(?i)^\s*(\d+)\s*:.*?\b(hi|lo)\b"
+    return lines.where(F.col(line).rlike(pattern)).select(F.regexp_extract(line, pattern, 1).cast("int").alias("pin"), (F.lower(F.regexp_extract(line, pattern, 2)) == "hi").alias("level"))
 
 
 def key_values(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -126,18 +128,21 @@ def image_pair(paths: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     stem = F.lower(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
-    slot = F.when(stem.isin("left", "links", "linke_seite", "left_page"), 0).when(stem.isin("right", "rechts", "rechte_seite", "right_page"), 1)
+    place = lambda names: F.array_position(F.array(*map(F.lit, names)), stem)
+    slot = F.when(place(LEFT_STEMS) > 0, place(LEFT_STEMS)).when(place(RIGHT_STEMS) > 0, 100 + place(RIGHT_STEMS))
     own = paths.select("path", F.regexp_replace("path", r"/[^/]+$", "").alias("directory"), slot.alias("named"))
-    both = F.size(F.collect_set("named").over(Window.partitionBy("directory"))) == 2
-    ranked = own.withColumn("both", both).withColumn("rank", F.row_number().over(Window.partitionBy("directory").orderBy(F.when(F.col("both"), F.coalesce("named", F.lit(9))).otherwise(0), "path")))
-    return ranked.where("rank <= 2").select("directory", F.when(F.col("rank") == 1, "left").otherwise("right").alias("slot"), "path")
-
-
-def rotation_of(stem: Column, page_id: Column, rotations: Column) -> Column:
-    """A page's rotation from a map: by file stem, by the stem's other spellings, by page id, else 0."""
-    other = {"left": "links", "right": "rechts", "links": "left", "rechts": "right"}
-    alias = F.element_at(F.create_map(*[F.lit(x) for kv in other.items() for x in kv]), stem)
-    return F.coalesce(F.element_at(rotations, stem), F.element_at(rotations, alias), F.element_at(rotations, page_id), F.lit(0))
+    w = Window.partitionBy("directory")
+    left, right = F.min(F.when(F.col("named") < 100, F.struct("named", "path"))).over(w), F.min(F.when(F.col("named") > 100, F.struct("named", "path"))).over(w)
+    ranked = own.withColumn("l", left["path"]).withColumn("r", right["path"]).withColumn("rank", F.row_number().over(w.orderBy("path")))
+    named = F.col("l").isNotNull() & F.col("r").isNotNull()
+    side = F.when(named & (F.col("path") == F.col("l")), "left").when(named & (F.col("path") == F.col("r")), "right").when(~named & (F.col("rank") == 1), "left").when(~named & (F.col("rank") == 2), "right")
+    return ranked.select("directory", side.alias("slot"), "path").where("slot is not null")
+
+
+def rotation_of(stem: Column, page_id: Column, left: Column, right: Column) -> Column:
+    """A page's rotation: by its file's name, else by its id, else 0."""
+    name = F.lower(F.coalesce(stem, F.lit("")))
+    return F.when(name.isin(*LEFT_STEMS), left).when(name.isin(*RIGHT_STEMS), right).when(page_id == "page_1", left).when(page_id == "page_2", right).otherwise(0)
 
 
 def speak_lines(text: Column) -> Column:

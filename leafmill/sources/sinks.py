@@ -47,10 +47,15 @@ def latest_view(scans: DataFrame, book: str = "tag_id") -> DataFrame:
     return latest(scans, [book], ["created_at", "scan_id"])
 
 
-def expired(artifacts: DataFrame, keep: str) -> DataFrame:
-    """Artifacts that a cleanup mode removes: none ("all"), those of steps already done ("final"), or all of finished scans ("none")."""
-    if keep == "all":
+#: Folders of a capture that nothing reads after recognition.
+TRANSIENT = ("raw", "rectified", "case", "ocr", "debug")
+
+
+def expired(artifacts: DataFrame, mode: str, stage: str, event: str) -> DataFrame:
+    """Artifacts (scan_id, kind) that a cleanup removes after an event: none in mode "debug". After recognition, if that is the configured
+    stage, transient folders and the recognition output; after ingestion everything of the scan."""
+    if mode not in ("debug", "production") or stage not in ("after-ocr", "after-ingest"):
+        raise ValueError(f"unknown cleanup {mode!r}, {stage!r}")
+    if mode == "debug" or (event == "after-ocr" and stage != "after-ocr"):
         return artifacts.where(F.lit(False))
-    if keep == "final":
-        return artifacts.where("finished and stage in ('capture', 'rectify', 'preprocess')")
-    return artifacts.where("finished")
+    return artifacts.where(F.col("kind").isin(*TRANSIENT, "ocr_output")) if event == "after-ocr" else artifacts

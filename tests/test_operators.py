@@ -79,10 +79,10 @@ def test_recognised_shapes(spark):
 
 def test_device_lines(spark):
     lines = lambda *x: spark.createDataFrame([(i, v) for i, v in enumerate(x)], "position int, line string")
-    assert [tuple(r) for r in readers.network_profiles(lines("a\\:b\\\\:u:802-11-wireless:", "x:y:ethernet:z", "bad")).collect()] == [("a:b\\", "u", "802-11-wireless", "")]
+    assert [tuple(r) for r in readers.network_profiles(lines("a\\:b\\\\:u:802-11-wireless:", "x:y:ethernet:z", "bad")).collect()] == [("a:b\\", "u", "802-11-wireless", None)]
     assert [tuple(r) for r in readers.pin_levels(lines("17: ip pu | hi // GPIO17 = input", " 4: op | lo", "x")).collect()] == [(17, True), (4, False)]
     assert [tuple(r) for r in readers.key_values(lines("# c", "[imap]", "Host = a=b", "", "[smtp]", "port=25")).collect()] == [("imap", "host", "a=b"), ("smtp", "port", "25")]
-    tags = identity.reader_tags(lines("READER id=r1 tag14443a=1 uid14443a=aa:bb tag15693=0 uid15693=cc", "READER id=r1 uid15693=e0-01", "noise").withColumnRenamed("position", "line_id"))
+    tags = identity.reader_tags(lines("READER id=1 tag14443a=1 uid14443a=aa:bb tag15693=0 uid15693=cc", "READER id=1 tag=1 tech=ISO15693 uid=e0-01", "noise", "READER id=x tag=1 tech=ISO15693 uid=e0", "READER tag15693=1 uid15693=-").withColumnRenamed("position", "line_id"))
     assert sorted((r["line_id"], r["technology"], r["uid"]) for r in tags.collect()) == [(0, "iso14443a", "AABB"), (1, "iso15693", "E001")]
 
 
@@ -94,7 +94,7 @@ def test_stored_documents(spark, tmp_path):
     assert (got["tag_id"], got["page_id"], got["page_number"], got["tail_fragment"]) == ("B1", "page_0001", 1, None)
     keys = spark.createDataFrame([("7",), ("12345",), ("page_1",)], "k string").select(readers.lookup_key(F.col("k"))).collect()
     assert [r[0] for r in keys] == ["0007", "12345", "page_1"]
-    images = spark.createDataFrame([("/c/a.png",), ("/c/b.png",), ("/c/c.png",), ("/d/rechts.jpg",), ("/d/links.jpg",), ("/d/aaa.jpg",)], "path string")
+    images = spark.createDataFrame([("/c/a.png",), ("/c/b.png",), ("/c/c.png",), ("/d/rechts.jpg",), ("/d/links.jpg",), ("/d/seite_links.jpg",), ("/d/aaa.jpg",)], "path string")
     assert sorted(tuple(r) for r in readers.image_pair(images).collect()) == [("/c", "left", "/c/a.png"), ("/c", "right", "/c/b.png"), ("/d", "left", "/d/links.jpg"), ("/d", "right", "/d/rechts.jpg")]
 
 
@@ -172,10 +172,10 @@ def test_measures(spark):
 
     r = spark.range(1).select(
         M.total_seconds(F.create_map(F.lit("a"), F.lit(1.5), F.lit("b"), F.lit(2.0))).alias("sum"), M.preferred_first(F.array(*map(F.lit, "cab")), F.array(F.lit("b"), F.lit("x"))).alias("order"),
-        M.recap_label(F.lit(3), F.lit(5), F.lit(False)).alias("label"), M.archived_day(F.lit("2026-02-30.json")).alias("bad"), M.archived_day(F.lit("2026-02-03.json")).cast("string").alias("day"),
+        F.concat_ws("|", M.recap_label(F.lit(3), F.lit(5), F.lit("c")), M.recap_label(F.lit(3), F.lit(3), F.lit("c")), M.recap_label(F.lit(None).cast("int"), F.lit(3), F.lit("c")), M.progress_label(F.lit(3), F.lit(9))).alias("label"), M.archived_day(F.lit("2026-02-30.json")).alias("bad"), M.archived_day(F.lit("2026-02-03.json")).cast("string").alias("day"),
         M.wav_seconds(F.lit(100), F.lit(0)).alias("none"), M.is_inside(F.lit("/a/b"), F.lit("/a/")).alias("inside"), M.is_inside(F.lit("/a/../b"), F.lit("/a")).alias("out"), F.size(M.grid(3, 2, 5.0)).alias("grid"), M.stretched(F.lit(60.0), F.lit(50.0), F.lit(70.0)).alias("grey"),
     ).first()
-    assert (r["sum"], r["order"], r["label"], r["bad"], r["day"], r["none"], r["inside"], r["out"], r["grid"], r["grey"]) == (3.5, ["b", "c", "a"], "kapitel-zusammenfassung:3-5", None, "2026-02-03", None, True, False, 6, 127.5)
+    assert (r["sum"], r["order"], r["label"], r["bad"], r["day"], r["none"], r["inside"], r["out"], r["grid"], r["grey"]) == (3.5, ["b", "c", "a"], "kapitel-zusammenfassung:3-5|kapitel-zusammenfassung:3|kapitel-zusammenfassung:c|kapitel-zusammenfassung-temporaer:3-9", None, "2026-02-03", None, True, False, 6, 127.5)
     files = spark.createDataFrame([("g", "preferred", False, 9), ("g", "preferred", True, 8), ("g", "fallback", True, 5)], "g string, source string, exists boolean, modified int")
     assert tuple(M.latest_source(files, "g").first()) == ("g", 5, True, "fallback")
     said = spark.createDataFrame([("x", "ab", 2.0, 5.0), ("x", "c", 1.0, 1.5)], "g string, text string, queued_at double, ready_at double")
