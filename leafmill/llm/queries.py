@@ -57,6 +57,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_urls, op4_jaccard, op5_lines, op6_quality, op7_decontamination, op8_licenses, op9_rules, op10_chat)}
 
 SQL: dict[str, str] = {
+    "op4_jaccard": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+        u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        l AS (SELECT x, y FROM p UNION SELECT y, x FROM p), r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+        c AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+        SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(c.y, s.doc_id)) AS component_id FROM s LEFT JOIN c ON c.x = s.doc_id""",
     "op5_lines": """
         WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
         k AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE length(line) >= 20 GROUP BY line),

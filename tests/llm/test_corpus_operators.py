@@ -17,7 +17,7 @@ from . import brute
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op5_lines", "op10_chat"])
+@pytest.mark.parametrize("name", ["op2_warc", "op4_jaccard", "op5_lines", "op10_chat"])
 def test_twin(spark, name):
     same(queries.QUERIES[name](spark, SF), queries.SQL[name])
 
