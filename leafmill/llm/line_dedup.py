@@ -20,6 +20,8 @@ MIN_CHARS = 20
 THRESHOLD = 1
 #: Keys with more members than this are refined before pairs are formed.
 HEAVY = 32
+#: Parts into which the copies of one line are dealt.
+SALTS = 16
 
 LAST = 2**63 - 1
 
@@ -150,7 +152,11 @@ def near_pairs(lines: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     pairs = scratch.save(pairs, "pairs")
     scratch.drop(keys)
     ends = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
-    texts = scratch.save(lines.select("h1", "h2", "line").join(ends.hint("merge"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line")), "texts")
+    # A line that stands in many documents is dealt to SALTS tasks, each of which passes on one copy.
+    salted = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = lines.select("h1", "h2", "line", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int").alias("salt"))
+    texts = spread.join(salted.hint("merge"), ["h1", "h2", "salt"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    texts = scratch.save(texts, "texts")
     both = pairs.join(texts.toDF("a1", "a2", "a"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "b"), ["b1", "b2"])
     a, b = F.col("a"), F.col("b")
     return both.where(F.when(may_be_within(a, b, threshold), within(a, b, threshold)).otherwise(False)).select("a1", "a2", "b1", "b2")
