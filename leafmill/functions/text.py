@@ -5,6 +5,8 @@ Regular expressions are Unicode-aware ("(?U)"). Five notions of "sentence end" c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ NOT_UPPER = r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]"
 LOOK_BACK = 8
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with ``c`` computed once, however often f refers to it."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
@@ -157,7 +164,7 @@ def without_orphan_percent(c: Column) -> Column:
 
 def paragraph_text(lines: Column) -> Column:
     """Lines of a paragraph as repaired running text."""
-    t = normalize_upper_heading(collapse_spaced_letters(merge_hyphens(lines)))
+    t = once(collapse_spaced_letters(merge_hyphens(lines)), normalize_upper_heading)
     return normalize_space(without_orphan_percent(without_consonant_pairs(without_isolated_letters(t))))
 
 

@@ -81,13 +81,18 @@ def chapter_markers(lines: Column) -> Column:
             F.struct(i.alias("line_index"), chapter_number(F.regexp_extract(t, CHAPTER_LINE, 1)).alias("chapter_number"), F.coalesce(heading, F.when(follows, after)).alias("chapter_heading"), F.when(follows, 2).otherwise(1).alias("consumed_line_count"), kind.alias("detection_kind")),
         ).cast(MARKER)
 
-    labelled = F.filter(F.transform(texts, one), lambda m: m.isNotNull())
-    used = F.flatten(F.transform(labelled, lambda m: F.sequence(m["line_index"], m["line_index"] + m["consumed_line_count"] - 1)))
-    free = F.filter(F.transform(texts, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: ~F.array_contains(used, x["i"]) & (x["t"] != ""))
-    only = F.get(free, F.lit(0))
-    heading_page = (F.size(free) == 1) & T.is_heading_line(only["t"]) & T.is_heading_shape(only["t"])
-    alone = F.struct(only["i"].alias("line_index"), F.lit(None).cast("int").alias("chapter_number"), only["t"].alias("chapter_heading"), F.lit(1).alias("consumed_line_count"), F.lit("heading_only_page").alias("detection_kind")).cast(MARKER)
-    every = F.when(heading_page, F.concat(labelled, F.array(alone))).otherwise(labelled)
+    def with_heading_page(labelled: Column) -> Column:
+        used = F.flatten(F.transform(labelled, lambda m: F.sequence(m["line_index"], m["line_index"] + m["consumed_line_count"] - 1)))
+        free = F.filter(F.transform(texts, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: ~F.array_contains(used, x["i"]) & (x["t"] != ""))
+        return T.once(free, lambda rest: added(labelled, rest))
+
+    def added(labelled: Column, rest: Column) -> Column:
+        only = F.get(rest, F.lit(0))
+        heading_page = (F.size(rest) == 1) & T.is_heading_line(only["t"]) & T.is_heading_shape(only["t"])
+        alone = F.struct(only["i"].alias("line_index"), F.lit(None).cast("int").alias("chapter_number"), only["t"].alias("chapter_heading"), F.lit(1).alias("consumed_line_count"), F.lit("heading_only_page").alias("detection_kind")).cast(MARKER)
+        return F.when(heading_page, F.concat(labelled, F.array(alone))).otherwise(labelled)
+
+    every = T.once(F.filter(F.transform(texts, one), lambda m: m.isNotNull()), with_heading_page)
     return F.array_sort(every, lambda a, b: a["line_index"] - b["line_index"])
 
 
