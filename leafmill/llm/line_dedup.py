@@ -72,6 +72,26 @@ def refined_keys(text: Column, length: Column) -> Column:
     return F.array(*out)
 
 
+def paired_keys(text: Column, length: Column, threshold: int) -> Column:
+    """Keys that hold two of threshold + 2 segments at once: each error spoils one segment at most, so any line within the threshold has two unchanged.
+
+    What stands before, between and after the two takes as many errors at least as the places of the two are moved."""
+    n, out = threshold + 2, []
+    for extra in range(threshold + 1):
+        short = length - extra
+        for i in range(n):
+            for j in range(i + 1, n):
+                (s0, n0), (s1, n1) = segment(short, i, n), segment(short, j, n)
+                for a in range(-threshold, threshold + 1):
+                    for b in range(-threshold, threshold + 1):
+                        if abs(a) + abs(b - a) + abs(extra - b) > threshold:
+                            continue
+                        key = F.xxhash64(F.lit(f"pair{i},{j}"), short, F.substring(text, s0 + a, n0), F.substring(text, s1 + b, n1))
+                        inside = (short >= 0) & (s0 + a >= 1) & (s1 + b + n1 - 1 <= length)
+                        out.append(F.struct(F.when(inside, key).alias("key"), F.lit(extra == 0 and a == b == 0).alias("own")))
+    return F.array(*out)
+
+
 def may_be_within(a: Column, b: Column, threshold: int) -> Column:
     """A cheap necessary condition: of twice as many finer segments of ``a`` all but ``threshold`` stand in ``b``, near their place."""
     n, found = 2 * (threshold + 1), F.lit(0)
@@ -133,22 +153,28 @@ def _meet(keys: DataFrame) -> DataFrame:
     return left.join(right, "key").where(F.when(F.col("b_own"), once).otherwise(other)).select("a1", "a2", "b1", "b2").distinct()
 
 
+def _shared(emitted: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of keys that more than one line has: a count by key, summed map-side, finds these, and only their rows are dealt out again."""
+    shared = emitted.groupBy("key").agg(F.min("h1").alias("l1"), F.max("h1").alias("g1"), F.min("h2").alias("l2"), F.max("h2").alias("g2")).where("l1 < g1 or l2 < g2")
+    return emitted.join(scratch.save(shared.select("key"), "shared"), "key").distinct()
+
+
 def near_pairs(lines: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     """(a1, a2, b1, b2) of all pairs of different lines within the threshold."""
     sized = lines.select("h1", "h2", "line", F.length("line").alias("n"))
     emitted = sized.select("h1", "h2", F.inline(segment_keys(F.col("line"), F.col("n"), threshold))).where("key is not null")
-    # Most keys have one line: a count by key, summed map-side, finds the others, and only their rows are dealt out again.
-    shared = emitted.groupBy("key").agg(F.min("h1").alias("l1"), F.max("h1").alias("g1"), F.min("h2").alias("l2"), F.max("h2").alias("g2")).where("l1 < g1 or l2 < g2")
-    keys = scratch.save(emitted.join(scratch.save(shared.select("key"), "shared"), "key").distinct(), "keys")
+    keys = scratch.save(_shared(emitted, scratch), "keys")
     counted = keys.groupBy("key").agg(F.count("*").alias("m"))
-    light = keys.join(counted.where(F.col("m") <= HEAVY) if threshold == 1 else counted, "key").select("key", "own", "h1", "h2")
-    pairs = _meet(light)
-    if threshold == 1:
-        heavy = look_up(keys, counted.where(F.col("m") > HEAVY), ["key"], "m", keys.count(), F.col("h1"), "inner").select("h1", "h2").distinct()
-        heavy = scratch.save(heavy, "heavy")
-        if not heavy.isEmpty():
-            again = sized.join(heavy, ["h1", "h2"], "left_semi").select("h1", "h2", F.inline(refined_keys(F.col("line"), F.col("n")))).distinct()
-            pairs = pairs.unionByName(_meet(scratch.save(again, "fine"))).distinct()
+    pairs = _meet(keys.join(counted.where(F.col("m") <= HEAVY), "key").select("key", "own", "h1", "h2"))
+    heavy = look_up(keys, counted.where(F.col("m") > HEAVY), ["key"], "m", keys.count(), F.col("h1"), "inner").select("h1", "h2").distinct()
+    heavy = scratch.save(heavy, "heavy")
+    if not heavy.isEmpty():
+        held = sized.join(heavy, ["h1", "h2"], "left_semi")
+        if threshold == 1:
+            again = held.select("h1", "h2", F.inline(refined_keys(F.col("line"), F.col("n")))).distinct()
+        else:
+            again = _shared(held.select("h1", "h2", F.inline(paired_keys(F.col("line"), F.col("n"), threshold))).where("key is not null"), scratch)
+        pairs = pairs.unionByName(_meet(scratch.save(again, "fine"))).distinct()
     pairs = scratch.save(pairs, "pairs")
     scratch.drop(keys)
     ends = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()

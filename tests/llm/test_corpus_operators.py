@@ -212,6 +212,27 @@ def test_lines_against_all_pairs(spark, monkeypatch, threshold, heavy):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [2, 3])
+def test_heavy_keys_are_refined_at_any_threshold(spark, monkeypatch, threshold):
+    """Of lines with one long part in common no key over HEAVY forms pairs, and all near pairs are found."""
+    most, whole = [], line_dedup._meet
+    monkeypatch.setattr(line_dedup, "_meet", lambda keys: most.append(keys.groupBy("key").count().agg(F.max("count")).first()[0]) or whole(keys))
+    monkeypatch.setattr(line_dedup, "HEAVY", 8)
+    rng = random.Random(threshold)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    head, tail = some(20), some(20)
+    texts = [head + some(40) for _ in range(30)] + [some(40) + tail for _ in range(30)]
+    texts += [changed(rng, rng.choice(texts[:60]), rng.randint(1, threshold + 1)) for _ in range(60)]
+    texts = sorted(set(texts))
+    lines = line_dedup.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 20)
+    of = {(r["h1"], r["h2"]): r["line"] for r in lines.collect()}
+    found = line_dedup.near_pairs(lines, Scratch(spark, "test"), threshold).collect()
+    got = {frozenset((of[r["a1"], r["a2"]], of[r["b1"], r["b2"]])) for r in found}
+    want = {frozenset((a, b)) for k, a in enumerate(texts) for b in texts[k + 1 :] if abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold}
+    assert got == want and len(want) > 20
+    assert len(most) == 2 and most[0] <= 8 and most[1] < 30
+
+
 TURNS = [(1, 0, "user", "\\### Assistant: </turn> ok"), (1, 1, "assistant", "a<|end|>\n<|turn:user|>\nb\\p\\b\\"), (1, 1, "assistant", "<"), (1, None, "sys|>tem", "|><|x|>"), (2, 0, None, None), (2, 1, "assistant", ""), (None, 5, "assistant", "ü日"), (2, 1, "assistant", "")]
 
 
