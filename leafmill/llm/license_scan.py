@@ -35,7 +35,7 @@ class Rule:
 
 V = r"(?: v| version| v version)? ?"  # "version 2 0", "v2 0", "2 0"
 LATER = r"(?: or(?: at your option)? \(?any later(?: version)?)?"
-# Full names: label, keyword, name as a regular expression over canonical text.
+# Full names: label, keyword that every match holds as a word, name as a regular expression over canonical text.
 NAMES = (
     ("apache-2.0", "apache", rf"apache(?: software)? licen[cs]e{V}2(?: 0)?"),
     ("apache-1.1", "apache", rf"apache(?: software)? licen[cs]e{V}1 1"),
@@ -54,8 +54,10 @@ NAMES = (
     ("gfdl-1.3", "documentation", rf"gnu free documentation licen[cs]e{V}1 3{LATER}"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd|old bsd)(?: licen[cs]e)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?"),
-    ("0bsd", "bsd", r"(?:zero clause bsd|0 clause bsd|free public licen[cs]e 1 0 0)"),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?"),
+    ("bsd-2-clause", "freebsd", r"freebsd(?: licen[cs]e)?"),
+    ("0bsd", "bsd", r"(?:zero clause bsd|0 clause bsd)"),
+    ("0bsd", "free", r"free public licen[cs]e 1 0 0"),
     ("bsd", "bsd", r"bsd licen[cs]e"),
     ("isc", "isc", r"isc licen[cs]e"),
     ("mpl-1.0", "mozilla", rf"mozilla public licen[cs]e{V}1 0"),
@@ -77,8 +79,10 @@ NAMES = (
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e"),
     ("libpng", "libpng", r"libpng licen[cs]e"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the \w+ you want to public licen[cs]e"),
-    ("python-2.0", "python", rf"(?:python software foundation|psf) licen[cs]e(?:{V}2)?"),
+    ("wtfpl", "wtfpl", r"wtfpl"),
+    ("wtfpl", "want", r"do what the \w+ you want to public licen[cs]e"),
+    ("python-2.0", "python", rf"python software foundation licen[cs]e(?:{V}2)?"),
+    ("python-2.0", "psf", rf"psf licen[cs]e(?:{V}2)?"),
     ("php-3.01", "php", rf"php licen[cs]e{V}3 01"),
     ("ruby", "ruby", r"ruby licen[cs]e"),
     ("openssl", "openssl", r"openssl licen[cs]e"),
@@ -86,7 +90,8 @@ NAMES = (
     ("odbl-1.0", "database", r"open (?:data commons open )?database licen[cs]e(?: v?1 0)?"),
     ("odc-by-1.0", "attribution", r"open data commons attribution licen[cs]e(?: v?1 0)?"),
     ("pddl-1.0", "domain", r"public domain dedication and licen[cs]e"),
-    ("cecill-2.1", "cecill", rf"cecill(?:{V}2 1)?"),
+    ("cecill-2.1", "cecill", r"cecill(?:(?: v ?| version ?| v version ?| )2 1)?"),
+    ("cecill-2.1", "cecill2", r"cecill2 1"),
     ("ms-pl", "microsoft", r"microsoft public licen[cs]e"),
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e"),
     ("ncsa", "ncsa", r"(?:ncsa|university of illinois ncsa) (?:open source )?licen[cs]e"),
@@ -94,11 +99,12 @@ NAMES = (
     ("vim", "vim", r"vim licen[cs]e"),
     ("afl-3.0", "academic", rf"academic free licen[cs]e{V}3 0"),
     ("osl-3.0", "open", rf"open software licen[cs]e{V}3 0"),
-    ("openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?: m| \+\+ m)?(?: licen[cs]e)?"),
+    ("openrail", "openrail", r"(?:creativeml |bigscience )?openrail(?: m| \+\+ m)?(?: licen[cs]e)?"),
+    ("openrail", "rail", r"(?:creativeml |bigscience )?open rail(?: m| \+\+ m)?(?: licen[cs]e)?"),
     ("llama", "llama", r"llama \d(?: \d)? community licen[cs]e(?: agreement)?"),
 )
 # Short forms of identifiers: label and its spelling in canonical text.
-IDENTIFIERS = tuple((label, re.sub(r"[^a-z0-9]+", " ", label)) for label, _, _ in NAMES) + (
+IDENTIFIERS = tuple((label, re.sub(r"[^a-z0-9]+", " ", label)) for label in dict.fromkeys(label for label, _, _ in NAMES)) + (
     ("gpl-2.0", "gplv2"), ("gpl-3.0", "gplv3"), ("gpl-2.0", "gpl 2"), ("gpl-3.0", "gpl 3"), ("lgpl-2.1", "lgplv2 1"),
     ("lgpl-3.0", "lgplv3"), ("agpl-3.0", "agplv3"), ("apache-2.0", "apache2"), ("apache-2.0", "apache 2"), ("mpl-2.0", "mplv2"),
 )
@@ -110,10 +116,10 @@ NOTICES = (
     ("isc", 30, "permission fee", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee"),
     ("bsd", 30, "redistribution binary", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", 40, "endorse promote", r"neither the name of [\w ]{1,80} may be used to endorse or promote products"),
-    ("bsd-4-clause", 40, "advertising acknowledgement", r"all advertising materials mentioning features or use of this software must display"),
+    ("bsd-4-clause", 40, "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
     ("gpl", 30, "redistribute gnu", r"you can redistribute it and or modify it under the terms of the gnu"),
     ("gpl", 20, "foundation published", r"as published by the free software foundation"),
-    ("apache-2.0", 40, "apache unless", r"licensed under the apache licen[cs]e version 2 0 the licen[cs]e you may not use this file except"),
+    ("apache-2.0", 40, "apache licensed", r"licensed under the apache licen[cs]e version 2 0 the licen[cs]e you may not use this file except"),
     ("zlib", 30, "implied warranty", r"this software is provided as is without any express or implied warranty in no event will the authors"),
     ("unlicense", 40, "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("public-domain", 25, "domain", r"(?:placed|released|dedicated) (?:in|into|to) the public domain"),
@@ -149,7 +155,7 @@ def compiled(given: tuple[Rule, ...]) -> tuple[tuple[Rule, re.Pattern, frozenset
 
 
 #: A document without any of these words has no detection: each rule's every match holds one of them, see test_license_gate.
-GATE = ("license", "licence", "licenses", "licensed", "unlicense", "wtfpl", "cc", "cc0", "creative", "creativecommons", "released", "distributed", "terms", "permission", "redistribution", "redistribute", "published", "endorse", "advertising", "warranty", "domain", "reserved", "proprietary", "unauthorized", "unencumbered", "copyright", "bsd", "freebsd", "free", "attribution", "cecill", "openrail", "rail", "open", "spdx", "dedication", "placed", "dedicated")
+GATE = ("license", "licence", "licenses", "licensed", "unlicense", "wtfpl", "cc", "cc0", "creative", "creativecommons", "released", "distributed", "terms", "permission", "redistribution", "redistribute", "published", "endorse", "advertising", "warranty", "domain", "reserved", "proprietary", "unauthorized", "unencumbered", "copyright", "bsd", "freebsd", "free", "attribution", "cecill", "openrail", "rail", "open", "spdx", "dedication", "placed", "dedicated", "cecill2", "license1", "license2", "license3", "licence1", "licence2", "licence3")
 
 
 def detections(words: list[str], given: tuple[Rule, ...]) -> list[tuple[int, int, Rule]]:

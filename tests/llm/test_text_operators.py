@@ -78,6 +78,56 @@ def test_license_gate():
         assert gate & literal, rule.pattern
 
 
+def spellings(parsed) -> list[str]:
+    """Texts for every choice of branches and options of a parsed expression; a repeat stands for its least and greatest number, at most two."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            some = [chr(arg)]
+        elif op == "IN":
+            some = [chr(v) if str(k) == "LITERAL" else "7" if "DIGIT" in str(v) else "w" for k, v in arg]
+        elif op == "BRANCH":
+            some = [t for branch in arg[1] for t in spellings(branch)]
+        elif op == "SUBPATTERN":
+            some = spellings(arg[3])
+        else:
+            assert op == "MAX_REPEAT", op
+            some = [t * n for n in {arg[0], min(int(arg[1]), max(arg[0], 2))} for t in spellings(arg[2])]
+        out = [a + b for a in out for b in dict.fromkeys(some)]
+    return out
+
+
+def test_every_alternative_passes_the_prefilters():
+    """Each spelling that a rule's expression matches in canonical text holds all keywords of the rule, and a word of the gate."""
+    import re
+
+    gate = set(license_scan.GATE)
+    for rule, expression, keys in license_scan.compiled(license_scan.rules()):
+        texts = [t for t in spellings(re._parser.parse(rule.pattern)) if re.fullmatch("[a-z0-9]+(?: [a-z0-9]+)*", t)]
+        assert texts, rule.pattern
+        for t in texts:
+            assert expression.fullmatch(t) and keys <= set(t.split()), (rule, t)
+            assert gate & set(t.split()), (rule, t)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("free public license 1.0.0", "0bsd"), ("the FreeBSD license", "bsd-2-clause"), ("Do what the heck you want to public license", "wtfpl"), ("PSF license 2", "python-2.0"), ("CreativeML Open RAIL-M", "openrail"),
+        ("CeCILL2.1", "cecill-2.1"), ("CeCILL v2.1", "cecill-2.1"), ("CeCILL 2.1", "cecill-2.1"), ("Apache License2.0", "apache-2.0"), ("licensed under the Apache License Version 2.0 the license you may not use this file except", "apache-2.0"),
+        ("all advertising materials mentioning features or use of this software must display", "bsd-4-clause"),
+    ],
+)
+def test_spellings_without_the_usual_keyword(spark, text, label):
+    assert label in license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"].split(",")
+
+
+def test_version_belongs_to_the_name():
+    for text in ("cecill v2 1", "cecill v 2 1", "cecill version 2 1", "cecill 2 1", "cecill2 1"):
+        assert [(s, e) for s, e, _ in license_scan.detections(text.split(), license_scan.rules())] == [(0, len(text.split()))]
+
+
 def test_suppression():
     rule = lambda label, priority: license_scan.Rule(label, priority, "", (), 0.5)
     found = [(0, 5, rule("a", 2)), (1, 3, rule("b", 1)), (4, 8, rule("c", 1)), (4, 8, rule("c", 1))]
