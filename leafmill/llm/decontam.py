@@ -3,6 +3,9 @@ hash-joined, and the slots of aligned windows must agree, which also catches que
 
 Items are indexed by their literal windows as well, so a copy whose capitals differ is found. The index of one block of items has
 at most BLOCK_WINDOWS windows, is broadcast, and is probed by every window of every document; a larger benchmark takes one pass a block.
+
+Windows are as long as the item allows: one changed word in the middle of an item of fewer than two windows would else spoil all of
+them, so these have windows of half their words. An item shorter than a window is one window, its whole sequence.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from .common import prepare
 from .textkit import NOT_ALNUM, U64, Texts, Words, mix
 
 WINDOW = 8
-#: Words of a window of a template that must be literal.
+#: Words of a window of a template that must be literal; in proportion, rounded up, for a shorter window.
 LITERAL = 4
 #: Percent of an item's words that aligned windows must cover.
 COVER = 50
@@ -96,15 +99,21 @@ class Tokens:
         begin = np.arange(first[-1]) + np.repeat(self.words.first[:-1] - first[:-1], np.diff(first))
         typed = np.concatenate([[0], np.cumsum(self.typed)])
         n = typed[begin + size] - typed[begin]
-        return literal, template, (n > 0) & (n <= size - LITERAL), first
+        return literal, template, (n > 0) & (n <= size - -(-size * LITERAL // WINDOW) if size < WINDOW else n <= size - LITERAL), first
+
+
+def window_of(words: int, size: int = WINDOW) -> int:
+    """The window of an item of so many words: ``size``, half the words of an item of fewer than two windows, all words of a shorter one."""
+    return size if words >= 2 * size else words // 2 if words >= size else words
 
 
 @dataclass
 class Index:
-    """Sorted window hashes of items, with item number and position in it; tokens of each item for the slots."""
+    """Sorted window hashes of items, with item number and position in it; tokens and window size of each item for the slots."""
 
     items: list
     tokens: Tokens
+    sizes: np.ndarray
     hashes: np.ndarray
     item: np.ndarray
     at: np.ndarray
@@ -113,14 +122,20 @@ class Index:
     @classmethod
     def of(cls, items: list[tuple[object, str | None]], size: int = WINDOW) -> "Index":
         tokens = Tokens.of(pa.array([t for _, t in items], pa.string()))
-        literal, template, good, first = tokens.windows(size)
-        item = np.repeat(np.arange(len(items)), np.diff(first))
-        at = np.arange(first[-1]) - first[item]
-        hashes, item, at = np.concatenate([literal, template[good]]), np.concatenate([item, item[good]]), np.concatenate([at, at[good]])
+        sizes = np.array([window_of(n, size) for n in tokens.words.count.tolist()], np.int64)
+        parts = []
+        for own in np.unique(sizes[sizes > 0]).tolist():
+            literal, template, good, first = tokens.windows(own)
+            item = np.repeat(np.arange(len(items)), np.diff(first))
+            at = np.arange(first[-1]) - first[item]
+            mine = sizes[item] == own
+            for values, some in ((literal, mine), (template, mine & good)):
+                parts.append((values[some], item[some], at[some]))
+        hashes, item, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         order = np.argsort(hashes, kind="stable")
         flags = np.zeros(1 << 22, bool)
         flags[(hashes & U64((1 << 22) - 1)).astype(np.int64)] = True
-        return cls([k for k, _ in items], tokens, hashes[order], item[order], at[order], flags)
+        return cls([k for k, _ in items], tokens, sizes, hashes[order], item[order], at[order], flags)
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(self.flags[(hashes & U64((1 << 22) - 1)).astype(np.int64)])
@@ -153,27 +168,31 @@ def consistent(index: Index, item: int, doc: Tokens, text: int, pairs: list[tupl
     return True
 
 
-def matches(index: Index, array: pa.Array, size: int = WINDOW, cover: int = COVER) -> list[list[Match]]:
+def matches(index: Index, array: pa.Array, cover: int = COVER) -> list[list[Match]]:
     """Of each text the items found in it."""
     doc = Tokens.of(array)
-    literal, template, good, first = doc.windows(size)
     found: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
     plain: dict[tuple[int, int], set[int]] = {}
-    for hashes, is_literal in ((literal, True), (template, False)):
-        hit = index.hits(hashes)
-        if not is_literal:
-            hit = hit[good[hit]]
-        owner = np.searchsorted(first, hit, "right") - 1
-        low, high = np.searchsorted(index.hashes, hashes[hit]), np.searchsorted(index.hashes, hashes[hit], "right")
-        for h, o, a, b in zip(hit.tolist(), owner.tolist(), low.tolist(), high.tolist(), strict=True):
-            q = h - int(first[o])
-            for k in range(a, b):
-                item, p = int(index.item[k]), int(index.at[k])
-                found.setdefault((o, item), {}).setdefault(q - p, []).append((p, q))
-                if is_literal:
-                    plain.setdefault((o, item), set()).add(p)
+    for size in np.unique(index.sizes[index.sizes > 0]).tolist():
+        literal, template, good, first = doc.windows(size)
+        for hashes, is_literal in ((literal, True), (template, False)):
+            hit = index.hits(hashes)
+            if not is_literal:
+                hit = hit[good[hit]]
+            owner = np.searchsorted(first, hit, "right") - 1
+            low, high = np.searchsorted(index.hashes, hashes[hit]), np.searchsorted(index.hashes, hashes[hit], "right")
+            for h, o, a, b in zip(hit.tolist(), owner.tolist(), low.tolist(), high.tolist(), strict=True):
+                q = h - int(first[o])
+                for k in range(a, b):
+                    item, p = int(index.item[k]), int(index.at[k])
+                    if index.sizes[item] != size:
+                        continue
+                    found.setdefault((o, item), {}).setdefault(q - p, []).append((p, q))
+                    if is_literal:
+                        plain.setdefault((o, item), set()).add(p)
     out: list[list[Match]] = [[] for _ in range(doc.words.texts.n)]
     for (o, item), aligned in sorted(found.items()):
+        size = int(index.sizes[item])
         covered: set[int] = set()
         n = 0
         for pairs in aligned.values():
@@ -193,8 +212,8 @@ def matches(index: Index, array: pa.Array, size: int = WINDOW, cover: int = COVE
 
 
 def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> Iterator[Index]:
-    """Indexes over all items, each of at most BLOCK_WINDOWS windows (one item with more is a block of its own). Items with fewer
-    words than a window can't be told from chance and are never found; null texts neither."""
+    """Indexes over all items, each of at most BLOCK_WINDOWS windows (one item with more is a block of its own). Items
+    without words are never found; null texts neither."""
     held, n = [], 0
     for row in benchmark.select(item_id, text).where(F.col(text).isNotNull()).toLocalIterator():
         k = 1 + len(row[1]) // 2
@@ -223,7 +242,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                rows = [(key, index.items[m.item], m.covered, int(index.tokens.words.count[m.item]), m.windows, m.literal) for key, found in zip(batch.column(0).to_pylist(), matches(index, batch.column(1), size, cover), strict=True) for m in found]
+                rows = [(key, index.items[m.item], m.covered, int(index.tokens.words.count[m.item]), m.windows, m.literal) for key, found in zip(batch.column(0).to_pylist(), matches(index, batch.column(1), cover), strict=True) for m in found]
                 if rows:
                     kinds = (pa.int64(),) * 5 + (pa.bool_(),)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
@@ -243,7 +262,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not m for m in matches(shared.value, batch.column(at), size, cover)], pa.bool_()))
+                yield batch.filter(pa.array([not m for m in matches(shared.value, batch.column(at), cover)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

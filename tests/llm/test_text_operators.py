@@ -198,6 +198,43 @@ def test_slots_must_agree():
     assert [len(m) for m in found] == [1, 0]
 
 
+SHORT = "Which river flows through Vienna"
+EDITED = "the old miller counted every sack of grain beside the mill before night fell again"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "found"),
+    [
+        (SHORT, f"Before it. {SHORT}? After it.", True),
+        (SHORT, f"he asked: {SHORT.upper()}", True),
+        (SHORT, "Which river flows through Graz", True),
+        (SHORT, "Which river runs through Vienna", False),
+        ("How far is 12 km", "tell me, how far is 15 km from here", True),
+        ("How far is 12 km", "tell me, how far was 15 km from here", False),
+        ("photosynthesis", "about Photosynthesis.", True),
+        ("photosynthesis", "about photos", False),
+        (EDITED, f"x {EDITED.replace('grain', 'flour')} y", True),
+        (EDITED, "x the old miller counted every sack y", False),
+        ("one item of just eight words for you", "an item: one item of just seven words for you", True),
+        ("one item of just eight words for you", "an item: one item of just nothing", True),
+        ("one item of just eight words for you", "an item: one item of few words for you", False),
+    ],
+)
+def test_leaks_of_short_items(item, text, found):
+    """Items shorter than a window are found whole; those of fewer than two windows also with one word changed, where half of their words stand together."""
+    index = decontam.Index.of([(1, item), (2, ""), (3, ITEM)])
+    assert [[m.item for m in ms] for ms in decontam.matches(index, pa.array([text, ITEM]))] == [[0] if found else [], [2]]
+
+
+def test_one_changed_word_is_survived_from_eight_words_on():
+    words = "amber birch cedar dune ember fjord grove heath inlet jetty knoll ledge marsh nook orchard pond quarry ridge".split()
+    for n in range(8, len(words) + 1):
+        index = decontam.Index.of([(1, " ".join(words[:n]))])
+        texts = [" ".join([*words[:k], "changed", *words[k + 1 : n]]) for k in range(n)]
+        missed = [k for k, ms in enumerate(decontam.matches(index, pa.array(texts))) if not ms]
+        assert not missed, (n, missed)
+
+
 def test_leaks_in_documents(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     contained = {(d["doc_id"], b["item_id"]) for b in items.collect() for d in docs.where(F.contains("text", F.lit(b["text"]))).select("doc_id").collect()}
