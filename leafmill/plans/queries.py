@@ -109,7 +109,7 @@ def orphan_percent(spark, sf_dir):
 
 @query
 def spaced_letters(spark, sf_dir):
-    spread = F.regexp_replace(F.substring("text", 1, 60), r"(\p{L})(?=\p{L})", "$1 ")
+    spread = F.regexp_replace("text", r"(\p{L})(?=\p{L})", "$1 ")
     return table(spark, sf_dir, "documents").select("doc_id", T.collapse_spaced_letters(spread).alias("text"))
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import numbers as N
 from leafmill.functions import speech as S
 from leafmill.functions import text as T
+from leafmill.plans.queries import QUERIES
 
 
 def values(spark, texts, f):
@@ -166,3 +168,38 @@ def test_numbers(spark):
     ).first()
     assert (row["even"], row["long"], row["negative"]) == ("00:00:02", "27:46:40", "00:00:00")
     assert row["samples"] == [32767, -10] and abs(row["ewma"] - 12.0) < 1e-9 and row["wait"] == 2.5 and row["ms"] == 0.25 and len(row["cut"]) == 96
+
+
+def collapsed(text):
+    """The rule of spaced letters, read off the text character by character."""
+    at = lambda i: text[i] if 0 <= i < len(text) else "\n"
+    word = lambda c: c.isalnum() or unicodedata.category(c) in ("Mn", "Mc", "Me", "Pc")
+    gap = lambda c: c.isspace() and c not in "\r\n\x1c\x1d\x1e\x1f"
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while gap(at(j)):
+            j += 1
+        if j > i and at(i - 1).isalpha() and at(j).isalpha():
+            d, g = j + 1, i - 2
+            while gap(at(d)):
+                d += 1
+            while gap(at(g)):
+                g -= 1
+            third = not word(at(i - 2)) and d > j + 1 and at(d).isalpha() and not word(at(d + 1))
+            first = 1 <= i - 2 - g <= T.LOOK_BACK and at(g).isalpha() and not word(at(g - 1)) and not word(at(j + 1))
+            out.append("" if third or first else text[i:j])
+        else:
+            out.append(text[i:j] or text[i])
+        i = max(j, i + 1)
+    return "".join(out)
+
+
+def test_spaced_letters_of_whole_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r["text"] for r in QUERIES["spaced_letters"](spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert max(map(len, texts.values())) > 1000 and got.keys() == texts.keys()
+    for i, t in texts.items():
+        assert "".join(got[i].split()) == "".join(t.split())
+        assert got[i] == collapsed("".join(c + " " if c.isalpha() and d.isalpha() else c for c, d in zip(t, t[1:] + "\n", strict=True)))
