@@ -4,8 +4,8 @@ Each filter is a table of 256 weights per byte of its width, so a convolution is
 byte of the document; their rectified outputs are max-pooled over overlapping chunks, each chunk's pooled vector gives a logit, and the
 mean over the chunks of a document, with a bias, gives one probability.
 
-Training takes at most TRAIN_ROWS labelled rows, chosen by a hash of their id, and at most TRAIN_CHUNKS evenly spaced chunks of
-each; scoring covers every byte of every document. Labels, language, source and id never enter a score.
+Training takes at most TRAIN_ROWS labelled rows, chosen by a hash of their id, and all chunks of each; scoring covers every byte of
+every document. Labels, language, source and id never enter a score.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ FILTERS = 24
 #: A chunk is two neighbouring blocks; so chunks overlap by one block.
 BLOCK = 192
 TRAIN_ROWS = 1500
-TRAIN_CHUNKS = 6
+#: Chunks whose convolutions are held at once in training.
+STEP_CHUNKS = 256
 EPOCHS = 14
 RATE = 0.02
 SEED = 7
@@ -86,16 +87,24 @@ class Network:
         total = np.bincount(owner[chunk], logit[chunk], minlength=texts.n)
         return 1 / (1 + np.exp(-(total / np.maximum(n, 1) + float(self.c[0]))))
 
-    def fit(self, chunks: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 48, seed: int = SEED) -> "Network":
-        """Adam on the log loss; the gradient of a max-pooled output goes to the bytes of the window that won."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 48, seed: int = SEED) -> "Network":
+        """Adam on the log loss over all chunks of the texts; the gradient of a max-pooled output goes to the bytes of the window that won.
+
+        Outputs of STEP_CHUNKS chunks are held at a time; of all others in a batch only what won."""
         rng = np.random.default_rng(seed)
         size = 2 * BLOCK + self.width - 1
-        rows, owner = [], []
-        for i, pieces in enumerate(chunks):
-            rows += [np.frombuffer(piece + bytes(size - len(piece)), np.uint8) for piece in pieces]
-            owner += [i] * len(pieces)
-        x, owner = np.stack(rows), np.array(owner)
-        span = np.searchsorted(owner, np.arange(len(chunks) + 1))
+        starts = [chunk_starts(len(t)) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
+        begin = np.concatenate([np.array(s, np.int64) for s in starts])
+        span = np.searchsorted(owner, np.arange(len(texts) + 1))
+
+        def bytes_of(some: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(some), size), np.uint8)
+            for row, i, s in zip(out, owner[some].tolist(), begin[some].tolist(), strict=True):
+                piece = texts[i][s : s + size]
+                row[: len(piece)] = np.frombuffer(piece, np.uint8)
+            return out
+
         # A window beyond the text's end holds padding only and equals the one kept for it.
         parts = [self.w, self.b, self.v, self.c]
         m, s = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
@@ -103,16 +112,20 @@ class Network:
         share = labels.mean() if len(labels) else 0.5
         weight = np.where(labels == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)) ** 0.5
         for _ in range(epochs):
-            for at in np.array_split(rng.permutation(len(chunks)), max(1, len(chunks) // batch)):
+            for at in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
                 take = np.concatenate([np.arange(span[i], span[i + 1]) for i in at])
                 doc = np.repeat(np.arange(len(at)), [span[i + 1] - span[i] for i in at])
-                data = x[take]
                 n = size - self.width + 1
-                z = self.w[0][data[:, :n]]
-                for k in range(1, self.width):
-                    z += self.w[k][data[:, k : k + n]]
-                won = z.argmax(1)
-                top = np.take_along_axis(z, won[:, None], 1)[:, 0] + self.b
+                steps = [take[k : k + STEP_CHUNKS] for k in range(0, len(take), STEP_CHUNKS)]
+                wons, tops = [], []
+                for some in steps:
+                    data = bytes_of(some)
+                    z = self.w[0][data[:, :n]]
+                    for k in range(1, self.width):
+                        z += self.w[k][data[:, k : k + n]]
+                    wons.append(z.argmax(1))
+                    tops.append(np.take_along_axis(z, wons[-1][:, None], 1)[:, 0])
+                won, top = np.concatenate(wons), np.concatenate(tops) + self.b
                 act = np.maximum(top, 0)
                 count = np.bincount(doc, minlength=len(at))
                 logit = np.bincount(doc, act @ self.v, minlength=len(at)) / count + self.c[0]
@@ -121,8 +134,10 @@ class Network:
                 dact = dl[:, None] * self.v * (top > 0)
                 grads = [np.zeros_like(self.w), dact.sum(0), act.T @ dl, np.array([d.sum()], np.float32)]
                 f = np.broadcast_to(np.arange(len(self.v)), won.shape)
-                for k in range(self.width):
-                    np.add.at(grads[0][k], (np.take_along_axis(data, won + k, 1), f), dact)
+                for at_step, some in enumerate(steps):
+                    data, here = bytes_of(some), slice(at_step * STEP_CHUNKS, at_step * STEP_CHUNKS + len(some))
+                    for k in range(self.width):
+                        np.add.at(grads[0][k], (np.take_along_axis(data, won[here] + k, 1), f[here]), dact[here])
                 t += 1
                 for p, g, mm, ss in zip(parts, grads, m, s, strict=True):
                     mm *= 0.9
@@ -134,12 +149,9 @@ class Network:
         return self
 
 
-def training_chunks(data: bytes, width: int = WIDTH) -> list[bytes]:
-    """At most TRAIN_CHUNKS chunks, evenly spaced over the whole text; a short one is filled up with zeros later."""
-    starts = range(0, max(1, len(data) + 1 - BLOCK), BLOCK)
-    if len(starts) > TRAIN_CHUNKS:
-        starts = [starts[int(j)] for j in np.linspace(0, len(starts) - 1, TRAIN_CHUNKS)]
-    return [data[s : s + 2 * BLOCK + width - 1] for s in starts]
+def chunk_starts(n: int) -> range:
+    """First bytes of all chunks of a text of n bytes; a short one is filled up with zeros later."""
+    return range(0, max(1, n + 1 - BLOCK), BLOCK)
 
 
 def is_held_out(doc_id):
@@ -152,18 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = chosen.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunks = [training_chunks((t or "").encode()) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chunks, pa.list_(pa.binary()))], ["id", "label", "chunks"])
-
-    # Only chunks, a few kilobytes a row, reach the driver.
-    prepare(docs.sparkSession)
-    sample = own.join(F.broadcast(chosen), "_id").select(F.col("_id").cast("bigint"), F.col("_label").cast("double"), "_text").mapInArrow(pick, "id bigint, label double, chunks array<binary>")
-    found = sample.orderBy("id", "label", "chunks").limit(rows).collect()
+    # The texts of the sampled rows, and no others, reach the driver.
+    sample = own.join(F.broadcast(chosen), "_id").select(F.col("_id").cast("bigint").alias("id"), F.col("_label").cast("double").alias("label"), F.encode(F.coalesce("_text", F.lit("")), "UTF-8").alias("text"))
+    found = sample.orderBy("id", "label", "text").limit(rows).collect()
     net = Network()
     if found:
-        net.fit([[bytes(c) for c in r["chunks"]] for r in found], np.array([r["label"] for r in found]))
+        net.fit([bytes(r["text"]) for r in found], np.array([r["label"] for r in found]))
     return net
 
 

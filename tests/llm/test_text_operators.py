@@ -159,6 +159,29 @@ def test_classifier_covers_the_whole_document():
     assert np.allclose(net.scores(Texts(pa.array(texts)), step=1), got[:-1], atol=1e-6)
 
 
+@pytest.mark.parametrize("step", [3, 256])
+def test_training_takes_every_chunk(monkeypatch, step):
+    """Of long texts that differ in one chunk alone, wherever it stands, the classifier learns the label; chunks held at once don't matter."""
+    monkeypatch.setattr(quality_cnn, "STEP_CHUNKS", step)
+    size = 40 * quality_cnn.BLOCK
+    texts, labels = [], []
+    for k in range(40):
+        text = bytearray(b"plain words " * (size // 12))
+        if k % 2:
+            at = (1 + k) * quality_cnn.BLOCK % (size - 300)
+            text[at : at + 60] = b"#" * 60
+        texts.append(bytes(text))
+        labels.append(k % 2)
+    read = []
+    table = np.frombuffer
+    monkeypatch.setattr(quality_cnn.np, "frombuffer", lambda data, kind: read.append(len(data)) or table(data, kind))
+    net = quality_cnn.Network(4, 3, 1).fit(texts, np.array(labels, float), epochs=1)
+    assert sum(read) >= 2 * sum(map(len, texts))
+    monkeypatch.undo()
+    got = quality_cnn.Network(4, 3, 1).fit(texts, np.array(labels, float), epochs=1)
+    assert np.allclose(net.w, got.w, atol=1e-4) and np.allclose(net.v, got.v, atol=1e-4)
+
+
 def test_classifier_edge_cases(spark):
     docs = odd_docs(spark)
     net = quality_cnn.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
