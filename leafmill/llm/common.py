@@ -15,6 +15,7 @@ HOT_SHARE = 1000
 #: Rows in an Arrow batch handed to Python; texts may be long, so the default of 10,000 rows is too many.
 BATCH_ROWS = 1000
 
+
 def prepare(spark: SparkSession) -> None:
     """Send the code to the workers, and keep Arrow batches of whole texts small; a smaller limit of the session stays."""
     ship(spark)
@@ -28,7 +29,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._made: list[tuple[DataFrame, str]] = []
         self._count = 0
 
@@ -68,9 +69,14 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application's scratch tables are; other applications that share the folder have their own."""
+    return f"{shared_dir(spark)}/leafmill/{spark.sparkContext.applicationId}"
+
+
 def purge(spark: SparkSession) -> None:
-    """Delete all scratch tables of this library; call it once their results are stored elsewhere."""
-    delete(spark, f"{shared_dir(spark)}/leafmill")
+    """Delete all scratch tables of this application; call it once their results are stored elsewhere."""
+    delete(spark, own_folder(spark))
 
 
 def partitions(spark: SparkSession) -> int:
