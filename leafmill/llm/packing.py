@@ -1,8 +1,10 @@
 """Best-fit packing of token sequences: a configuration linear program over the histogram of lengths.
 
-Each configuration is a multiset of lengths that fits one sequence. Multiplicative weights price the lengths that lag behind,
-a knapsack dynamic program finds the configuration of greatest price, and the fractional multiplicities are rounded down; what
-rounding leaves, a number of pieces bounded by the number of configurations, is packed best-fit decreasing.
+A configuration is a multiset of lengths that fits one sequence. The program asks for the fewest sequences, counted by configuration
+and in fractions, that hold the histogram. Multiplicative weights on the lengths are its dual prices: in each step those that lag
+behind gain weight, a knapsack dynamic program prices all configurations at once, and the dearest ones that hold the lengths furthest
+behind take up a share of what is left. Later passes begin with the mean weights of the pass before, until the gap to the dual bound
+is small. The multiplicities are then rounded down; the rest, less than one sequence per configuration, is packed best-fit decreasing.
 
 Only the histogram (at most ``capacity`` rows) reaches the driver. Pieces get their place by their rank among pieces of equal
 length, so the assignment is one shuffle by (length, salt), whatever the share of one length.
@@ -24,14 +26,16 @@ from .common import Scratch, partitions, prepare
 
 CAPACITY = 1024
 END_ID = 2
-#: Share of the scarcest length that one step of the multiplicative weights uses up.
-STEP = 0.35
-#: How strongly a length that lags behind the others gains price.
-ETA = 0.15
-#: Steps of the fractional solution at most; the rest is left to rounding.
-STEPS = 3000
+#: Share of a configuration's scarcest length that one step uses up, and lengths left for each configuration taken from one dynamic program.
+STEP, EACH = 0.15, 16
+#: How strongly a length that lags behind gains price for the moment, and for good.
+ETA, LEARN = 0.02, 0.004
 #: Exponent of a length's first price: a long piece is worth more than short ones of the same total, which fill gaps later.
-CONVEX = 1.1
+CONVEX = 1.05
+#: A pass ends when this share of all tokens is left. Passes at most, and the gap to the dual bound, as a share of it, that ends them.
+LEFT, PASSES, GAP = 1e-5, 8, 5e-4
+#: Each pass takes smaller steps than the one before, by this factor.
+FINER = 0.75
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -39,26 +43,29 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 # --- the linear program, on the driver
 
 
-def best_configuration(price: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack: counts by length (index 1..capacity) of greatest total price within capacity."""
-    best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, np.int64)
-    backwards = price[1:][::-1]
-    for c in range(1, capacity + 1):
-        gain = best[:c] + backwards[capacity - c :]  # gain[j]: j filled before, then length c - j
-        j = int(gain.argmax())
-        if gain[j] > best[c - 1]:
-            best[c], took[c] = gain[j], c - j
-        else:
-            best[c] = best[c - 1]
-    counts = np.zeros(capacity + 1, np.int64)
-    c = capacity
-    while c > 0:
-        if took[c]:
-            counts[took[c]] += 1
-            c -= int(took[c])
-        else:
-            c -= 1
+def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each room up to ``capacity`` the greatest total price of lengths that fit it, any number of each, and the last length
+    taken (0: one less room is as good). Lengths without a positive price aren't taken."""
+    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    lengths = np.flatnonzero(price > 0)
+    own, upto = price[lengths], np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for room in range(1, capacity + 1):
+        best[room] = best[room - 1]
+        if k := upto[room]:
+            gain = best[room - lengths[:k]] + own[:k]
+            j = int(gain.argmax())
+            if gain[j] > best[room]:
+                best[room], took[room] = gain[j], lengths[j]
+    return best, took
+
+
+def configuration(took: np.ndarray, room: int) -> dict[int, int]:
+    """Counts by length of the best filling of a room."""
+    counts: dict[int, int] = {}
+    while room > 0:
+        if length := int(took[room]):
+            counts[length] = counts.get(length, 0) + 1
+        room -= length or 1
     return counts
 
 
@@ -83,46 +90,76 @@ def best_fit(rest: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+def one_pass(n: np.ndarray, weight: np.ndarray, step: float, learn: float, capacity: int) -> tuple[dict[tuple, float], np.ndarray]:
+    """(multiplicities by configuration, mean log weights) of one run of multiplicative weights that begins with the log weights given."""
+    lengths = np.arange(capacity + 1)
+    base, total = (lengths / capacity) ** CONVEX, float((n * lengths).sum())
+    rest, weight, least = n.astype(float), weight.copy(), 1e-9 * n
+    share: dict[tuple, float] = {}
+    sums, seen = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    while (live := rest > least).any() and (left := float((rest * lengths).sum())) >= LEFT * total:
+        part = np.where(live, rest / np.maximum(n, 1), 0)
+        lag = np.clip(part * total / left - 1, -1, 2)
+        _, took = knapsack(np.where(live, base * np.exp(weight + ETA * lag), 0), capacity)
+        weight[live] += learn * np.minimum(lag[live], 1)
+        if left > 0.05 * total:
+            sums[live] += weight[live] * left
+            seen[live] += left
+        for length in np.argsort(-part, kind="stable")[: -(-int(live.sum()) // EACH)].tolist():
+            if rest[length] <= least[length]:
+                continue
+            counts = configuration(took, capacity - length)
+            counts[length] = counts.get(length, 0) + 1
+            most = min(rest[k] / c for k, c in counts.items())
+            amount = most if most < 0.5 else step * most
+            key = tuple(sorted(counts.items()))
+            share[key] = share.get(key, 0.0) + amount
+            for k, c in counts.items():
+                rest[k] = max(rest[k] - amount * c, 0.0)
+    return share, np.where(seen > 0, sums / np.maximum(seen, 1e-300), weight)
+
+
+def dual_bound(n: np.ndarray, weight: np.ndarray, capacity: int) -> float:
+    """No packing needs fewer sequences: prices under which no configuration costs more than 1 bound the program from below."""
+    lengths = np.arange(capacity + 1)
+    price = np.where(n > 0, (lengths / capacity) ** CONVEX * np.exp(weight), 0)
+    return max(float((n * lengths).sum()) / capacity, float((n * price).sum()) / max(knapsack(price, capacity)[0][capacity], 1e-300))
+
+
+def rounded(n: np.ndarray, share: dict[tuple, float], capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Whole multiplicities, the greatest first, and best-fit for what these leave."""
+    left, out = n.copy(), []
+    for key, x in sorted(share.items(), key=lambda kv: (-kv[1], kv[0])):
+        if copies := min(int(x + 1e-9), min(int(left[k]) // c for k, c in key)):
+            counts = np.zeros_like(n)
+            for k, c in key:
+                counts[k] = c
+            out.append((counts, copies))
+            left -= copies * counts
+    return out + best_fit(left, capacity)
+
+
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[np.ndarray, int]]:
     """Configurations (counts by length) and how often each is used; together they hold exactly the histogram."""
     n = np.zeros(capacity + 1, np.int64)
     for length, count in histogram.items():
         n[length] += count
-    out: list[tuple[np.ndarray, int]] = []
+    whole = []
     if n[capacity]:
-        whole = np.zeros_like(n)
-        whole[capacity] = 1
-        out.append((whole, int(n[capacity])))
+        whole = [(np.eye(1, capacity + 1, capacity, dtype=np.int64)[0], int(n[capacity]))]
         n[capacity] = 0
-    rest = n.astype(float)
-    wanted = float((n * np.arange(capacity + 1)).sum())
-    base = (np.arange(capacity + 1) / capacity) ** CONVEX
-    share: dict[bytes, float] = {}
-    for _ in range(STEPS):
-        live = rest >= 0.5
-        if not live.any() or (rest * np.arange(capacity + 1)).sum() < 0.002 * wanted:
+    if not n.any():
+        return whole
+    weight, bound, best = np.zeros(capacity + 1), 0.0, None
+    for k in range(PASSES):
+        share, weight = one_pass(n, weight, STEP * FINER**k, LEARN * FINER**k, capacity)
+        bound = max(bound, dual_bound(n, weight, capacity))
+        found = rounded(n, share, capacity)
+        if best is None or sum(c for _, c in found) < sum(c for _, c in best):
+            best = found
+        if sum(c for _, c in best) - np.ceil(bound - 1e-6) <= min(len(share), max(1, GAP * bound)):
             break
-        lag = np.zeros(capacity + 1)
-        lag[live] = rest[live] / n[live]
-        lag /= lag[live].mean()
-        price = np.where(live, base * np.exp(ETA * (np.minimum(lag, 8) - 1)), -1.0)
-        counts = best_configuration(price, capacity)
-        used = np.flatnonzero(counts)
-        amount = max(STEP * float((rest[used] / counts[used]).min()), min(1.0, float((rest[used] / counts[used]).min())))
-        key = counts.tobytes()
-        share[key] = share.get(key, 0.0) + amount
-        rest = np.maximum(rest - amount * counts, 0)
-    left = n.copy()
-    for key, x in sorted(share.items(), key=lambda kv: -kv[1]):
-        counts = np.frombuffer(key, np.int64)
-        used = np.flatnonzero(counts)
-        copies = min(int(x + 1e-9), int((left[used] // counts[used]).min()))
-        if copies:
-            out.append((counts, copies))
-            left -= copies * counts
-    out += best_fit(left, capacity)
-    plain = out[: len(out) and int(bool(out[0][0][capacity]))] + best_fit(n, capacity)
-    return min(out, plain, key=lambda s: sum(copies for _, copies in s))
+    return whole + best
 
 
 def places(solution: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
