@@ -5,7 +5,8 @@ byte of the document; their rectified outputs are max-pooled over overlapping ch
 mean over the chunks of a document, with a bias, gives one probability.
 
 Training takes at most TRAIN_ROWS labelled rows, chosen by a hash of their id, and all chunks of each; scoring covers every byte of
-every document. Labels, language, source and id never enter a score.
+every document. Labels, language, source and id never enter a score. Without rows of both labels there is nothing to learn: such a
+network has no opinion, scores every text 0.5 and rejects none.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ FILTERS = 24
 #: A chunk is two neighbouring blocks; so chunks overlap by one block.
 BLOCK = 192
 TRAIN_ROWS = 1500
+#: Up to so many sampled ids are broadcast to the join with their texts; a greater sample is joined as Spark sees fit.
+BROADCAST_ROWS = 20_000
 #: Chunks whose convolutions are held at once in training.
 STEP_CHUNKS = 256
 EPOCHS = 14
@@ -39,6 +42,7 @@ class Network:
         self.b = np.zeros(filters, np.float32)
         self.v = rng.normal(0, 0.3, filters).astype(np.float32)
         self.c = np.zeros(1, np.float32)
+        self.fitted = False
 
     @property
     def width(self) -> int:
@@ -54,6 +58,8 @@ class Network:
 
     def scores(self, texts: Texts, step: int = 1 << 18) -> np.ndarray:
         """Probability of each text. A text counts as followed by ``width`` zero bytes, so empty texts have one window."""
+        if not self.fitted:
+            return np.full(texts.n, 0.5)
         sizes = np.diff(texts.at)
         padded = np.zeros(texts.at[-1] + self.width * texts.n, np.uint8)
         shift = np.repeat(np.arange(texts.n) * self.width, sizes)
@@ -87,25 +93,54 @@ class Network:
         total = np.bincount(owner[chunk], logit[chunk], minlength=texts.n)
         return 1 / (1 + np.exp(-(total / np.maximum(n, 1) + float(self.c[0]))))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 48, seed: int = SEED) -> "Network":
-        """Adam on the log loss over all chunks of the texts; the gradient of a max-pooled output goes to the bytes of the window that won.
+    def gradients(self, texts: list[bytes], labels: np.ndarray, weight: np.ndarray, starts: list[range]) -> list[np.ndarray]:
+        """Of the mean weighted log loss, by w, b, v and c. That of a max-pooled output goes to the bytes of the window that won.
 
-        Outputs of STEP_CHUNKS chunks are held at a time; of all others in a batch only what won."""
-        rng = np.random.default_rng(seed)
+        Outputs of STEP_CHUNKS chunks are held at a time; of all others only what won."""
         size = 2 * BLOCK + self.width - 1
-        starts = [chunk_starts(len(t)) for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
         begin = np.concatenate([np.array(s, np.int64) for s in starts])
-        span = np.searchsorted(owner, np.arange(len(texts) + 1))
 
-        def bytes_of(some: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(some), size), np.uint8)
+        def bytes_of(some: slice) -> np.ndarray:
+            """A row per chunk; windows beyond the text's end hold zeros only and equal the one kept for it."""
+            out = np.zeros((len(begin[some]), size), np.uint8)
             for row, i, s in zip(out, owner[some].tolist(), begin[some].tolist(), strict=True):
                 piece = texts[i][s : s + size]
                 row[: len(piece)] = np.frombuffer(piece, np.uint8)
             return out
 
-        # A window beyond the text's end holds padding only and equals the one kept for it.
+        n = size - self.width + 1
+        steps = [slice(k, k + STEP_CHUNKS) for k in range(0, len(begin), STEP_CHUNKS)]
+        wons, tops = [], []
+        for some in steps:
+            data = bytes_of(some)
+            z = self.w[0][data[:, :n]]
+            for k in range(1, self.width):
+                z += self.w[k][data[:, k : k + n]]
+            wons.append(z.argmax(1))
+            tops.append(np.take_along_axis(z, wons[-1][:, None], 1)[:, 0])
+        won, top = np.concatenate(wons), np.concatenate(tops) + self.b
+        act = np.maximum(top, 0)
+        count = np.bincount(owner, minlength=len(texts))
+        logit = np.bincount(owner, act @ self.v, minlength=len(texts)) / count + self.c[0]
+        d = (1 / (1 + np.exp(-logit)) - labels) * weight / len(texts)
+        dl = (d / count)[owner].astype(np.float32)
+        dact = dl[:, None] * self.v * (top > 0)
+        grads = [np.zeros_like(self.w), dact.sum(0), act.T @ dl, np.array([d.sum()], np.float32)]
+        f = np.broadcast_to(np.arange(len(self.v)), won.shape)
+        for some in steps:
+            data = bytes_of(some)
+            for k in range(self.width):
+                np.add.at(grads[0][k], (np.take_along_axis(data, won[some] + k, 1), f[some]), dact[some])
+        return grads
+
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 48, seed: int = SEED) -> "Network":
+        """Adam on the log loss over all chunks of the texts, which rarer labels enter with more weight."""
+        if len(set(labels.tolist())) < 2:
+            return self
+        self.fitted = True
+        rng = np.random.default_rng(seed)
+        starts = [chunk_starts(len(t)) for t in texts]
         parts = [self.w, self.b, self.v, self.c]
         m, s = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
         t = 0
@@ -113,31 +148,7 @@ class Network:
         weight = np.where(labels == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)) ** 0.5
         for _ in range(epochs):
             for at in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
-                take = np.concatenate([np.arange(span[i], span[i + 1]) for i in at])
-                doc = np.repeat(np.arange(len(at)), [span[i + 1] - span[i] for i in at])
-                n = size - self.width + 1
-                steps = [take[k : k + STEP_CHUNKS] for k in range(0, len(take), STEP_CHUNKS)]
-                wons, tops = [], []
-                for some in steps:
-                    data = bytes_of(some)
-                    z = self.w[0][data[:, :n]]
-                    for k in range(1, self.width):
-                        z += self.w[k][data[:, k : k + n]]
-                    wons.append(z.argmax(1))
-                    tops.append(np.take_along_axis(z, wons[-1][:, None], 1)[:, 0])
-                won, top = np.concatenate(wons), np.concatenate(tops) + self.b
-                act = np.maximum(top, 0)
-                count = np.bincount(doc, minlength=len(at))
-                logit = np.bincount(doc, act @ self.v, minlength=len(at)) / count + self.c[0]
-                d = (1 / (1 + np.exp(-logit)) - labels[at]) * weight[at] / len(at)
-                dl = (d / count)[doc].astype(np.float32)
-                dact = dl[:, None] * self.v * (top > 0)
-                grads = [np.zeros_like(self.w), dact.sum(0), act.T @ dl, np.array([d.sum()], np.float32)]
-                f = np.broadcast_to(np.arange(len(self.v)), won.shape)
-                for at_step, some in enumerate(steps):
-                    data, here = bytes_of(some), slice(at_step * STEP_CHUNKS, at_step * STEP_CHUNKS + len(some))
-                    for k in range(self.width):
-                        np.add.at(grads[0][k], (np.take_along_axis(data, won[here] + k, 1), f[here]), dact[here])
+                grads = self.gradients([texts[i] for i in at], labels[at], weight[at], [starts[i] for i in at])
                 t += 1
                 for p, g, mm, ss in zip(parts, grads, m, s, strict=True):
                     mm *= 0.9
@@ -159,13 +170,14 @@ def is_held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Network:
-    """Fit on at most ``rows`` labelled rows outside the held-out third. Without any the network stays as drawn."""
+    """Fit on at most ``rows`` labelled rows outside the held-out third, which reach the driver. Rows without a label, an id or a
+    document don't count, and a repeated id counts row by row; without rows of both labels the network stays without an opinion."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~is_held_out(doc_id))
     chosen = chosen.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
 
     # The texts of the sampled rows, and no others, reach the driver.
-    sample = own.join(F.broadcast(chosen), "_id").select(F.col("_id").cast("bigint").alias("id"), F.col("_label").cast("double").alias("label"), F.encode(F.coalesce("_text", F.lit("")), "UTF-8").alias("text"))
+    sample = own.join(F.broadcast(chosen) if rows <= BROADCAST_ROWS else chosen, "_id").select(F.col("_id").cast("bigint").alias("id"), F.col("_label").cast("double").alias("label"), F.encode(F.coalesce("_text", F.lit("")), "UTF-8").alias("text"))
     found = sample.orderBy("id", "label", "text").limit(rows).collect()
     net = Network()
     if found:
