@@ -64,6 +64,22 @@ def visit(parts: Column) -> Column:
     return F.array_join(F.transform(F.coalesce(parts, F.array().cast(PARTS)), one), "")
 
 
+def unescaped(parts: Column) -> Column:
+    """The content of a turn before escaping, by which turns tied in number and role are ordered."""
+    one = lambda p: F.when(is_attachment(p), F.concat(p["kind"], F.lit(":"), F.coalesce(p["uri"], F.lit("")))).otherwise(F.coalesce(p["text"], F.lit("")))
+    return F.array_join(F.transform(F.coalesce(parts, F.array().cast(PARTS)), one), "")
+
+
+def read_parts(content: Column, attached: Column) -> Column:
+    """The inverse of visit(): (kind, text, uri, tokens) of each part of a turn's content, given its attachments. Neighbouring text parts come back as one, empty ones not at all."""
+    mark = r"<\|(?:image|audio|document):\d+\|>"
+    texts = F.transform(F.split(content, mark, -1), lambda t: F.struct(F.lit("text").alias("kind"), unescape(t).alias("text"), F.lit(None).cast("string").alias("uri"), F.lit(0).cast("bigint").alias("tokens")))
+    spots = F.transform(F.regexp_extract_all(content, F.lit(r"<\|(?:image|audio|document):(\d+)\|>"), F.lit(1)), lambda n: F.get(F.filter(attached, lambda a: a["part"] == n.cast("int")), F.lit(0)))
+    between = F.transform(spots, lambda a: F.struct(a["kind"].alias("kind"), F.lit(None).cast("string").alias("text"), a["uri"].alias("uri"), a["tokens"].alias("tokens")))
+    every = F.flatten(F.transform(texts, lambda t, i: F.array_compact(F.array(t, F.get(between, i)))))
+    return F.filter(every, lambda p: (p["kind"] != "text") | (p["text"] != ""))
+
+
 def attachments(parts: Column) -> Column:
     """(part, kind, uri, tokens) of each attachment of a turn, in order; ``part`` is the number in its placeholder."""
     every = F.transform(parts, lambda p, i: F.struct(i.alias("part"), p["kind"].alias("kind"), p["uri"].alias("uri"), expanded_tokens(p).alias("tokens")))
@@ -74,7 +90,7 @@ def format_turns(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     """A row per conversation: conv_id, formatted, loss, attachments, n_tokens.
 
     ``loss`` lists the assistant's contents: start in ``formatted`` (code points from 0), ordinal of the turn, begin within the turn's rendering, and length.
-    Turns are ordered by turn, then role and content; repeated rows are turns of their own. Null roles and texts are empty;
+    Turns are ordered by turn, then role and content as it was before escaping; repeated rows are turns of their own. Null roles and texts are empty;
     rows with a null conv_id are one conversation. An empty table gives no rows; other columns are ignored.
     """
     own = turns.select(
@@ -82,11 +98,12 @@ def format_turns(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         F.col(turn).alias("_turn"),
         F.coalesce(F.col(role), F.lit("")).alias("_role"),
         visit(F.col(parts)).alias("_content"),
+        unescaped(F.col(parts)).alias("_raw"),
         attachments(F.col(parts)).alias("_attached"),
     )
     head = F.concat(F.lit(OPEN), escape_role(F.col("_role")), F.lit(HEAD_END))
     own = own.withColumn("_head", F.length(head)).withColumn("_text", F.concat(head, F.col("_content"), F.lit(END)))
-    order = Window.partitionBy("conv_id").orderBy(F.col("_turn").asc_nulls_first(), "_role", "_content")
+    order = Window.partitionBy("conv_id").orderBy(F.col("_turn").asc_nulls_first(), "_role", "_raw", "_content")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("_at", F.row_number().over(order) - 1).withColumn("_start", F.coalesce(F.sum(F.length("_text").cast("bigint")).over(before), F.lit(0)))
     spoken = F.when(F.col("_role") == "assistant", F.struct(F.col("_at").alias("turn"), (F.col("_start") + F.col("_head")).alias("start"), F.col("_head").alias("begin"), F.length("_content").alias("length")))
