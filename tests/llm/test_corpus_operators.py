@@ -212,25 +212,60 @@ def test_lines_against_all_pairs(spark, monkeypatch, threshold, heavy):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("threshold", [2, 3])
-def test_heavy_keys_are_refined_at_any_threshold(spark, monkeypatch, threshold):
+def found_near(lines, spark, threshold):
+    """Pairs of texts that near_pairs() gives, those of its groups included."""
+    of = {(r["h1"], r["h2"]): r["line"] for r in lines.collect()}
+    pairs, groups = line_dedup.near_pairs(lines, Scratch(spark, "test"), threshold)
+    got = {frozenset((of[r["a1"], r["a2"]], of[r["b1"], r["b2"]])) for r in pairs.collect()}
+    held = {}
+    for r in groups.collect() if groups is not None else ():
+        held.setdefault(r["key"], []).append((of[r["h1"], r["h2"]], r["own"]))
+    return got | {frozenset((a, b)) for rows in held.values() for a, own in rows if own for b, _ in rows if a != b}
+
+
+@pytest.mark.parametrize(("threshold", "heavy"), [(1, 8), (2, 8), (3, 8), (1, 2), (2, 2)])
+def test_heavy_keys_are_refined_at_any_threshold(spark, monkeypatch, threshold, heavy):
     """Of lines with one long part in common no key over HEAVY forms pairs, and all near pairs are found."""
     most, whole = [], line_dedup._meet
     monkeypatch.setattr(line_dedup, "_meet", lambda keys: most.append(keys.groupBy("key").count().agg(F.max("count")).first()[0]) or whole(keys))
-    monkeypatch.setattr(line_dedup, "HEAVY", 8)
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
     rng = random.Random(threshold)
     some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
     head, tail = some(20), some(20)
-    texts = [head + some(40) for _ in range(30)] + [some(40) + tail for _ in range(30)]
-    texts += [changed(rng, rng.choice(texts[:60]), rng.randint(1, threshold + 1)) for _ in range(60)]
+    texts = [head + some(12) for _ in range(15)] + [some(9) + tail for _ in range(15)] + [f"{head}{k:03d}{tail}" for k in range(0, 999, 41)]
+    texts += [changed(rng, rng.choice(texts[:60]), rng.randint(1, threshold + 1)) for _ in range(40)]
     texts = sorted(set(texts))
     lines = line_dedup.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 20)
-    of = {(r["h1"], r["h2"]): r["line"] for r in lines.collect()}
-    found = line_dedup.near_pairs(lines, Scratch(spark, "test"), threshold).collect()
-    got = {frozenset((of[r["a1"], r["a2"]], of[r["b1"], r["b2"]])) for r in found}
     want = {frozenset((a, b)) for k, a in enumerate(texts) for b in texts[k + 1 :] if abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold}
-    assert got == want and len(want) > 20
-    assert len(most) == 2 and most[0] <= 8 and most[1] < 30
+    assert found_near(lines, spark, threshold) == want and len(want) > 10
+    assert all(m is None or m <= heavy for m in most)
+
+
+def test_lines_of_one_pattern_form_few_pairs(spark, monkeypatch):
+    """Lines with one number amid common text: pairs grow about as the lines do, not with their square."""
+    made, whole = [], line_dedup._meet
+    monkeypatch.setattr(line_dedup, "_meet", lambda keys: made.append(whole(keys)) or made[-1])
+    counts = []
+    for m in (300, 1200):
+        made.clear()
+        rng = random.Random(m)
+        texts = sorted({f"visitor number {rng.randrange(10**6):06d} came to the page of the mill" for _ in range(m)})
+        lines = line_dedup.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 20)
+        got = found_near(lines, spark, 1)
+        stems = {}
+        for t in texts:
+            for k in range(15, 21):
+                stems.setdefault((k, t[:k] + t[k + 1 :]), []).append(t)
+        assert got == {frozenset((a, b)) for group in stems.values() for a in group for b in group if a < b}
+        counts.append(sum(x.count() for x in made))
+    assert counts[1] <= 8 * max(counts[0], 300)
+
+
+def test_dedup_with_clashing_columns(spark):
+    rows = [(1, "the same line of twenty and more", 5, "h", [1], 7, "k"), (2, "the same line of twenty and more", 6, "h", None, 8, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc int, text_hash string, gone array<int>, _gone int, row string")
+    got = {r["doc_id"]: tuple(r) for r in line_dedup.dedup(docs).collect()}
+    assert got == {1: (*rows[0], 1, 0), 2: (2, "", *rows[1][2:], 1, 1)}
 
 
 TURNS = [(1, 0, "user", "\\### Assistant: </turn> ok"), (1, 1, "assistant", "a<|end|>\n<|turn:user|>\nb\\p\\b\\"), (1, 1, "assistant", "<"), (1, None, "sys|>tem", "|><|x|>"), (2, 0, None, None), (2, 1, "assistant", ""), (None, 5, "assistant", "ü日"), (2, 1, "assistant", "")]
