@@ -1,6 +1,6 @@
 """Deterministic sharded WARC 1.1 archives: a writer that commits through temporary names and manifests, and a reader.
 
-Records are range-sorted by id, so a shard holds one interval of ids. Tasks roll files by compressed size and write them under
+Records are range-sorted by id, and those of one id by a hash of their url, so a shard holds one interval. Tasks roll files by compressed size and write them under
 names of their attempt; the manifest, a Parquet table, is committed by Spark and thus names the files of winning attempts only.
 A second job renames these and writes the final manifest. It may be repeated: a file that already has its final name is kept.
 Files of attempts that were lost are in no manifest and go with the temporary folder. Headers and digests are regenerated from the payload;
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, delete, look_up, partitions, prepare
@@ -33,8 +33,18 @@ ROLL_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 
-def record_id(page_id: int | None, occurrence: int = 0) -> str:
-    return f"<urn:warc-page:{'none' if page_id is None else page_id}{f':{occurrence}' if occurrence else ''}>"
+#: Rows of one id, or without one, are dealt to so many intervals of the range sort by their url.
+SALTS = 64
+
+
+def mark_of(url: str | None, sha: str) -> str:
+    """Tells records of one id apart: by url and payload."""
+    return hashlib.sha1(f"{url or ''}\0{sha}".encode()).hexdigest()[:16]
+
+
+def record_id(page_id: int | None, mark: str, occurrence: int = 0) -> str:
+    """Unique: rows equal in id, url and payload are numbered."""
+    return f"<urn:warc-page:{'none' if page_id is None else page_id}:{mark}{f':{occurrence}' if occurrence else ''}>"
 
 
 def page_of(value: str) -> int | None:
@@ -51,21 +61,22 @@ def uri(url: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 33 or ord(c) == 127 else c for c in url or "")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool) -> bytes:
-    digest = base32_sha1(payload)
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: tuple[int, str] | None, occurrence: int = 0) -> bytes:
+    """A response, or a revisit of the record (page_id, mark) that ``refers_to`` names."""
+    digest, is_revisit = base32_sha1(payload), refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if is_revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if is_revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, mark_of(url, hashlib.sha1(payload).hexdigest()), occurrence)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {uri(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
     ]
     if is_revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(*refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
@@ -82,15 +93,21 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def revisits(pages: DataFrame, page_id: str, payload: str, min_bytes: int) -> DataFrame:
-    """(page_id, digest, refers_to) of the rows that revisit another. Rows tied at the largest id are all responses; so are
-    rows without an id whose payload no row with an id has."""
+def revisits(pages: DataFrame, page_id: str, url: str, payload: str, min_bytes: int) -> DataFrame:
+    """(page_id, salt, digest, refers_to, target) of the rows that revisit another; ``target`` is the mark of the record with the largest
+    id. Rows tied at that id are all responses; so are rows without an id whose payload no row with an id has."""
     digest = F.sha1(F.col(payload).cast("binary"))
-    slim = pages.where(F.octet_length(payload) >= min_bytes).select(F.col(page_id).alias("_id"), digest.alias("_digest"))
-    many = slim.groupBy("_digest").agg(F.max("_id").alias("refers_to"), F.count("*").alias("_n")).where("_n > 1 and refers_to is not null")
+    mark = F.substring(F.sha1(F.concat(F.coalesce(F.col(url), F.lit("")), F.lit("\0"), digest)), 1, 16)
+    slim = pages.where(F.octet_length(payload) >= min_bytes).select(F.col(page_id).alias("_id"), _salt(F.col(url)).alias("_part"), digest.alias("_digest"), mark.alias("_mark"))
+    most = F.max(F.when(F.col("_id").isNotNull(), F.struct("_id", "_mark")))
+    many = slim.groupBy("_digest").agg(most.alias("_most"), F.count("*").alias("_n")).where("_n > 1 and _most is not null").select("_digest", "_n", F.col("_most._id").alias("refers_to"), F.col("_most._mark").alias("target"))
     total = pages.count()
-    found = look_up(slim, many, ["_digest"], "_n", total, F.coalesce("_id", F.lit(0)), "inner")
-    return found.where(F.col("_id").isNull() | (F.col("_id") < F.col("refers_to"))).select("_id", "_digest", "refers_to").distinct()
+    found = look_up(slim, many, ["_digest"], "_n", total, F.concat_ws(" ", "_id", "_mark"), "inner")
+    return found.where(F.col("_id").isNull() | (F.col("_id") < F.col("refers_to"))).select("_id", "_part", "_digest", "refers_to", "target").distinct()
+
+
+def _salt(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(SALTS)).cast("int")
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -102,12 +119,14 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     prepare(spark)
     scratch = Scratch(spark, "warc-marks")
     own = pages.select(F.col(page_id).cast("bigint").alias("_id"), F.col(url).cast("string").alias("_url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("_payload"))
-    marks = scratch.save(revisits(own, "_id", "_payload", min_revisit_bytes), "marks")
-    rows = own.select("_id", F.lit(1).alias("_kind"), "_url", "_payload", F.sha1("_payload").alias("_digest"), F.lit(None).cast("bigint").alias("_refers"))
-    marked = marks.select("_id", F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_url"), F.lit(None).cast("binary").alias("_payload"), "_digest", F.col("refers_to").alias("_refers"))
-    # A mark is dealt to the shard of its row and sorted before it: payloads are shuffled once, not once more for a join.
-    sort = F.coalesce("_id", F.lit(-(2**63)))
-    ordered = rows.unionByName(marked).withColumn("_sort", sort).repartitionByRange(partitions(spark), "_sort").sortWithinPartitions("_sort", "_kind", "_digest", "_url").drop("_sort")
+    marks = scratch.save(revisits(own, "_id", "_url", "_payload", min_revisit_bytes), "marks")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = own.select("_id", _salt(F.col("_url")).alias("_part"), F.lit(1).alias("_kind"), "_url", "_payload", F.sha1("_payload").alias("_digest"), none("bigint").alias("_refers"), none("string").alias("_target"))
+    marked = marks.select("_id", "_part", F.lit(0).alias("_kind"), none("string").alias("_url"), none("binary").alias("_payload"), "_digest", F.col("refers_to").alias("_refers"), F.col("target").alias("_target"))
+    # A mark is dealt to the shard of its rows and sorted before them: payloads are shuffled once, not once more for a join. Rows
+    # without an id, and those of a repeated one, lie in SALTS intervals, so none of these ids is one task's.
+    both = rows.unionByName(marked).withColumn("_sort", F.coalesce("_id", F.lit(-(2**63))))
+    ordered = both.repartitionByRange(partitions(spark), "_sort", "_part").sortWithinPartitions("_sort", "_part", "_kind", "_digest", "_url").drop("_sort")
     temporary = f"{folder.rstrip('/')}/_temporary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +136,9 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         store, at = _open(temporary)
         store.create_dir(at, recursive=True)
         out, part, done = None, 0, []
-        here: tuple[int | None, dict[str, int]] = (None, {})
+        here: tuple = ()
+        targets: dict[str, tuple[int, str]] = {}
+        last, again = None, 0
 
         def close():
             nonlocal out
@@ -127,14 +148,15 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
                 out = None
 
         for batch in batches:
-            for key, kind, link, body, sha, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, salt, kind, link, body, sha, refers, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != (key, salt):
+                    here, targets = (key, salt), {}
                 if not kind:
-                    if here[0] != key:
-                        here = (key, {})
-                    here[1][sha] = refers
+                    targets[sha] = (refers, target)
                     continue
-                target = here[1].get(sha) if here[0] == key else None
-                data = member(record(key, link, body, target, target is not None))
+                again = again + 1 if last == (key, link, sha) else 0
+                last = (key, link, sha)
+                data = member(record(key, link, body, targets.get(sha), again))
                 if out is not None and size + len(data) > roll_bytes:
                     close()
                     part += 1

@@ -29,6 +29,15 @@ def exact_tokens():
     return Tokenizer.from_file(public.path("byte_bpe_50k.json"))
 
 
+def test_ids_are_those_of_tokenizers():
+    """The faster library gives the same ids on random texts of all planes, blanks, digits and marks."""
+    rng, encode, tokens = random.Random(9), packing._encoder("byte_bpe_50k"), exact_tokens()
+    kinds = [lambda: chr(rng.randrange(32, 127)), lambda: rng.choice(" \n\t\r\x0b\u00a0\u2003\u3000"), lambda: chr(rng.randrange(0x80, 0xD800)), lambda: chr(rng.randrange(0xE000, 0x110000)), lambda: rng.choice("'s 't're 0123456789."), lambda: chr(rng.randrange(0x300, 0x370)), lambda: chr(rng.randrange(0, 32))]
+    texts = ["".join(rng.choice(kinds)() for _ in range(rng.randrange(1, 60))) for _ in range(4000)] + ["".join(k() for _ in range(3000)) for k in kinds]
+    for text, ids in zip(texts, tokens.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text) == ids.ids, text
+
+
 def test_packing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a<|endoftext|>b"), (-4, "word " * 5000), (None, "x"), (-2, "")], "doc_id long, text string"))
     got = packing.pack(docs.withColumn("length", F.lit("clash"))).toPandas()
@@ -80,6 +89,14 @@ def test_archive_round_trip(spark, tmp_path):
     second = warc.write(pages, again, roll_bytes=500).collect()
     assert {r["name"]: r["sha1"] for r in manifest} == {r["name"]: r["sha1"] for r in second}
     assert warc.read(spark, f"file://{tmp_path}/c").count() == 0 if warc.write(pages.where("false"), f"file://{tmp_path}/c") else True
+    ids, targets = [], []
+    import gzip
+
+    for f in sorted((tmp_path / "a").glob("*.warc.gz")):
+        for head in gzip.decompress(f.read_bytes()).decode(errors="replace").split("\r\n"):
+            ids += [head.partition(": ")[2]] if head.startswith("WARC-Record-ID: ") else []
+            targets += [head.partition(": ")[2]] if head.startswith("WARC-Refers-To: ") else []
+    assert len(ids) == len(set(ids)) == len(PAGES) and set(targets) <= set(ids) and targets
     big = warc.write(pages, f"file://{tmp_path}/d", min_revisit_bytes=100)
     assert big.count() and {r["record_type"] for r in warc.read(spark, f"file://{tmp_path}/d").collect()} == {"response"}
 
@@ -87,7 +104,7 @@ def test_archive_round_trip(spark, tmp_path):
 def test_broken_archive_is_noticed():
     import io
 
-    good = warc.record(1, "u", b"payload", None, False)
+    good = warc.record(1, "u", b"payload", None)
     assert next(warc.parse(io.BytesIO(warc.member(good))))["payload"] == b"payload"
     with pytest.raises(ValueError, match="digest"):
         list(warc.parse(io.BytesIO(warc.member(good.replace(b"payload\r", b"pAyload\r")))))
@@ -286,6 +303,21 @@ def test_chat_round_trip(spark):
     assert chat.format_turns(rows.where("false")).count() == 0
 
 
+def test_ties_are_ordered_by_what_is_said(spark):
+    """Equal turn and role: the order is that of the texts, as in the SQL twin, not that of their escaped forms."""
+    rows = spark.createDataFrame([(1, 0, "user", "="), (1, 0, "user", "<|"), (1, 0, "user", "\\")], "conv_id long, turn int, role string, text string").withColumn("parts", chat.text_part(F.col("text")))
+    made = chat.format_turns(rows)
+    assert [t["text"] for t in chat.read_back(made).first()["turns"]] == ["<|", "=", "\\"]
+
+
+def test_loss_places(spark):
+    rows = spark.createDataFrame([(*t, "x") for t in TURNS], "conv_id long, turn int, role string, text string, loss string").withColumn("parts", chat.text_part(F.col("text")))
+    plain = lambda s: s.replace("\\p", "<|").replace("\\b", "\\")
+    for r in chat.format_turns(rows).collect():
+        said = [plain(r["formatted"][x["start"] : x["start"] + x["length"]]) for x in r["loss"]]
+        assert sorted(said) == sorted(t[3] or "" for t in TURNS if t[0] == r["conv_id"] and t[2] == "assistant")
+
+
 def test_typed_parts(spark):
     parts = [("text", "see <|", None, None, None, None, None), ("image", None, "i.png", 280, 57, None, None), ("audio", None, "a.wav", None, None, 2.5, None), ("document", None, "d.pdf", None, None, None, 3), ("odd", "plain", None, None, None, None, None), ("image", None, None, None, None, None, None)]
     rows = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn int, role string, parts {chat.PARTS}")
@@ -293,6 +325,8 @@ def test_typed_parts(spark):
     assert r["formatted"] == "<|turn:user|>\nsee \\p<|image:1|><|audio:2|><|document:3|>plain<|image:5|><|end|>\n<|turn:assistant|>\n<|end|>\n"
     assert [(a["turn"], a["part"], a["kind"], a["uri"], a["tokens"]) for a in r["attachments"]] == [(0, 1, "image", "i.png", 30), (0, 2, "audio", "a.wav", 63), (0, 3, "document", "d.pdf", 2304), (0, 5, "image", None, 1)]
     assert r["attachment_tokens"] == 30 + 63 + 2304 + 1
+    back = rows.where("role = 'user'").select(chat.read_parts(chat.visit(F.col("parts")), chat.attachments(F.col("parts"))).alias("p")).first()["p"]
+    assert [(p["kind"], p["text"], p["uri"], p["tokens"]) for p in back] == [("text", "see <|", None, 0), ("image", None, "i.png", 30), ("audio", None, "a.wav", 63), ("document", None, "d.pdf", 2304), ("text", "plain", None, 0), ("image", None, None, 1)]
 
 
 @pytest.mark.parametrize("name", ["op5_lines", "op10_chat"])
