@@ -1,8 +1,10 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders, windows of template tokens are
 hash-joined, and the slots of aligned windows must agree, which also catches questions asked anew with other parameters.
 
-Items are indexed by their literal windows as well, so a copy whose capitals differ is found. The index of one block of items has
-at most BLOCK_WINDOWS windows, is broadcast, and is probed by every window of every document; a larger benchmark takes one pass a block.
+Items are indexed by their literal windows as well, so a copy whose capitals differ is found. Windows of documents pass a sieve
+first, a Bloom filter over the items' windows whose size is bounded, whatever the benchmark: where it is too small for one it lets more
+through, and the join decides. The join is by hash between tables; hot windows of documents are dealt to several tasks. Windows of one document and
+item that are equally far apart form an alignment, in which each value of the item must stand for one value of the document.
 
 Windows are as long as the item allows: one changed word in the middle of an item of fewer than two windows would else spoil all of
 them, so these have windows of half their words. An item shorter than a window is one window, its whole sequence.
@@ -15,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import Scratch, look_up, prepare
 from .textkit import NOT_ALNUM, U64, Texts, Words, mix
 
 WINDOW = 8
@@ -26,7 +28,12 @@ WINDOW = 8
 LITERAL = 4
 #: Percent of an item's words that aligned windows must cover.
 COVER = 50
-BLOCK_WINDOWS = 1 << 21
+#: The sieve has 16 bits for a window, but no fewer and no more than 2 to the power of these. It is built in slices of SLICE_BITS.
+LEAST_BITS, MOST_BITS, SLICE_BITS = 16, 28, 22
+#: Windows of documents that one task joins for one hash; more are dealt to several.
+PART = 4096
+#: Documents to be dropped are broadcast up to so many.
+BROADCAST_ROWS = 500_000
 
 # Words for numbers and for units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
@@ -89,8 +96,11 @@ class Tokens:
         template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, literal)))
         return cls(kept, literal, template, number | unit | name)
 
-    def value(self, at: int) -> bytes:
-        return self.words.texts.data[self.words.start[at] : self.words.end[at]].tobytes()
+    def slots(self, begin: np.ndarray, size: int) -> pa.Array:
+        """Of windows by their first tokens: for each token its kind and value in one number, 0 for untyped ones."""
+        at = begin[:, None] + np.arange(size)
+        values = np.where(self.typed[at], self.literal[at] ^ self.template[at], U64(0)).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1, dtype=np.int32) * size), pa.array(values.ravel()))
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Literal and template hashes of windows, whether the template has literals enough, and the windows before each text."""
@@ -108,161 +118,161 @@ def window_of(words: int, size: int = WINDOW) -> int:
 
 
 @dataclass
-class Index:
-    """Sorted window hashes of items, with item number and position in it; tokens and window size of each item for the slots."""
+class Sieve:
+    """A Bloom filter with three probes: bits of a power of two in all, packed."""
 
-    items: list
-    tokens: Tokens
-    sizes: np.ndarray
-    hashes: np.ndarray
-    item: np.ndarray
-    at: np.ndarray
-    flags: np.ndarray
+    bits: np.ndarray
+
+    @staticmethod
+    def probes(hashes: np.ndarray, power: int) -> Iterator[np.ndarray]:
+        for k in range(3):
+            yield (hashes if k == 0 else mix(hashes + U64(k))) & U64((1 << power) - 1)
+
+    def passing(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be among those put in."""
+        some = np.arange(len(hashes))
+        for k in range(3):
+            at = (hashes[some] if k == 0 else mix(hashes[some] + U64(k))) & U64(8 * len(self.bits) - 1)
+            some = some[self.bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1 == 1]
+        return some
 
     @classmethod
-    def of(cls, items: list[tuple[object, str | None]], size: int = WINDOW) -> "Index":
-        tokens = Tokens.of(pa.array([t for _, t in items], pa.string()))
-        sizes = np.array([window_of(n, size) for n in tokens.words.count.tolist()], np.int64)
-        parts = []
-        for own in np.unique(sizes[sizes > 0]).tolist():
-            literal, template, good, first = tokens.windows(own)
-            item = np.repeat(np.arange(len(items)), np.diff(first))
-            at = np.arange(first[-1]) - first[item]
-            mine = sizes[item] == own
-            for values, some in ((literal, mine), (template, mine & good)):
-                parts.append((values[some], item[some], at[some]))
-        hashes, item, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(hashes, kind="stable")
-        flags = np.zeros(1 << 22, bool)
-        flags[(hashes & U64((1 << 22) - 1)).astype(np.int64)] = True
-        return cls([k for k, _ in items], tokens, sizes, hashes[order], item[order], at[order], flags)
-
-    def hits(self, hashes: np.ndarray) -> np.ndarray:
-        some = np.flatnonzero(self.flags[(hashes & U64((1 << 22) - 1)).astype(np.int64)])
-        return some[_is_in(hashes[some], self.hashes)] if len(some) and len(self.hashes) else some[:0]
+    def of(cls, windows: DataFrame, n: int) -> "Sieve":
+        """From rows with ``hash``: each slice of the bits is made by one task, and all slices together, of bounded size, reach the driver."""
+        power = min(MOST_BITS, max(LEAST_BITS, int(16 * n - 1).bit_length()))
+        slices = 1 << max(0, power - SLICE_BITS)
 
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(np.concatenate(list(cls.probes(batch.column(0).to_numpy().view(U64), power))))
+                own = (at >> U64(SLICE_BITS)).astype(np.int32)
+                for k in np.unique(own).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at[own == k].tobytes()], pa.binary())], ["slice", "at"])
 
-@dataclass
-class Match:
-    item: int
-    covered: int
-    literal: bool
-    windows: int
-
-
-def consistent(index: Index, item: int, doc: Tokens, text: int, pairs: list[tuple[int, int]], size: int) -> bool:
-    """Whether each value in the item's slots stands for one value in the document, over all windows of one alignment."""
-    a0, b0 = index.tokens.words.first[item], doc.words.first[text]
-    meant: dict[tuple[int, bytes], bytes] = {}
-    seen: set[int] = set()
-    for p, q in pairs:
-        for k in range(size):
-            if p + k in seen:
-                continue
-            seen.add(p + k)
-            a, b = a0 + p + k, b0 + q + k
-            if index.tokens.typed[a] and doc.typed[b]:
-                kind = int(index.tokens.template[a])
-                if kind != int(doc.template[b]) or meant.setdefault((kind, index.tokens.value(a)), doc.value(b)) != doc.value(b):
-                    return False
-    return True
-
-
-def matches(index: Index, array: pa.Array, cover: int = COVER) -> list[list[Match]]:
-    """Of each text the items found in it."""
-    doc = Tokens.of(array)
-    found: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
-    plain: dict[tuple[int, int], set[int]] = {}
-    for size in np.unique(index.sizes[index.sizes > 0]).tolist():
-        literal, template, good, first = doc.windows(size)
-        for hashes, is_literal in ((literal, True), (template, False)):
-            hit = index.hits(hashes)
-            if not is_literal:
-                hit = hit[good[hit]]
-            owner = np.searchsorted(first, hit, "right") - 1
-            low, high = np.searchsorted(index.hashes, hashes[hit]), np.searchsorted(index.hashes, hashes[hit], "right")
-            for h, o, a, b in zip(hit.tolist(), owner.tolist(), low.tolist(), high.tolist(), strict=True):
-                q = h - int(first[o])
-                for k in range(a, b):
-                    item, p = int(index.item[k]), int(index.at[k])
-                    if index.sizes[item] != size:
-                        continue
-                    found.setdefault((o, item), {}).setdefault(q - p, []).append((p, q))
-                    if is_literal:
-                        plain.setdefault((o, item), set()).add(p)
-    out: list[list[Match]] = [[] for _ in range(doc.words.texts.n)]
-    for (o, item), aligned in sorted(found.items()):
-        size = int(index.sizes[item])
-        covered: set[int] = set()
-        n = 0
-        for pairs in aligned.values():
-            pairs = sorted(set(pairs))
-            literal_only = all(p in plain.get((o, item), ()) for p, _ in pairs)
-            if literal_only or consistent(index, item, doc, o, pairs, size):
-                n += len(pairs)
-                for p, _ in pairs:
-                    covered.update(range(p, p + size))
-        words = int(index.tokens.words.count[item])
-        if covered and 100 * len(covered) >= cover * words:
-            exact: set[int] = set()
-            for p in plain.get((o, item), ()):
-                exact.update(range(p, p + size))
-            out[o].append(Match(item, len(covered), covered <= exact, n))
-    return out
-
-
-def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> Iterator[Index]:
-    """Indexes over all items, each of at most BLOCK_WINDOWS windows (one item with more is a block of its own). Items
-    without words are never found; null texts neither."""
-    held, n = [], 0
-    for row in benchmark.select(item_id, text).where(F.col(text).isNotNull()).toLocalIterator():
-        k = 1 + len(row[1]) // 2
-        if held and n + k > BLOCK_WINDOWS:
-            yield Index.of(held, size)
-            held, n = [], 0
-        held.append((row[0], row[1]))
-        n += k
-    if held:
-        yield Index.of(held, size)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW, cover: int = COVER) -> DataFrame:
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flags, own = None, 0
+            for batch in batches:
+                for k, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    flags = np.zeros(1 << min(power, SLICE_BITS), np.uint8) if flags is None else flags
+                    own = k
+                    flags[(np.frombuffer(at, U64) & U64(len(flags) - 1)).astype(np.int64)] = 1
+            if flags is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
+
+        rows = windows.select("hash").mapInArrow(dealt, "slice int, at binary").repartitionById(slices, "slice").mapInArrow(made, "slice int, bits binary").collect()
+        bits = np.zeros((1 << power) // 8, np.uint8)
+        for r in rows:
+            one = np.frombuffer(r["bits"], np.uint8)
+            bits[r["slice"] * len(one) : (r["slice"] + 1) * len(one)] = one
+        return cls(bits)
+
+
+WINDOWS = "size int, at int, literal boolean, hash bigint, slots array<bigint>"
+ITEMS = f"item_id bigint, item bigint, words int, {WINDOWS}"
+HITS = f"doc_id bigint, doc bigint, {WINDOWS}"
+
+
+def _rows(tokens: Tokens, size: int, keep) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+    """(owners, columns of WINDOWS) of the windows that ``keep(hashes, owners)`` gives the places of: literal ones, then good templates."""
+    literal, template, good, first = tokens.windows(size)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for hashes, kind in ((literal, True), (template, False)):
+        some = keep(hashes, owner)
+        some = some if kind else some[good[some]]
+        at = some - first[owner[some]]
+        n = len(some)
+        yield owner[some], [pa.array(np.full(n, size, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(n, kind)), pa.array(hashes[some].view(np.int64)), tokens.slots(at + tokens.words.first[owner[some]], size)]
+
+
+def item_windows(benchmark: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
+    """All windows of all items, of the size that each item's length asks for; items that are equal in id and text are one."""
+    own = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text")).where("text is not null").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = Tokens.of(batch.column(2))
+            count = tokens.words.count
+            sizes = np.array([window_of(n, size) for n in count.tolist()], np.int64)
+            for one in np.unique(sizes[sizes > 0]).tolist():
+                for owner, columns in _rows(tokens, one, lambda hashes, owner, one=one: np.flatnonzero(sizes[owner] == one)):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(count[owner].astype(np.int32)), *columns], [c.split()[0] for c in ITEMS.split(", ")])
+
+    return own.select("item_id", F.xxhash64("text").alias("item"), "text").mapInArrow(run, ITEMS)
+
+
+def hits_of(docs: DataFrame, sieve: Sieve, sizes: list[int]) -> DataFrame:
+    """Windows of documents (doc_id, doc, text) that pass the sieve."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve.bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = Sieve(shared.value)
+        for batch in batches:
+            tokens = Tokens.of(batch.column(2))
+            for size in sizes:
+                for owner, columns in _rows(tokens, size, lambda hashes, _: sieve.passing(hashes)):
+                    if len(owner):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), *columns], [c.split()[0] for c in HITS.split(", ")])
+
+    return docs.select("doc_id", "doc", "text").mapInArrow(run, HITS)
+
+
+def _covered(places: Column, size: Column) -> Column:
+    """Words that windows at these places, in order, cover together."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("until"))
+    step = lambda acc, p: F.struct((acc["n"] + p + size - F.greatest(acc["until"], p)).alias("n"), (p + size).alias("until"))
+    return F.aggregate(places, start, step)["n"]
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, size: int, cover: int, scratch: Scratch) -> DataFrame | None:
+    """(doc_id, doc, item_id, covered_words, item_words, n_windows, literal) from rows (doc_id, doc, text); ``doc`` is the text's hash."""
+    prepare(docs.sparkSession)
+    windows = scratch.save(item_windows(benchmark, item_id, item_text, size), "windows")
+    n = windows.count()
+    if not n:
+        return None
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # ``size`` of them at most
+    hits = scratch.save(hits_of(docs, Sieve.of(windows, n), sizes), "hits")
+    often = hits.groupBy("hash").agg(F.count("*").alias("m")).withColumn("parts", F.ceil(F.col("m") / PART).cast("int"))
+    often = scratch.save(often.join(windows.select("hash").distinct(), "hash"), "often")
+    left = look_up(hits, often, ["hash"], "m", hits.count(), F.xxhash64("doc", "at"), "inner").withColumn("part", F.pmod(F.xxhash64("doc_id", "doc", "at"), F.col("parts")).cast("int"))
+    right = windows.join(often.select("hash", "parts"), "hash").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.select("hash", "size", "literal", "part", "item_id", "item", "words", F.col("at").alias("p"), F.col("slots").alias("theirs"))
+    both = left.drop("parts").join(right, ["hash", "size", "literal", "part"])
+    values = F.filter(F.zip_with("theirs", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: (x["a"] != 0) & (x["b"] != 0))
+    key = ["doc_id", "doc", "item_id", "item", "words", "size"]
+    # An alignment has at most as many windows as the item.
+    aligned = both.select(*key, (F.col("at") - F.col("p")).alias("shift"), F.struct("p", "literal").alias("w"), values.alias("v"))
+    aligned = aligned.groupBy(*key, "shift").agg(F.collect_set("w").alias("ws"), F.array_distinct(F.flatten(F.collect_list("v"))).alias("vs"))
+    agree = F.size("vs") == F.size(F.array_distinct(F.transform("vs", lambda x: x["a"])))
+    each = aligned.where(agree).select(*key, F.explode("ws").alias("w")).groupBy(*key, "w.p").agg(F.bool_or("w.literal").alias("literal"), F.count("*").alias("n"))
+    items = each.groupBy(*key).agg(F.sort_array(F.collect_list("p")).alias("ps"), F.sort_array(F.collect_list(F.when(F.col("literal"), F.col("p")))).alias("ls"), F.sum("n").alias("n_windows"))
+    covered = _covered(F.col("ps"), F.col("size"))
+    out = items.select("doc_id", "doc", "item_id", "words", covered.alias("covered"), "n_windows", (_covered(F.col("ls"), F.col("size")) == covered).alias("literal"))
+    out = out.where(100 * F.col("covered") >= cover * F.col("words"))
+    return out.select("doc_id", "doc", "item_id", F.col("covered").cast("bigint").alias("covered_words"), F.col("words").cast("bigint").alias("item_words"), "n_windows", "literal")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, cover: int = COVER) -> DataFrame:
     """(doc_id, item_id, covered_words, item_words, n_windows, literal) of each document and item found in it.
 
-    Null and empty texts hold nothing. Rows are searched one by one, so null and repeated ids appear as they are; other columns are ignored.
+    Null and empty texts hold nothing, items without words are never found. Rows equal in id and text are one document, or one item;
+    null ids appear as they are, and rows that share an id but not the text are found each for itself. Other columns are ignored.
+    ``literal``: windows that are equal word by word cover all that is covered. An empty table on either side gives no rows.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("doc"), F.col(text).cast("string").alias("text"))
+    found = _found(own, benchmark, item_id, item_text, size, cover, Scratch(docs.sparkSession, "leaks"))
     schema = "doc_id bigint, item_id bigint, covered_words bigint, item_words bigint, n_windows bigint, literal boolean"
-    out = None
-    for index in blocks_of(benchmark, text=text if text in benchmark.columns else "text", size=size):
-        shared = spark.sparkContext.broadcast(index)
+    return docs.sparkSession.createDataFrame([], schema) if found is None else found.drop("doc")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                rows = [(key, index.items[m.item], m.covered, int(index.tokens.words.count[m.item]), m.windows, m.literal) for key, found in zip(batch.column(0).to_pylist(), matches(index, batch.column(1), cover), strict=True) for m in found]
-                if rows:
-                    kinds = (pa.int64(),) * 5 + (pa.bool_(),)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-        part = own.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW, cover: int = COVER) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, cover: int = COVER) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item is found."""
-    spark = docs.sparkSession
-    prepare(spark)
-    at = docs.columns.index(text)
-    for index in blocks_of(benchmark, size=size):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not m for m in matches(shared.value, batch.column(at), cover)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    scratch = Scratch(docs.sparkSession, "leaks")
+    keyed = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("doc"), F.col(text).cast("string").alias("text"), F.struct("*").alias("row"))
+    found = _found(keyed, benchmark, item_id, item_text, size, cover, scratch)
+    if found is None:
+        return docs
+    found = scratch.save(found.select(F.col("doc_id").alias("d"), F.col("doc").alias("h")).distinct(), "found")
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    left = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc") == F.col("h")), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -91,3 +91,49 @@ def components(sets: dict[int, set]) -> dict[int, int]:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: root(i) for i in ids}
+
+
+def template(text: str) -> list[tuple[str, str]]:
+    """(word, kind) of each token; kind is empty, or number, unit or name. Later parts of decimals and dates are left out."""
+    from leafmill.llm.decontam import NUMBER_WORDS, UNIT_WORDS
+
+    out, end, before = [], 0, False
+    for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text):
+        word, between = m[0], text[end : m.start()]
+        digits = bool(re.fullmatch("[0-9]+", word))
+        part = digits and before and len(between) == 1 and between in ".,:/"
+        name = "A" <= word[0] <= "Z" and end > 0 and not re.search("[.!?:\n]", between)
+        end, before = m.end(), digits
+        word = lower(word)
+        kind = "number" if digits or word in NUMBER_WORDS else "unit" if word in UNIT_WORDS else "name" if name else ""
+        if not part:
+            out.append((word, kind))
+    return out
+
+
+def leaks(item: str, text: str, size: int = 8) -> bool:
+    """Whether aligned windows whose slots agree cover half of the item's words."""
+    a, b = template(item), template(text)
+    n = size if len(a) >= 2 * size else len(a) // 2 if len(a) >= size else len(a)
+    if not n:
+        return False
+    most = n - 4 if n == size else n - -(-n * 4 // size)
+    shifts: dict[int, set] = {}
+    for p in range(len(a) - n + 1):
+        for q in range(len(b) - n + 1):
+            x, y = a[p : p + n], b[q : q + n]
+            typed = sum(k != "" for _, k in x)
+            alike = [v or w for w, v in x] == [v or w for w, v in y] and 0 < typed <= most and typed == sum(k != "" for _, k in y)
+            if [w for w, _ in x] == [w for w, _ in y] or alike:
+                shifts.setdefault(q - p, set()).add(p)
+    covered = set()
+    for shift, places in shifts.items():
+        meant: dict = {}
+        agree = True
+        for p in places:
+            for k in range(p, p + n):
+                if a[k][1] and b[k + shift][1]:
+                    agree &= meant.setdefault(a[k], b[k + shift]) == b[k + shift]
+        if agree:
+            covered |= {k for p in places for k in range(p, p + n)}
+    return bool(covered) and 100 * len(covered) >= 50 * len(a)
