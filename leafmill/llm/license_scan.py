@@ -1,7 +1,8 @@
 """Licence detection by ordered signature rules over canonical text.
 
 Canonical text: the lower-cased words of a document, one blank between them; so a match is an interval of words. A rule names
-the words that must all occur before its expression is tried. Detections that lie inside another of higher priority, or of
+groups of words, of each of which one must occur before its expression is tried; a document that holds no word of any first group is not
+looked at further. Detections that lie inside another of higher priority, or of
 equal priority and greater length, are suppressed. Base phrases are found by word hashes in every document and always stay.
 """
 
@@ -11,12 +12,14 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import license_rules
 from .common import prepare
 from .textkit import NOT_ALNUM, Texts
 
@@ -29,133 +32,30 @@ class Rule:
     label: str
     priority: int
     pattern: str
-    keywords: tuple[str, ...]
+    keywords: tuple[tuple[str, ...], ...]
     weight: float
 
 
-V = r"(?: v| version| v version)? ?"  # "version 2 0", "v2 0", "2 0"
-LATER = r"(?: or(?: at your option)? \(?any later(?: version)?)?"
-# Full names: label, keyword that every match holds as a word, name as a regular expression over canonical text.
-NAMES = (
-    ("apache-2.0", "apache", rf"apache(?: software)? licen[cs]e{V}2(?: 0)?"),
-    ("apache-1.1", "apache", rf"apache(?: software)? licen[cs]e{V}1 1"),
-    ("apache-1.0", "apache", rf"apache(?: software)? licen[cs]e{V}1 0"),
-    ("mit", "mit", r"(?:mit|expat|x11)(?: x11)? licen[cs]e"),
-    ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?"),
-    ("gpl-1.0", "general", rf"gnu general public licen[cs]e{V}1(?: 0)?{LATER}"),
-    ("gpl-2.0", "general", rf"gnu general public licen[cs]e{V}2(?: 0)?{LATER}"),
-    ("gpl-3.0", "general", rf"gnu general public licen[cs]e{V}3(?: 0)?{LATER}"),
-    ("lgpl-2.0", "general", rf"gnu (?:library|lesser) general public licen[cs]e{V}2(?: 0)?{LATER}"),
-    ("lgpl-2.1", "general", rf"gnu lesser general public licen[cs]e{V}2 1{LATER}"),
-    ("lgpl-3.0", "general", rf"gnu lesser general public licen[cs]e{V}3(?: 0)?{LATER}"),
-    ("agpl-3.0", "affero", rf"gnu affero general public licen[cs]e(?:{V}3(?: 0)?)?{LATER}"),
-    ("gfdl-1.1", "documentation", rf"gnu free documentation licen[cs]e{V}1 1{LATER}"),
-    ("gfdl-1.2", "documentation", rf"gnu free documentation licen[cs]e{V}1 2{LATER}"),
-    ("gfdl-1.3", "documentation", rf"gnu free documentation licen[cs]e{V}1 3{LATER}"),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd|old bsd)(?: licen[cs]e)?"),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?"),
-    ("bsd-2-clause", "freebsd", r"freebsd(?: licen[cs]e)?"),
-    ("0bsd", "bsd", r"(?:zero clause bsd|0 clause bsd)"),
-    ("0bsd", "free", r"free public licen[cs]e 1 0 0"),
-    ("bsd", "bsd", r"bsd licen[cs]e"),
-    ("isc", "isc", r"isc licen[cs]e"),
-    ("mpl-1.0", "mozilla", rf"mozilla public licen[cs]e{V}1 0"),
-    ("mpl-1.1", "mozilla", rf"mozilla public licen[cs]e{V}1 1"),
-    ("mpl-2.0", "mozilla", rf"mozilla public licen[cs]e{V}2 0"),
-    ("epl-1.0", "eclipse", rf"eclipse public licen[cs]e{V}1 0"),
-    ("epl-2.0", "eclipse", rf"eclipse public licen[cs]e{V}2 0"),
-    ("cddl-1.0", "distribution", rf"common development and distribution licen[cs]e{V}1 0"),
-    ("cddl-1.1", "distribution", rf"common development and distribution licen[cs]e{V}1 1"),
-    ("cpl-1.0", "common", rf"common public licen[cs]e{V}1 0"),
-    ("eupl-1.1", "european", rf"european union public licen[cs]e{V}1 1"),
-    ("eupl-1.2", "european", rf"european union public licen[cs]e{V}1 2"),
-    ("artistic-1.0", "artistic", rf"artistic licen[cs]e{V}1 0"),
-    ("artistic-2.0", "artistic", rf"artistic licen[cs]e{V}2 0"),
-    ("bsl-1.0", "boost", rf"boost software licen[cs]e{V}1 0"),
-    ("busl-1.1", "business", rf"business source licen[cs]e{V}1 1"),
-    ("sspl-1.0", "server", rf"server side public licen[cs]e(?:{V}1)?"),
-    ("elastic-2.0", "elastic", rf"elastic licen[cs]e{V}2(?: 0)?"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e"),
-    ("libpng", "libpng", r"libpng licen[cs]e"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("wtfpl", "want", r"do what the \w+ you want to public licen[cs]e"),
-    ("python-2.0", "python", rf"python software foundation licen[cs]e(?:{V}2)?"),
-    ("python-2.0", "psf", rf"psf licen[cs]e(?:{V}2)?"),
-    ("php-3.01", "php", rf"php licen[cs]e{V}3 01"),
-    ("ruby", "ruby", r"ruby licen[cs]e"),
-    ("openssl", "openssl", r"openssl licen[cs]e"),
-    ("ofl-1.1", "sil", rf"sil open font licen[cs]e(?:{V}1 1)?"),
-    ("odbl-1.0", "database", r"open (?:data commons open )?database licen[cs]e(?: v?1 0)?"),
-    ("odc-by-1.0", "attribution", r"open data commons attribution licen[cs]e(?: v?1 0)?"),
-    ("pddl-1.0", "domain", r"public domain dedication and licen[cs]e"),
-    ("cecill-2.1", "cecill", r"cecill(?:(?: v ?| version ?| v version ?| )2 1)?"),
-    ("cecill-2.1", "cecill2", r"cecill2 1"),
-    ("ms-pl", "microsoft", r"microsoft public licen[cs]e"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e"),
-    ("ncsa", "ncsa", r"(?:ncsa|university of illinois ncsa) (?:open source )?licen[cs]e"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e"),
-    ("vim", "vim", r"vim licen[cs]e"),
-    ("afl-3.0", "academic", rf"academic free licen[cs]e{V}3 0"),
-    ("osl-3.0", "open", rf"open software licen[cs]e{V}3 0"),
-    ("openrail", "openrail", r"(?:creativeml |bigscience )?openrail(?: m| \+\+ m)?(?: licen[cs]e)?"),
-    ("openrail", "rail", r"(?:creativeml |bigscience )?open rail(?: m| \+\+ m)?(?: licen[cs]e)?"),
-    ("llama", "llama", r"llama \d(?: \d)? community licen[cs]e(?: agreement)?"),
-)
-# Short forms of identifiers: label and its spelling in canonical text.
-IDENTIFIERS = tuple((label, re.sub(r"[^a-z0-9]+", " ", label)) for label in dict.fromkeys(label for label, _, _ in NAMES)) + (
-    ("gpl-2.0", "gplv2"), ("gpl-3.0", "gplv3"), ("gpl-2.0", "gpl 2"), ("gpl-3.0", "gpl 3"), ("lgpl-2.1", "lgplv2 1"),
-    ("lgpl-3.0", "lgplv3"), ("agpl-3.0", "agplv3"), ("apache-2.0", "apache2"), ("apache-2.0", "apache 2"), ("mpl-2.0", "mplv2"),
-)
-CC_PARTS = (("by", "by|attribution"), ("by-sa", "by sa|attribution share ?alike"), ("by-nd", "by nd|attribution no ?deriv(?:ative)?s"), ("by-nc", "by nc|attribution non ?commercial"), ("by-nc-sa", "by nc sa|attribution non ?commercial share ?alike"), ("by-nc-nd", "by nc nd|attribution non ?commercial no ?deriv(?:ative)?s"))
-CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-# Sentences that stand in notices: label, priority, keywords, expression.
-NOTICES = (
-    ("mit", 30, "permission granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", 30, "permission fee", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee"),
-    ("bsd", 30, "redistribution binary", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", 40, "endorse promote", r"neither the name of [\w ]{1,80} may be used to endorse or promote products"),
-    ("bsd-4-clause", 40, "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
-    ("gpl", 30, "redistribute gnu", r"you can redistribute it and or modify it under the terms of the gnu"),
-    ("gpl", 20, "foundation published", r"as published by the free software foundation"),
-    ("apache-2.0", 40, "apache licensed", r"licensed under the apache licen[cs]e version 2 0 the licen[cs]e you may not use this file except"),
-    ("zlib", 30, "implied warranty", r"this software is provided as is without any express or implied warranty in no event will the authors"),
-    ("unlicense", 40, "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", 25, "domain", r"(?:placed|released|dedicated) (?:in|into|to) the public domain"),
-    ("cc0-1.0", 45, "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc0-1.0", 45, "creative zero", r"creative commons zero(?: v?1 0)?"),
-    ("proprietary", 10, "reserved", r"all rights reserved"),
-    ("proprietary", 15, "proprietary confidential", r"proprietary and confidential"),
-    ("proprietary", 15, "unauthorized strictly", r"unauthorized (?:copying|use|reproduction)[\w ]{0,40} strictly prohibited"),
-    ("no-warranty", 5, "warranty", r"without warranty of any kind"),
-    ("copyright", 5, "copyright", r"copyright(?: c)? (?:19|20)\d\d"),
-)
-# Lead-ins before an identifier.
-LEADS = ("spdx license identifier", "license", "licence", "licensed under", "licensed under the", "released under", "released under the", "under the terms of the", "distributed under the")
-
-
 def rules() -> tuple[Rule, ...]:
     """All rules, the highest priority first."""
-    out = [Rule(label, 60, rf"(?:the )?{name}", (key,) if key not in ("mit", "sil", "general") else (), 0.9) for label, key, name in NAMES]
-    out += [Rule(label, 70 if lead.startswith("spdx") else 50, rf"{lead} {ident}", tuple(dict.fromkeys([lead.split()[0], ident.split()[0]])), 0.95) for label, ident in IDENTIFIERS for lead in LEADS]
-    for part, spelt in CC_PARTS:
-        for version in CC_VERSIONS:
-            number = version.replace(".", " ")
-            out.append(Rule(f"cc-{part}-{version}", 65, rf"(?:cc|creative commons) (?:{spelt})(?: {number}|(?: licen[cs]e)? version {number})(?: international| unported)?", (), 0.9))
-        out.append(Rule(f"cc-{part}", 55, rf"(?:cc|creative commons) (?:{spelt})(?: licen[cs]e)?", (), 0.7))
-        out.append(Rule(f"cc-{part}", 55, rf"creativecommons org licenses {part.replace('-', ' ')}", ("creativecommons",), 0.9))
-    out += [Rule(label, priority, pattern, tuple(keys.split()), 0.4 + priority / 100) for label, priority, keys, pattern in NOTICES]
+    out = []
+    for label, priority, keywords, pattern in license_rules.RULES:
+        for short, whole in license_rules.SHORT.items():
+            pattern = pattern.replace(short, whole)
+        out.append(Rule(label, priority, pattern, tuple(tuple(k.split("|")) for k in keywords.split()), min(0.95, 0.35 + priority / 100)))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
 @lru_cache(2)
-def compiled(given: tuple[Rule, ...]) -> tuple[tuple[Rule, re.Pattern, frozenset[str]], ...]:
-    return tuple((r, re.compile(rf"(?<!\S)(?:{r.pattern})(?!\S)"), frozenset(r.keywords)) for r in given)
+def compiled(given: tuple[Rule, ...]) -> tuple[tuple[Rule, re.Pattern, tuple[frozenset[str], ...]], ...]:
+    return tuple((r, re.compile(rf"(?<!\S)(?:{r.pattern})(?!\S)"), tuple(map(frozenset, r.keywords))) for r in given)
 
 
-#: A document without any of these words has no detection: each rule's every match holds one of them, see test_license_gate.
-GATE = ("license", "licence", "licenses", "licensed", "unlicense", "wtfpl", "cc", "cc0", "creative", "creativecommons", "released", "distributed", "terms", "permission", "redistribution", "redistribute", "published", "endorse", "advertising", "warranty", "domain", "reserved", "proprietary", "unauthorized", "unencumbered", "copyright", "bsd", "freebsd", "free", "attribution", "cecill", "openrail", "rail", "open", "spdx", "dedication", "placed", "dedicated", "cecill2", "license1", "license2", "license3", "licence1", "licence2", "licence3")
+def gate(given: tuple[Rule, ...]) -> tuple[str, ...]:
+    """Words of which every match of any rule holds one: the first groups. A rule without keywords can't be gated."""
+    if not all(r.keywords for r in given):
+        raise ValueError("every rule needs keywords")
+    return tuple(sorted({w for r in given for w in r.keywords[0]}))
 
 
 def detections(words: list[str], given: tuple[Rule, ...]) -> list[tuple[int, int, Rule]]:
@@ -164,7 +64,7 @@ def detections(words: list[str], given: tuple[Rule, ...]) -> list[tuple[int, int
     found = []
     starts = None
     for rule, expression, keys in compiled(given):
-        if keys <= present:
+        if not any(present.isdisjoint(group) for group in keys):
             for m in expression.finditer(text):
                 if starts is None:
                     starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
@@ -173,11 +73,23 @@ def detections(words: list[str], given: tuple[Rule, ...]) -> list[tuple[int, int
 
 
 def suppress(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Drop what lies inside a kept detection; higher priority is kept first, then greater length, then earlier start and label."""
+    """Drop what lies inside a kept detection; higher priority is kept first, then greater length, then earlier start and label.
+
+    Of each priority those in order of their start: one lies inside another where the furthest end before it reaches its own; what
+    is kept of higher ones is held by start with the furthest end so far. So the time is that of sorting, for each priority."""
     kept: list[tuple[int, int, Rule]] = []
-    for d in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-            kept.append(d)
+    starts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = sorted(found, key=lambda d: (-d[2].priority, d[0], -d[1], d[2].label))
+    for _, some in groupby(order, key=lambda d: d[2].priority):
+        new, reach = [], -1
+        for d in some:
+            at = int(np.searchsorted(starts, d[0], "right"))
+            if reach < d[1] and not (at and ends[at - 1] >= d[1]):
+                new.append(d)
+                reach = d[1]
+        kept += new
+        every = sorted((d[0], d[1]) for d in kept)
+        starts, ends = np.array([x for x, _ in every]), np.maximum.accumulate([x for _, x in every])
     return sorted(kept, key=lambda d: (d[0], d[1], d[2].label))
 
 
@@ -197,7 +109,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", given: tup
     given = given or rules()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gate = np.sort(_hash(list(GATE)))
+        gated_by = np.sort(_hash(list(gate(given))))
         phrases = [(_hash(phrase.split()), label) for phrase, label in BASE]
         span = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64()), ("label", pa.string())]))
         for batch in batches:
@@ -215,7 +127,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", given: tup
                     at = np.flatnonzero(hit)
                     for p in at[owner[at] == owner[at + size - 1]]:
                         places[owner[p]].append((int(p - words.first[owner[p]]), label))
-            gated = np.bincount(owner[gate[np.minimum(np.searchsorted(gate, h), len(gate) - 1)] == h], minlength=n) > 0
+            gated = np.bincount(owner[gated_by[np.minimum(np.searchsorted(gated_by, h), len(gated_by) - 1)] == h], minlength=n) > 0
             rows = []
             for i in range(n):
                 spans: list[tuple[int, int, Rule]] = []

@@ -137,3 +137,22 @@ def leaks(item: str, text: str, size: int = 8) -> bool:
         if agree:
             covered |= {k for p in places for k in range(p, p + n)}
     return bool(covered) and 100 * len(covered) >= 50 * len(a)
+
+
+def suppressed(found: list) -> list:
+    """(first, after, label) of detections that lie in none of higher priority, or of equal priority that is longer or, if as long, named before."""
+    out = []
+    for d in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
+        if not any(k[0] <= d[0] and d[1] <= k[1] for k in out):
+            out.append(d)
+    return [(a, b, r.label) for a, b, r in sorted(out, key=lambda d: (d[0], d[1], d[2].label))]
+
+
+def license_spans(words: list[str], compiled) -> list:
+    """Detections of all rules tried on the whole text."""
+    text, at, start = " ".join(words), {}, 0
+    for k, w in enumerate(words):
+        at[start] = k
+        start += len(w) + 1
+    found = [(at[m.start()], at[m.start()] + len(m[0].split()), rule) for rule, expression, _ in compiled for m in expression.finditer(text)]
+    return suppressed(found)
