@@ -1,12 +1,14 @@
 """Quality rules as a short-circuit cascade: rules are ordered by rejections per cost, both estimated on a sample.
 
-A rule is a vectorised predicate over the texts that no earlier rule has rejected. The verdict is the conjunction of all rules,
-so the order, and with it the sample, changes the time taken and never the result.
+A rule is a vectorised predicate over the texts that no earlier rule has rejected; as texts go, the facts at hand are cut down to those
+still in. What a rule costs is what it has to find out beyond the facts that rules before it have found: so costs are marginal, and counted in
+bytes, words and comparisons, not in seconds, and the order is the same on every run. The verdict is the conjunction of all rules, so
+the order changes the time taken, and which failed rule is named, but never the verdict.
 """
 
 from __future__ import annotations
 
-import time
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,8 +26,8 @@ UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
-#: Rows on which costs and selectivities are estimated, and characters that such a row may have: the sample goes to the driver.
-SAMPLE_ROWS, SAMPLE_CHARS = 1000, 1 << 16
+#: Rows, about, on which costs and selectivities are estimated. They are looked at whole, on the executors; only sums come to the driver.
+SAMPLE_ROWS = 1000
 
 
 def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -45,6 +47,32 @@ class Facts:
             self._kept[name] = make()
         return self._kept[name]
 
+    def of(self, alive: np.ndarray) -> "Facts":
+        """The same facts of some of the texts: what is known is cut, not found out anew."""
+        at = self.texts.at
+        sizes, inside = np.diff(at)[alive], np.repeat(alive, np.diff(at))
+        texts = Texts.__new__(Texts)
+        texts.n, texts.at = int(alive.sum()), np.concatenate([[0], np.cumsum(sizes)])
+        texts.data = texts.raw = self.texts.data[inside]
+        out = Facts(texts)
+        for name, value in self._kept.items():
+            if name == "words":
+                some = np.repeat(alive, value.count)
+                moved = np.repeat(at[:-1][alive] - texts.at[:-1], value.count[alive])
+                words = Words.__new__(Words)
+                words.texts, words.start, words.end, words.count = texts, value.start[some] - moved, value.end[some] - moved, value.count[alive]
+                words.first = np.concatenate([[0], np.cumsum(words.count)])
+                out._kept[name] = words
+            elif name == "hashes":
+                out._kept[name] = value[np.repeat(alive, self.words.count)]
+            elif name == "lines":
+                owner, again = value
+                some = alive[owner]
+                out._kept[name] = ((np.cumsum(alive) - 1)[owner[some]], again[some])
+            else:
+                out._kept[name] = value[alive]
+        return out
+
     @property
     def words(self) -> Words:
         return self._once("words", self.texts.words)
@@ -150,55 +178,130 @@ def found_twice(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sorting(n: float) -> float:
+    return n * math.log2(n + 2)
+
+
+#: Of each fact, those it is found from, and about how many steps it takes for a text of so many bytes, words and lines.
+COSTS: dict[str, tuple[tuple[str, ...], Callable[[float, float, float], float]]] = {
+    "words": ((), lambda b, w, n: 6 * b),
+    "hashes": (("words",), lambda b, w, n: 8 * b + 4 * w),
+    "symbols": ((), lambda b, w, n: 2 * b),
+    "upper": ((), lambda b, w, n: 2 * b),
+    "letters": ((), lambda b, w, n: 2 * b),
+    "inside": ((), lambda b, w, n: 2 * b),
+    "word_chars": ((), lambda b, w, n: 4 * b),
+    "lines": (("words",), lambda b, w, n: 10 * b + 4 * _sorting(n)),
+    "repeat": (("words", "hashes"), lambda b, w, n: 12 * w + 4 * _sorting(w)),
+    "top": (("words", "hashes"), lambda b, w, n: 4 * w + 4 * _sorting(w)),
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
+    needs: tuple[str, ...]
     rejects: Callable[[Facts], np.ndarray]
 
 
 RULES = (
-    Rule("few_words", lambda f: f.n_words < 10),
-    Rule("repeated_passages", lambda f: 100 * f.n_repeat_words > 20 * f.n_words),
-    Rule("symbols", lambda f: 10 * f.bytes_in("symbols", SYMBOLS) > 2 * f.n_words),
-    Rule("capitals", lambda f: 2 * f.bytes_in("upper", UPPER) > f.bytes_in("letters", LETTER)),
-    Rule("not_letters", lambda f: 10 * f.bytes_in("letters", LETTER) < 6 * f.bytes_in("inside", ~BLANK)),
-    Rule("word_length", lambda f: (f.word_chars < 2 * f.n_words) | (f.word_chars > 16 * f.n_words)),
-    Rule("repeated_lines", lambda f: 10 * f.n_dup_lines > 3 * f.n_lines),
-    Rule("one_word", lambda f: 10 * f.top_word > 4 * f.n_words),
+    Rule("few_words", ("words",), lambda f: f.n_words < 10),
+    Rule("repeated_passages", ("words", "repeat"), lambda f: 100 * f.n_repeat_words > 20 * f.n_words),
+    Rule("symbols", ("symbols", "words"), lambda f: 10 * f.bytes_in("symbols", SYMBOLS) > 2 * f.n_words),
+    Rule("capitals", ("upper", "letters"), lambda f: 2 * f.bytes_in("upper", UPPER) > f.bytes_in("letters", LETTER)),
+    Rule("not_letters", ("letters", "inside"), lambda f: 10 * f.bytes_in("letters", LETTER) < 6 * f.bytes_in("inside", ~BLANK)),
+    Rule("word_length", ("word_chars", "words"), lambda f: (f.word_chars < 2 * f.n_words) | (f.word_chars > 16 * f.n_words)),
+    Rule("repeated_lines", ("lines",), lambda f: 10 * f.n_dup_lines > 3 * f.n_lines),
+    Rule("one_word", ("top", "words"), lambda f: 10 * f.top_word > 4 * f.n_words),
 )
-#: Rules of the fixed part of the verdict; the operator always has them, whatever other rules are given.
-BASE = ("few_words", "repeated_passages")
+#: Facts that the columns of judge() need of every text.
+COUNTED = ("words", "word_chars", "symbols", "lines", "hashes", "repeat")
+
+
+def closure(needs: tuple[str, ...]) -> set[str]:
+    """Facts that have to be found for these."""
+    out: set[str] = set()
+    for name in needs:
+        out |= {name} | closure(COSTS[name][0])
+    return out
 
 
-def cascade(array: pa.Array, rules: tuple[Rule, ...], facts: Facts | None = None) -> np.ndarray:
-    """Index of the first rule that rejects each text, -1 for kept ones. A later rule sees only texts still in; the batch
-    is cut down to these as soon as they are fewer than half of it, until then its facts are shared."""
+def cascade(array: pa.Array, rules: tuple[Rule, ...], facts: Facts | None = None, seen: list[int] | None = None) -> np.ndarray:
+    """Index of the first rule that rejects each text, -1 for kept ones. A rule is tried on no text that one before it has rejected, but for
+    a tenth of the texts at most, below which cutting the facts down isn't worth it. ``seen`` gets the number of texts each rule was tried on."""
     out, at = np.full(len(array), -1), np.arange(len(array))
     facts = facts or Facts(Texts(array))
     alive = np.ones(len(array), bool)
     for k, rule in enumerate(rules):
-        if not alive.any():
-            break
-        if 2 * alive.sum() < facts.texts.n:
-            at, alive = at[alive], np.ones(alive.sum(), bool)
-            facts = Facts(Texts(array.take(pa.array(at))))
+        if alive.sum() <= 0.9 * len(alive):
+            facts, at = facts.of(alive), at[alive]
+            alive = np.ones(len(at), bool)
+        if seen is not None:
+            seen.append(len(at))
+        if not len(at):
+            continue
         bad = alive & rule.rejects(facts)
         out[at[bad]] = k
         alive &= ~bad
     return out
 
 
-def ordered(sample: list[str | None], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
-    """Rules by rejections per second on the sample, the highest first; without a sample in the order given."""
-    if not sample:
+PROFILE = "failed bigint, n bigint, " + ", ".join(f"{name} double" for name in COSTS)
+
+
+def profile(sample: DataFrame, rules: tuple[Rule, ...]) -> list:
+    """Rows (failed, n, cost of each fact) of a sample's texts by the set of rules that reject them, as bits: two to the power of rules at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = Facts(Texts(batch.column(0)))
+            failed = sum((rule.rejects(f).astype(np.int64) << k for k, rule in enumerate(rules)), np.zeros(f.texts.n, np.int64))
+            sizes = list(zip(np.diff(f.texts.at).tolist(), f.n_words.tolist(), f.n_lines.tolist(), strict=True))
+            costs = [pa.array([cost(*x) for x in sizes], pa.float64()) for _, cost in COSTS.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(failed), pa.array(np.ones(len(failed), np.int64)), *costs], ["failed", "n", *COSTS])
+
+    rows = sample.select("text").mapInArrow(run, PROFILE)
+    return rows.groupBy("failed").agg(*[F.sum(c).alias(c) for c in ("n", *COSTS)]).collect()
+
+
+def ordered(profiled: list, rules: tuple[Rule, ...] = RULES, known: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """Rules by rejections per cost: always that next which rejects most of the texts still in for what it has to find out of these,
+    beyond the facts ``known`` and those that rules before it need. Without a sample, in the order given."""
+    if not profiled:
         return rules
-    array, gain = pa.array(sample, pa.string()), {}
-    for rule in rules:
-        facts = Facts(Texts(array))
-        began = time.perf_counter()
-        rejected = int(rule.rejects(facts).sum())
-        gain[rule.name] = (rejected + 0.5) / (time.perf_counter() - began + 1e-6)
-    return tuple(sorted(rules, key=lambda r: -gain[r.name]))
+    alive, left, found, out = list(profiled), list(enumerate(rules)), closure(known), []
+    while left:
+
+        def gain(rule: tuple[int, Rule], alive=alive, found=found) -> float:
+            cost = sum(r[name] for r in alive for name in closure(rule[1].needs) - found)
+            return (sum(r["n"] for r in alive if r["failed"] >> rule[0] & 1) + 0.5) / (cost + sum(r["n"] for r in alive) + 1)
+
+        best = max(left, key=gain)
+        left.remove(best)
+        out.append(best[1])
+        found = found | closure(best[1].needs)
+        alive = [r for r in alive if not r["failed"] >> best[0] & 1]
+    return tuple(out)
+
+
+def estimated(own: DataFrame, rules: tuple[Rule, ...], sample_rows: int, known: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """Rules in order, from about ``sample_rows`` rows of (doc_id, text) that a hash picks."""
+    n = own.count()
+    some = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n // sample_rows))) == 0)
+    return ordered(profile(some, rules), rules, known) if n else rules
+
+
+def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that no rule rejects; only what the cascade asks for is found out of a text."""
+    prepare(docs.sparkSession)
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    chosen, at = estimated(own, rules, sample_rows), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(cascade(batch.column(at).cast(pa.string()), chosen) < 0))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -209,9 +312,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tu
     """
     prepare(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n = own.count()
-    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // sample_rows))) == 0).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("text").limit(sample_rows)
-    cost_order = ordered([r["text"] for r in some.collect()], rules) if n else rules
+    # The counts are asked for of every text, so their facts cost the rules nothing.
+    cost_order = estimated(own, rules, sample_rows, COUNTED)
     names = [r.name for r in cost_order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
