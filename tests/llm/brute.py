@@ -156,3 +156,88 @@ def license_spans(words: list[str], compiled) -> list:
         start += len(w) + 1
     found = [(at[m.start()], at[m.start()] + len(m[0].split()), rule) for rule, expression, _ in compiled for m in expression.finditer(text)]
     return suppressed(found)
+
+
+def is_kept(text: str | None) -> bool:
+    """The verdict of all eight rules."""
+    text = text or ""
+    c, words = rule_counts(text), WORD.findall(text)
+    inside = [b for w in words for b in w.encode()]
+    letters = sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in inside)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return not (
+        c["base_failed"]
+        or 10 * c["n_symbols"] > 2 * c["n_words"]
+        or 2 * sum(65 <= b <= 90 for b in inside) > letters
+        or 10 * letters < 6 * len(inside)
+        or not 2 * c["n_words"] <= c["word_chars"] <= 16 * c["n_words"]
+        or 10 * c["n_dup_lines"] > 3 * len(lines)
+        or 10 * max(Counter(words).values(), default=0) > 4 * c["n_words"]
+    )
+
+
+def url_templates(rows: list[tuple]) -> dict:
+    """page_id: (template, verdict) from rows (page_id, url, bad), by a recursion over the tree of each host."""
+    import math
+
+    from leafmill.llm.url_tree import APART, BAR, BINS, PRIOR, SUPPORT
+
+    known = [bad for _, _, bad in rows if bad is not None]
+    overall = (sum(known) + 1) / (len(known) + 2)
+    share = lambda b, n: (b + PRIOR * overall) / (n + PRIOR)
+
+    def differ(b1, n1, b2, n2):
+        pooled = (b1 + b2 + 2 * PRIOR * overall) / (n1 + n2 + 2 * PRIOR)
+        return abs(share(b1, n1) - share(b2, n2)) > APART * math.sqrt(pooled * (1 - pooled) * (1 / (n1 + PRIOR) + 1 / (n2 + PRIOR)))
+
+    def typed(s):
+        s = re.sub(r"^\d+(?=$|\.[a-z]{1,5}$)", "{n}", s)
+        return re.sub(r"^(?=[0-9a-f]*\d)[0-9a-f-]{8,}(?=$|\.[a-z]{1,5}$)", "{x}", s)
+
+    nodes: dict = {}
+    for page, url, bad in rows:
+        facts = url_facts(url)
+        nodes.setdefault((facts["host"], ""), []).append((page, [typed(s) for s in facts["path"].removeprefix("/").split("/")], bad))
+    template = {}
+    counts = lambda some: (sum(b or 0 for _, _, b in some), sum(b is not None for _, _, b in some))
+    level = 0
+    while nodes:
+        new: dict = {}
+        for (host, prefix), members in nodes.items():
+            if len({tuple(segs) for _, segs, _ in members}) == 1:
+                for page, segs, _ in members:
+                    template[page] = (host, "/".join([prefix, *(s if "{" in s else "*" for s in segs[level:])]))
+                continue
+            children: dict = {}
+            for m in members:
+                if len(m[1]) > level:
+                    children.setdefault(m[1][level], []).append(m)
+            # Paths that ended here have no segment; they are finished one level before.
+            nb, nl = counts([m for c in children.values() for m in c])
+            bins: dict = {}
+            for seg, c in children.items():
+                cb, cl = counts(c)
+                if len(c) >= SUPPORT and nl > cl and differ(cb, cl, nb - cb, nl - cl):
+                    bins.setdefault(min(math.floor(2 * math.asin(math.sqrt(share(cb, cl))) / math.pi * BINS), BINS - 1), []).append(seg)
+            groups: list = []
+            for k in sorted(bins):
+                b, n = (sum(counts(children[s])[i] for s in bins[k]) for i in (0, 1))
+                if groups and not differ(b, n, groups[-1][0], groups[-1][1]):
+                    groups[-1] = (groups[-1][0] + b, groups[-1][1] + n, groups[-1][2] + bins[k])
+                else:
+                    groups.append((b, n, bins[k]))
+            of = {s: (str(k), len(g[2])) for k, g in enumerate(groups, 1) for s in g[2]}
+            for seg, c in children.items():
+                number, size = of.get(seg, ("", 0))
+                step = seg if size == 1 or (counts(c)[1] == nl and "{" in seg) else f"*{number}"
+                for m in c:
+                    if len(m[1]) == level + 1:
+                        template[m[0]] = (host, f"{prefix}/{step}")
+                    else:
+                        new.setdefault((host, f"{prefix}/{step}"), []).append(m)
+        nodes, level = new, level + 1
+    sums: dict = {}
+    for page, _, bad in rows:
+        b, n = sums.get(template[page], (0, 0))
+        sums[template[page]] = (b + (bad or 0), n + (bad is not None))
+    return {page: (t[1], "block" if sums[t][1] and share(*sums[t]) >= BAR else "allow") for page, t in template.items()}

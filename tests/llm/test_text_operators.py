@@ -46,8 +46,47 @@ def test_rule_order_does_not_change_the_verdict(spark):
         rules = list(quality_rules.RULES)
         random.Random(seed).shuffle(rules)
         assert ((quality_rules.cascade(array, tuple(rules)) >= 0) == want).all()
-    chosen = quality_rules.ordered(array.to_pylist())
+    rows = spark.createDataFrame([(x,) for x in array.to_pylist()], "text string")
+    profiled = quality_rules.profile(rows, quality_rules.RULES)
+    chosen = quality_rules.ordered(profiled)
     assert {r.name for r in chosen} == {r.name for r in quality_rules.RULES}
+    assert [r.name for r in quality_rules.ordered(quality_rules.profile(rows.repartition(3), quality_rules.RULES))] == [r.name for r in chosen]
+
+
+def test_the_order_is_that_of_marginal_gain():
+    """A rule that is dear by itself comes early once another has found its facts, and what is rejected already counts for nothing."""
+    rule = lambda name, *needs: quality_rules.Rule(name, needs, lambda f: f.n_words < 0)
+    rules = (rule("a", "words"), rule("b", "words", "hashes", "repeat"), rule("c", "symbols"), rule("d", "hashes"))
+    row = lambda failed, n: {"failed": failed, "n": n} | {k: 100.0 * n * (5 if k == "repeat" else 1) for k in quality_rules.COSTS}
+    got = quality_rules.ordered([row(0b0000, 50), row(0b0001, 20), row(0b0101, 25), row(0b1000, 5)], rules)
+    assert [r.name for r in got] == ["a", "d", "c", "b"]
+    assert [r.name for r in quality_rules.ordered([row(0b0010, 9), row(0b0100, 4)], rules, ("repeat",))][0] == "b"
+
+
+def test_rejected_texts_are_not_looked_at_again(spark):
+    junk, good = ["# # # $"] * 300, ["a clean line of some twelve quite ordinary words that differ all over, no. %d" % k for k in range(100)]
+    array, seen = pa.array(junk + good), []
+    got = quality_rules.cascade(array, quality_rules.RULES, seen=seen)
+    assert (got[:300] == 0).all() and (got[300:] == -1).all()
+    assert seen == [400] + [100] * (len(quality_rules.RULES) - 1)
+    facts = quality_rules.Facts(Texts(array))
+    for rule in quality_rules.RULES:
+        rule.rejects(facts)
+    keep = np.arange(400) % 7 < 3
+    cut, anew = facts.of(keep), quality_rules.Facts(Texts(array.filter(pa.array(keep))))
+    for rule in quality_rules.RULES:
+        assert (rule.rejects(cut) == rule.rejects(anew)).all()
+    assert (cut.hashes == anew.hashes).all() and (cut.words.start == anew.words.start).all() and all((a == b).all() for a, b in zip(cut.lines, anew.lines, strict=True))
+
+
+def test_verdicts_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd_docs(spark).select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    got = by_id(quality_rules.judge(docs))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
+    assert {i for i in texts if got[i]["kept"]} == {i for i, t in texts.items() if brute.is_kept(t)}
+    kept = quality_rules.accepted(odd_docs(spark))
+    assert kept.columns == odd_docs(spark).columns
+    assert sorted(r["text"] for r in kept.collect()) == sorted(r["text"] for r in odd_docs(spark).collect() if brute.is_kept(r["text"]))
 
 
 def test_clean_documents_pass_and_junk_fails(spark):
@@ -412,6 +451,38 @@ def test_alike_branches_merge(spark):
     assert [r["template"] for r in got] == ["/*/{n}"]
 
 
+def test_alike_groups_of_branches_merge(spark):
+    """Two groups of sections, one bad and one good, stand as two wildcards, each of several sections; what is deep or long is no exception."""
+    rows = []
+    for k, section in enumerate("abcdefgh"):
+        rows += [(len(rows), f"http://big.example.io/{section * 60}/v1/x/y/z/w/{i}.html", int(i % 20 != 0) if k % 2 else int(i % 20 == 0)) for i in range(200)]
+    got = url_tree.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), F.col("bad")).collect()
+    assert {(r["path"][1], r["template"]) for r in got} == {(s, f"/*{1 + k % 2}/*/*/*/*/*/{{n}}.html") for k, s in enumerate("abcdefgh")}
+    assert all((r["verdict"] == "block") == (r["path"][1] in "bdfh") for r in got)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_templates_against_a_plain_tree(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(2500):
+        host = rng.choice(["a.io", "b.io", "c.io"])
+        path = [rng.choice(["news", "shop", "tag", "x1", "deadbeef99", "7"]) for _ in range(rng.randint(0, 3))] + rng.choice([[], [str(k)], [f"{k}.html"], ["a", "b", "c", "d", "e", rng.choice("fg")]])
+        bad = None if rng.random() < 0.3 else int(rng.random() < (0.9 if path[:1] in (["shop"], ["tag"]) else 0.05))
+        rows.append((k, f"http://{host}/{'/'.join(path)}", bad))
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_tree.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), F.col("bad"), rules=()).collect()}
+    want = brute.url_templates(rows)
+    assert got == want and len({t for t, _ in want.values()}) > 8
+
+
+def test_labels_of_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a/en/5.html", 9), (2, "http://a/en/6", 9), (2, "http://a/en/6", 9), (3, None, 9), (4, "http://a/x", 9), (5, "http://a/99999999999999999999", 9), (None, "http://a/7/", 9)], "page_id long, url string, doc int")
+    labels = spark.createDataFrame([(5, 0, 0), (6, 1, 0), (6, 1, 1), (7, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    got = url_tree.bad_by_document(pages, labels)
+    assert got.columns == ["page_id", "url", "doc", "_bad"]
+    assert sorted((str(r["page_id"]), str(r["_bad"])) for r in got.collect()) == sorted([("1", "1"), ("2", "1"), ("2", "1"), ("3", "None"), ("4", "None"), ("5", "None"), ("None", "0")])
+
+
 def test_shingles_against_brute_force():
     texts = [*ODD, "A b C d E f", "a b c d e f", "one two", "one  two", "two one"]
     values, first = distinct(*Texts(pa.array(texts, pa.string()), lower=True).words().shingles())
