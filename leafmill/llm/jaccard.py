@@ -8,7 +8,8 @@
 3. Within a tile, bit counts of hashed bitmaps bound the overlap from above; what passes is compared exactly.
 4. Tiles of up to SMALL members give all pairs. In larger ones, members whose bitmaps allow a link are connected by a forest; what it connects
    is a family. One pair a node is verified first, and joins most of a family; pairs of a family are then compared only where they are
-   still in different components, each pair once, in blocks by size band. So each pair that could link is compared, refuted by its bound, or already connected: no link is lost.
+   still in different components, each pair once, in blocks by size band. The members of a family's largest component are never dealt out to meet each
+   other, so they are repeated only as often as there are blocks of members outside it. So each pair that could link is compared, refuted by its bound, or already connected: no link is lost.
 
 Keys are shuffled as packed blocks, one row for each task's batch and destination.
 """
@@ -256,8 +257,9 @@ def related(tiles: DataFrame, percent: int) -> DataFrame:
 
 def tile_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows (tile, node) dealt into pairs of blocks of each tile, with sizes and bitmaps."""
-    count = members.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("c"))
-    own = members.join(count, "tile").join(nodes.select("node", "n", "bits").hint("merge"), "node").withColumn("at", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    count = members.groupBy("tile").agg(F.count("*").alias("w"), F.ceil(F.count("*") / BLOCK).cast("int").alias("c"))
+    own = look_up(members, count, ["tile"], "w", members.count(), F.col("node"), "inner")
+    own = own.join(nodes.select("node", "n", "bits").hint("merge"), "node").withColumn("at", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
     own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     return own.select("tile", F.least("at", "j").alias("x"), F.greatest("at", "j").alias("y"), (F.col("at") <= F.col("j")).alias("mine"), "node", "n", "bits")
 
@@ -307,28 +309,43 @@ def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(p) + len(q) - both)
 
 
-def family_blocks(members: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Members of families dealt into blocks by size band and hash; every two blocks of bands that can link form one tile of compared().
+def outside_largest(members: DataFrame) -> DataFrame:
+    """``members`` (node, root, family) with ``minor``: whether a member is outside of its family's largest component."""
+    roots = members.groupBy("family", "root").agg(F.count("*").alias("k"))
+    largest = roots.groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.sum("k").alias("w"))
+    return look_up(members, largest, ["family"], "w", members.count(), F.col("node"), "inner").select("node", "root", "family", (F.col("root") != F.col("largest")).alias("minor"))
 
-    ``members``: (node, root, family). A member is repeated for each block that its own meets."""
+
+def family_blocks(members: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Members of families dealt into blocks by size band and hash; every two blocks of bands that can link, but for two of the largest
+    component, form one tile of compared().
+
+    ``members``: (node, root, family, minor). A member is repeated for each block that its own meets."""
     low = [int(x) for x in bands(percent)[:64]]
     band = sum((F.when(F.col("n") >= x, 1).otherwise(0) for x in low[1:]), F.lit(0))
-    own = members.join(nodes.select("node", "n"), "node").withColumn("band", band)
-    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int")
-    count = own.groupBy("family", "band").agg(parts.alias("c"))
-    near = lambda by, name: count.select("family", (F.col("band") + by).alias("band"), F.col("c").alias(name))
-    own = own.join(near(0, "c"), ["family", "band"]).join(near(-1, "above"), ["family", "band"], "left").join(near(1, "below"), ["family", "band"], "left")
-    own = own.withColumn("at", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    own = scratch.save(members.join(nodes.select("node", "n"), "node").withColumn("band", band), "banded")
+    blocks = lambda of: F.coalesce(F.greatest(F.ceil(F.count_if(of) / BLOCK), F.ceil(F.sum(F.when(of, F.col("n"))) / BLOCK_ELEMENTS)).cast("int"), F.lit(0))
+    count = own.groupBy("family", "band").agg(blocks(F.col("minor")).alias("minors"), blocks(~F.col("minor")).alias("majors"), F.count("*").alias("w"))
+    near = lambda by, name: count.select("family", (F.col("band") + by).alias("band"), F.col("minors").alias(f"minors_{name}"), F.col("majors").alias(f"majors_{name}"))
+    count = scratch.save(count.join(near(-1, "above"), ["family", "band"], "left").join(near(1, "below"), ["family", "band"], "left"), "blocks")
+    own = look_up(own, count, ["family", "band"], "w", own.count(), F.col("node"), "inner")
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
     lowest = lambda by: F.get(F.array(*map(F.lit, low)), F.col("band") + by)
     # The smallest sizes of a band don't reach the band above, nor the largest the band below.
-    reaches = {"c": F.lit(True), "above": 100 * F.col("n") >= percent * lowest(1), "below": percent * F.col("n") <= 100 * (lowest(0) - 1)}
-    upto = lambda c: F.when((F.col(c) > 0) & reaches[c], F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    above, below = 100 * F.col("n") >= percent * lowest(1), percent * F.col("n") <= 100 * (lowest(0) - 1)
+    upto = lambda c, when: F.when((F.col(c) > 0) & when, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     tile = lambda b, k, x, y, mine: F.struct(b.cast("int").alias("band"), F.lit(k).alias("kind"), x.alias("x"), y.alias("y"), mine.alias("mine"))
-    at = F.col("at")
+    here, true, false, minor = F.col("band"), F.lit(True), F.lit(False), F.col("minor")
     every = F.concat(
-        F.transform(upto("c"), lambda j: tile(F.col("band"), 0, F.least(at, j), F.greatest(at, j), at <= j)),
-        F.transform(upto("above"), lambda j: tile(F.col("band"), 1, at, j, F.lit(True))),
-        F.transform(upto("below"), lambda j: tile(F.col("band") - 1, 1, j, at, F.lit(False))),
+        F.transform(upto("minors", minor), lambda j: tile(here, 0, F.least(at, j), F.greatest(at, j), at <= j)),
+        F.transform(upto("majors", minor), lambda j: tile(here, 1, at, j, true)),
+        F.transform(upto("minors", ~minor), lambda j: tile(here, 1, j, at, false)),
+        F.transform(upto("minors_above", minor & above), lambda j: tile(here, 2, at, j, true)),
+        F.transform(upto("minors_below", minor & below), lambda j: tile(here - 1, 2, j, at, false)),
+        F.transform(upto("majors_above", minor & above), lambda j: tile(here, 3, at, j, true)),
+        F.transform(upto("minors_below", ~minor & below), lambda j: tile(here - 1, 3, j, at, false)),
+        F.transform(upto("minors_above", ~minor & above), lambda j: tile(here, 4, at, j, true)),
+        F.transform(upto("majors_below", minor & below), lambda j: tile(here - 1, 4, j, at, false)),
     )
     return own.select("family", "node", "n", "root", F.explode(every).alias("t")).select("family", "t.*", "node", "n", "root").join(texts.hint("merge"), "node")
 
@@ -406,7 +423,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     inside = root_of(families, "node", "root")
     mixed = inside.groupBy("family").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("family")
     inside = scratch.save(inside.join(mixed, "family").select("node", "root", "family"), "inside")
-    joined = compared(family_blocks(inside, nodes, texts, percent), size, percent).withColumn("linked", F.lit(True))
+    joined = compared(family_blocks(outside_largest(inside), nodes, texts, percent, scratch), size, percent).withColumn("linked", F.lit(True))
     apart = root_of(root_of(pairs, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
     own_family = inside.select("node", F.col("family").alias("root"))
     apart = root_of(root_of(apart, "a", "fa", own_family), "b", "fb", own_family).where("fa <> fb").select("a", "b")
