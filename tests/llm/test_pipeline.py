@@ -1,7 +1,9 @@
 """The corpus pipeline, stage by stage, against plain Python on what each stage was given."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
-from leafmill.llm import packing
+from leafmill.llm import line_dedup, packing
 from leafmill.llm.common import Scratch
 
 from . import brute
@@ -25,7 +27,9 @@ def test_stages(spark):
     assert sum(agree) >= 0.9 * len(agree)  # some fifty labelled rows to learn from; test_text_operators asks for more on more
 
     before, after = ({r["doc_id"]: r for r in x.collect()} for x in (good, lines))
-    assert set(before) == set(after) and all(len(r["text"]) == r["n_chars"] for r in after.values())
+    cut = {r["doc_id"]: r["text"] for r in line_dedup.dedup(good).collect()}
+    assert set(before) - set(after) == {i for i, t in cut.items() if t is not None and not t.strip() and before[i]["text"].strip()}
+    assert all(r["text"] == cut[i] for i, r in after.items()) and all(len(r["text"]) == r["n_chars"] for r in after.values())
     every = [x for r in after.values() for x in r["text"].split("\n") if len(x) >= 20]
     assert len(every) == len(set(every))
 
@@ -44,3 +48,23 @@ def test_stages(spark):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 0
+
+
+def test_without_labels_and_without_documents(spark, tmp_path):
+    """Without labels every document is kept by the classifier; without documents no stage fails and nothing comes out."""
+    for t in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{SF}/{t}.parquet")
+        rows.where(F.lit(t != "labels")).write.parquet(f"{tmp_path}/a/{t}.parquet")
+        rows.where(F.lit(t != "documents")).write.parquet(f"{tmp_path}/b/{t}.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert P.good_quality(spark, docs, f"{tmp_path}/a").count() == docs.count()
+    assert P.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_odd_rows_pass_every_stage(spark):
+    kind = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(1, None, "en", "s", None), (None, "free text", None, None, 9), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "word " * 30000, "en", "s", 150000)]
+    docs = spark.createDataFrame(rows, kind)
+    for _, stage in P.STAGES[1:]:
+        docs = stage(spark, docs, SF)
+    assert sorted({str(r["doc_id"]) for r in docs.collect()}) == ["1", "2", "3", "None"]
