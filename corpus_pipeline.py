@@ -18,8 +18,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand, exactly or nearly, before them in the corpus. No document is dropped."""
-    cut = line_dedup.dedup(docs).select(docs.columns)
+    """Texts without lines that stand, exactly or nearly, before them in the corpus. A document of which nothing is left goes; one that had no
+    words before stays as it is."""
+    cut = line_dedup.dedup(docs)
+    cut = cut.where((F.col("n_dropped_lines") == 0) | F.coalesce(F.col("text").rlike(r"\S"), F.lit(True))).select(docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
