@@ -27,6 +27,8 @@ THRESHOLD = 1
 HEAVY = 32
 #: Halvings of a gap at once, at a threshold of 1.
 SPLITS = 3
+#: Heavy keys are broadcast up to so many, 9 bytes each.
+BROADCAST_KEYS = 1 << 17
 #: Parts into which the copies of one line are dealt.
 SALTS = 16
 
@@ -210,9 +212,9 @@ def refine(keys: DataFrame, lines: DataFrame, scratch: Scratch, threshold: int)
         closed = F.aggregate("gaps", F.lit(0), lambda n, g: n + _costs(g)) <= threshold
         new = new.select("h1", "h2", "short", "gaps", gap_key(F.col("line"), F.col("short"), F.col("gaps")).alias("key"), own.alias("own"), closed.alias("closed"))
         new = scratch.save(new, "fine")
-        count = new.groupBy("key").agg(F.count("*").alias("m"), F.bool_and("closed").alias("done"), F.bool_or("own").alias("any")).where("m > 1 and any")
-        met = scratch.save(look_up(new, count, ["key"], "m", new.count(), F.col("h1"), "inner").join(count.select("key", "m").where(F.col("m") > HEAVY).withColumn("heavy", F.lit(True)), "key", "left"), "met")
-        few = _meet(met.where("not done and heavy is null"))
+        count = new.groupBy("key").agg(F.count("*").alias("m"), F.bool_and("closed").alias("done"), F.bool_or("own").alias("any")).where("m > 1 and any").withColumn("heavy", F.col("m") > HEAVY)
+        met = scratch.save(look_up(new, count, ["key"], "m", new.count(), F.col("h1"), "inner"), "met")
+        few = _meet(met.where("not done and not heavy"))
         same = met.where("done").select("key", "h1", "h2", "own")
         pairs, groups = (few, same) if pairs is None else (pairs.unionByName(few), groups.unionByName(same))
         rows = met.where("not done and heavy").select("h1", "h2", "short", "gaps")
@@ -225,9 +227,10 @@ def near_pairs(lines: DataFrame, scratch: Scratch, threshold: int) -> tuple[Data
     sized = lines.select("h1", "h2", "line", F.length("line").alias("n"))
     emitted = sized.select("h1", "h2", F.inline(segment_keys(F.col("line"), F.col("n"), threshold))).where("key is not null")
     keys = scratch.save(_shared(emitted, scratch), "keys")
-    counted = keys.groupBy("key").agg(F.count("*").alias("m"))
-    heavy = look_up(keys, counted.where(F.col("m") > HEAVY).withColumn("heavy", F.lit(True)), ["key"], "m", keys.count(), F.col("h1"))
-    keys = scratch.save(heavy, "marked")
+    heavy = scratch.save(keys.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HEAVY).withColumn("heavy", F.lit(True)), "heavy")
+    # Keys that many lines share are few; only where they aren't do all keys have to be dealt out to find them.
+    known = heavy.count() <= BROADCAST_KEYS
+    keys = keys.join(F.broadcast(heavy.drop("m")), "key", "left") if known else scratch.save(look_up(keys, heavy, ["key"], "m", keys.count(), F.col("h1")), "marked")
     own = F.col("role").isin([k for k, (extra, _, shift) in enumerate(roles(threshold)) if extra == shift == 0])
     pairs = _meet(keys.where("heavy is null").withColumn("own", own))
     many, groups = keys.where("heavy").select("h1", "h2", "role"), None
