@@ -27,7 +27,7 @@ THRESHOLD = 1
 HEAVY = 32
 #: Halvings of a gap at once, at a threshold of 1.
 SPLITS = 3
-#: Heavy keys are broadcast up to so many, 9 bytes each.
+#: Heavy keys, and the two hashes of the lines that share them, are broadcast up to so many, some MB.
 BROADCAST_KEYS = 1 << 17
 #: Parts into which the copies of one line are dealt.
 SALTS = 16
@@ -189,8 +189,11 @@ def _shared(emitted: DataFrame, scratch: Scratch) -> DataFrame:
     return emitted.join(scratch.save(shared.select("key"), "shared"), "key").distinct()
 
 
-def _texts(lines: DataFrame, ends: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h1, h2, line) of the lines of ``ends`` (h1, h2). A line that stands in many documents is dealt to SALTS tasks, each of which passes on one copy."""
+def _texts(lines: DataFrame, ends: DataFrame, scratch: Scratch, few: bool = False) -> DataFrame:
+    """(h1, h2, line) of the lines of ``ends`` (h1, h2). Few ends are broadcast. Else a line that stands in many documents is dealt to SALTS
+    tasks, each of which passes on one copy."""
+    if few and ends.count() <= BROADCAST_KEYS:
+        return scratch.save(lines.select("h1", "h2", "line").join(F.broadcast(ends), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line")), "texts")
     salted = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = lines.select("h1", "h2", "line", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int").alias("salt"))
     return scratch.save(spread.join(salted.hint("merge"), ["h1", "h2", "salt"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line")), "texts")
@@ -199,7 +202,7 @@ def _texts(lines: DataFrame, ends: DataFrame, scratch: Scratch) -> DataFrame:
 def refine(keys: DataFrame, lines: DataFrame, scratch: Scratch, threshold: int) -> tuple[DataFrame | None, DataFrame | None]:
     """(pairs, groups) of rows (h1, h2, role) of keys that more than HEAVY lines share: pairs of lines that meet at refined keys, and
     rows (key, h1, h2, own) of keys whose gaps are closed: each line of such a key is near to all whose ``own`` text is shortest there."""
-    texts = _texts(lines, keys.select("h1", "h2").distinct(), scratch)
+    texts = _texts(lines, scratch.save(keys.select("h1", "h2").distinct(), "held"), scratch, few=True)
     state = gaps_of(F.col("role"), F.length("line"), threshold)
     rows = keys.join(texts, ["h1", "h2"]).select("h1", "h2", state.alias("s")).select("h1", "h2", "s.short", "s.gaps")
     pairs, groups = None, None
