@@ -29,44 +29,44 @@ def pages_of(spark, *given):
 
 
 def test_numbers_heading_and_tail(spark):
-    got = pages_of(spark, ("BOOK42", "s1", "t1", [page("left", ("Kapitel 7", 40, 70), ("Der geheime Garten", 90, 120), ("12", 970, 1000)), page("right", ("Sie trat an das Fenster.", 60, 90), ("Dann hoerte sie Schritte", 110, 140), ("13", 970, 1000))]))
-    left, right = got["BOOK42", "page_0012"], got["BOOK42", "page_0013"]
-    assert (left["chapter_number"], left["chapter_heading"], left["clean_text"], left["speak_text"], left["tail_fragment"]) == (7, "Der geheime Garten", "Kapitel 7\nDer geheime Garten", "Kapitel 7\nDer geheime Garten", None)
-    assert (right["tail_fragment"], right["speak_text"], right["clean_text"]) == ("Dann hoerte sie Schritte", "Sie trat an das Fenster.", "Sie trat an das Fenster.\nDann hoerte sie Schritte")
+    got = pages_of(spark, ("HARBOUR", "s1", "t1", [page("left", ("Kapitel 5", 40, 70), ("Am alten Hafen", 90, 120), ("12", 970, 1000)), page("right", ("Der Kahn lag am Steg.", 60, 90), ("Vom Ufer rief jemand", 110, 140), ("13", 970, 1000))]))
+    left, right = got["HARBOUR", "page_0012"], got["HARBOUR", "page_0013"]
+    assert (left["chapter_number"], left["chapter_heading"], left["clean_text"], left["speak_text"], left["tail_fragment"]) == (5, "Am alten Hafen", "Kapitel 5\nAm alten Hafen", "Kapitel 5\nAm alten Hafen", None)
+    assert (right["tail_fragment"], right["speak_text"], right["clean_text"]) == ("Vom Ufer rief jemand", "Der Kahn lag am Steg.", "Der Kahn lag am Steg.\nVom Ufer rief jemand")
 
 
 def test_several_markers_and_inferred_number(spark):
-    got = pages_of(spark, ("B", "s", "t", [page("left", ("31", 40, 80), ("Sterben tut der Vater erst ein knappes Jahr später, am 2. De-", 160, 200), ("32", 840, 880), ("Im Jahr 1944 wird in einem Birkenwäldchen ein Heft mit", 960, 1000), ("132", 1760, 1790)), page("right", ("INTERMEZZO", 420, 500))]))
+    got = pages_of(spark, ("B", "s", "t", [page("left", ("31", 40, 80), ("Gefunden wird das Netz erst Wochen danach, am 9. No-", 160, 200), ("32", 840, 880), ("Im Frühling liegt hinter der Mühle ein Brief mit", 960, 1000), ("132", 1760, 1790)), page("right", ("ZWISCHENSPIEL", 420, 500))]))
     left, right = got["B", "page_0132"], got["B", "page_0133"]
     assert [(m["chapter_number"], m["line_index"]) for m in left["chapter_markers"]] == [(31, 0), (32, 2)]
-    assert (right["chapter_heading"], right["chapter_number"], right["speak_text"], right["tail_fragment"], right["inferred"]) == ("INTERMEZZO", None, "INTERMEZZO", None, True)
-    assert left["speak_text"].startswith("Kapitel einunddreissig.\n\nSterben tut") and "\n\nKapitel zweiunddreissig.\n\n" in left["speak_text"]
+    assert (right["chapter_heading"], right["chapter_number"], right["speak_text"], right["tail_fragment"], right["inferred"]) == ("ZWISCHENSPIEL", None, "ZWISCHENSPIEL", None, True)
+    assert left["speak_text"].startswith("Kapitel einunddreissig.\n\nGefunden wird") and "\n\nKapitel zweiunddreissig.\n\n" in left["speak_text"]
 
 
 def test_cardinal_and_hyphens(spark):
-    got = pages_of(spark, ("A", "s", "t", [page("left", ("2", 40, 80), ("Der Anfang des Kapitels.", 160, 200), ("44", 1760, 1790))]), ("C", "s", "t", [page("left", ("Weilchen dort liegen, bis ein Gewehr-", 220, 260), ("kolben vorwärts stößt.", 270, 310), ("132", 1760, 1790))]))
-    assert got["A", "page_0044"]["speak_text"] == "Kapitel zwei.\n\nDer Anfang des Kapitels."
-    assert got["C", "page_0132"]["clean_text"] == "Weilchen dort liegen, bis ein Gewehr-\nkolben vorwärts stößt."
-    assert got["C", "page_0132"]["speak_text"] == "Weilchen dort liegen, bis ein Gewehrkolben vorwärts stößt."
+    got = pages_of(spark, ("A", "s", "t", [page("left", ("2", 40, 80), ("Die Flut kam früh.", 160, 200), ("44", 1760, 1790))]), ("C", "s", "t", [page("left", ("stand lange so, bis ein Fischer-", 220, 260), ("boot vom Sand kam.", 270, 310), ("132", 1760, 1790))]))
+    assert got["A", "page_0044"]["speak_text"] == "Kapitel zwei.\n\nDie Flut kam früh."
+    assert got["C", "page_0132"]["clean_text"] == "stand lange so, bis ein Fischer-\nboot vom Sand kam."
+    assert got["C", "page_0132"]["speak_text"] == "stand lange so, bis ein Fischerboot vom Sand kam."
 
 
 def test_right_tail_goes_to_the_next_left_page(spark):
-    first = ("B", "s1", "t1", [page("left", ("Alles gut.", 100, 130), ("10", 970, 1000)), page("right", ("Es war spät. Dann hörte er", 100, 130), ("11", 970, 1000))])
-    second = ("B", "s2", "t2", [page("left", ("einen Schritt. Still.", 100, 130), ("12", 970, 1000))])
-    assert pages_of(spark, first, second)["B", "page_0012"]["speak_text"] == "Dann hörte er einen Schritt. Still."
+    first = ("B", "s1", "t1", [page("left", ("Der Tag begann.", 100, 130), ("10", 970, 1000)), page("right", ("Der Wind stand. Bald kam", 100, 130), ("11", 970, 1000))])
+    second = ("B", "s2", "t2", [page("left", ("ein Segel näher. Ruhe.", 100, 130), ("12", 970, 1000))])
+    assert pages_of(spark, first, second)["B", "page_0012"]["speak_text"] == "Bald kam ein Segel näher. Ruhe."
 
 
 def test_pending_tail_is_held_and_cleared(spark):
-    first = ("B", "s1", "t1", [page("left", ("Alles gut.", 100, 130)), page("right", ("Es war spät. Dann hörte er", 100, 130))])
-    second = ("B", "s2", "t2", [page("left", ("einen Schritt. Still.", 100, 130)), page("right", ("Ende gut.", 100, 130))])
-    third = ("B", "s3", "t3", [page("left", ("neu begonnen.", 100, 130))])
+    first = ("B", "s1", "t1", [page("left", ("Der Tag begann.", 100, 130)), page("right", ("Der Wind stand. Bald kam", 100, 130))])
+    second = ("B", "s2", "t2", [page("left", ("ein Segel näher. Ruhe.", 100, 130)), page("right", ("Alle schliefen.", 100, 130))])
+    third = ("B", "s3", "t3", [page("left", ("am Morgen weiter.", 100, 130))])
     found, _ = ingest(reports(spark, first, second, third))
     del found
     from leafmill.plans.ingest import drafts, finished, stitched
 
     said = {(r["scan_id"], r["side"]): r["speak_text"] for r in stitched(finished(drafts(reports(spark, first, second, third))[0])).collect()}
-    assert said["s2", "left"] == "Dann hörte er einen Schritt. Still."
-    assert said["s3", "left"] == "neu begonnen."
+    assert said["s2", "left"] == "Bald kam ein Segel näher. Ruhe."
+    assert said["s3", "left"] == "am Morgen weiter."
 
 
 def test_refused_pages(spark):
@@ -88,20 +88,20 @@ def book(spark, texts, marks=()):
 
 
 def test_section_ends_at_the_first_marker_after_ten_pages(spark):
-    pages = book(spark, [*(f"Seite {i}." for i in range(1, 12)), "Kapitel 12\nDer neue Abschnitt beginnt."], {5, 12})
+    pages = book(spark, [*(f"Seite {i}." for i in range(1, 12)), "Kapitel 12\nAm Meer war es still."], {5, 12})
     got = sections.section_text(pages, sections.boundaries(pages)).collect()
     assert [(r["chapter_id"], r["start_page"], r["end_page"], r["content_page_count"], r["page_span"]) for r in got] == [("chapter_0001", 1, 11, 11, 12)]
     assert "Kapitel 12" not in got[0]["text"]
     rest = sections.section_text(pages, sections.pending(pages, sections.boundaries(pages))).first()
-    assert rest["text"] == "Kapitel 12\nDer neue Abschnitt beginnt."
+    assert rest["text"] == "Kapitel 12\nAm Meer war es still."
 
 
 def test_section_falls_back_within_page_twenty_and_resumes_there(spark):
-    texts = [*(f"Seite {i}." for i in range(1, 20)), "Erster Absatz.\n\nOffener Satz ohne Ende", *(f"Seite {i}." for i in range(21, 30)), "Kapitel 30\nDer neue Abschnitt."]
+    texts = [*(f"Seite {i}." for i in range(1, 20)), "Das Netz war voll.\n\nHinter dem Deich wartete", *(f"Seite {i}." for i in range(21, 30)), "Kapitel 30\nAm Meer."]
     pages = book(spark, texts, {30})
     got = sections.section_text(pages, sections.boundaries(pages)).orderBy("sequence").collect()
-    assert got[0]["text"].endswith("Erster Absatz.") and "Offener" not in got[0]["text"]
-    assert got[1]["text"].startswith("Offener Satz ohne Ende") and (got[1]["start_page"], got[1]["end_page"]) == (20, 29)
+    assert got[0]["text"].endswith("Das Netz war voll.") and "Hinter" not in got[0]["text"]
+    assert got[1]["text"].startswith("Hinter dem Deich wartete") and (got[1]["start_page"], got[1]["end_page"]) == (20, 29)
 
 
 def test_boundaries_always_advance():

@@ -29,10 +29,10 @@ def test_closed_periods_without_anything(spark):
 
 
 def test_paragraphs_and_page_number(spark):
-    lines = [(0, "Ein Titel", 10, 0, 200, 30, 0.9), (1, "Der erste Satz be-", 10, 80, 300, 110, 0.9), (2, "ginnt hier.", 10, 115, 300, 145, 0.9), (3, "Neuer Absatz.", 10, 300, 300, 330, 0.9), (4, "17", 150, 900, 170, 930, 0.9)]
+    lines = [(0, "Alter Hafen", 10, 0, 200, 30, 0.9), (1, "Am Steg lag ein Ka-", 10, 80, 300, 110, 0.9), (2, "nister voll Öl.", 10, 115, 300, 145, 0.9), (3, "Keiner nahm ihn.", 10, 300, 300, 330, 0.9), (4, "17", 150, 900, 170, 930, 0.9)]
     df = spark.createDataFrame([("p", *x) for x in lines], "page string, line_index int, text string, left int, top int, right int, bottom int, confidence double")
     got = [(r["kind"], r["text"], r["line_indices"]) for r in layout.paragraphs(df, ["page"]).orderBy("paragraph").collect()]
-    assert got == [("chapter_heading", "Ein Titel", [0]), ("paragraph", "Der erste Satz beginnt hier.", [1, 2]), ("paragraph", "Neuer Absatz.", [3])]
+    assert got == [("chapter_heading", "Alter Hafen", [0]), ("paragraph", "Der erste Satz benister voll Öl.", [1, 2]), ("paragraph", "Keiner nahm ihn.", [3])]
     numbered = df.withColumn("engine", F.lit("tesseract")).withColumn("block_num", F.when(F.col("line_index") < 2, 1).otherwise(2)).withColumn("par_num", F.lit(1))
     assert layout.paragraphs(numbered, ["page"]).count() == 2
 
@@ -45,9 +45,9 @@ def test_best_candidate_and_swap(spark):
 
 
 def test_reading_stream_over_pages(spark):
-    df = spark.createDataFrame([("B", 1, "page_1", 1, "Er oeffnete langsam die Tuer und"), ("B", 2, "page_2", 1, "blickte in den dunklen Raum. Und"), ("B", 3, "page_3", 1, "dann")], "tag_id string, page_position int, page_id string, paragraph int, text string")
+    df = spark.createDataFrame([("B", 1, "page_1", 1, "Der Kahn trieb lange am Ufer und"), ("B", 2, "page_2", 1, "stieß gegen den Steg. Erst"), ("B", 3, "page_3", 1, "dann")], "tag_id string, page_position int, page_id string, paragraph int, text string")
     got = [(r["text"], r["complete"], r["source_pages"]) for r in speech.reading_stream(df).orderBy("position").collect()]
-    assert got == [("Er oeffnete langsam die Tuer und blickte in den dunklen Raum.", True, ["page_1", "page_2"]), ("Und dann", False, ["page_2", "page_3"])]
+    assert got == [("Der Kahn trieb lange am Ufer und stieß gegen den Steg.", True, ["page_1", "page_2"]), ("Erst dann", False, ["page_2", "page_3"])]
 
 
 def test_packing_of_speech(spark):
