@@ -7,11 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_quoted_dialogue, is_speech_heading, is_title_cased, normalize_space, trim
+from .text import is_quoted_dialogue, is_speech_heading, is_title_cased, normalize_space, once, trim
 
-# Pauses in milliseconds, and the pitch of a question's last word.
+# Pauses in milliseconds, the pitch of a question's last word, and expressions of sentence ends, line ends and questions.
 ANNOUNCEMENT, HEADING, SENTENCE, PARAGRAPH = 1350, 700, 900, 2000
 PITCH = "+3st"
+QUESTION = r"""(?s)^(.*?)([A-Za-zÄÖÜäöüß]+)(\?(?:["'«»”)\]]*)?)$"""
 SENTENCE_BOUNDARY = r"""(?U)(?:(?<=[.!?…])|(?<=[.!?…]["'«»”)]))\s+(?=[A-ZÄÖÜ0-9"„“»])"""
 LINE_END = r"""([.?](?:["'«»”)\]]*)?)[ \t]*\n"""
 
@@ -46,18 +47,17 @@ def paragraphs(text: Column) -> Column:
     marked = F.regexp_replace(trim(text), LINE_END, "$1\n\n")
     parts = F.filter(F.transform(F.split(marked, r"(?U)\n\s*\n+"), normalize_space), lambda p: p != "")
 
-    def join(acc: Column, p: Column) -> Column:
-        n = F.size(acc["done"])
-        last = F.concat(F.element_at(acc["done"], -1), F.lit(" "), p)
-        grown = F.when((n > 0) & acc["open"], F.concat(F.slice(acc["done"], F.lit(1), n - 1), F.array(last))).otherwise(F.concat(acc["done"], F.array(p)))
-        return F.struct(grown.alias("done"), is_quoted_dialogue(p).alias("open"))
+    def joined(every: Column) -> Column:
+        before = lambda i: F.get(every, i - 1)
+        marks = F.transform(every, lambda p, i: F.concat(F.when(i == 0, "").when(is_quoted_dialogue(before(i)), " ").otherwise("\x01"), p))
+        return F.when(F.size(every) == 0, F.array().cast("array<string>")).otherwise(F.split(F.array_join(marks, ""), "\x01"))
 
-    return F.aggregate(parts, F.struct(F.array().cast("array<string>").alias("done"), F.lit(False).alias("open")), join)["done"]
+    return once(parts, joined)
 
 
 def sentence_markup(s: Column) -> Column:
     """A sentence; the last word of a question is raised."""
-    question = r"""(?s)^(.*?)([A-Za-zÄÖÜäöüß]+)(\?(?:["'«»”)\]]*)?)$"""
+    question = QUESTION
     raised = F.concat(F.lit("<s>"), escape(F.regexp_extract(s, question, 1)), F.lit(f'<prosody pitch="{PITCH}">'), F.regexp_extract(s, question, 2), F.lit("</prosody>"), escape(F.regexp_extract(s, question, 3)), F.lit("</s>"))
     return F.when(s.rlike(question), raised).otherwise(F.concat(F.lit("<s>"), escape(s), F.lit("</s>")))
 
@@ -65,7 +65,6 @@ def sentence_markup(s: Column) -> Column:
 def enhanced_ssml(text: Column, label: str = "Kapitel") -> Column:
     """Paragraphs, sentences, emphasised headings and graded pauses; the plain form where the words would not be the same."""
     name = re.escape(label.strip() or "Kapitel")
-    t = trim(text)
 
     def stressed(p: Column, ms: Column) -> Column:
         return F.concat(F.lit('<s><emphasis level="moderate">'), escape(p), F.lit('</emphasis></s><break time="'), ms.cast("string"), F.lit('ms"/>'))
@@ -81,10 +80,15 @@ def enhanced_ssml(text: Column, label: str = "Kapitel") -> Column:
         rest = F.when(is_title_cased(p), ANNOUNCEMENT).otherwise(HEADING)
         return F.when(announced, stressed(p, F.lit(ANNOUNCEMENT))).when(is_speech_heading(p), stressed(p, rest)).otherwise(prose(p))
 
-    body = F.array_join(F.transform(paragraphs(t), one), "")
-    spoken = F.regexp_replace(unescape(F.regexp_replace(body, "<[^>]+>", "")), r"(?U)\s+", "")
-    same = (spoken == F.regexp_replace(t, r"(?U)\s+", "")) & ~t.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
-    return F.when(t == "", "<speak></speak>").when(same, F.concat(F.lit("<speak>"), body, F.lit("</speak>"))).otherwise(ssml(text, label))
+    def whole(t: Column) -> Column:
+        return once(F.array_join(F.transform(paragraphs(t), one), ""), lambda body: checked(t, body))
+
+    def checked(t: Column, body: Column) -> Column:
+        spoken = F.regexp_replace(unescape(F.regexp_replace(body, "<[^>]+>", "")), r"(?U)\s+", "")
+        same = (spoken == F.regexp_replace(t, r"(?U)\s+", "")) & ~t.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+        return F.when(t == "", "<speak></speak>").when(same, F.concat(F.lit("<speak>"), body, F.lit("</speak>"))).otherwise(ssml(t, label))
+
+    return once(trim(text), whole)
 
 
 def plain_speech(markup: Column) -> Column:

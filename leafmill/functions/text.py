@@ -22,8 +22,6 @@ ARTIFACT = r"^[\[(][^\])]{1,14}[\])]$"
 HEADING_BLOCKLIST = ("inhalt", "inhaltsverzeichnis", "prolog", "epilog")
 VOWELS = "aeiouäöüAEIOUÄÖÜ"
 NOT_UPPER = r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]"
-#: More blanks than this between two of three spaced letters are not looked back over.
-LOOK_BACK = 8
 
 
 def once(c: Column, f: Callable[[Column], Column]) -> Column:
@@ -119,11 +117,16 @@ def merge_hyphens(lines: Column) -> Column:
 
 
 def collapse_spaced_letters(c: Column) -> Column:
-    """"K a p i t e l" becomes "Kapitel": a gap between two single letters goes if a third stands next to either."""
+    """"K a p i t e l" becomes "Kapitel": runs of three or more letters that stand alone lose the gaps between them, however wide."""
     gap, letter = r"[^\S\r\n]", r"\p{L}"
-    before = rf"(?<=(?<!\w){letter}){gap}+(?={letter}{gap}+{letter}(?!\w))"
-    after = rf"(?<=(?<!\w){letter}{gap}{{1,{LOOK_BACK}}}{letter}){gap}+(?={letter}(?!\w))"
-    return F.regexp_replace(c, f"(?U){before}|{after}", "")
+    # Possessive, so the run is walked without a stack, whatever its length.
+    run = rf"(?U)(?<!\w){letter}(?:{gap}++{letter}(?!\w)){{2,}}+"
+
+    def closed(t: Column) -> Column:
+        runs = F.regexp_extract_all(t, F.lit(run), F.lit(0))
+        return F.array_join(F.flatten(F.zip_with(F.split(t, run, -1), runs, lambda x, y: F.array(x, F.regexp_replace(F.coalesce(y, F.lit("")), rf"(?U){gap}+", "")))), "")
+
+    return once(c, closed)
 
 
 def title_case(c: Column) -> Column:

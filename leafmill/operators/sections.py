@@ -130,14 +130,15 @@ def pending(pages: DataFrame, closed: DataFrame) -> DataFrame:
 def resolve(boundaries: DataFrame, pages: DataFrame) -> DataFrame:
     """Stored boundaries (tag_id, page_number, page_id, scan_id, side, offset) with the position of their page: the first that has
     the number, else the id, else scan and side, else the report's id."""
-    keyed = boundaries.withColumn("_b", F.monotonically_increasing_id())
-    p = pages.select("tag_id", "position", *[F.col(c).alias(f"_{c}") for c in ("page_number", "page_id", "scan_id", "side", "report_page_id")])
-    rule = (
-        F.when(F.col("page_number") == F.col("_page_number"), 1).when(F.col("page_id") == F.col("_page_id"), 2)
-        .when((F.col("scan_id") == F.col("_scan_id")) & (F.col("side") == F.col("_side")), 3).when(F.col("page_id") == F.col("_report_page_id"), 4)
-    )
-    best = keyed.join(p, "tag_id").withColumn("rule", rule).where("rule is not null").groupBy("_b").agg(F.min_by("position", F.struct("rule", "position")).alias("resolved_position"))
-    return keyed.join(best, "_b", "left").drop("_b")
+    out, found = boundaries, []
+    for k, (own, theirs) in enumerate(((["page_number"], ["page_number"]), (["page_id"], ["page_id"]), (["scan_id", "side"], ["scan_id", "side"]), (["page_id"], ["report_page_id"]))):
+        first = pages.groupBy(F.col("tag_id").alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(theirs)]).agg(F.min("position").alias(f"_p{k}"))
+        same = F.col("tag_id") == F.col("_t")
+        for i, c in enumerate(own):
+            same = same & (F.col(c) == F.col(f"_k{i}"))
+        out = out.join(first, same, "left").drop("_t", *[f"_k{i}" for i in range(len(own))])
+        found.append(f"_p{k}")
+    return out.withColumn("resolved_position", F.coalesce(*found)).drop(*found)
 
 
 def next_sequence(chapters: DataFrame) -> DataFrame:

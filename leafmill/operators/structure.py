@@ -138,19 +138,22 @@ def speak_text(lines: Column, markers: Column, paragraph_ends: Column, language:
         plain = T.normalize_upper_heading(x["text"])
         return F.when(marker.isNotNull(), announced).when(blank, F.array(plain, F.lit(""))).otherwise(F.array(plain))
 
-    every = F.flatten(F.transform(lines, rendered))
-
-    def grow(acc: Column, x: Column) -> Column:
-        """A mark asks for a blank line unless one stands there; a hyphen before a lower-case start joins two lines."""
-        last = F.element_at(acc, -1)
-        some = F.size(acc) > 0
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.substring(F.rtrim(last), F.lit(1), F.length(F.rtrim(last)) - 1), F.ltrim(x))))
-        return (
-            F.when((x == "\x01") & some & (last != ""), F.concat(acc, F.array(F.lit("")))).when(x == "\x01", acc)
-            .when(some & (x != "") & F.rtrim(last).endswith("-") & T.starts_lower(F.ltrim(x)), joined).otherwise(F.concat(acc, F.array(x)))
-        )
-
-    said = T.trim(F.array_join(F.aggregate(every, F.array().cast("array<string>"), grow), "\n"))
+    def put_together(every: Column) -> Column:
+        """A mark asks for a blank line unless one stands there; a hyphen before a lower-case start joins two lines. What is done with a
+        line depends on its neighbours alone, so all are rendered at once and joined once."""
+        at = lambda i: F.coalesce(F.get(every, i), F.lit(""))
+        cut = lambda x, y: F.rtrim(x).endswith("-") & (y != "") & T.starts_lower(F.ltrim(y))
+
+        def piece(x: Column, i: Column) -> Column:
+            before, here = (i > 0) & cut(at(i - 1), x), cut(x, at(i + 1))
+            text = F.when(before, F.ltrim(x)).otherwise(x)
+            text = F.when(here, F.substring(F.rtrim(text), F.lit(1), F.length(F.rtrim(text)) - 1)).otherwise(text)
+            mark = F.when((i > 0) & (at(i - 1) != ""), "\n").otherwise("")
+            return F.when(x == "\x01", mark).otherwise(F.concat(F.when(before | (i == 0), "").otherwise("\n"), text))
+
+        return F.array_join(F.transform(every, piece), "")
+
+    said = T.trim(T.once(F.flatten(F.transform(lines, rendered)), put_together))
     spaced = T.collapse_spaced_letters(said)
     return F.when(language == "de", T.spoken_german(spaced)).otherwise(spaced)
 

@@ -5,7 +5,7 @@ Input rows: tag_id, ts (local wall clock), kind, page_key, seconds. Kinds: scan,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import duration, period_start, reporting_day
@@ -63,7 +63,8 @@ def report(usage: DataFrame, books: DataFrame) -> DataFrame:
     """The report of each period as lines (period_key, position, label, pages, audio, sections, book): books by tag, then the total."""
     lines = labelled(with_totals(usage), books)
     total = F.col("tag_id").isNull()
-    return lines.select("period_key", "tag_id", F.when(total, "Gesamt").otherwise(F.col("label")).alias("label"), "pages_scanned", duration(F.col("audio_seconds")).alias("audio"), "chapter_summary_uses", "book_summary_uses")
+    order = Window.partitionBy("period_key").orderBy(F.col("tag_id").asc_nulls_last())
+    return lines.select("period_key", F.row_number().over(order).alias("position"), "tag_id", F.when(total, "Gesamt").otherwise(F.col("label")).alias("label"), "pages_scanned", duration(F.col("audio_seconds")).alias("audio"), "chapter_summary_uses", "book_summary_uses")
 
 
 def archived(usage: DataFrame, archive: DataFrame, day: Column) -> tuple[DataFrame, DataFrame]:

@@ -81,6 +81,12 @@ def upper_heading(x: str) -> str:
     return f"({has(x, '\\p{L}')} AND NOT {has(x, '[\\p{Ll}\\p{Lt}\\p{Lm}\\p{Lo}]')} AND len({words(x)}) BETWEEN 2 AND 10 AND length({norm_ends(x)}) <= 80)"
 
 
+def chapter_number(x: str) -> str:
+    value = "list_transform(string_split(upper(trim(" + x + ")), ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 ELSE 0 END)"
+    signed = f"list_sum(list_transform(range(1, len({value}) + 1), lambda i: CASE WHEN {value}[i] < coalesce(list_max({value}[i + 1:]), 0) THEN -{value}[i] ELSE {value}[i] END))"
+    return f"CASE WHEN regexp_matches(trim({x}), '^[0-9]+$') THEN try_cast(trim({x}) AS INT) WHEN regexp_matches(upper(trim({x})), '^[IVXLCDM]+$') THEN nullif({signed}, 0)::INT END"
+
+
 def half_even(x: str) -> str:
     return f"round_even({x}, 0)"
 
@@ -93,7 +99,7 @@ def duration(x: str) -> str:
 # --- views
 
 V_PAGES = """
-    cut AS (SELECT doc_id, lang, upper(source || '-' || lang) AS tag_id, unnest(range(greatest(((length(text) + 599) // 600), 1))) AS slice, text AS whole FROM documents),
+    cut AS (SELECT doc_id, lang, upper(lang) || '-' || (doc_id // 64) AS tag_id, unnest(range(greatest(((length(text) + 599) // 600), 1))) AS slice, text AS whole FROM documents),
     v_pages AS (SELECT *, printf('scan_%06d', (page_number + 1) // 2) AS scan_id, CASE WHEN page_number % 2 = 1 THEN 'left' ELSE 'right' END AS side, CASE WHEN lang = 'de' THEN 'de' ELSE 'en' END AS language
         FROM (SELECT tag_id, lang, substr(whole, slice * 600 + 1, 600) AS text, row_number() OVER (PARTITION BY tag_id ORDER BY doc_id, slice) AS page_number FROM cut))"""
 V_LINES = (
@@ -167,9 +173,9 @@ SQL: dict[str, str] = {
     "usage_closed_periods": f"""WITH {V_USAGE} SELECT d AS period_key, d || 'T04:00:00' AS starts_at, (d + 1) || 'T04:00:00' AS ends_at FROM (SELECT unnest(range(DATE '2024-01-06', DATE '2024-01-25', INTERVAL 1 DAY))::DATE AS d)""",
     "usage_gap_fill": f"""WITH {V_USAGE}, p AS (SELECT unnest(range(DATE '2024-01-06', DATE '2024-01-25', INTERVAL 1 DAY))::DATE AS period_key)
         SELECT p.period_key, p.period_key || 'T04:00:00' AS starts_at, (p.period_key + 1) || 'T04:00:00' AS ends_at, d.tag_id, coalesce(pages_scanned, 0) AS pages_scanned, coalesce(audio_seconds, 0) AS audio_seconds, coalesce(chapter_summary_uses, 0) AS chapter_summary_uses, coalesce(book_summary_uses, 0) AS book_summary_uses
-        FROM p LEFT JOIN daily d ON d.period_key = p.period_key AND day(d.period_key) % 3 <> 0""",
+        FROM p LEFT JOIN daily d ON d.period_key = p.period_key""",
     "usage_report": f"""WITH {V_USAGE}, t AS (SELECT period_key, tag_id, sum(pages_scanned)::BIGINT AS pages_scanned, round(sum(audio_seconds), 3) AS a, sum(chapter_summary_uses)::BIGINT AS chapter_summary_uses, sum(book_summary_uses)::BIGINT AS book_summary_uses FROM daily GROUP BY GROUPING SETS ((period_key, tag_id), (period_key)))
-        SELECT period_key, t.tag_id, CASE WHEN t.tag_id IS NULL THEN 'Gesamt' ELSE coalesce(title || ' (' || t.tag_id || ')', t.tag_id) END AS label, pages_scanned, {duration("a")} AS audio, chapter_summary_uses, book_summary_uses FROM t LEFT JOIN books b ON b.tag_id = t.tag_id""",
+        SELECT period_key, row_number() OVER (PARTITION BY period_key ORDER BY t.tag_id NULLS LAST) AS position, t.tag_id, CASE WHEN t.tag_id IS NULL THEN 'Gesamt' ELSE coalesce(title || ' (' || t.tag_id || ')', t.tag_id) END AS label, pages_scanned, {duration("a")} AS audio, chapter_summary_uses, book_summary_uses FROM t LEFT JOIN books b ON b.tag_id = t.tag_id""",
     "usage_duration_fmt": f"SELECT event_id, {duration('value * 1000 - 500')} AS duration FROM events",
     "norm_ws": f"SELECT doc_id, {norm('text')} AS text FROM documents",
     "word_count": "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+(?:[-’''][\\p{L}\\p{M}\\p{N}_]+)*'))::BIGINT AS n_words FROM documents",
@@ -180,7 +186,8 @@ SQL: dict[str, str] = {
     "consonant_fragments": f"SELECT doc_id, array_to_string(list_filter({words('text')}, lambda w: NOT (regexp_matches(w, '^\\p{{L}}{{2}}$') AND NOT regexp_matches(w, '[\\p{{Lu}}\\p{{Lt}}]') AND regexp_matches(w, '\\p{{Ll}}') AND NOT regexp_matches(w, '[aeiouäöüAEIOUÄÖÜ]'))), ' ') AS text FROM documents",
     "orphan_percent": f"""WITH s AS (SELECT doc_id, string_split({norm("text")}, '%') AS a FROM documents)
         SELECT doc_id, array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || CASE WHEN i < len(a) AND regexp_matches(rtrim(a[i]), '[0-9]$') THEN '%' ELSE '' END), '') AS text FROM s""",
-    "upper_heading_title": f"""WITH s AS (SELECT doc_id, {norm("CASE WHEN doc_id % 2 = 0 THEN upper(left(text, 40)) ELSE left(text, 40) END")} AS x FROM documents WHERE text NOT LIKE '%ß%') SELECT doc_id, CASE WHEN {upper_heading("x")} THEN {title_case("x")} ELSE x END AS text FROM s""",
+    "upper_heading_title": f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position, unnest(string_split(text, chr(10))) AS line FROM documents),
+        s AS (SELECT doc_id, position::INT AS position, {norm("CASE WHEN (doc_id + position) % 2 = 0 THEN upper(replace(line, 'ß', 'SS')) ELSE line END")} AS x FROM l) SELECT doc_id, position, CASE WHEN {upper_heading("x")} THEN {title_case("x")} ELSE x END AS text FROM s""",
     "heading_predicates": f"""WITH {V_LINES} SELECT tag_id, page_number, line_index, {heading_line("text")} AS heading_line, {heading_shape("text")} AS heading_shape, {layout_heading("text")} AS layout_heading,
         (length(text) <= 80 AND len({words("text")}) <= 10 AND NOT regexp_matches(text, '[.!?…]["''«»”)\\]]?$')) AS speech_heading,
         (len(list_filter({words("text")}, lambda w: regexp_matches(w, '\\p{{L}}'))) >= 2 AND len(list_filter({words("text")}, lambda w: regexp_matches(w, '\\p{{L}}') AND NOT regexp_matches(w, '^[^\\p{{L}}]*\\p{{Lu}}'))) = 0) AS title_cased, {upper_heading("text")} AS upper_heading FROM v_lines""",
@@ -201,9 +208,8 @@ SQL: dict[str, str] = {
     "spread_number_infer": f"""WITH {V_TURNS}, a AS (SELECT *, count(*) OVER w AS n, count(page_number) OVER w AS k, max(page_number) OVER w AS o, max(CASE WHEN page_number IS NOT NULL THEN side END) OVER w AS os FROM v_turns WINDOW w AS (PARTITION BY tag_id, scan_id)),
         b AS (SELECT *, CASE WHEN n = 2 AND k = 1 AND page_number IS NULL THEN CASE WHEN side = 'left' AND os = 'right' AND o > 1 THEN o - 1 WHEN side = 'right' AND os = 'left' THEN o + 1 END END AS g FROM a)
         SELECT tag_id, scan_id, side, coalesce(page_number, g)::INT AS page_number, g IS NOT NULL AS inferred FROM b""",
-    "roman_parse": """WITH a AS (SELECT doc_id, left(regexp_replace(upper(text), '[^IVXLCDM]', '', 'g'), 6) AS r FROM documents),
-        b AS (SELECT doc_id, list_transform(string_split(r, ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 END) AS v, r FROM a)
-        SELECT doc_id, CASE WHEN r <> '' THEN nullif(list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i] < coalesce(list_max(v[i + 1:]), 0) THEN -v[i] ELSE v[i] END)), 0)::INT END AS number FROM b""",
+    "roman_parse": f"""WITH a AS (SELECT doc_id, {words("text")} AS w FROM documents), u AS (SELECT doc_id, (generate_subscripts(w, 1) - 1)::INT AS position, unnest(w) AS word FROM a)
+        SELECT doc_id, position, word, {chapter_number("word")} AS number FROM u WHERE {chapter_number("word")} IS NOT NULL""",
     "cardinals": f"SELECT n, CASE WHEN n > 999 THEN n::VARCHAR ELSE (SELECT {CARDINAL_DE}) END AS german, CASE WHEN n > 999 THEN n::VARCHAR ELSE (SELECT {CARDINAL_EN}) END AS english FROM (SELECT unnest(range(1010)) AS n)",
     "word_to_line": f"""WITH {V_LINES}, w AS (SELECT tag_id, page_number, line_index, top, string_split(text, ' ') AS a FROM v_lines), x AS (SELECT * EXCLUDE (a), generate_subscripts(a, 1) - 1 AS k, unnest(a) AS t FROM w),
         y AS (SELECT *, CASE WHEN length(t) % 9 = 8 THEN -1.0 ELSE (length(t) * 7 % 100) END AS conf FROM x)
@@ -238,7 +244,7 @@ SQL: dict[str, str] = {
         string_agg(page_id, ',' ORDER BY position) AS page_ids, string_agg(page_number::VARCHAR, ',' ORDER BY position) AS page_numbers, min(page_number)::INT AS start_page, max(page_number)::INT AS end_page, (end_position - start_position + 1)::INT AS page_span, count(*)::INT AS content_page_count FROM sl WHERE slice <> '' GROUP BY tag_id, sequence, start_position, end_position, boundary_kind""",
     "pending_content": f"""WITH RECURSIVE {BOOK_PAGES}, o AS (SELECT e.tag_id, coalesce(b.next_position, 0) AS start_position, coalesce(b.next_offset, 0) AS start_offset, e.p AS end_position, e.n AS end_offset FROM (SELECT tag_id, max(position) AS p, arg_max(length(clean_text), position) AS n FROM bp GROUP BY tag_id) e LEFT JOIN (SELECT tag_id, arg_max(next_position, sequence) AS next_position, arg_max(next_offset, sequence) AS next_offset FROM bounds GROUP BY tag_id) b ON b.tag_id = e.tag_id), {slices("o")}
         SELECT tag_id, {norm_ends("string_agg(slice, chr(10) || chr(10) ORDER BY position)")} AS text, string_agg(page_id, ',' ORDER BY position) AS page_ids, string_agg(page_number::VARCHAR, ',' ORDER BY position) AS page_numbers FROM sl WHERE slice <> '' GROUP BY tag_id""",
-    "boundary_resolve": f"WITH RECURSIVE {BOOK_PAGES} SELECT tag_id, page_id, position::INT AS resolved_position FROM bp WHERE page_number % 11 = 0",
+    "boundary_resolve": f"WITH RECURSIVE {BOOK_PAGES} SELECT tag_id, page_id, position::INT AS resolved_position FROM bp",
     "chapter_sequence": """WITH a AS (SELECT o_custkey::VARCHAR AS tag_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 40 END AS n FROM orders) SELECT tag_id, (CASE WHEN coalesce(max(n), 0) > 0 THEN max(n) ELSE count(*) END + 1)::INT AS next_sequence FROM a GROUP BY tag_id""",
     "summary_fingerprint": """SELECT conv_id::VARCHAR AS tag_id, count(*) AS n, sha256(string_agg(printf('chapter_%04d', turn + 1) || chr(0) || '2026-02-03T04:05:06Z' || chr(0) || text || chr(0), '' ORDER BY turn, text)) AS fingerprint FROM conversations WHERE role <> 'system' GROUP BY conv_id""",
     "summary_cache_valid": "SELECT conv_id, turn, (conv_id % 3 = 0 OR conv_id % 2 = 0) AND turn % 5 <> 0 AND turn % 4 <> 0 AS valid FROM conversations",
@@ -257,7 +263,7 @@ SQL: dict[str, str] = {
         SELECT scan, CASE WHEN rule < 4 OR n = 1 THEN tag_id END AS tag_id, CASE WHEN rule < 4 OR n = 1 THEN rule END AS rule FROM b""",
     "language_consistency": """WITH p AS (SELECT source AS tag_id, lang AS pl, CASE WHEN ends_with(source, '1') THEN 'en' ELSE 'de' END AS language FROM documents) SELECT tag_id, language, count(*) AS n_pages FROM p WHERE pl <> language GROUP BY ALL""",
     "book_upsert": """WITH s AS (SELECT user_id, min(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS a, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS z, CASE WHEN user_id % 2 = 0 THEN 'de' ELSE 'en' END AS lang FROM events GROUP BY user_id),
-        b AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'en' END AS language FROM customer WHERE c_custkey <= 60), j AS (SELECT coalesce(k, user_id) AS id, k IS NOT NULL AS old, b.language, s.*, k IS NOT NULL AND lang IS NOT NULL AND coalesce(b.language, 'de') <> lang AS clash FROM b FULL JOIN s ON k = user_id)
+        b AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'en' END AS language FROM customer), j AS (SELECT coalesce(k, user_id) AS id, k IS NOT NULL AS old, b.language, s.*, k IS NOT NULL AND lang IS NOT NULL AND coalesce(b.language, 'de') <> lang AS clash FROM b FULL JOIN s ON k = user_id)
         SELECT id::VARCHAR AS tag_id, CASE WHEN old THEN '2023-05-06T00:00:00' ELSE a END AS created_at, CASE WHEN clash OR a IS NULL THEN '2023-06-07T00:00:00' ELSE z END AS last_seen_at, CASE WHEN NOT old THEN lang WHEN language IS NULL AND lang = 'de' THEN 'de' ELSE language END AS language FROM j""",
     "nfc_parse": """WITH k AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 10 <> 0) SELECT k AS line_id, 'iso14443a' AS technology, 'AA' || lpad((k % 100)::VARCHAR, 2, '0') AS uid, (k % 3)::INT AS reader_id, 0 AS position FROM k WHERE k % 2 = 1
         UNION ALL SELECT k, 'iso15693', 'E0' || lpad((k % 50)::VARCHAR, 2, '0'), (k % 3)::INT, 1 FROM k""",

@@ -55,8 +55,8 @@ def usage_closed_periods(spark, sf_dir):
 
 @query
 def usage_gap_fill(spark, sf_dir):
-    some = usage_daily(spark, sf_dir).where("dayofmonth(period_key) % 3 <> 0")
-    return usage.gap_filled(some, usage.closed_periods(some, F.lit(TODAY).cast("date"), _archive(spark)))
+    daily = usage_daily(spark, sf_dir)
+    return usage.gap_filled(daily, usage.closed_periods(daily, F.lit(TODAY).cast("date"), _archive(spark)))
 
 
 @query
@@ -115,9 +115,10 @@ def spaced_letters(spark, sf_dir):
 
 @query
 def upper_heading_title(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text not like '%ß%'")
-    line = F.when(F.col("doc_id") % 2 == 0, F.upper(F.substring("text", 1, 40))).otherwise(F.substring("text", 1, 40))
-    return docs.select("doc_id", T.normalize_upper_heading(T.normalize_space(line)).alias("text"))
+    """Every line of all documents, every other one in capitals; engines differ on that of ß, so it is spelt out."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    line = F.when((F.col("doc_id") + F.col("position")) % 2 == 0, F.upper(F.replace("line", F.lit("ß"), F.lit("SS")))).otherwise(F.col("line"))
+    return lines.select("doc_id", "position", T.normalize_upper_heading(T.normalize_space(line)).alias("text"))
 
 
 @query
@@ -196,8 +197,9 @@ def spread_number_infer(spark, sf_dir):
 
 @query
 def roman_parse(spark, sf_dir):
-    letters = F.regexp_replace(F.upper("text"), "[^IVXLCDM]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", N.chapter_number(F.substring(letters, 1, 6)).alias("number"))
+    """Words of all documents that read as a number, Roman or not."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.words(F.col("text"))).alias("position", "word"))
+    return words.select("doc_id", "position", "word", N.chapter_number(F.col("word")).alias("number")).where("number is not null")
 
 
 @query
@@ -339,7 +341,7 @@ def pending_content(spark, sf_dir):
 @query
 def boundary_resolve(spark, sf_dir):
     pages = sections.assembly_order(_book_pages(spark, sf_dir))
-    wanted = pages.where("page_number % 11 = 0").select("tag_id", F.when(F.col("page_number") % 2 == 0, F.col("page_number")).alias("page_number"), "page_id", "scan_id", "side", F.lit(0).alias("offset"))
+    wanted = pages.select("tag_id", F.when(F.col("page_number") % 2 == 0, F.col("page_number")).alias("page_number"), "page_id", "scan_id", "side", F.lit(0).alias("offset"))
     return sections.resolve(wanted, pages).select("tag_id", "page_id", "resolved_position")
 
 
@@ -451,7 +453,7 @@ def language_consistency(spark, sf_dir):
 @query
 def book_upsert(spark, sf_dir):
     seen = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("tag_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("seen_at"), F.when(F.col("user_id") % 2 == 0, "de").otherwise("en").alias("language"))
-    stored = table(spark, sf_dir, "customer").where("c_custkey <= 60").select(F.col("c_custkey").cast("string").alias("tag_id"), F.lit("2023-05-06T00:00:00").alias("created_at"), F.lit("2023-06-07T00:00:00").alias("last_seen_at"), F.when(F.col("c_custkey") % 3 == 0, "de").when(F.col("c_custkey") % 3 == 1, "en").alias("language"))
+    stored = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("tag_id"), F.lit("2023-05-06T00:00:00").alias("created_at"), F.lit("2023-06-07T00:00:00").alias("last_seen_at"), F.when(F.col("c_custkey") % 3 == 0, "de").when(F.col("c_custkey") % 3 == 1, "en").alias("language"))
     return identity.upsert_books(stored, seen)[0]
 
 

@@ -15,8 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def v_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one source and language as a book, cut into pages; odd pages are left ones, two make a scan."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.upper(F.concat_ws("-", "source", "lang")).alias("tag_id"))
+    """Of 64 documents in a row those of one language as a book, so books grow in number and not in size; cut into pages, odd ones left, two make a scan."""
+    book = F.concat(F.upper("lang"), F.lit("-"), F.floor(F.col("doc_id") / 64).cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", book.alias("tag_id"))
     last = F.greatest(F.ceil(F.length("text") / PAGE_CHARS).cast("int") - 1, F.lit(0))
     cut = docs.withColumn("slice", F.explode(F.sequence(F.lit(0), last)))
     cut = cut.withColumn("text", F.substring(F.col("text"), F.col("slice") * PAGE_CHARS + 1, F.lit(PAGE_CHARS)))

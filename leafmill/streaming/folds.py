@@ -64,7 +64,8 @@ def stream(rows: DataFrame, key: str, fold: Fold) -> DataFrame:
 
 
 def guard_step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
-    """Whether a delivered part of a scan is read out. A repeated or backward scan is held back once; the scan after it is let through."""
+    """Whether a delivered part of a scan is read out. A repeated or backward scan is held back once; the scan after it is let through.
+    A scan that was held stays so however late its other parts come, so held ones are kept, added to in place."""
     scan, numbers = row["scan_id"], sorted(int(n) for n in row["numbers"])
     said = lambda what: [(row["seq"], scan, what)]
     if not numbers:
@@ -79,13 +80,15 @@ def guard_step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
     if backward:
         return taken, said("allow")
     if not repeat and {*numbers} & {*state["pages"]}:
-        return state | {"repeat": True, "held": [*state["held"], scan]}, said("repeat")
+        state["held"][scan] = 1
+        return state | {"repeat": True}, said("repeat")
     if state["pages"] and numbers[0] < min(state["pages"]):
-        return state | {"backward": True, "held": [*state["held"], scan]}, said("backward")
+        state["held"][scan] = 1
+        return state | {"backward": True}, said("backward")
     return taken, said("allow")
 
 
-GUARD = Fold({"scan": None, "pages": [], "repeat": False, "backward": False, "held": []}, guard_step, "seq double, scan_id string, decision string", ("seq",))
+GUARD = Fold({"scan": None, "pages": [], "repeat": False, "backward": False, "held": {}}, guard_step, "seq double, scan_id string, decision string", ("seq", "scan_id"))
 
 
 # --- the open tail of a book's last right page

@@ -26,9 +26,13 @@ def query(f):
 
 def replay(spark: SparkSession, rows: DataFrame, order: str, work: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """Rows in ``order`` as a stream of several micro-batches through ``work``; what the sink holds at the end."""
-    folder = f"{shared_dir(spark)}/leafmill-streams/{uuid.uuid4().hex[:12]}"
-    # One task writes the files one after another, so their times, by which the source takes them, follow the order.
-    rows.repartition(1).sortWithinPartitions(order).write.option("maxRecordsPerFile", -(-max(rows.count(), 1) // FILES)).parquet(f"{folder}/in")
+    folder = f"{shared_dir(spark)}/leafmill/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
+    # Each range of the order is a file; their times, by which the source takes them, are set to follow it.
+    rows.repartitionByRange(FILES, order).sortWithinPartitions(order).write.parquet(f"{folder}/in")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(f"{folder}/in").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k, name in enumerate(sorted(f.getPath().toString() for f in files.listStatus(path(f"{folder}/in")) if f.getPath().getName().startswith("part-"))):
+        files.setTimes(path(name), 1_000_000_000_000 + 1000 * k, -1)
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     made = work(source)
 
