@@ -97,3 +97,12 @@ def lead_wait(streamed: Column, elapsed: Column, ahead: Column) -> Column:
 def ewma(values: Column, keep: float = 0.8) -> Column:
     """Exponentially weighted mean in order, seeded by the first value."""
     return F.aggregate(values, F.lit(None).cast("double"), lambda acc, x: F.coalesce(acc * keep + x * (1 - keep), x.cast("double")))
+
+
+def length_scale(speed: Column) -> Column:
+    """How much longer speech takes at a speed, which counts as a tenth at least."""
+    return F.bround(1.0 / F.greatest(speed, F.lit(0.1)), 3)
+
+
+def words_per_minute(speed: Column, base: int = 175) -> Column:
+    return F.greatest(F.lit(80), F.floor(base * F.greatest(speed, F.lit(0.1))).cast("int"))

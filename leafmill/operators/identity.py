@@ -13,6 +13,16 @@ def aliases(lines: DataFrame) -> DataFrame:
     return lines.select("tag_id", T.tag_id(F.col("line")).alias("alias")).where("alias is not null").distinct()
 
 
+def with_aliases(known: DataFrame, new: DataFrame) -> DataFrame:
+    """``known`` (tag_id, alias) with those of ``new`` that it hasn't."""
+    return known.unionByName(new.select("tag_id", "alias").distinct().join(known, ["tag_id", "alias"], "left_anti"))
+
+
+def books_with_alias(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Books of which one alias is wanted."""
+    return known.join(wanted.select("alias"), "alias", "left_semi").select("tag_id").distinct()
+
+
 def reader_tags(status: DataFrame, key: str = "line_id") -> DataFrame:
     """(key, position, technology, uid, reader_id) of status lines "READER id=1 tag14443a=1 uid14443a=… tag15693=0", or, without these
     fields, "tag=1 uid=… tech=…". Absent tags and lines whose reader isn't a number don't count; repeated tags count once, the first."""

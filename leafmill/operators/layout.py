@@ -87,6 +87,12 @@ def lines_from_words(words: DataFrame, page: Sequence[str]) -> DataFrame:
     )
 
 
+def grouped_order(lines: DataFrame, page: Sequence[str]) -> DataFrame:
+    """Lines made of words with ``position`` on their page: by page, block, paragraph and line of the recogniser, then by place."""
+    order = Window.partitionBy(*page).orderBy("page_num", "block_num", "par_num", "line_num", "top", "left")
+    return lines.withColumn("position", F.row_number().over(order) - 1)
+
+
 def reading_order(pages: DataFrame, group: Sequence[str]) -> DataFrame:
     """``pages`` with ``position``: by number if there are several and all have one, else left before right, then by id."""
     w = Window.partitionBy(*group)

@@ -93,7 +93,18 @@ def chapter_markers(lines: Column) -> Column:
         return F.when(heading_page, F.concat(labelled, F.array(alone))).otherwise(labelled)
 
     every = T.once(F.filter(F.transform(texts, one), lambda m: m.isNotNull()), with_heading_page)
-    return F.array_sort(every, lambda a, b: a["line_index"] - b["line_index"])
+    return distinct_markers(every)
+
+
+def distinct_markers(markers: Column) -> Column:
+    """Markers by line; of those equal in line, number and heading the last one stays."""
+    same = lambda a, b: (a["line_index"] == b["line_index"]) & a["chapter_number"].eqNullSafe(b["chapter_number"]) & a["chapter_heading"].eqNullSafe(b["chapter_heading"])
+
+    def kept(every: Column) -> Column:
+        last = F.filter(every, lambda m, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda x: same(x, m)))
+        return F.array_sort(last, lambda a, b: a["line_index"] - b["line_index"])
+
+    return T.once(markers, kept)
 
 
 def clean_text(lines: Column) -> Column:

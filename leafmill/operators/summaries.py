@@ -14,6 +14,19 @@ from ..session import ship
 LENGTH_POLICY_VERSION = 1
 #: A summary may be longer than asked for by this factor.
 SLACK = 1.1
+# Reasons for which an answer is refused for good.
+REFUSALS = ("SAFETY", "RECITATION", "PROHIBITED_CONTENT")
+#: What a generator is asked for, by kind and language; places are the range of pages, their number, words and text.
+TEMPLATES = {
+    ("chapter", "de"): "Fasse den folgenden Abschnitt (%s, %s Seiten) in etwa %d Woertern zusammen.\n\n%s",
+    ("chapter", "en"): "Summarise the following section (%s, %s pages) in about %d words.\n\n%s",
+    ("book", "de"): "Fasse das Buch anhand seiner Abschnitte (%s, %s Seiten) in etwa %d Woertern zusammen.\n\n%s",
+    ("book", "en"): "Summarise the book from its sections (%s, %s pages) in about %d words.\n\n%s",
+    ("progress", "de"): "Fasse zusammen, was bisher gelesen wurde (%s, %s Seiten), in etwa %d Woertern.\n\n%s",
+    ("progress", "en"): "Summarise what has been read so far (%s, %s pages) in about %d words.\n\n%s",
+    ("shortening", "de"): "Kuerze die folgende Zusammenfassung (%s, %s Seiten) auf hoechstens %d Woerter.\n\n%s",
+    ("shortening", "en"): "Shorten the following summary (%s, %s pages) to at most %d words.\n\n%s",
+}
 
 
 def sequence_key(chapter_id: Column, created_at: Column) -> Column:
@@ -100,20 +113,35 @@ def merged_metadata(old: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(new, lambda k, v: ~F.map_contains_key(old, k)), old)
 
 
-def prompt(language: Column, title: Column, pages: Column, words: Column, text: Column) -> Column:
-    """What a generator is asked, in the book's language."""
-    german = F.format_string("Fasse den folgenden Abschnitt (%s, %s) in etwa %d Woertern zusammen.\n\n%s", title, pages, words, text)
-    english = F.format_string("Summarise the following section (%s, %s) in about %d words.\n\n%s", title, pages, words, text)
-    return F.when(language == "en", english).otherwise(german)
+def prompt(kind: str, language: Column, label: Column, pages: Column, words: Column, text: Column) -> Column:
+    """What a generator is asked, in the book's language: kind is chapter, book, progress or shortening."""
+    said = lambda code: F.format_string(TEMPLATES[kind, code], label, pages, words, text)
+    return F.when(language == "en", said("en")).otherwise(said("de"))
 
 
 def response_text(response: Column) -> Column:
     """(text, complete, blocked) of a generator's JSON answer: the parts of its first candidate that has any, trimmed of blank runs."""
     kind = "struct<candidates:array<struct<content:struct<parts:array<struct<text:string>>>,finishReason:string>>,promptFeedback:struct<blockReason:string>>"
     parsed = F.from_json(response, kind)
-    said = F.transform(parsed["candidates"], lambda c: F.struct(F.array_join(F.transform(c["content"]["parts"], lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("text"), c["finishReason"].alias("reason")))
+    parts = lambda c: F.filter(F.transform(c["content"]["parts"], lambda p: T.trim(F.coalesce(p["text"], F.lit("")))), lambda x: x != "")
+    said = F.transform(parsed["candidates"], lambda c: F.struct(F.array_join(parts(c), "\n\n").alias("text"), c["finishReason"].alias("reason")))
     first = F.get(F.filter(said, lambda x: F.trim(x["text"]) != ""), F.lit(0))
-    return F.struct(T.collapse_blank_lines(first["text"]).alias("text"), F.coalesce(first["reason"] == "STOP", F.lit(False)).alias("complete"), parsed["promptFeedback"]["blockReason"].isNotNull().alias("blocked"))
+    return F.struct(F.nullif(T.collapse_blank_lines(first["text"]), F.lit("")).alias("text"), F.coalesce(first["reason"] == "STOP", F.lit(False)).alias("complete"), parsed["promptFeedback"]["blockReason"].isNotNull().alias("blocked"))
+
+
+def response_state(response: Column) -> Column:
+    """(truncated, retry): whether an answer ran into its limit, and whether it may be asked for again without one: not if it was refused."""
+    kind = "struct<candidates:array<struct<finishReason:string>>,promptFeedback:struct<blockReason:string>>"
+    parsed = F.from_json(response, kind)
+    reasons = F.coalesce(F.transform(parsed["candidates"], lambda c: F.upper(F.coalesce(c["finishReason"], F.lit("")))), F.array().cast("array<string>"))
+    refused = F.coalesce(parsed["promptFeedback"]["blockReason"], F.lit("")) != ""
+    return F.struct(F.array_contains(reasons, "MAX_TOKENS").alias("truncated"), (~(refused | F.arrays_overlap(reasons, F.array(*map(F.lit, REFUSALS))))).alias("retry"))
+
+
+def paired(chapters: DataFrame, stored: DataFrame) -> DataFrame:
+    """(tag_id, chapter_id, chapter_text, summary): each chapter with its summary, by id and never by place; null where there is none."""
+    own = stored.select("tag_id", "chapter_id", F.col("text").alias("summary"))
+    return chapters.select("tag_id", "chapter_id", F.col("text").alias("chapter_text")).join(own, ["tag_id", "chapter_id"], "left")
 
 
 def incremental(chapters: DataFrame, stored: DataFrame) -> DataFrame:

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.language import LABELS, language
 from ..operators import stitch, structure
 from ..sources.readers import report_pages
 
-LABELS = {"de": "Kapitel", "en": "Chapter"}
 
+def deliveries(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reports, readings): of scans that are delivered in parts, the left page first and both pages later, the last report; and for each
+    delivery (tag_id, scan_id, delivery, side, read) whether its page is read out, which is so when no delivery before it held that side."""
+    order = Window.partitionBy("tag_id", "scan_id").orderBy("created_at")
+    numbered = reports.withColumn("delivery", F.row_number().over(order))
+    last = numbered.groupBy("tag_id", "scan_id").agg(F.max_by(F.struct(*reports.columns), "delivery").alias("r")).select("r.*")
+    sides = report_pages(numbered)[0].select("tag_id", "scan_id", "delivery", "side")
+    first = F.min("delivery").over(Window.partitionBy("tag_id", "scan_id", "side"))
+    return last, sides.withColumn("read", F.col("delivery") == first)
 
-def drafts(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def drafts(reports: DataFrame, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, refused) of reports (tag_id, scan_id, created_at, language, pages): lines and numbers of each page. Pages without a side or
-    without any text are refused."""
-    good, bad = report_pages(reports)
-    lines = structure.page_lines(F.col("page.ocr_lines"), None, F.col("page.paragraphs"))
+    without any text are refused. ``texts``: (text_path, file_lines) of the text files that reports name; they are asked where a page has no lines of its own."""
+    good, bad = report_pages(reports.withColumn("language", language(F.col("language"))))
+    good = good.withColumn("file_lines", F.lit(None).cast("array<string>")) if texts is None else good.withColumn("text_path", F.col("page.text_path")).join(texts.select("text_path", "file_lines"), "text_path", "left")
+    lines = structure.page_lines(F.col("page.ocr_lines"), F.col("file_lines"), F.col("page.paragraphs"))
     own = good.withColumn("lines", lines)
     explicit = F.col("page.page_number")
     keep = own.where("lines is not null").withColumn("n", structure.page_number(F.col("lines"), explicit))
@@ -54,8 +65,9 @@ def stitched(pages: DataFrame) -> DataFrame:
     return both.withColumn("speak_text", said).drop("left_speak", "right_speak")
 
 
-def ingest(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages, refused): finished and stitched pages, placeholders of pages numbered later left out, the last version of each page."""
-    found, refused = drafts(reports)
+def ingest(reports: DataFrame, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, refused): finished and stitched pages of the last report of each scan, placeholders of pages numbered later left out, the last
+    version of each page."""
+    found, refused = drafts(deliveries(reports)[0], texts)
     pages = stitch.without_placeholders(stitched(finished(found)))
     return stitch.latest(pages, ["tag_id", "page_id"], ["created_at", "scan_id"]), refused

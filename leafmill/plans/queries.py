@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import speech as S
 from ..functions import text as T
+from ..functions.language import LABELS
 from ..operators import identity, layout, metrics, sections, speech, stitch, structure, summaries, usage
 from ..sources import readers
 from .views import table, v_books, v_lines, v_page_lines, v_pages, v_turns, v_usage, v_words
@@ -17,7 +18,6 @@ from .views import table, v_books, v_lines, v_page_lines, v_pages, v_turns, v_us
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 PAGE = ("tag_id", "page_number")
-LABELS = {"de": "Kapitel", "en": "Chapter"}
 TODAY = "2024-01-25"
 
 

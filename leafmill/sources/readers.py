@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -40,6 +40,19 @@ def pages(spark: SparkSession, library: str) -> DataFrame:
     return documents(spark, f"{library.rstrip('/')}/*/pages/*.json", PAGE).withColumn("tag_id", tag_of(F.col("path")))
 
 
+def stored_order(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``position`` in their book: numbered ones by number, then the others by id, and by scan where ids are shared."""
+    order = Window.partitionBy("tag_id").orderBy(F.col("page_number").asc_nulls_last(), "page_id", "scan_id", "side")
+    return pages.withColumn("position", F.row_number().over(order) - 1)
+
+
+def chapters(spark: SparkSession, library: str) -> DataFrame:
+    """All stored chapters of all books, with ``position`` by start page, those without one last, then by id."""
+    own = documents(spark, f"{library.rstrip('/')}/*/chapters/*.json", CHAPTER).withColumn("tag_id", tag_of(F.col("path")))
+    order = Window.partitionBy("tag_id").orderBy(F.col("start_page").asc_nulls_last(), "chapter_id")
+    return own.withColumn("position", F.row_number().over(order) - 1)
+
+
 def alias_lines(spark: SparkSession, library: str) -> DataFrame:
     """(tag_id, line) of the books' alias files."""
     return spark.read.text(f"{library.rstrip('/')}/*/state/*.txt").select(tag_of(F.col("_metadata.file_path")).alias("tag_id"), F.col("value").alias("line"))
@@ -110,8 +123,6 @@ def pin_levels(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def key_values(lines: DataFrame, line: str = "line") -> DataFrame:
     """(section, key, value) of an ini text with rows (position, line); comments and blank lines don't count."""
-    from pyspark.sql import Window
-
     own = lines.where(~F.col(line).rlike(r"^\s*(?:[#;].*)?$"))
     head = F.nullif(F.regexp_extract(line, r"^\s*\[([^\]]+)\]\s*$", 1), F.lit(""))
     known = own.withColumn("section", F.last(head, ignorenulls=True).over(Window.orderBy("position")))  # one small file
@@ -125,8 +136,6 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_pair(paths: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     stem = F.lower(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
     place = lambda names: F.array_position(F.array(*map(F.lit, names)), stem)
     slot = F.when(place(LEFT_STEMS) > 0, place(LEFT_STEMS)).when(place(RIGHT_STEMS) > 0, 100 + place(RIGHT_STEMS))

@@ -59,3 +59,63 @@ def expired(artifacts: DataFrame, mode: str, stage: str, event: str) -> DataFram
     if mode == "debug" or (event == "after-ocr" and stage != "after-ocr"):
         return artifacts.where(F.lit(False))
     return artifacts.where(F.col("kind").isin(*TRANSIENT, "ocr_output")) if event == "after-ocr" else artifacts
+
+
+def write_documents(rows: DataFrame, library: str, ending: str = "json") -> int:
+    """Write each row (tag_id, kind, key, document) as <library>/<tag_id>/<kind>/<key>.<ending>, under a temporary name until it is whole; the
+    last of equal keys counts (by ingest_seq, where there is one). Returns the number of files."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    import pyarrow.fs as fs
+
+    keys = ["tag_id", "kind", "key"]
+    own = latest(rows, keys, ["ingest_seq"]) if "ingest_seq" in rows.columns else rows
+    root = library.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        for batch in batches:
+            store, at = fs.FileSystem.from_uri(root)
+            for tag, kind, key, document in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = f"{at}/{tag}/{kind}"
+                store.create_dir(folder, recursive=True)
+                temporary = f"{folder}/.{key}.{uuid.uuid4().hex}"
+                with store.open_output_stream(temporary) as out:
+                    out.write((document or "").encode())
+                store.move(temporary, f"{folder}/{key}.{ending}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    return own.select(*keys, "document").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def average_confidence(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ocr_line_count, avg_confidence) of recognised lines."""
+    return lines.groupBy(*keys).agg(F.count("*").alias("ocr_line_count"), F.avg("confidence").alias("avg_confidence"))
+
+
+def capture_report(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """One nested document per scan: pages (tag_id, scan_id, page_id, slot, rotation_deg, orientation_reason, timings) with their lines, the
+    number of these and their average confidence, 0.0 without lines, and the sums of the pages' timings."""
+    from ..operators.metrics import total_seconds
+
+    keys = ["tag_id", "scan_id", "page_id"]
+    every = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line_index", "text", "confidence"))).alias("ocr_lines"))
+    both = pages.join(every, keys, "left").join(average_confidence(lines, keys), keys, "left")
+    page = F.struct("page_id", "slot", "rotation_deg", "orientation_reason", F.coalesce("ocr_line_count", F.lit(0)).alias("ocr_line_count"), F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"), "ocr_lines", total_seconds(F.col("timings")).alias("seconds"))
+    own = both.select("tag_id", "scan_id", page.alias("page")).groupBy("tag_id", "scan_id").agg(F.sort_array(F.collect_list("page")).alias("pages"))
+    return own.withColumn("total_seconds", F.aggregate("pages", F.lit(0.0), lambda a, p: a + p["seconds"]))
+
+
+def enhancement_manifest(pages: DataFrame, mode: str, denoise: bool) -> DataFrame:
+    """One nested document per scan: how page images were enhanced, and where the results are; pages by id."""
+    page = F.struct("page_id", "source_path", "ocr_output_path", "timings")
+    return pages.select("tag_id", "scan_id", "page_id", page.alias("page")).groupBy("tag_id", "scan_id").agg(F.sort_array(F.collect_list(F.struct("page_id", F.to_json("page").alias("page")))).alias("p")).select(
+        "tag_id", "scan_id", F.lit(mode).alias("ocr_input_mode"), F.lit(denoise).alias("denoise_enabled"), F.transform("p", lambda x: x["page"]).alias("pages")
+    )
+
+
+def evict(tables: dict[str, DataFrame], tag: str, book: str = "tag_id") -> dict[str, DataFrame]:
+    """All tables of a library without a book: its pages, chapters, summaries and aliases, and the state that depends on it."""
+    return {name: delete_book(rows, tag, book) for name, rows in tables.items()}

@@ -2,14 +2,11 @@
 
 import pytest
 
-from leafmill.plans.oracle import SQL
-from leafmill.plans.queries import QUERIES
-from leafmill.streaming.replay import STREAMS
+from leafmill.plans.catalog import BOOK as ALL
+from leafmill.plans.catalog import TWINS as SQL
 
 from .compare import SF, same
 
-ALL = QUERIES | STREAMS
-
 
 def test_every_twin_has_a_query():
     assert set(SQL) <= set(ALL)
@@ -20,6 +17,6 @@ def test_twin(spark, name):
     same(ALL[name](spark, SF), SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL)))
 def test_rows_only(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+    assert ALL[name](spark, SF).count() > 0
