@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .oracle import END, V_LINES, V_PAGES, V_TURNS, V_USAGE, artifact, fragment, has, norm, norm_ends, words
-from .oracle_text import CLEANED, MARKERS, german
+from .oracle_text import MARKERS, german
 
 SUMMARIES = "s AS (SELECT conv_id::VARCHAR AS tag_id, turn, printf('chapter_%04d', turn + 1) AS chapter_id, text FROM conversations WHERE role <> 'system')"
 PAGE_ID = "CASE WHEN page_number IS NOT NULL THEN printf('page_%04d', page_number) ELSE report_page_id END"

@@ -180,3 +180,56 @@ def test_measures(spark):
     assert tuple(M.latest_source(files, "g").first()) == ("g", 5, True, "fallback")
     said = spark.createDataFrame([("x", "ab", 2.0, 5.0), ("x", "c", 1.0, 1.5)], "g string, text string, queued_at double, ready_at double")
     assert tuple(M.batch_counters(said, "g").first()) == ("x", 2, 3, 0.5)
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from leafmill.session import shared_dir
+
+    conf = lambda value: SimpleNamespace(get=lambda key, default=None: value)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=conf(None), sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert shared_dir(SimpleNamespace(conf=conf("file:///x/"), sparkContext=SimpleNamespace(master="spark://host:7077"))) == "file:///x"
+    assert shared_dir(SimpleNamespace(conf=conf(None), sparkContext=SimpleNamespace(master="local[4]"))).startswith("file://")
+
+
+def test_languages(spark):
+    import pytest
+
+    from leafmill.functions import language
+
+    rows = spark.createDataFrame([(" DE ",), ("en",), (None,)], "c string")
+    assert [tuple(r["p"]) for r in rows.select(language.profile(F.col("c")).alias("p")).collect()] == [("de", "de-DE", "Kapitel", "German"), ("en", "en-US", "Chapter", "English"), ("de", "de-DE", "Kapitel", "German")]
+    with pytest.raises(Exception, match="unknown language"):
+        spark.createDataFrame([("xx",)], "c string").select(language.language(F.col("c"))).collect()
+
+
+def test_documents_are_replaced_by_key(spark, tmp_path):
+    rows = spark.createDataFrame([("B", "pages", "0001", json.dumps({"page_id": "old", "page_number": 1}), 1), ("B", "pages", "0001", json.dumps({"page_id": "new", "page_number": 1}), 2), ("B", "pages", "x", json.dumps({"page_id": "x"}), 1)], "tag_id string, kind string, key string, document string, ingest_seq int")
+    assert sinks.write_documents(rows, f"file://{tmp_path}/l") == 2
+    sinks.write_documents(rows.where("key = 'x'").withColumn("document", F.lit(json.dumps({"page_id": "y"}))), f"file://{tmp_path}/l")
+    got = readers.stored_order(readers.pages(spark, f"{tmp_path}/l")).orderBy("position").collect()
+    assert [(r["page_id"], r["position"]) for r in got] == [("new", 0), ("y", 1)]
+    assert sorted(p.name for p in (tmp_path / "l/B/pages").iterdir() if not p.name.endswith(".crc")) == ["0001.json", "x.json"]
+
+
+def test_boundaries_are_resolved_by_the_first_rule(spark):
+    from leafmill.operators import sections
+
+    pages = spark.createDataFrame([("B", 0, 5, "p5", "s1", "left", "r1"), ("B", 1, 6, "p6", "s1", "right", "r2"), ("B", 2, None, "q", "s2", "left", "p9"), ("C", 0, 5, "p5", "s1", "left", None)], "tag_id string, position int, page_number int, page_id string, scan_id string, side string, report_page_id string")
+    wanted = spark.createDataFrame([("B", 6, "p5", None, None, 0), ("B", None, "p5", "s1", "right", 0), ("B", 99, "none", "s2", "left", 0), ("B", None, "p9", None, None, 0), ("B", None, None, None, None, 0), ("B", 6, "p5", None, None, 0), ("C", 5, None, None, None, 0)], "tag_id string, page_number int, page_id string, scan_id string, side string, offset int")
+    got = sections.resolve(wanted, pages).collect()
+    assert sorted((r["tag_id"], -1 if r["resolved_position"] is None else r["resolved_position"]) for r in got) == [("B", -1), ("B", 0), ("B", 1), ("B", 1), ("B", 2), ("B", 2), ("C", 0)]
+
+
+def test_answers(spark):
+    answers = [({"candidates": [{"finishReason": "max_tokens"}]}, (True, True)), ({"candidates": [{"finishReason": "Recitation"}]}, (False, False)), ({"promptFeedback": {"blockReason": "X"}}, (False, False)), ({}, (False, True))]
+    rows = spark.createDataFrame([(i, json.dumps(a)) for i, (a, _) in enumerate(answers)], "i int, j string")
+    assert [tuple(r["s"]) for r in rows.orderBy("i").select(summaries.response_state(F.col("j")).alias("s")).collect()] == [want for _, want in answers]
+
+
+def test_a_held_scan_stays_held(spark):
+    assert guarded(spark, ("a", [1, 2]), ("b", [1, 2]), ("c", [3, 4]), ("b", [1]), ("d", [5])) == ["allow", "repeat", "allow", "held", "allow"]
