@@ -27,6 +27,8 @@ THRESHOLD = 1
 HEAVY = 32
 #: Halvings of a gap at once, at a threshold of 1.
 SPLITS = 3
+#: Halvings by which the alike ends of two lines are found before they are verified.
+HALVINGS = 10
 #: Heavy keys, and the two hashes of the lines that share them, are broadcast up to so many, some MB.
 BROADCAST_KEYS = 1 << 17
 #: Parts into which the copies of one line are dealt.
@@ -134,8 +136,30 @@ def may_be_within(a: Column, b: Column, threshold: int) -> Column:
     return found >= n - threshold
 
 
+def _alike(a: Column, b: Column, last: bool) -> Column:
+    """So many first (or last) characters are alike in both texts, found by halving: less than a part in 2 ** HALVINGS of them is missed."""
+    n = F.least(F.length(a), F.length(b))
+
+    def longer(found: Column, parts: Column) -> Column:
+        size = F.ceil(n / parts).cast("int")
+        begin = -(found + size) if last else found + 1
+        return F.when((found + size <= n) & (F.substring(a, begin, size) == F.substring(b, begin, size)), found + size).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(1, HALVINGS + 1)]), F.lit(0), longer)
+
+
+def trimmed(a: Column, b: Column) -> Column:
+    """Texts (a, b) without what is alike at their beginnings and ends, which their edit distance doesn't depend on."""
+    pair = F.struct(a.alias("a"), b.alias("b"))
+    for last in (False, True):
+        known = F.transform(F.array(pair), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), _alike(p["a"], p["b"], last).alias("n")))  # noqa: B023
+        left = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n) if last else F.substring(x, n + 1, F.length(x))  # noqa: B023, E731
+        pair = F.get(F.transform(known, lambda p: F.struct(left(p["a"], p["n"]).alias("a"), left(p["b"], p["n"]).alias("b"))), F.lit(0))  # noqa: B023
+    return pair
+
+
 def within(a: Column, b: Column, threshold: int) -> Column:
-    """Whether the edit distance of two texts is at most ``threshold``.
+    """Whether the edit distance of two texts is at most ``threshold``; the automaton reads what trimming leaves of them.
 
     Bit j of ``r{e}`` says that with at most e errors the texts can be aligned so far with their places j - threshold apart. A
     character of a match keeps the diagonal, an error keeps it or moves to a neighbour.
@@ -163,9 +187,14 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         return F.aggregate(F.transform(chars["a"], lambda c, i: F.struct(c.alias("c"), i.alias("i"))), start, step)[f"r{t}"]
 
     apart = F.length(b) - F.length(a) + t
-    last = F.get(F.transform(F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))), walk), F.lit(0))
-    ended = F.call_function("shiftright", last, apart.cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    return F.when((apart < 0) | (apart > 2 * t), False).when((F.length(a) == 0) | (F.length(b) == 0), True).otherwise(ended)
+    def judged(rest: Column) -> Column:
+        """Over what trimming leaves; where that is nothing of one text, all of the other's are errors, no more than ``apart`` allows."""
+        chars = F.array(F.struct(F.split(rest["a"], "").alias("a"), F.split(rest["b"], "").alias("b")))
+        end = F.get(F.transform(chars, walk), F.lit(0))
+        ended = F.call_function("shiftright", end, apart.cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+        return F.when((F.length(rest["a"]) == 0) | (F.length(rest["b"]) == 0), True).otherwise(ended)
+
+    return F.when((apart < 0) | (apart > 2 * t), False).otherwise(F.get(F.transform(F.array(trimmed(a, b)), judged), F.lit(0)))
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
