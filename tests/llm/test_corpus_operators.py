@@ -204,6 +204,16 @@ def test_banded_distance(spark, threshold):
         assert r["w"] == near and (r["m"] or not near)
 
 
+def test_trimmed_lines(spark):
+    """Long lines, of which trimming leaves little, all, or nothing, are judged as Spark's own edit distance does."""
+    rng = random.Random(8)
+    lines = ["".join(rng.choice(letters) for _ in range(n)) for n in (0, 1, 2, 63, 64, 65, 400, 1500) for letters in ("a", "abä😀", "abcdefgh ")]
+    rows = [(a, changed(rng, a, rng.randint(0, 4))) for a in lines for _ in range(25)] + [(a, a) for a in lines]
+    a, b = F.col("a"), F.col("b")
+    judged = spark.createDataFrame(rows, "a string, b string").select(*[(line_dedup.within(a, b, t) == (F.levenshtein(a, b) <= t)).alias(f"t{t}") for t in (1, 2, 3)])
+    assert judged.where("not (t1 and t2 and t3)").count() == 0 and judged.where("t1 is null or t2 is null or t3 is null").count() == 0
+
+
 @pytest.mark.parametrize(("threshold", "heavy"), [(1, 2), (1, 32), (2, 32)])
 def test_lines_against_all_pairs(spark, monkeypatch, threshold, heavy):
     monkeypatch.setattr(line_dedup, "HEAVY", heavy)
