@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from ..session import shared_dir, ship
 
@@ -24,6 +25,14 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def need_whole_numbers(df: DataFrame, *columns: str) -> None:
+    """Raise TypeError, before any job runs, unless these columns are of an integer type."""
+    for c in columns:
+        kind = df.select(c).schema[0].dataType
+        if not isinstance(kind, (IntegralType, NullType)):
+            raise TypeError(f"column {c} must hold whole numbers, not {kind.simpleString()}")
+
+
 class Scratch:
     """Tables written once to the shared folder: they cut lineage and survive lost executors."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, license_scan, line_dedup, packing, quality_cnn, quality_rules, url_tree, warc
+from . import chat, decontam, jaccard, license_scan, line_dedup, packing, quality_cnn, quality_rules, resampling, tokens, url_tree, warc
 from .common import table
 
 
@@ -54,7 +54,15 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns.withColumn("parts", chat.text_part(F.col("text")))))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_urls, op4_jaccard, op5_lines, op6_quality, op7_decontamination, op8_licenses, op9_rules, op10_chat)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_urls, op4_jaccard, op5_lines, op6_quality, op7_decontamination, op8_licenses, op9_rules, op10_chat, op11_resampling, op12_token_ids)}
 
 SQL: dict[str, str] = {
     "op4_jaccard": r"""
@@ -87,6 +95,26 @@ SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(length(replace(replace(text, chr(92), chr(92) || 'b'), '<|', chr(92) || 'p')) + length(replace(replace(replace(role, chr(92), chr(92) || 'b'), '<|', chr(92) || 'p'), '|>', chr(92) || 'q')) + 18)::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op11_resampling": r"""
+        WITH RECURSIVE bits(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, xor(c >> 1, (c & 1) * 3988292384), k + 1 FROM bits WHERE k < 8),
+        tab AS (SELECT i, c FROM bits WHERE k = 8),
+        w AS (SELECT 0 AS src, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+            UNION ALL SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        f AS (SELECT src, id, g, count(*) AS n FROM (SELECT src, id, unnest(w) AS g FROM w UNION ALL
+            SELECT src, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w) GROUP BY src, id, g),
+        crc(g, h, p, c) AS (SELECT g, lower(hex(encode(g))), 0, 4294967295 FROM (SELECT DISTINCT g FROM f) UNION ALL
+            SELECT g, h, p + 1, xor(crc.c >> 8, tab.c) FROM crc JOIN tab ON tab.i = xor(crc.c & 255,
+                (strpos('0123456789abcdef', substr(h, 2 * p + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 2 * p + 2, 1)) - 1) WHERE 2 * p < length(h)),
+        b AS (SELECT src, id, n, xor(c, 4294967295) % 10000 AS b FROM f JOIN (SELECT g, c FROM crc WHERE 2 * p = length(h)) USING (g)),
+        t AS (SELECT b, sum(n) FILTER (src = 0) AS s, sum(n) FILTER (src = 1) AS t FROM b GROUP BY b),
+        a AS (SELECT sum(s) AS s, sum(t) AS t FROM t),
+        gain AS (SELECT b, floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * (coalesce(a.s, 0) + 10000) / ((coalesce(t.s, 0) + 1)::DOUBLE * (coalesce(a.t, 0) + 10000))))::BIGINT AS gain FROM t, a),
+        d AS (SELECT id, sum(n) AS n, sum(n * gain)::BIGINT AS g FROM b JOIN gain USING (b) WHERE src = 0 GROUP BY id),
+        x AS (SELECT w.id AS doc_id, len(w) AS n_words, coalesce(d.n, 0)::BIGINT AS n_features, CASE WHEN d.n IS NULL THEN 0 ELSE floor(d.g::DOUBLE / d.n)::BIGINT END AS weight,
+            list_sum(list_transform(range(8), lambda i: ((strpos('0123456789abcdef', substr(sha256('7:' || w.id), i + 1, 1)) - 1)::BIGINT << (28 - 4 * i))))::DOUBLE AS h FROM w LEFT JOIN d USING (id) WHERE src = 0),
+        y AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))))::BIGINT AS score FROM x),
+        z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM y WHERE n_words >= 20)
+        SELECT y.doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM y LEFT JOIN z USING (doc_id)""",
     "op2_warc": """
         WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
         g AS (SELECT h, max(page_id) AS m FROM d GROUP BY h)
