@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, license_scan, line_dedup, packing, quality_cnn, quality_rules, resampling, tokens, url_tree, warc
-from .common import table
+from . import chat, decontam, jaccard, license_scan, line_dedup, packing, quality_cnn, quality_rules, resampling, tokens, trie, url_tree, warc
+from .common import Scratch, look_up, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,29 @@ def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_urls, op4_jaccard, op5_lines, op6_quality, op7_decontamination, op8_licenses, op9_rules, op10_chat, op11_resampling, op12_token_ids)}
+#: The first turns that a conversation takes from another: as many as a checksum of its id says, below this number.
+HEADS = 9
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rebuilt so that neighbours share first turns, each from the conversation whose id is the next multiple of five towards zero."""
+    scratch = Scratch(spark, "op13")
+    turns = scratch.save(trie.ordered(table(spark, sf_dir, "conversations"), scratch), "turns")
+    head = lambda c: F.crc32(c.cast("string").cast("binary")) % HEADS
+    of = lambda c: c - c % 5
+    c = F.col("conv_id")
+    known = turns.groupBy("conv_id").agg(F.max("position").alias("n"))
+    bases = known.where(c % 5 == 0).select(c.alias("base"), F.col("n").alias("n_base"))
+    known = known.withColumn("base", of(c)).join(bases, "base", "left").select("conv_id", "n", F.least(head(c), F.coalesce("n_base", F.lit(0))).alias("taken"))
+    own = look_up(turns.where(F.col("position") > head(c)), known, ["conv_id"], "n", turns.count(), F.col("position"), "inner")
+    own = own.select("conv_id", (F.col("position") - head(c) + F.col("taken")).alias("position"), "digest", "n_bytes")
+    takers = F.explode(F.array(*[F.try_add(c, F.lit(k)) for k in range(-4, 5)]))
+    first = turns.where((c % 5 == 0) & (F.col("position") < HEADS)).select(c.alias("base"), takers.alias("conv_id"), "position", "digest", "n_bytes")
+    first = first.where((of(c) == F.col("base")) & (F.col("position") <= head(c))).join(known.select("conv_id"), "conv_id", "left_semi").drop("base")
+    return trie.build(scratch.save(own.unionByName(first), "rebuilt"), scratch, known.select("conv_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op3_urls, op4_jaccard, op5_lines, op6_quality, op7_decontamination, op8_licenses, op9_rules, op10_chat, op11_resampling, op12_token_ids, op13_prefix_trie)}
 
 SQL: dict[str, str] = {
     "op4_jaccard": r"""
@@ -115,6 +137,21 @@ SQL: dict[str, str] = {
         y AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))))::BIGINT AS score FROM x),
         z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM y WHERE n_words >= 20)
         SELECT y.doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM y LEFT JOIN z USING (doc_id)""",
+    "op13_prefix_trie": """
+        WITH RECURSIVE bits(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, xor(c >> 1, (c & 1) * 3988292384), k + 1 FROM bits WHERE k < 8),
+        tab AS (SELECT i, c FROM bits WHERE k = 8),
+        crc(id, s, p, c) AS (SELECT id, id::VARCHAR, 1, 4294967295 FROM (SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id IS NOT NULL) UNION ALL
+            SELECT id, s, p + 1, xor(crc.c >> 8, tab.c) FROM crc JOIN tab ON tab.i = xor(crc.c & 255, ascii(substr(s, p, 1))) WHERE p <= length(s)),
+        h AS (SELECT id, xor(c, 4294967295) % 9 AS h FROM crc WHERE p > length(s)),
+        l AS (SELECT conv_id AS id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        r AS (SELECT h.id, list_concat(CASE WHEN b.l IS NULL THEN o.l[1:0] ELSE b.l[1:h] END, o.l[h + 1:]) AS l FROM h JOIN l o ON o.id = h.id LEFT JOIN l b ON b.id = h.id - h.id % 5),
+        m AS (SELECT id, l, unnest(range(len(l) + 1)) AS d FROM r),
+        n AS (SELECT d, l[1:d] AS p, min(id) AS c, count(*) AS n, max(CASE WHEN d > 0 THEN octet_length(encode(l[d].t)) ELSE 0 END) AS bytes,
+            sha256(coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (len(l) = d), '')) AS ends FROM m GROUP BY d, l[1:d]),
+        k AS (SELECT n.*, p[1:d - 1] AS up, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND x.p[1:x.d - 1] = n.p) AS kids FROM n)
+        SELECT a.c AS conv_id, a.d AS depth, u.c AS parent_conv_id, a.n AS n_convs, a.kids AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, a.ends AS ends_sha256
+        FROM k a LEFT JOIN n u ON u.d = a.d - 1 AND u.p = a.up
+        JOIN (SELECT a.d, a.p, count(*) FILTER (b.kids = 0) AS leaves, sum((b.n - 1) * b.bytes)::BIGINT AS saved FROM k a JOIN k b ON b.d >= a.d AND b.p[1:a.d] = a.p GROUP BY a.d, a.p) s ON s.d = a.d AND s.p = a.p""",
     "op2_warc": """
         WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
         g AS (SELECT h, max(page_id) AS m FROM d GROUP BY h)
