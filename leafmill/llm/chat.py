@@ -59,9 +59,21 @@ def is_attachment(part: Column) -> Column:
 
 
 def visit(parts: Column) -> Column:
-    """The content of a turn: escaped texts and placeholders in order. Null parts and parts of unknown kind count as text."""
-    one = lambda p, i: F.when(is_attachment(p), F.concat(F.lit("<|"), p["kind"], F.lit(":"), i.cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
-    return F.array_join(F.transform(F.coalesce(parts, F.array().cast(PARTS)), one), "")
+    """The content of a turn: escaped texts and placeholders in order. Null parts and parts of unknown kind count as text.
+
+    Neighbouring texts are escaped as one: where "<" ends one and "|" begins the next, the pair is escaped across the seam.
+    """
+    numbered = F.transform(F.coalesce(parts, F.array().cast(PARTS)), lambda p, i: F.struct(is_attachment(p).alias("attached"), p["kind"].alias("kind"), i.alias("i"), F.coalesce(p["text"], F.lit("")).alias("text")))
+    kept = F.filter(numbered, lambda p: p["attached"] | (p["text"] != ""))
+    beside = lambda p, q: F.coalesce(~p["attached"] & ~q["attached"] & p["text"].endswith("<") & q["text"].startswith("|"), F.lit(False))
+
+    def one(every: Column, p: Column, k: Column) -> Column:
+        before, after = beside(F.get(every, k - 1), p), beside(p, F.get(every, k + 1))
+        text = F.substring(p["text"], F.when(before, 2).otherwise(1), F.length(p["text"]) - before.cast("int") - after.cast("int"))
+        return F.when(p["attached"], F.concat(F.lit("<|"), p["kind"], F.lit(":"), p["i"].cast("string"), F.lit("|>"))).otherwise(F.concat(escape(text), F.when(after, F.lit("\\p")).otherwise(F.lit(""))))
+
+    # The array of one names the kept parts, so they are made once and not for each part.
+    return F.get(F.transform(F.array(kept), lambda every: F.array_join(F.transform(every, lambda p, k: one(every, p, k)), "")), F.lit(0))
 
 
 def unescaped(parts: Column) -> Column:

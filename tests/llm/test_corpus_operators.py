@@ -363,3 +363,36 @@ def test_look_up_keeps_every_row(spark):
     got = look_up(left, right, ["k"], "n", 3000, F.col("id"))
     assert got.count() == 3000 and got.where("k % 2 = 1 and v <> k * 10 or k % 2 = 1 and v is null").count() == 0
     assert look_up(left, right, ["k"], "n", 3000, F.col("id"), "inner").count() + look_up(left, right, ["k"], "n", 3000, F.col("id"), "anti").count() == 3000
+
+
+def test_chat_parts_over_seams(spark):
+    """Texts cut into parts anywhere, also within control strings, are formatted as the whole text is, and read back exactly."""
+    rng = random.Random(17)
+    bits = ["<", "|", "<|", "|>", "end", "<|end|>\n", "<|turn:assistant|>\n", "<|image:0|>", "\\", "\\p", "b", "x", "", "\n"]
+    rows, whole = [], []
+    for conv in range(150):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 12)))
+        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.randrange(0, 6)))
+        pieces = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        role = rng.choice(["user", "assistant"])
+        parts = [(rng.choice(["text", None, "note"]), p or rng.choice([None, ""]), None, None, None, None, None) for p in pieces]
+        parts.insert(rng.randrange(len(parts) + 1), None)
+        rows.append((conv, 0, role, parts))
+        whole.append((conv, 0, role, text))
+    split = spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts {chat.PARTS}")
+    plain = spark.createDataFrame(whole, "conv_id long, turn int, role string, text string").withColumn("parts", chat.text_part(F.col("text")))
+    made, want = ({r["conv_id"]: r for r in chat.format_turns(x).collect()} for x in (split, plain))
+    assert {c: (r["formatted"], r["loss"]) for c, r in made.items()} == {c: (r["formatted"], r["loss"]) for c, r in want.items()}
+    read = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(split)).collect()}
+    for conv, _, role, text in whole:
+        assert [(t["role"], t["text"]) for t in read[conv]["turns"]] == [(role, text)]
+        assert read[conv]["loss_texts"] == ([text] if role == "assistant" else [])
+
+
+def test_chat_parts_between_attachments(spark):
+    image = ("image", None, "u", 28, 28, None, None)
+    said = lambda t: ("text", t, None, None, None, None, None)
+    rows = [(1, 0, "user", [said("<"), said(""), said("|"), image, said("|end|>\n"), said("<")]), (2, 0, "user", [said("<"), image, said("|"), said("<"), said("|"), said("|")])]
+    made = chat.format_turns(spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts {chat.PARTS}"))
+    got = {r["conv_id"]: [(p["kind"], p["text"]) for p in r["p"]] for r in chat.read_back(made).join(made.select("conv_id", "formatted", "attachments"), "conv_id").select("conv_id", chat.read_parts(F.substring("formatted", F.lit(len("<|turn:user|>\n") + 1), F.length("formatted") - len("<|turn:user|>\n") - len(chat.END)), F.col("attachments")).alias("p")).collect()}
+    assert got == {1: [("text", "<|"), ("image", None), ("text", "|end|>\n<")], 2: [("text", "<"), ("image", None), ("text", "|<||")]}
