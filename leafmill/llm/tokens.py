@@ -5,7 +5,7 @@ end of the file has the offset and the checksum of each block, and the id and fi
 blocks that hold it and unpacked by numpy at once. Rows are range-sorted by document id; a task encodes and writes its range and begins a new
 file at a size; files are committed through temporary names and a manifest (see files.py).
 
-Ids come from the tokenizers library. A text of plain characters is cut into the vocabulary's own pieces first, by column functions, and each
+Ids come from the tokenizers library. A text of plain characters is cut into the vocabulary's own pieces first, and each
 distinct piece is encoded once a task; other texts are encoded whole.
 """
 
@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ BLOCK = 1 << 15
 ROLL_BYTES = 64 << 20
 #: Ids that a reader unpacks at once.
 PIECE = 1 << 20
-#: Distinct pieces whose ids a task remembers; beyond, it forgets all and begins anew.
-REMEMBERED = 1 << 20
+#: Distinct words, and pieces of words, whose ids a task remembers; beyond, it forgets all and begins anew.
+REMEMBERED = 1 << 19
 
 MANIFEST = files.MANIFEST + ", n_ids bigint"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -170,12 +171,35 @@ class TokenFile:
 
 #: Characters of plain texts: each is its own composed form, and all but ASCII letters keep their kind when lower-cased, one for one.
 _PLAIN = r"^[\t-\r -~\x{A1}-\x{12F}\x{131}-\x{24F}\x{400}-\x{45F}\x{2010}-\x{2027}\x{20AC}\x{3001}\x{3002}\x{4E00}-\x{9FA5}]*$"
-#: The pieces of the vocabulary's own rule, over plain characters.
-_PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\v\p{L}\p{N}]+)"
+#: The pieces of a lower-cased word of plain characters, by the vocabulary's own rule.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
+
+
+class Memory:
+    """The ids of strings seen before."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {"": 0}
+        self.at, self.flat, self.n_flat = [np.zeros(2, np.int64)], [np.zeros(0, "<u4")], 0
+
+    def add(self, strings: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
+        """``ids`` of new strings, one after another; those of the first go up to ``stops[0]``."""
+        self.known.update(zip(strings, range(len(self.known), len(self.known) + len(strings)), strict=True))
+        self.at.append(self.n_flat + stops)
+        self.flat.append(ids)
+        self.n_flat += len(ids)
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the strings known by these numbers, ids before each)."""
+        self.at, self.flat = [np.concatenate(self.at)], [np.concatenate(self.flat)]
+        at, flat = self.at[0], self.flat[0]
+        start = at[places]
+        before = np.concatenate([[0], np.cumsum(at[places + 1] - start)])
+        return flat[np.repeat(start - before[:-1], np.diff(before)) + np.arange(before[-1])], before
 
 
 class Encoder:
-    """Ids of many texts. ``remembered`` pieces are kept at most, each with its ids."""
+    """Ids of many texts. Of words and of pieces ``remembered`` are kept with their ids, or what one batch has; then all are forgotten."""
 
     def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
         import public_tokenizers as public
@@ -187,48 +211,54 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # Only a vocabulary that marks the ends of words and whose rule is the one above is cut into pieces.
+        # Only the vocabulary that marks the ends of words and whose rule is the one above is cut into pieces.
         self.by_piece = vocabulary == VOCABULARY
         self.remembered = remembered
-        self._forget()
-
-    def _forget(self) -> None:
-        # What stands after the last blank of a text is an empty piece, which has no ids.
-        self.known: dict[str, int] = {"": 0}
-        self.at, self.flat, self.n_flat = [np.zeros(2, np.int64)], [np.zeros(0, "<u4")], 0
+        self.words, self.pieces = Memory(), Memory()
 
     def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for t in texts]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of pieces not seen before: many are encoded as one text, whose words the ids that end words part again."""
-        for k in range(0, len(pieces), 2000):
-            some = pieces[k : k + 2000]
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Many pieces are encoded as one text, whose words the ids that end words part again."""
+        for k in range(0, len(new), 2000):
+            some = new[k : k + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) != len(some) or stop[-1] != len(ids):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some) or stops[-1] != len(ids):
                 one = self.encode_whole(some)
-                ids, stop = np.concatenate(one), np.cumsum([len(x) for x in one])
-            self.at.append(self.n_flat + stop)
-            self.flat.append(ids)
-            self.n_flat += len(ids)
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+                ids, stops = np.concatenate(one), np.cumsum([len(x) for x in one])
+            self.pieces.add(some, ids, stops)
+
+    def _learn_words(self, new: list[str]) -> None:
+        parts, counts, known = [], [], self.pieces.known
+        for w in new:
+            if w.isalpha():
+                own = [w]
+            elif w[-1] in ".,;:!?" and w[:-1].isalpha():
+                own = [w[:-1], w[-1]]
+            else:
+                own = _PIECES.findall(w)
+            parts += own
+            counts.append(len(own))
+        if len(known) > self.remembered:
+            self.pieces = Memory()
+            known = self.pieces.known
+        self._learn_pieces(list(dict.fromkeys(p for p in parts if p not in known)))
+        ids, before = self.pieces.ids(np.fromiter(map(known.__getitem__, parts), np.int64, len(parts)))
+        self.words.add(new, ids, before[np.cumsum(counts)])
 
     def _by_piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        spaced = pc.replace_substring_regex(pc.ascii_lower(texts), _PIECES, r"\1 ")
-        lists = pc.ascii_split_whitespace(spaced).cast(pa.large_list(pa.large_string()))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts)).cast(pa.large_list(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > self.remembered:
-            self._forget()
-        self._learn([w for w in distinct if w not in self.known])
-        at, flat = np.concatenate(self.at), np.concatenate(self.flat)
-        self.at, self.flat = [at], [flat]
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        words = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
-        n = at[words + 1] - at[words]
-        before = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(at[words] - before[:-1], n) + np.arange(before[-1])]
+        # What stands after a text's last blank is an empty word.
+        strings = coded.dictionary.to_pylist()
+        if len(self.words.known) > self.remembered:
+            self.words = Memory()
+        if new := [w for w in strings if w not in self.words.known]:
+            self._learn_words(new)
+        places = np.fromiter(map(self.words.known.__getitem__, strings), np.int64, len(strings))
+        ids, before = self.words.ids(places[coded.indices.to_numpy(zero_copy_only=False)])
         return ids, before[np.asarray(lists.offsets)]
 
     def __call__(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
