@@ -29,8 +29,8 @@ HEAVY = 32
 SPLITS = 3
 #: Halvings by which the alike ends of two lines are found before they are verified.
 HALVINGS = 10
-#: Heavy keys, and the two hashes of the lines that share them, are broadcast up to so many, some MB.
-BROADCAST_KEYS = 1 << 17
+#: Rows of 64 bits of a sieve, two to the power of this; that many rows at most are broadcast, whatever the data.
+SIEVE_ROWS = 18
 #: Parts into which the copies of one line are dealt.
 SALTS = 16
 
@@ -218,20 +218,31 @@ def _shared(emitted: DataFrame, scratch: Scratch) -> DataFrame:
     return emitted.join(scratch.save(shared.select("key"), "shared"), "key").distinct()
 
 
-def _texts(lines: DataFrame, ends: DataFrame, scratch: Scratch, few: bool = False) -> DataFrame:
-    """(h1, h2, line) of the lines of ``ends`` (h1, h2). Few ends are broadcast. Else a line that stands in many documents is dealt to SALTS
+def _slot(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 6).bitwiseAND(F.lit((1 << SIEVE_ROWS) - 1))
+
+
+def sifted(rows: DataFrame, column: str, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the flag ``name``: false if the number in ``column`` is surely none of ``wanted``. A bitmap of bounded size is broadcast; where it is too
+    small for what is wanted more rows are flagged, and the join that follows decides."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(column).bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = wanted.select(_slot(F.col(column)).alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    found = rows.withColumn("slot", _slot(F.col(column))).join(F.broadcast(bitmap), "slot", "left")
+    return found.withColumn(name, F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("slot", "bits")
+
+
+def _texts(lines: DataFrame, ends: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h1, h2, line) of the lines of ``ends`` (h1, h2). Lines pass a sieve before they are shuffled; one that stands in many documents is dealt to SALTS
     tasks, each of which passes on one copy."""
-    if few and ends.count() <= BROADCAST_KEYS:
-        return scratch.save(lines.select("h1", "h2", "line").join(F.broadcast(ends), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line")), "texts")
     salted = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = lines.select("h1", "h2", "line", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int").alias("salt"))
+    spread = sifted(lines.select("h1", "h2", "line", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int").alias("salt")), "h1", ends, "maybe").where("maybe").drop("maybe")
     return scratch.save(spread.join(salted.hint("merge"), ["h1", "h2", "salt"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line")), "texts")
 
 
 def refine(keys: DataFrame, lines: DataFrame, scratch: Scratch, threshold: int) -> tuple[DataFrame | None, DataFrame | None]:
     """(pairs, groups) of rows (h1, h2, role) of keys that more than HEAVY lines share: pairs of lines that meet at refined keys, and
     rows (key, h1, h2, own) of keys whose gaps are closed: each line of such a key is near to all whose ``own`` text is shortest there."""
-    texts = _texts(lines, scratch.save(keys.select("h1", "h2").distinct(), "held"), scratch, few=True)
+    texts = _texts(lines, scratch.save(keys.select("h1", "h2").distinct(), "held"), scratch)
     state = gaps_of(F.col("role"), F.length("line"), threshold)
     rows = keys.join(texts, ["h1", "h2"]).select("h1", "h2", state.alias("s")).select("h1", "h2", "s.short", "s.gaps")
     pairs, groups = None, None
@@ -260,9 +271,10 @@ def near_pairs(lines: DataFrame, scratch: Scratch, threshold: int) -> tuple[Data
     emitted = sized.select("h1", "h2", F.inline(segment_keys(F.col("line"), F.col("n"), threshold))).where("key is not null")
     keys = scratch.save(_shared(emitted, scratch), "keys")
     heavy = scratch.save(keys.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HEAVY).withColumn("heavy", F.lit(True)), "heavy")
-    # Keys that many lines share are few; only where they aren't do all keys have to be dealt out to find them.
-    known = heavy.count() <= BROADCAST_KEYS
-    keys = keys.join(F.broadcast(heavy.drop("m")), "key", "left") if known else scratch.save(look_up(keys, heavy, ["key"], "m", keys.count(), F.col("h1")), "marked")
+    # Rows of keys that are surely light aren't dealt out to find that.
+    marked = sifted(keys, "key", heavy, "maybe")
+    light = marked.where("not maybe").drop("maybe").withColumn("heavy", F.lit(None).cast("boolean"))
+    keys = scratch.save(light.unionByName(look_up(marked.where("maybe").drop("maybe"), heavy, ["key"], "m", keys.count(), F.col("h1"))), "marked")
     own = F.col("role").isin([k for k, (extra, _, shift) in enumerate(roles(threshold)) if extra == shift == 0])
     pairs = _meet(keys.where("heavy is null").withColumn("own", own))
     many, groups = keys.where("heavy").select("h1", "h2", "role"), None
@@ -270,7 +282,7 @@ def near_pairs(lines: DataFrame, scratch: Scratch, threshold: int) -> tuple[Data
         more, groups = refine(many.distinct(), lines, scratch, threshold)
         pairs = pairs.unionByName(more).distinct()
     pairs = scratch.save(pairs, "pairs")
-    ends = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
+    ends = scratch.save(pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct(), "ends")
     texts = _texts(lines, ends, scratch)
     both = pairs.join(texts.toDF("a1", "a2", "a"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "b"), ["b1", "b2"])
     a, b = F.col("a"), F.col("b")

@@ -1,10 +1,9 @@
 """Deterministic sharded WARC 1.1 archives: a writer that commits through temporary names and manifests, and a reader.
 
-Records are range-sorted by id, and those of one id by a hash of their url, so a shard holds one interval. Tasks roll files by compressed size and write them under
-names of their attempt; the manifest, a Parquet table, is committed by Spark and thus names the files of winning attempts only.
-A second job renames these and writes the final manifest. It may be repeated: a file that already has its final name is kept.
-Files of attempts that were lost are in no manifest and go with the temporary folder. Headers and digests are regenerated from the payload;
-the same rows in the same partitioning give the same bytes.
+Records are range-sorted by id, and those of one id by a hash of their url, so a shard holds one interval. Tasks roll files by compressed size
+and write them under names of their attempt; files.py commits them and lets a write go on after a dead driver. Headers and digests are
+regenerated from the payload; the same rows in the same partitioning give the same bytes. The reader holds each file against its row of the
+manifest: one that is missing, cut, swapped or short of a record raises.
 
 Payloads that occur more than once are stored once, as the response with the largest id; the others are revisit records.
 """
@@ -20,13 +19,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, delete, look_up, partitions, prepare
+from . import files
+from .common import Scratch, look_up, need_whole_numbers, partitions, prepare
 
-MANIFEST = "shard int, part int, name string, temporary string, final string, n_bytes bigint, n_records bigint, sha1 string"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROLL_BYTES = 64 << 20
@@ -89,10 +87,6 @@ def member(data: bytes) -> bytes:
     return out.getvalue()
 
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder)
-
-
 def revisits(pages: DataFrame, page_id: str, url: str, payload: str, min_bytes: int) -> DataFrame:
     """(page_id, salt, digest, refers_to, target) of the rows that revisit another; ``target`` is the mark of the record with the largest
     id. Rows tied at that id are all responses; so are rows without an id whose payload no row with an id has."""
@@ -113,10 +107,13 @@ def _salt(url: Column) -> Column:
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write one record per row to ``folder`` and return the manifest of its files.
 
-    A null payload is empty; null and repeated ids are kept, each row as a record of its own; an empty table gives an empty manifest.
+    A null payload is empty; null and repeated ids are kept, each row as a record of its own; an empty table gives an empty manifest. Ids must be whole
+    numbers, else TypeError. Other columns are ignored, whatever their names. A folder that is written already is refused; one whose driver died is gone on with,
+    given the same rows.
     """
     spark = pages.sparkSession
     prepare(spark)
+    need_whole_numbers(pages, page_id)
     scratch = Scratch(spark, "warc-marks")
     own = pages.select(F.col(page_id).cast("bigint").alias("_id"), F.col(url).cast("string").alias("_url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("_payload"))
     marks = scratch.save(revisits(own, "_id", "_url", "_payload", min_revisit_bytes), "marks")
@@ -127,26 +124,17 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     # without an id, and those of a repeated one, lie in SALTS intervals, so none of these ids is one task's.
     both = rows.unionByName(marked).withColumn("_sort", F.coalesce("_id", F.lit(-(2**63))))
     ordered = both.repartitionByRange(partitions(spark), "_sort", "_part").sortWithinPartitions("_sort", "_part", "_kind", "_digest", "_url").drop("_sort")
-    temporary = f"{folder.rstrip('/')}/_temporary"
+    temporary = files.temporary_of(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        store, at = _open(temporary)
-        store.create_dir(at, recursive=True)
         out, part, done = None, 0, []
         here: tuple = ()
         targets: dict[str, tuple[int, str]] = {}
         last, again = None, 0
 
-        def close():
-            nonlocal out
-            if out is not None:
-                out.close()
-                done.append((shard, part, name, f"{temporary}/{path}", f"{folder.rstrip('/')}/{name}", size, n, digest.hexdigest()))
-                out = None
-
         for batch in batches:
             for key, salt, kind, link, body, sha, refers, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if here != (key, salt):
@@ -157,48 +145,20 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
                 again = again + 1 if last == (key, link, sha) else 0
                 last = (key, link, sha)
                 data = member(record(key, link, body, targets.get(sha), again))
-                if out is not None and size + len(data) > roll_bytes:
-                    close()
-                    part += 1
+                if out is not None and out.size + len(data) > roll_bytes:
+                    done.append(out.close())
+                    out, part = None, part + 1
                 if out is None:
-                    name = f"shard-{shard:06d}-{part:05d}.warc.gz"
-                    path = f"{name}.{attempt}"
-                    out, size, n, digest = store.open_output_stream(f"{at}/{path}", compression=None), 0, 0, hashlib.sha1()
+                    out = files.Output(temporary, f"shard-{shard:06d}-{part:05d}.warc.gz", attempt, shard, part)
                 out.write(data)
-                digest.update(data)
-                size += len(data)
-                n += 1
-        close()
+        if out is not None:
+            done.append(out.close())
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["shard", "part", "name", "temporary", "final", "n_bytes", "n_records", "sha1"]).cast(_arrow_manifest())
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], files.arrow_schema(files.MANIFEST).names).cast(files.arrow_schema(files.MANIFEST))
 
-    first = f"{folder.rstrip('/')}/_manifest-temporary"
-    ordered.mapInArrow(run, MANIFEST).write.parquet(first)
-
-    def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            store, at = _open(folder)
-            for row in batch.to_pylist():
-                source, target = f"{at}/_temporary/{row['temporary'].rpartition('/')[2]}", f"{at}/{row['name']}"
-                if store.get_file_info(target).type == fs.FileType.NotFound:
-                    try:
-                        store.move(source, target)
-                    except OSError:
-                        if store.get_file_info(target).type == fs.FileType.NotFound:  # else another attempt was first
-                            raise
-            yield batch
-
-    final = f"{folder.rstrip('/')}/manifest"
-    spark.read.schema(MANIFEST).parquet(first).mapInArrow(commit, MANIFEST).write.parquet(final)
-    delete(spark, temporary)
-    delete(spark, first)
+    listed = files.commit(spark, folder, lambda: ordered.mapInArrow(run, files.MANIFEST))
     scratch.drop(marks)
-    return spark.read.schema(MANIFEST).parquet(final)
-
-
-def _arrow_manifest() -> pa.Schema:
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
-    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in MANIFEST.split(", ")])
+    return listed
 
 
 def _inflated(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
@@ -274,25 +234,28 @@ def parse(stream) -> Iterator[dict]:
 
 
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """Records of all files in the manifest, one task per group of files; a revisit has a null payload."""
-    manifest = spark.read.schema(MANIFEST).parquet(f"{folder.rstrip('/')}/manifest").select("name")
+    """Records of all files in the manifest, one task per group of files; a revisit has a null payload. A folder without a committed manifest raises,
+    and so does a file that is missing or differs in size, digest or number of records from its row, or holds a damaged record."""
+    manifest = files.manifest(spark, folder).select("name", "n_bytes", "n_records", "sha1")
     schema = RECORDS if payloads else RECORDS.rpartition(", ")[0]
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+    arrow = files.arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                store, at = _open(folder)
-                with store.open_input_stream(f"{at}/{name}", compression=None) as stream:
+            for row in batch.to_pylist():
+                store, at = files.opened(folder)
+                with store.open_input_stream(f"{at}/{row['name']}", compression=None) as stream:
                     held: list[dict] = []
-                    size = 0
-                    for row in parse(stream):
-                        held.append(row)
-                        size += 200 + (row["payload_bytes"] if payloads else 0)
+                    size = n = 0
+                    checked = files.Checked(stream, row)
+                    for found in parse(checked):
+                        held.append(found)
+                        n += 1
+                        size += 200 + (found["payload_bytes"] if payloads else 0)
                         if size > 8 << 20:
                             yield pa.RecordBatch.from_pylist(held, arrow)
                             held, size = [], 0
+                    checked.close(n)
                     if held:
                         yield pa.RecordBatch.from_pylist(held, arrow)
 

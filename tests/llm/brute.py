@@ -102,7 +102,7 @@ def template(text: str) -> list[tuple[str, str]]:
         word, between = m[0], text[end : m.start()]
         digits = bool(re.fullmatch("[0-9]+", word))
         part = digits and before and len(between) == 1 and between in ".,:/"
-        name = "A" <= word[0] <= "Z" and end > 0 and not re.search("[.!?:\n]", between)
+        name = word[0].isupper() and ord(word[0]) < 0x530 and end > 0 and not re.search("[.!?:\n]", between)
         end, before = m.end(), digits
         word = lower(word)
         kind = "number" if digits or word in NUMBER_WORDS else "unit" if word in UNIT_WORDS else "name" if name else ""
