@@ -146,3 +146,10 @@ def next_sequence(chapters: DataFrame) -> DataFrame:
     n = F.regexp_extract("chapter_id", r"(\d+)$", 1).try_cast("int")
     got = chapters.groupBy("tag_id").agg(F.coalesce(F.max(n), F.lit(0)).alias("m"), F.count("*").cast("int").alias("k"))
     return got.select("tag_id", (F.when(F.col("m") > 0, F.col("m")).otherwise(F.col("k")) + 1).alias("next_sequence"))
+
+
+def resumed(chapters: DataFrame) -> DataFrame:
+    """(tag_id, state): where a stream of pages goes on after stored sections (tag_id, sequence, next_position, next_offset)."""
+    last = chapters.groupBy("tag_id").agg(F.max_by(F.struct("next_position", "next_offset", "sequence"), "sequence").alias("b"))
+    state = F.struct(F.array().cast("array<int>").alias("pages"), F.col("b.next_position").alias("first"), F.col("b.next_offset").alias("offset"), (F.col("b.sequence") + 1).alias("sequence"))
+    return last.select("tag_id", F.to_json(state).alias("state"))

@@ -141,11 +141,12 @@ CHORD = """
         SELECT panel, 0::BIGINT, []::STRUCT(t DOUBLE, c BIGINT)[], []::STRUCT(t DOUBLE, action VARCHAR, delta INT)[] FROM (SELECT DISTINCT panel FROM k1)
         UNION ALL
         SELECT panel, rn, CASE WHEN kind = 'up' THEN list_filter(live, lambda x: x.c <> c) WHEN kind = 'down' AND c < 3 THEN CASE WHEN len(list_filter(live, lambda x: x.c <> c)) = 2 THEN [] ELSE list_append(list_filter(live, lambda x: x.c <> c), {'t': t, 'c': c}) END ELSE live END,
-            list_concat(list_transform(gone, lambda x: {'t': t, 'action': names[x.c + 1], 'delta': 0}),
+            list_concat(list_transform(gone, lambda x: {'t': x.t + 0.18::DOUBLE, 'action': names[x.c + 1], 'delta': 0}),
                 CASE WHEN kind = 'up' AND c < 3 AND len(list_filter(live, lambda x: x.c = c)) > 0 THEN [{'t': t, 'action': names[c + 1], 'delta': 0}] WHEN kind = 'step' THEN [{'t': t, 'action': 'VOLUME_DELTA', 'delta': delta}]
                     WHEN kind = 'down' AND c = 3 THEN [{'t': t, 'action': 'ENCODER_BUTTON', 'delta': 0}] WHEN kind = 'down' AND len(list_filter(live, lambda x: x.c <> c)) = 2 THEN [{'t': t, 'action': 'DELETE_BOOK_REQUEST', 'delta': 0}] ELSE [] END)
-        FROM (SELECT r.*, list_sort(list_filter(s.down, lambda x: r.t - x.t >= 0.18::DOUBLE)) AS gone, list_filter(s.down, lambda x: r.t - x.t < 0.18::DOUBLE) AS live, ['START_STOP', 'BOOK_SUMMARY', 'CHAPTER_SUMMARY'] AS names FROM press s JOIN k1 r ON r.panel = s.panel AND r.rn = s.rn + 1)),
-    o AS (SELECT panel, unnest(outs) AS x FROM press)
+        FROM (SELECT r.*, list_sort(list_filter(s.down, lambda x: r.t - x.t >= 0.18::DOUBLE - 1e-9::DOUBLE)) AS gone, list_filter(s.down, lambda x: r.t - x.t < 0.18::DOUBLE - 1e-9::DOUBLE) AS live, ['START_STOP', 'BOOK_SUMMARY', 'CHAPTER_SUMMARY'] AS names FROM press s JOIN k1 r ON r.panel = s.panel AND r.rn = s.rn + 1)),
+    o AS (SELECT panel, unnest(outs) AS x FROM press
+        UNION ALL SELECT panel, unnest(list_transform(down, lambda x: {'t': x.t + 0.18::DOUBLE, 'action': ['START_STOP', 'BOOK_SUMMARY', 'CHAPTER_SUMMARY'][x.c + 1], 'delta': 0})) FROM (SELECT panel, down FROM press QUALIFY row_number() OVER (PARTITION BY panel ORDER BY rn DESC) = 1))
     SELECT panel, x.t AS t, x.action AS action, x.delta::INT AS delta FROM o"""
 
 

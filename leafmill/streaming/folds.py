@@ -1,12 +1,15 @@
 """Behaviour that depends on the decision before: one step function each, used alike in batch and in Structured Streaming.
 
 A fold has a start state, which is plain JSON data, and a step from (state, row) to (state, output rows). ``batch`` applies it per key to sorted
-rows; ``stream`` keeps the state between micro-batches. Late rows are never dropped: a step decides what they mean.
+rows; ``stream`` keeps the state between micro-batches. Late rows are never dropped: a step decides what they mean. A fold in which something
+falls due without a row says when (``due``) and what then (``expire``); keyed.py sets timers for that, and ``batch`` lets all fall due at the end.
+A row whose ``control`` is FORGET begins its key anew.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,12 +21,31 @@ from ..operators.sections import MAX_PAGES, MIN_PAGES, boundaries_of
 from ..session import ship
 
 
+FORGET = "forget"
+
+
 @dataclass(frozen=True)
 class Fold:
     start: dict
     step: Callable[[dict, dict], tuple[dict, list[tuple]]]
     output: str  # DDL of output rows, without the key
     order: tuple[str, ...]
+    due: Callable[[dict], float | None] | None = None  # the next time at which something falls due
+    expire: Callable[[dict, float], tuple[dict, list[tuple]]] | None = None
+
+    def fresh(self) -> dict:
+        return json.loads(json.dumps(self.start))
+
+    def advance(self, state: dict, rows: pd.DataFrame) -> tuple[dict, list[tuple]]:
+        """The rows of one key in order."""
+        out: list[tuple] = []
+        for row in rows.sort_values(list(self.order), kind="stable").to_dict("records"):
+            if row.get("control") == FORGET:
+                state = self.fresh()
+                continue
+            state, made = self.step(state, row)
+            out += made
+        return state, out
 
     @property
     def columns(self) -> list[str]:
@@ -35,42 +57,41 @@ def batch(rows: DataFrame, key: str, fold: Fold) -> DataFrame:
     ship(rows.sparkSession)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        name, state, out = group[key].iloc[0], json.loads(json.dumps(fold.start)), []
-        for row in group.sort_values(list(fold.order), kind="stable").to_dict("records"):
-            state, made = fold.step(state, row)
-            out += [(name, *m) for m in made]
-        return pd.DataFrame(out, columns=[key, *fold.columns])
+        name = group[key].iloc[0]
+        state, out = fold.advance(fold.fresh(), group)
+        if fold.expire:
+            out += fold.expire(state, math.inf)[1]
+        return pd.DataFrame([(name, *m) for m in out], columns=[key, *fold.columns])
 
     return rows.groupBy(key).applyInPandas(run, f"{key} string, {fold.output}")
 
 
 def stream(rows: DataFrame, key: str, fold: Fold) -> DataFrame:
-    """The fold over a stream: rows of one micro-batch in order, after those of the batches before."""
+    """The fold over a stream: rows of one micro-batch in order, after those of the batches before. Nothing falls due here; see keyed.timed()."""
     ship(rows.sparkSession)
 
     def run(name: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else json.loads(json.dumps(fold.start))
-        out = []
-        for row in pd.concat(list(parts)).sort_values(list(fold.order), kind="stable").to_dict("records"):
-            state, made = fold.step(state, row)
-            out += [(name[0], *m) for m in made]
+        state, out = fold.advance(json.loads(held.get[0]) if held.exists else fold.fresh(), pd.concat(list(parts)))
         held.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=[key, *fold.columns])
+        yield pd.DataFrame([(name[0], *m) for m in out], columns=[key, *fold.columns])
 
     return rows.groupBy(key).applyInPandasWithState(run, f"{key} string, {fold.output}", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 # --- repeated and backward page turns
 
+#: Seconds in which other parts of a scan that was held may come.
+HELD_FOR = 600.0
 
 def guard_step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
     """Whether a delivered part of a scan is read out. A repeated or backward scan is held back once; the scan after it is let through.
-    A scan that was held stays so however late its other parts come, so held ones are kept, added to in place."""
+    A scan that was held stays so for HELD_FOR, in which its other parts may come; held ones are kept with the time, added to in place."""
     scan, numbers = row["scan_id"], sorted(int(n) for n in row["numbers"])
     said = lambda what: [(row["seq"], scan, what)]
     if not numbers:
         return state, said("allow")
-    if scan in state["held"]:
+    since = state["held"].get(scan)
+    if since is not None and row["seq"] - since < HELD_FOR:
         return state, said("held")
     if scan == state["scan"]:
         return state | {"pages": sorted({*state["pages"], *numbers})}, said("allow")
@@ -80,10 +101,10 @@ def guard_step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
     if backward:
         return taken, said("allow")
     if not repeat and {*numbers} & {*state["pages"]}:
-        state["held"][scan] = 1
+        state["held"][scan] = float(row["seq"])
         return state | {"repeat": True}, said("repeat")
     if state["pages"] and numbers[0] < min(state["pages"]):
-        state["held"][scan] = 1
+        state["held"][scan] = float(row["seq"])
         return state | {"backward": True}, said("backward")
     return taken, said("allow")
 
@@ -109,7 +130,10 @@ PENDING_TAIL = Fold({"tail": None}, tail_step, "seq double, side string, pending
 
 
 def section_step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
-    """Pages since the open section's start are held; a section is given out as soon as it is closed."""
+    """Pages since the open section's start are held; a section is given out as soon as it is closed. Pages before those, which a stream that
+    begins after stored sections gets again, are passed over."""
+    if row["position"] < state["first"] + len(state["pages"]):
+        return state, []
     state = {**state, "pages": [*state["pages"], [[int(m) for m in row["markers"]], int(row["fallback"]), int(row["resume"])]]}
     out = []
     while True:
@@ -133,14 +157,21 @@ ACTIONS = {"start_stop_nfc": "START_STOP", "book_summary": "BOOK_SUMMARY", "chap
 CHORD_SECONDS, DEBOUNCE_SECONDS = 0.18, 0.025
 
 
+def chord_due(state: dict) -> float | None:
+    return min(state["down"].values()) + CHORD_SECONDS if state["down"] else None
+
+
+def chord_expire(state: dict, now: float) -> tuple[dict, list[tuple]]:
+    """Single presses whose window is over act at its end."""
+    gone = sorted((t, c) for c, t in state["down"].items() if now - t >= CHORD_SECONDS - 1e-9)
+    return {"down": {c: t for c, t in state["down"].items() if (t, c) not in gone}}, [(t + CHORD_SECONDS, ACTIONS[c], 0) for t, c in gone]
+
+
 def chord_step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
     """Three controls pressed within the window ask for deletion; a single one acts when it is released or the window is over."""
     now, kind, control = row["t"], row["event_type"], row["control"]
-    down, out = dict(state["down"]), []
-    for c, t in sorted(down.items(), key=lambda x: x[1]):
-        if now - t >= CHORD_SECONDS:
-            del down[c]
-            out.append((now, ACTIONS[c], 0))
+    state, out = chord_expire(state, now)
+    down = dict(state["down"])
     if kind == "up":
         if down.pop(control, None) is not None:
             out.append((now, ACTIONS[control], 0))
@@ -156,7 +187,7 @@ def chord_step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
     return {"down": down}, out
 
 
-CHORDS = Fold({"down": {}}, chord_step, "t double, action string, delta int", ("t",))
+CHORDS = Fold({"down": {}}, chord_step, "t double, action string, delta int", ("t",), chord_due, chord_expire)
 
 
 def debounce_step(state: dict, row: dict) -> tuple[dict, list[tuple]]:
