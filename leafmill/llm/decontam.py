@@ -50,7 +50,7 @@ NUMBER_WORDS = (
     "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millones"
 ).split()
 UNIT_WORDS = (
-    "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds lb lbs ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years hz khz mhz ghz w kw mw volt volts amp amps joule joules celsius fahrenheit kelvin percent dollar dollars cent cents euro euros usd eur gbp kb mb gb tb kmh mph degrees degree "
+    "meter meters metre metres centimeters centimetres millimeters millimetres kilometers kilometres gram grams kilogram kilograms mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds lb lbs ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years hz khz mhz ghz w kw mw volt volts amp amps joule joules celsius fahrenheit kelvin percent dollar dollars cent cents euro euros usd eur gbp kb mb gb tb kmh mph degrees degree "
     "zoll meilen zentimeter millimeter kilometer gramm kilogramm tonnen pfund sekunde sekunden minuten stunde stunden tage tagen woche wochen monat monate monaten jahr jahre jahren grad prozent dollars "
     "pouce pouces pied pieds mètre mètres kilomètre kilomètres gramme grammes kilo kilos tonne tonnes litre litres seconde secondes heure heures jour jours semaine semaines mois ans année années degrés centimes "
     "pulgada pulgadas pie pies metro metros kilómetro kilómetros gramo gramos kilogramo kilogramos tonelada toneladas litro litros segundo segundos minuto minutos hora horas día días semana semanas meses año años grados dólares euros céntimos"

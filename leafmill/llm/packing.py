@@ -5,6 +5,8 @@ and in fractions, that hold the histogram. Multiplicative weights on the lengths
 behind gain weight, a knapsack dynamic program prices all configurations at once, and the dearest ones that hold the lengths furthest
 behind take up a share of what is left. Later passes begin with the mean weights of the pass before, until the gap to the dual bound
 is small. The multiplicities are then rounded down; the rest, less than one sequence per configuration, is packed best-fit decreasing.
+The configurations that best-fit decreasing would use, with its multiplicities, are a solution of the program as well: mixtures of it and the
+weights' solution are rounded too, and the fewest sequences count, so the result is never worse than either.
 
 Only the histogram (at most ``capacity`` rows) reaches the driver. Pieces get their place by their rank among pieces of equal
 length, so the assignment is one shuffle by (length, salt), whatever the share of one length.
@@ -34,6 +36,8 @@ ETA, LEARN = 0.02, 0.004
 CONVEX = 1.05
 #: A pass ends when this share of all tokens is left. Passes at most, and the gap to the dual bound, as a share of it, that ends them.
 LEFT, PASSES, GAP = 1e-5, 8, 5e-4
+#: Shares of best-fit's solution in the mixtures that are rounded after each pass; that solution itself is rounded before them.
+MIXTURES = (0.0, 0.5)
 #: Each pass takes smaller steps than the one before, by this factor.
 FINER = 0.75
 
@@ -139,6 +143,11 @@ def rounded(n: np.ndarray, share: dict[tuple, float], capacity: int) -> list[tup
     return out + best_fit(left, capacity)
 
 
+def mixed(a: dict[tuple, float], b: dict[tuple, float], part: float) -> dict[tuple, float]:
+    """A solution of the program between two."""
+    return {k: (1 - part) * a.get(k, 0.0) + part * b.get(k, 0.0) for k in {**a, **b}}
+
+
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[np.ndarray, int]]:
     """Configurations (counts by length) and how often each is used; together they hold exactly the histogram."""
     n = np.zeros(capacity + 1, np.int64)
@@ -150,13 +159,19 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[np.
         n[capacity] = 0
     if not n.any():
         return whole
-    weight, bound, best = np.zeros(capacity + 1), 0.0, None
+    weight, bound = np.zeros(capacity + 1), 0.0
+    seed: dict[tuple, float] = {}
+    for counts, copies in best_fit(n, capacity):
+        key = tuple((int(k), int(counts[k])) for k in np.flatnonzero(counts))
+        seed[key] = seed.get(key, 0.0) + copies
+    best = rounded(n, seed, capacity)
     for k in range(PASSES):
         share, weight = one_pass(n, weight, STEP * FINER**k, LEARN * FINER**k, capacity)
         bound = max(bound, dual_bound(n, weight, capacity))
-        found = rounded(n, share, capacity)
-        if best is None or sum(c for _, c in found) < sum(c for _, c in best):
-            best = found
+        for part in MIXTURES:
+            found = rounded(n, mixed(share, seed, part), capacity)
+            if sum(c for _, c in found) < sum(c for _, c in best):
+                best = found
         if sum(c for _, c in best) - np.ceil(bound - 1e-6) <= min(len(share), max(1, GAP * bound)):
             break
     return whole + best
