@@ -288,6 +288,22 @@ def test_lines_of_one_pattern_form_few_pairs(spark, monkeypatch):
     assert counts[1] <= 8 * max(counts[0], 300)
 
 
+@pytest.mark.parametrize("rows", [0, 3, line_dedup.SIEVE_ROWS])
+def test_sieve_of_any_size_gives_the_same_lines(spark, monkeypatch, rows):
+    """A sieve too small for what is wanted lets all through, and the join decides: the SQL twin holds at every size."""
+    monkeypatch.setattr(line_dedup, "SIEVE_ROWS", rows)
+    monkeypatch.setattr(line_dedup, "HEAVY", 2)
+    same(queries.op5_lines(spark, SF), queries.SQL["op5_lines"])
+
+
+def test_sieve_never_loses_a_row(spark):
+    wanted = spark.range(0, 5000, 7).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("h"))
+    got = line_dedup.sifted(rows, "h", wanted, "maybe").where("maybe").select("id").collect()
+    assert {r["id"] for r in got} >= set(range(0, 5000, 7)) and len(got) < 1000
+    assert line_dedup.sifted(rows, "h", wanted.where("false"), "maybe").where("maybe").count() == 0
+
+
 def test_dedup_with_clashing_columns(spark):
     rows = [(1, "the same line of twenty and more", 5, "h", [1], 7, "k"), (2, "the same line of twenty and more", 6, "h", None, 8, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, doc int, text_hash string, gone array<int>, _gone int, row string")
