@@ -210,7 +210,7 @@ SQL: dict[str, str] = {
         SELECT tag_id, scan_id, side, coalesce(page_number, g)::INT AS page_number, g IS NOT NULL AS inferred FROM b""",
     "roman_parse": f"""WITH a AS (SELECT doc_id, {words("text")} AS w FROM documents), u AS (SELECT doc_id, (generate_subscripts(w, 1) - 1)::INT AS position, unnest(w) AS word FROM a)
         SELECT doc_id, position, word, {chapter_number("word")} AS number FROM u WHERE {chapter_number("word")} IS NOT NULL""",
-    "cardinals": f"SELECT n, CASE WHEN n > 999 THEN n::VARCHAR ELSE (SELECT {CARDINAL_DE}) END AS german, CASE WHEN n > 999 THEN n::VARCHAR ELSE (SELECT {CARDINAL_EN}) END AS english FROM (SELECT unnest(range(1010)) AS n)",
+    "cardinals": f"SELECT n, CASE WHEN n > 999 THEN n::VARCHAR ELSE (SELECT {CARDINAL_DE}) END AS german, CASE WHEN n > 999 THEN n::VARCHAR ELSE (SELECT {CARDINAL_EN}) END AS english FROM (SELECT c_custkey AS n FROM customer)",
     "word_to_line": f"""WITH {V_LINES}, w AS (SELECT tag_id, page_number, line_index, top, string_split(text, ' ') AS a FROM v_lines), x AS (SELECT * EXCLUDE (a), generate_subscripts(a, 1) - 1 AS k, unnest(a) AS t FROM w),
         y AS (SELECT *, CASE WHEN length(t) % 9 = 8 THEN -1.0 ELSE (length(t) * 7 % 100) END AS conf FROM x)
         SELECT tag_id, page_number, (line_index // 4)::INT AS block_num, line_index AS line_num, string_agg(t, ' ' ORDER BY k) AS text, min(10 + 70 * k) AS "left", min(top) AS top, max(10 + 70 * k + 10 * length(t)) AS "right", max(top + 30) AS bottom, round(avg(conf)::DOUBLE / 100, 9) AS confidence, count(*) AS n_words
@@ -273,8 +273,9 @@ SQL: dict[str, str] = {
         SELECT tag_id, page_number, n, accepted, CASE WHEN n >= 3 AND accepted >= 2 THEN CASE WHEN d > 0.35 THEN 0 WHEN d < -0.35 THEN 180 END END AS rotation_deg FROM v""",
     "orientation_locf": f"""WITH {V_PAGES}, s AS (SELECT tag_id, scan_id, CASE length(text) % 5 WHEN 0 THEN 'reader1' WHEN 1 THEN 'reader2' END AS vote FROM v_pages WHERE side = 'left')
         SELECT tag_id, scan_id, coalesce(last_value(vote IGNORE NULLS) OVER (PARTITION BY tag_id ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'reader2') AS orientation FROM s""",
-    "volume_levels": f"""WITH r AS (SELECT unnest(range(2, 40))::INT AS n), l AS (SELECT n, list_transform(range(n), lambda i: round_even(5 + 85.0::DOUBLE * i / (n - 1), 0)::INT) AS a FROM r)
-        SELECT n, array_to_string(a, ',') AS levels, (list_position(list_transform(a, lambda x: abs(x - 47)), list_min(list_transform(a, lambda x: abs(x - 47)))) - 1)::INT AS nearest FROM l""",
+    "volume_levels": f"""WITH r AS (SELECT p_partkey, p_size::INT AS lo, floor(p_retailprice / 10)::INT AS span, (p_size + 1)::INT AS n FROM part),
+        l AS (SELECT *, lo + floor(span / 3)::INT AS wanted, list_transform(range(n), lambda i: round_even(lo + span * i / (n - 1)::DOUBLE, 0)::INT) AS a FROM r)
+        SELECT p_partkey, n, array_to_string(a, ',') AS levels, (list_position(list_transform(a, lambda x: abs(x - wanted)), list_min(list_transform(a, lambda x: abs(x - wanted)))) - 1)::INT AS nearest FROM l""",
     "stream_usage_window": f"""WITH {V_USAGE} SELECT (ts - INTERVAL 4 HOURS)::DATE AS period_key, tag_id, count(*) AS n, round(sum(CASE WHEN kind = 'audio' AND seconds > 0 THEN seconds ELSE 0 END), 3) AS audio_seconds FROM v_usage GROUP BY ALL""",
     "stream_sections": f"WITH RECURSIVE {BOOK_PAGES} SELECT tag_id, sequence, start_position::INT AS start_position, start_offset::INT AS start_offset, end_position::INT AS end_position, end_offset::INT AS end_offset, next_position::INT AS next_position, next_offset::INT AS next_offset, boundary_kind FROM bounds",
     "stream_pending_tail": f"""WITH {SPOKEN} SELECT tag_id, substr(s.created_at, 15, 2)::DOUBLE AS seq, side, (SELECT nullif(trim(p.tail_fragment), '') FROM spoken p WHERE p.tag_id = s.tag_id AND p.side = 'right' AND p.created_at < s.created_at ORDER BY p.created_at DESC LIMIT 1) AS pending FROM spoken s""",

@@ -78,7 +78,7 @@ RECORDS_SQL: dict[str, str] = {
     "number_formats": """SELECT event_id, least(32767, greatest(-32768, round_even((event_id * 37 % 65536 - 32768) * 1.5, 0)))::BIGINT || ',' || round_even((event_id % 11 - 5) * 1.5, 0)::BIGINT AS samples, round_even(1.0::DOUBLE / greatest(event_id % 40 / 10, 0.1), 3) AS length_scale,
         greatest(80, floor(175 * greatest((event_id % 40 / 10)::DOUBLE, 0.1::DOUBLE)))::INT AS wpm, greatest(0, value - 3.0::DOUBLE - 1.5::DOUBLE) AS wait, CASE WHEN event_id % 5 > 0 THEN round(event_id::DOUBLE / (event_id % 5 * 8000), 9) END AS wav,
         round(greatest(0, least(255, (event_id % 256 - 40) * 255.0::DOUBLE / 160)), 9) AS grey FROM events""",
-    "grid_corners": "WITH n AS (SELECT unnest(range(1, 9)) AS n), i AS (SELECT n, unnest(range(12)) AS i FROM n) SELECT n, i::INT AS i, (i % 4 * 2.5 * n)::DOUBLE AS x, (i // 4 * 2.5 * n)::DOUBLE AS y FROM i",
+    "grid_corners": "SELECT p_partkey, i::INT AS i, round(i % 4 * 2.5::DOUBLE * p_retailprice, 6) AS x, round(i // 4 * 2.5::DOUBLE * p_retailprice, 6) AS y FROM part, range(12) t(i)",
     "paths_inside": "SELECT c_custkey, c_custkey % 4 = 0 AS inside FROM customer",
     "device_order": """WITH s AS (SELECT s_nationkey, s_suppkey::VARCHAR AS x, CASE s_suppkey WHEN 77 THEN 1 WHEN 20 THEN 2 WHEN 3 THEN 3 ELSE 9 END AS p FROM supplier) SELECT s_nationkey, string_agg(x, ',' ORDER BY p, x) AS names FROM s GROUP BY s_nationkey""",
     "orientation_best": f"""WITH {V_LINES}, c AS (SELECT tag_id, page_number, line_index * 90 AS r, (length(text) % 6)::DOUBLE / 10 AS s FROM v_lines WHERE line_index < 4) SELECT tag_id, page_number, arg_max(r, (s, -r)) AS rotation_deg, max(s) AS score FROM c GROUP BY ALL""",

@@ -204,7 +204,8 @@ def roman_parse(spark, sf_dir):
 
 @query
 def cardinals(spark, sf_dir):
-    return spark.range(0, 1010).select(F.col("id").alias("n"), N.cardinal(F.col("id"), F.lit("de")).alias("german"), N.cardinal(F.col("id"), F.lit("en")).alias("english"))
+    n = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(n.alias("n"), N.cardinal(n, F.lit("de")).alias("german"), N.cardinal(n, F.lit("en")).alias("english"))
 
 
 @query
@@ -492,9 +493,11 @@ def orientation_locf(spark, sf_dir):
 
 @query
 def volume_levels(spark, sf_dir):
-    n = F.col("n")
-    rows = spark.range(2, 40).select(F.col("id").cast("int").alias("n")).withColumn("levels", N.volume_ladder(F.lit(5), F.lit(90), n))
-    return rows.select("n", F.array_join("levels", ",").alias("levels"), N.nearest_level(F.col("levels"), F.lit(47)).alias("nearest"))
+    """A ladder of levels for each part: as many as its size and one more, over a span that its price gives, and the level nearest to a wanted one."""
+    size, span = F.col("p_size").cast("int"), F.floor(F.col("p_retailprice") / 10).cast("int")
+    rows = table(spark, sf_dir, "part").select("p_partkey", size.alias("low"), (size + span).alias("high"), (size + 1).alias("n"), (size + F.floor(span / 3).cast("int")).alias("wanted"))
+    rows = rows.withColumn("levels", N.volume_ladder(F.col("low"), F.col("high"), F.col("n")))
+    return rows.select("p_partkey", "n", F.array_join("levels", ",").alias("levels"), N.nearest_level(F.col("levels"), F.col("wanted")).alias("nearest"))
 
 
 # --- measures

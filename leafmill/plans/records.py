@@ -206,10 +206,11 @@ def image_pairs(spark, sf_dir):
 
 @query
 def ini_values(spark, sf_dir):
+    """Each nation's file, with sections of its customers' segments."""
     k = F.col("n_nationkey")
     lines = F.array(F.concat(F.lit("[nation "), k.cast("string"), F.lit("]")), F.concat(F.lit(" Name = "), "n_name"), F.lit("; note"), F.concat(F.lit("Key="), k.cast("string"), F.lit("=x")), F.lit(""))
-    own = table(spark, sf_dir, "nation").select(k, F.posexplode(lines).alias("i", "line")).select((k * 10 + F.col("i")).alias("position"), "line")
-    return readers.key_values(own)
+    own = table(spark, sf_dir, "nation").select(F.concat(F.lit("conf/"), "n_name").alias("file"), F.posexplode(lines).alias("position", "line"))
+    return readers.key_values(own, file="file").drop("file")
 
 
 @query
@@ -325,7 +326,9 @@ def number_formats(spark, sf_dir):
 
 @query
 def grid_corners(spark, sf_dir):
-    return spark.range(1, 9).select(F.col("id").alias("n"), F.posexplode(metrics.grid(4, 3, 2.5)).alias("i", "p")).select("n", "i", (F.col("p")["x"] * F.col("n")).alias("x"), (F.col("p")["y"] * F.col("n")).alias("y"))
+    """Corners of a planar grid at the scale of each part's price."""
+    own = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.posexplode(metrics.grid(4, 3, 2.5)).alias("i", "p"))
+    return own.select("p_partkey", "i", F.round(F.col("p")["x"] * F.col("p_retailprice"), 6).alias("x"), F.round(F.col("p")["y"] * F.col("p_retailprice"), 6).alias("y"))
 
 
 @query

@@ -121,12 +121,14 @@ def pin_levels(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(F.col(line).rlike(pattern)).select(F.regexp_extract(line, pattern, 1).cast("int").alias("pin"), (F.lower(F.regexp_extract(line, pattern, 2)) == "hi").alias("level"))
 
 
-def key_values(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(section, key, value) of an ini text with rows (position, line); comments and blank lines don't count."""
+def key_values(lines: DataFrame, line: str = "line", file: str | None = None) -> DataFrame:
+    """(file, section, key, value) of ini texts with rows (file, position, line); comments and blank lines don't count. Without ``file`` all rows are one text."""
     own = lines.where(~F.col(line).rlike(r"^\s*(?:[#;].*)?$"))
+    own = own.withColumn("_file", F.col(file) if file else F.lit(0))
     head = F.nullif(F.regexp_extract(line, r"^\s*\[([^\]]+)\]\s*$", 1), F.lit(""))
-    known = own.withColumn("section", F.last(head, ignorenulls=True).over(Window.orderBy("position")))  # one small file
-    return known.where(F.col(line).contains("=")).select("section", F.lower(F.trim(F.substring_index(line, "=", 1))).alias("key"), F.trim(F.substring(line, F.instr(line, "=") + 1, F.length(line))).alias("value"))
+    known = own.withColumn("section", F.last(head, ignorenulls=True).over(Window.partitionBy("_file").orderBy("position")))
+    names = [F.col("_file").alias(file)] if file else []
+    return known.where(F.col(line).contains("=")).select(*names, "section", F.lower(F.trim(F.substring_index(line, "=", 1))).alias("key"), F.trim(F.substring(line, F.instr(line, "=") + 1, F.length(line))).alias("value"))
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
