@@ -14,7 +14,7 @@ from ..functions import speech as S
 from ..functions import text as T
 from ..operators import identity, layout, metrics, structure, summaries
 from ..session import shared_dir, ship
-from ..sources import readers, sinks
+from ..sources import library, readers, sinks
 from ..streaming import folds
 from . import ingest
 from .queries import PAGE, Query, _cleaned, _summaries, usage_daily
@@ -47,6 +47,16 @@ def library_pages(spark, sf_dir):
     return readers.stored_order(readers.pages(spark, root)).select("tag_id", "scan_id", "side", "page_id", "page_number", "clean_text", "position")
 
 
+@query
+def library_versions(spark, sf_dir):
+    """Turns as documents of a library, in two committed versions; the second replaces those of the right side."""
+    own = v_turns(spark, sf_dir).select("tag_id", F.lit("pages").alias("kind"), F.col("created_at").alias("key"), F.col("clean_text").alias("document"), "side")
+    root = _library(spark)
+    library.save(own, root, "txt")
+    library.save(own.where("side = 'right'").withColumn("document", F.concat("document", F.lit(" (2)"))), root, "txt")
+    return library.load(spark, root).select("tag_id", "key", "version", "document")
+
+
 @query
 def library_chapters(spark, sf_dir):
     own = _summaries(spark, sf_dir).withColumn("n", F.regexp_extract("chapter_id", r"(\d+)$", 1).cast("int")).withColumn("start_page", F.when(F.col("n") % 3 != 0, 20 - F.col("n")))
