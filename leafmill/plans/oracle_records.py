@@ -26,6 +26,8 @@ RECORDS_SQL: dict[str, str] = {
         SELECT tag_id, scan_id, CASE WHEN page_number % 9 = 8 THEN 'middle' ELSE side END AS side, (CASE page_number % 9 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN -1 WHEN 8 THEN -1 ELSE n END)::INT AS n_lines,
             CASE page_number % 9 WHEN 0 THEN 'F' WHEN 1 THEN 'F' WHEN 2 THEN 'P' WHEN 3 THEN NULL WHEN 8 THEN NULL ELSE head END AS head FROM p""",
     "library_versions": f"""WITH {V_TURNS} SELECT tag_id, created_at AS key, CASE WHEN side = 'right' THEN 2 ELSE 1 END AS version, clean_text || CASE WHEN side = 'right' THEN ' (2)' ELSE '' END AS document FROM v_turns""",
+    "recognised_by_name": """WITH l AS (SELECT doc_id::VARCHAR AS page_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, trim(unnest(string_split(text, chr(10)))) AS t FROM documents)
+        SELECT page_id, i::INT AS line_index, length(t) AS n_chars, sha1(t) AS digest FROM l WHERE t <> ''""",
     "report_ingest": f"""WITH {MARKERS}, f AS (SELECT tag_id, true_number, arg_min({{'n': chapter_number, 'h': chapter_heading}}, line_index) AS x FROM markers GROUP BY ALL),
         t AS (SELECT tag_id, true_number, {norm_ends("string_agg(text, chr(10) ORDER BY i)")} AS clean_text FROM cl WHERE text <> '' GROUP BY ALL),
         p AS (SELECT c4.tag_id, c4.scan_id, c4.side, c4.true_number, coalesce(c4.num, CASE WHEN c4.inferred THEN CASE WHEN c4.side = 'left' THEN o - 1 ELSE o + 1 END END) AS page_number, CASE WHEN c4.side = 'left' THEN 'page_1' ELSE 'page_2' END AS report_page_id FROM c4),

@@ -30,4 +30,6 @@ STREAM_SQL: dict[str, str] = {
     "stream_report_ingest": RECORDS_SQL["report_ingest"],
     "stream_report_redelivery": RECORDS_SQL["report_redelivery"],
     "stream_mail": "SELECT o_orderkey % 3 AS uid_validity, o_orderkey AS uid FROM orders UNION ALL SELECT o_orderkey % 3 + 3, o_orderkey FROM orders WHERE o_orderkey % 8 = 0",
+    "stream_batch_status": """WITH n AS (SELECT count(*) AS orders, count(*) FILTER (o_orderkey % 4 = 0) AS again, count(*) FILTER (o_orderkey % 8 = 0) AS reset FROM orders)
+        SELECT 'callback' AS source, 'done' AS status, orders + reset AS n_rows FROM n UNION ALL SELECT 'listener', 'progress', orders + again + reset FROM n UNION ALL SELECT 'listener', 'started', NULL FROM n UNION ALL SELECT 'listener', 'ended', NULL FROM n""",
 }

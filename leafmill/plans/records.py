@@ -14,7 +14,7 @@ from ..functions import speech as S
 from ..functions import text as T
 from ..operators import identity, layout, metrics, structure, summaries
 from ..session import shared_dir, ship
-from ..sources import library, readers, sinks
+from ..sources import library, readers, recognisers, sinks
 from ..streaming import folds
 from . import ingest
 from .queries import PAGE, Query, _cleaned, _summaries, usage_daily
@@ -199,6 +199,13 @@ def recognised_lines(spark, sf_dir):
     return readers.recognised(own.select("page_id", result.alias("result"))).select("page_id", "line_index", "text", "confidence", F.size("bbox").alias("n_points"))
 
 
+@query
+def recognised_by_name(spark, sf_dir):
+    """Texts of documents as a recogniser's plain output, read by the table function of that name."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page_id"), F.col("text").alias("result"))
+    return recognisers.recognise(own, " Lines").select("page_id", "line_index", F.length("text").alias("n_chars"), F.sha1("text").alias("digest"))
+
+
 @query
 def line_order(spark, sf_dir):
     """Lines made of words, in the recogniser's order."""

@@ -15,7 +15,7 @@ from ..plans.queries import _book_pages, _spoken
 from ..plans.records import _reports
 from ..plans.views import table, v_pages, v_usage
 from ..session import shared_dir
-from . import folds, keyed, tables
+from . import folds, keyed, status, tables
 
 STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FILES = 4
@@ -224,14 +224,35 @@ def stream_report_redelivery(spark, sf_dir):
     return out.where("what = 'page'").select("tag_id", "scan_id", "delivery", "side", "read").join(closed, ["tag_id", "scan_id"])
 
 
-@query
-def stream_mail(spark, sf_dir):
-    """Messages that a mailbox lists again and again, each handled once; a reset mailbox numbers anew."""
+def mailbox(spark, sf_dir) -> DataFrame:
+    """Listings of a mailbox: messages, some of them listed again forty days later, and some under new numbers after a reset."""
     orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).alias("uid_validity"), F.col("o_orderkey").alias("uid"), F.col("o_orderdate").cast("timestamp").alias("ts"))
     again = orders.where("uid % 4 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 40 DAYS"))
     reset = orders.where("uid % 8 = 0").withColumn("uid_validity", F.col("uid_validity") + 3)
+    return orders.unionByName(again).unionByName(reset)
+
+
+@query
+def stream_mail(spark, sf_dir):
+    """Messages that a mailbox lists again and again, each handled once; a reset mailbox numbers anew."""
     folder = folder_of(spark)
-    seen = feed(orders.unionByName(again).unionByName(reset), "ts", folder)
+    seen = feed(mailbox(spark, sf_dir), "ts", folder)
     # Within ten days Spark's own state knows what was seen; the ledger knows for ever.
     to_end(seen.withWatermark("ts", "10 days").dropDuplicatesWithinWatermark(["uid_validity", "uid"]), folder, tables.handle_mail(folder))
     return tables.stored(spark, f"{folder}/handled", tables.MAIL).select("uid_validity", "uid")
+
+
+@query
+def stream_batch_status(spark, sf_dir):
+    """What callbacks and the listener told of the batches in which mail was handled."""
+    folder = folder_of(spark)
+    log = status.ProgressLog(f"{folder}/progress")
+    spark.streams.addListener(log)
+    try:
+        to_end(feed(mailbox(spark, sf_dir), "ts", folder), folder, status.observed(tables.handle_mail(folder), folder))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(log)
+    told = status.events(spark, folder).groupBy(F.lit("callback").alias("source"), "status").agg(F.sum("n_rows").alias("n_rows"))
+    logged = status.progress(spark, f"{folder}/progress").groupBy(F.lit("listener").alias("source"), "status").agg(F.sum("n_input").alias("n_rows"))
+    return told.unionByName(logged)

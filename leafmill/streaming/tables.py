@@ -45,10 +45,10 @@ PERIODS = "status string, period_key date, tag_id string, pages_scanned bigint,
 LATE = "tag_id string, period_key date, kind string, ts timestamp"
 
 
-def archive_days(folder: str) -> Callable[[DataFrame, int], None]:
+def archive_days(folder: str) -> Callable[[DataFrame, int], DataFrame]:
     """For keyed.closed_days(): ``periods`` gets each closed day once, also those between that nobody used, with a null tag and zeros; ``late`` the late events."""
 
-    def work(part: DataFrame, number: int) -> None:
+    def work(part: DataFrame, number: int) -> DataFrame:
         spark = part.sparkSession
         rows = put(part, f"{folder}/given", number)
         put(rows.where("status = 'late'").select("tag_id", "period_key", "kind", "ts"), f"{folder}/late", number)
@@ -58,7 +58,7 @@ def archive_days(folder: str) -> Callable[[DataFrame, int], None]:
         days = span.where("until is not null").select(F.explode(F.sequence(F.coalesce(F.date_add("last", 1), F.col("first")), F.col("until"))).alias("period_key"))
         none = days.join(closed.select("period_key").distinct(), "period_key", "left_anti")
         zeros = none.select(F.lit("empty").alias("status"), "period_key", F.lit(None).cast("string").alias("tag_id"), *[F.lit(0).cast(t).alias(c) for c, t in (x.split() for x in PERIODS.split(", ")[3:])])
-        put(closed.unionByName(zeros), f"{folder}/periods", number)
+        return put(closed.unionByName(zeros), f"{folder}/periods", number)
 
     return work
 
@@ -66,12 +66,12 @@ def archive_days(folder: str) -> Callable[[DataFrame, int], None]:
 # --- reports as they arrive
 
 
-def merge_reports(folder: str) -> Callable[[DataFrame, int], None]:
+def merge_reports(folder: str) -> Callable[[DataFrame, int], DataFrame]:
     """Reports through ingestion: lines of new reports are read once and kept as drafts; books that got a report are finished and stitched anew from the
     last report of each of their scans, which takes back placeholders, carried tails and inferred numbers that no longer hold. Refused pages are listed and
     leave the others alone."""
 
-    def work(part: DataFrame, number: int) -> None:
+    def work(part: DataFrame, number: int) -> DataFrame:
         spark = part.sparkSession
         found, refused = ingest.drafts(ingest.deliveries(part)[0])
         new = put(found, f"{folder}/drafts", number)
@@ -82,7 +82,7 @@ def merge_reports(folder: str) -> Callable[[DataFrame, int], None]:
         newest = F.max(F.struct("created_at", BATCH)).over(Window.partitionBy("tag_id", "scan_id"))
         own = own.withColumn("_newest", newest).where(F.struct("created_at", BATCH) == F.col("_newest")).drop("_newest", BATCH)
         pages = stitch.without_placeholders(ingest.stitched(ingest.finished(own)))
-        put(stitch.latest(pages, ["tag_id", "page_id"], ["created_at", "scan_id"]), f"{folder}/pages", number)
+        return put(stitch.latest(pages, ["tag_id", "page_id"], ["created_at", "scan_id"]), f"{folder}/pages", number)
 
     return work
 
@@ -98,13 +98,13 @@ def merged_pages(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 MAIL = "uid_validity bigint, uid bigint"
 
 
-def handle_mail(folder: str, handle: Callable[[DataFrame], DataFrame] = lambda new: new) -> Callable[[DataFrame, int], None]:
+def handle_mail(folder: str, handle: Callable[[DataFrame], DataFrame] = lambda new: new) -> Callable[[DataFrame, int], DataFrame]:
     """Messages (uid_validity, uid, ...) not handled before go through ``handle`` once and into the ledger ``handled``. Numbers count within their generation of
     the mailbox, so after a reset they are new. ``handle`` must itself bear to run again for a batch that failed."""
 
-    def work(part: DataFrame, number: int) -> None:
+    def work(part: DataFrame, number: int) -> DataFrame:
         done = stored(part.sparkSession, f"{folder}/handled", MAIL, number).select("uid_validity", "uid")
         new = part.dropDuplicates(["uid_validity", "uid"]).join(done, ["uid_validity", "uid"], "left_anti")
-        put(handle(new), f"{folder}/handled", number)
+        return put(handle(new), f"{folder}/handled", number)
 
     return work
