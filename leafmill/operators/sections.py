@@ -1,7 +1,8 @@
 """Sections of a book: windows of 10 to 20 pages that end at a chapter marker or, without one, at the last complete paragraph.
 
-Where a section ends depends on where the one before ended, so each book's boundaries are found by a loop over its pages. The loop
-gets numbers only, a few bytes a page; offsets are computed before it, and texts are cut after it, by plain DataFrame operations.
+Where a section ends depends on where the one before ended. With sections of two pages or more only its first page matters, so each page has one
+successor; chains are followed within blocks of pages, and blocks are joined by pointer doubling, so no task holds a book. Functions over blocks get numbers
+only, a few bytes a page; offsets are computed before, and texts are cut after, by plain DataFrame operations.
 
 Page rows: tag_id, scan_id, side, page_number, page_id, created_at, clean_text, chapter_markers.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import ship
+from ..session import ship, written
 from .structure import marker_offset
 
 MIN_PAGES, MAX_PAGES = 10, 20
@@ -71,16 +72,108 @@ def boundaries_of(markers: list, fallback: list, resume: list, start: tuple[int,
         sequence, (page, offset) = sequence + 1, follows
 
 
-def boundaries(pages: DataFrame, least: int = MIN_PAGES, most: int = MAX_PAGES) -> DataFrame:
-    """Boundaries of all closed sections; ``pages`` has positions."""
-    ship(pages.sparkSession)
-
-    def run(book: pd.DataFrame) -> pd.DataFrame:
-        book = book.sort_values("position")
-        rows = [(book["tag_id"].iloc[0], s, *a, *b, *c, kind) for s, a, b, c, kind in boundaries_of(book["markers"].tolist(), book["fallback"].tolist(), book["resume"].tolist(), least=least, most=most)]
+#: Pages of a block, whose sections one task finds.
+BLOCK = 1 << 12
+JUMPS = "tag_id string, block int, entry int, to_block int, to_entry int, to_offset int, n int"
+
+
+def next_starts(markers: list, fallback: list, resume: list, least: int, most: int) -> list[tuple[int, int, int, int, str] | None]:
+    """For a section that begins on each page: (end page, end offset, page and offset where the next begins, kind), or None while it is open. With two pages at
+    least, where on its page it begins doesn't matter."""
+    n, out, marked = len(markers), [], len(markers)
+    following = [n] * (n + 1)  # the first page with a marker from each page on
+    for p in range(n - 1, -1, -1):
+        marked = p if len(markers[p]) else marked
+        following[p] = marked
+    for p in range(n):
+        i = following[min(p + least - 1, n)]
+        if i < p + most and i < n:
+            out.append((i, int(markers[i][0]), i, int(markers[i][0]), "chapter_marker"))
+        elif p + most <= n:
+            i = p + most - 1
+            out.append((i, int(fallback[i]), i, int(resume[i]), "fallback_last_complete_paragraph"))
+        else:
+            out.append(None)
+    return out
+
+
+def in_blocks(facts: DataFrame, most: int, block: int) -> DataFrame:
+    """Page facts with the block that each page is in, and pages at the beginning of a block once more as what lies ahead of the block before."""
+    own = facts.withColumn("block", F.floor(F.col("position") / block).cast("int"))
+    ahead = own.where((F.col("block") > 0) & (F.col("position") % block < most)).withColumn("block", F.col("block") - 1)
+    return own.unionByName(ahead)
+
+
+def block_jumps(blocks: DataFrame, most: int, least: int, block: int) -> DataFrame:
+    """Of a section that enters a block on one of its first pages: the block, page and offset at which its successors leave it, and how many they are."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("position")
+        first, number = int(part["position"].iloc[0]), int(part["block"].iloc[0])
+        own = (number + 1) * block - first
+        rows = []
+        if len(part) > own:  # else the book ends here, and nothing leaves
+            jumps = next_starts(part["markers"].tolist(), part["fallback"].tolist(), part["resume"].tolist(), least, most)
+            leaves: list[tuple[int, int, int] | None] = [None] * own
+            for p in range(own - 1, -1, -1):
+                if (j := jumps[p]) is not None:
+                    after = (j[2], j[3], 0) if j[2] >= own else leaves[j[2]]
+                    leaves[p] = after and (after[0], after[1], after[2] + 1)
+            rows = [(part["tag_id"].iloc[0], number, e, number + 1, x[0] - own, x[1], x[2]) for e, x in enumerate(leaves[:most]) if x]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in JUMPS.split(", ")])
+
+    return blocks.groupBy("tag_id", "block").applyInPandas(run, JUMPS)
+
+
+def entries(jumps: DataFrame, books: DataFrame) -> DataFrame:
+    """(tag_id, block, entry, offset, sequence) of books (tag_id): where the first section that begins in a block begins, by pointer doubling over the blocks of a book: each
+    round joins the jumps of twice as many blocks."""
+    reached = books.select("tag_id", F.lit(0).alias("block"), F.lit(0).alias("entry"), F.lit(0).alias("offset"), F.lit(1).alias("sequence"))
+    while not (jumps := written(jumps, "jumps")).isEmpty():
+        here = jumps.select("tag_id", "block", "entry", "to_block", "to_entry", "to_offset", "n")
+        on = reached.join(here, ["tag_id", "block", "entry"]).select("tag_id", F.col("to_block").alias("block"), F.col("to_entry").alias("entry"), F.col("to_offset").alias("offset"), (F.col("sequence") + F.col("n")).alias("sequence"))
+        reached = written(reached.unionByName(on), "entries")
+        then = here.select("tag_id", F.col("block").alias("to_block"), F.col("entry").alias("to_entry"), F.col("to_block").alias("b"), F.col("to_entry").alias("e"), F.col("to_offset").alias("o"), F.col("n").alias("m"))
+        jumps = here.join(then, ["tag_id", "to_block", "to_entry"]).select("tag_id", "block", "entry", F.col("b").alias("to_block"), F.col("e").alias("to_entry"), F.col("o").alias("to_offset"), (F.col("n") + F.col("m")).alias("n"))
+    return reached
+
+
+def boundaries(pages: DataFrame, least: int = MIN_PAGES, most: int = MAX_PAGES, block: int = BLOCK) -> DataFrame:
+    """Boundaries of all closed sections; ``pages`` has positions. Sections have two pages at least and no more pages than a block.
+
+    A book is dealt to tasks by blocks. What enters a block on each of its first ``most`` pages leaves it at one place, so blocks are joined like pointers, in as many
+    rounds as the logarithm of a book's blocks; books of one block need none.
+    """
+    if not 2 <= least <= most <= block:
+        raise ValueError(f"sections of {least} to {most} pages in blocks of {block}")
+    spark = pages.sparkSession
+    ship(spark)
+    facts = written(page_facts(pages), "facts")
+    long = facts.where(F.col("position") >= block).select("tag_id").distinct()
+    begins = None
+    if not long.isEmpty():
+        several = facts.join(long, "tag_id", "left_semi")
+        begins = entries(block_jumps(in_blocks(several, most, block), most, least, block), long).where("block > 0")
+
+    def found(part: pd.DataFrame, begin: pd.DataFrame | None = None) -> pd.DataFrame:
+        rows = []
+        if len(part):
+            part = part.sort_values("position")
+            first, number = int(part["position"].iloc[0]), int(part["block"].iloc[0])
+            own = (number + 1) * block - first
+            jumps = next_starts(part["markers"].tolist(), part["fallback"].tolist(), part["resume"].tolist(), least, most)
+            known = begin is not None and len(begin)
+            # A book begins on its first page; where no section enters a block, none is closed in it.
+            page, offset, sequence = (int(begin[c].iloc[0]) for c in ("entry", "offset", "sequence")) if known else (0 if number == 0 else own, 0, 1)
+            while page < min(own, len(jumps)) and (j := jumps[page]) is not None:
+                rows.append((part["tag_id"].iloc[0], sequence, first + page, offset, first + j[0], j[1], first + j[2], j[3], j[4]))
+                page, offset, sequence = j[2], j[3], sequence + 1
         return pd.DataFrame(rows, columns=[c.split()[0] for c in BOUNDARIES.split(", ")])
 
-    return page_facts(pages).groupBy("tag_id").applyInPandas(run, BOUNDARIES)
+    if begins is None:
+        whole = facts.withColumn("block", F.lit(0))
+        return whole.groupBy("tag_id").applyInPandas(lambda book: found(book), BOUNDARIES)
+    return in_blocks(facts, most, block).groupBy("tag_id", "block").cogroup(begins.groupBy("tag_id", "block")).applyInPandas(found, BOUNDARIES)
 
 
 def slices(pages: DataFrame, spans: DataFrame) -> DataFrame:

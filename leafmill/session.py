@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, partitions: int | None = None) -> SparkSession:
@@ -40,6 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, read again: it cuts lineage, is made once, and survives lost executors."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/leafmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
