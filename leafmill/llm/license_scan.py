@@ -103,7 +103,8 @@ SPANS = "array<struct<first:bigint,after:bigint,label:string>>"
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", given: tuple[Rule, ...] | None = None) -> DataFrame:
     """Base places and labels, all labels, a score and the kept detections (word intervals) of every row.
 
-    Null and empty texts have no words and score 0. Null and repeated ids stay, row by row; other columns are ignored.
+    Null and empty texts have no words and score 0. Null and repeated ids stay, row by row; other columns are ignored; an empty table gives no rows. A text
+    of any length is scanned whole, in one task.
     """
     prepare(docs.sparkSession)
     given = given or rules()

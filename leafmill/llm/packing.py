@@ -225,7 +225,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k", end_id: int = END_ID) -> DataFrame:
-    """Token pieces of each row: (doc_id, piece, start, length, ids_crc32). A null or empty text is the end id alone."""
+    """Token pieces of each row: (doc_id, piece, start, length, ids_crc32). A null or empty text is the end id alone; null or repeated ids are cut row by row; other
+    columns are ignored, whatever their names; an empty table gives no rows. A text of any length is encoded whole, in one task."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

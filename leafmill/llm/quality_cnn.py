@@ -188,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; null and empty texts have the score of no bytes.
 
-    Null ids are kept and not held out; repeated ids are scored row by row; other columns are ignored.
+    Null ids are kept and not held out; repeated ids are scored row by row; other columns are ignored; an empty table gives no rows. Every byte of a text of any
+    length counts.
     """
     prepare(docs.sparkSession)
 
@@ -203,7 +204,8 @@ def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "te
 
 
 def accepted(docs: DataFrame, net: Network, text: str = "text", bar: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is at least ``bar``."""
+    """The rows of ``docs``, with all their columns, whatever their names, whose score is at least ``bar``. Null and empty texts have the score of no bytes; repeated
+    rows stay or go each for itself, with one outcome; an empty table stays empty."""
     prepare(docs.sparkSession)
     at = docs.columns.index(text)
 

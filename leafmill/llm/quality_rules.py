@@ -292,7 +292,8 @@ def estimated(own: DataFrame, rules: tuple[Rule, ...], sample_rows: int, known:
 
 
 def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that no rule rejects; only what the cascade asks for is found out of a text."""
+    """The rows of ``docs``, with all their columns, whatever their names, that no rule rejects; only what the cascade asks for is found out of a text. Null and empty
+    texts are rejected; repeated rows stay or go each for itself, with one outcome; an empty table stays empty."""
     prepare(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     chosen, at = estimated(own, rules, sample_rows), docs.columns.index(text)

@@ -145,7 +145,8 @@ def judge(pages: DataFrame, bad: Column, page_id: str = "page_id", url: str = "u
     """(page_id, host, path, rule, verdict, template, purity) of every row.
 
     ``bad`` is 1 for bad pages, 0 for good ones and null where nothing is known. A rule decides where one fits; elsewhere the
-    template does. Null urls have empty host and path. Null and repeated ids stay, row by row; other columns are ignored.
+    template does. Null urls have empty host and path. Null and repeated ids of any type stay, row by row; other columns are ignored; an empty table gives
+    no rows. Urls and paths of any length are one row.
     """
     host, path = host_and_path(F.col(url).cast("string"))
     own = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), bad.cast("int").alias("bad"))
