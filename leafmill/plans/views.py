@@ -33,8 +33,11 @@ def v_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as lines with boxes: hyphens where a line cuts a word, chapter lines on some pages, a number or a misread one at the foot."""
+LINE_KEYS = ("tag_id", "scan_id", "side", "page_number", "language")
+
+
+def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as arrays of lines with boxes: hyphens where a line cuts a word, chapter lines on some pages, a number or a misread one at the foot."""
     pages = v_pages(spark, sf_dir).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
     n = F.ceil(F.length("text") / LINE_CHARS).cast("int")
     start = lambda j: j * LINE_CHARS + 1
@@ -51,21 +54,29 @@ def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     foot = F.when(p % 7 == 3, F.lit("I2")).otherwise(p.cast("string"))
     body = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), line)).otherwise(F.array().cast("array<struct<j:int,text:string>>"))
     every = F.concat(F.array(F.struct(F.lit(-1).alias("j"), head.alias("text"))), body, F.array(F.struct(F.lit(1000).alias("j"), foot.alias("text"))))
-    each = pages.select("tag_id", "scan_id", "side", "page_number", "language", F.explode(every).alias("l")).select("tag_id", "scan_id", "side", "page_number", "language", "l.*").where("text <> ''")
-    order = Window.partitionBy("tag_id", "page_number").orderBy("j")
-    gaps = F.coalesce(F.sum(F.when(F.col("text").endswith("."), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = F.row_number().over(order)
-    out = each.withColumn("line_index", (at - 1).cast("int")).withColumn("top", (40 * at + 80 * gaps).cast("int"))
-    return out.select("tag_id", "scan_id", "side", "page_number", "language", "line_index", "text", F.lit(10).alias("left"), "top", (10 + 10 * F.length("text")).alias("right"), (F.col("top") + 30).alias("bottom"), (0.5 + (F.length("text") % 50) / 100).alias("confidence"))
+    own = pages.select(*LINE_KEYS, F.filter(F.transform(every, lambda l: l["text"]), lambda t: t != "").alias("_texts"))
+    # A line's top depends on its place and on how many lines before it end a sentence; both are found within the page's own array.
+    ends = lambda i: F.size(F.filter(F.slice("_texts", F.lit(1), i), lambda t: t.endswith(".")))
+    made = F.transform("_texts", lambda t, i: F.struct(
+        i.cast("int").alias("line_index"), t.alias("text"), F.lit(10).alias("left"), (40 * (i + 1) + 80 * ends(i)).cast("int").alias("top"), (10 + 10 * F.length(t)).alias("right"), (0.5 + (F.length(t) % 50) / 100).alias("confidence"),
+    ))
+    return own.select(*LINE_KEYS, made.alias("l"))
+
+
+def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per line."""
+    each = _lined(spark, sf_dir).select(*LINE_KEYS, F.inline("l"))
+    return each.select(*LINE_KEYS, "line_index", "text", "left", "top", "right", (F.col("top") + 30).alias("bottom"), "confidence")
 
 
 def v_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per page with its lines as an array, as reports hold them."""
-    corners = box(*[F.col(c).cast("double") for c in ("left", "top", "right", "bottom")])
-    item = F.struct(F.col("line_index").alias("index"), "text", corners.alias("bbox"))
-    keys = ("tag_id", "scan_id", "side", "page_number", "language")
-    pages = v_lines(spark, sf_dir).groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("l"))
-    return pages.select(*keys, F.transform("l", lambda x: F.struct(x["text"].alias("text"), x["bbox"].alias("bbox"), x["index"].alias("index"))).alias("lines"))
+
+    def item(x):
+        corners = box(*[c.cast("double") for c in (x["left"], x["top"], x["right"], x["top"] + 30)])
+        return F.struct(x["text"].alias("text"), corners.alias("bbox"), x["line_index"].alias("index"))
+
+    return _lined(spark, sf_dir).where(F.size("l") > 0).select(*LINE_KEYS, F.transform("l", item).alias("lines"))
 
 
 def v_words(spark: SparkSession, sf_dir: str) -> DataFrame:
