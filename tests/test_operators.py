@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from leafmill.operators import identity, layout, speech, stitch, summaries, usage
 from leafmill.plans.queries import QUERIES
 from leafmill.sources import readers, sinks
-from leafmill.streaming import folds
-from leafmill.streaming.replay import STREAMS, guard_rows, panel_rows, replay
+from leafmill.streaming import folds, keyed
+from leafmill.streaming.replay import STREAMS, and_clock, guard_rows, panel_rows, replay
 
 from .compare import SF, rows
 
@@ -155,9 +155,10 @@ def test_chord_debounce_and_quadrature(spark):
 
 
 def test_streams_equal_their_batch_forms(spark):
-    for made, key, fold, order in ((guard_rows, "tag_id", folds.GUARD, "seq"), (panel_rows, "panel", folds.CHORDS, "t")):
-        given = made(spark, SF)
-        whole, streamed = folds.batch(given, key, fold).toPandas(), replay(spark, given, order, lambda s, k=key, f=fold: folds.stream(s, k, f)).toPandas()
+    pressed = panel_rows(spark, SF)
+    forms = [(guard_rows(spark, SF), "tag_id", folds.GUARD, "seq", lambda s: folds.stream(s, "tag_id", folds.GUARD)), (and_clock(pressed, "panel", "t", 1.0), "panel", folds.CHORDS, "t", lambda s: keyed.timed(s, "panel", folds.CHORDS))]
+    for given, key, fold, order, work in forms:
+        whole, streamed = folds.batch(given, key, fold).toPandas(), replay(spark, given, order, work).toPandas()
         assert rows(whole, list(whole.columns)) == rows(streamed, list(whole.columns))
     assert rows(STREAMS["stream_sections"](spark, SF).toPandas(), ["tag_id", "sequence", "end_position"]) == rows(QUERIES["section_bounds"](spark, SF).toPandas(), ["tag_id", "sequence", "end_position"])
 
