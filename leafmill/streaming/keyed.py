@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import json
 import math
+import os
 from collections.abc import Iterator, MutableMapping
+from pathlib import Path
 from typing import Any
 
 import pandas as pd
@@ -85,6 +87,12 @@ def run(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema:
     """``rows``, which have a watermark, through a processor."""
     spark = rows.sparkSession
     ship(spark)
+    # A process beside the driver sets up the state; it gets no shipped files, so it is told where this package lies.
+    told = spark.sparkContext.environment
+    top = str(Path(__file__).resolve().parents[2])
+    paths = [p for p in told.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if top not in paths:
+        told["PYTHONPATH"] = os.pathsep.join([*paths, top])
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     begin = None if initial is None else initial.groupBy(*keys)
     return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime", begin)
