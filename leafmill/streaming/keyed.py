@@ -254,7 +254,8 @@ class DeliveryProcessor(StatefulProcessor):
         self.scan = handle.getValueState("scan", "n int, stored int, sides string, last double")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        n, stored, known, last = self.scan.get() if self.scan.exists() else (0, 0, "", 0.0)
+        begun = self.scan.exists()
+        n, stored, known, last = self.scan.get() if begun else (0, 0, "", 0.0)
         read, out = {*known.split(",")} - {""}, []
         for row in pd.concat(list(rows)).sort_values(["seen", "created_at"], kind="stable").to_dict("records"):
             if n and row["seen"] - last >= self.wait:  # closed by then, though its timer comes after this batch
@@ -264,7 +265,7 @@ class DeliveryProcessor(StatefulProcessor):
             out += [(*key, "page", n, side, side not in read, None) for side in row["sides"]]
             read |= {*row["sides"]}
         self.scan.update((n, stored, ",".join(sorted(read)), last))
-        for t in list(self.handle.listTimers()):
+        for t in list(self.handle.listTimers()) if begun else ():
             self.handle.deleteTimer(t)
         self.handle.registerTimer(timer(last + self.wait))
         yield pd.DataFrame(out, columns=DELIVERY_COLUMNS)

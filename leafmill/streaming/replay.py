@@ -209,7 +209,9 @@ def delivered(spark, sf_dir) -> DataFrame:
 def stream_report_ingest(spark, sf_dir):
     """Reports through ingestion as they arrive."""
     folder = folder_of(spark)
-    to_end(feed(delivered(spark, sf_dir), "seen", folder), folder, tables.merge_reports(folder))
+    # Books are scanned one after another, so a batch holds reports of some books and not of all.
+    rows = delivered(spark, sf_dir).withColumn("arrival", F.concat_ws("|", "tag_id", F.format_string("%012.1f", "seen")))
+    to_end(feed(rows, "arrival", folder), folder, tables.merge_reports(folder))
     columns = "tag_id string, scan_id string, side string, page_id string, page_number int, chapter_number int, chapter_heading string, clean_text string"
     return tables.merged_pages(spark, folder, columns).select([c.split()[0] for c in columns.split(", ")])
 
