@@ -59,7 +59,7 @@ def sentence_markup(s: Column) -> Column:
     """A sentence; the last word of a question is raised."""
     question = QUESTION
     raised = F.concat(F.lit("<s>"), escape(F.regexp_extract(s, question, 1)), F.lit(f'<prosody pitch="{PITCH}">'), F.regexp_extract(s, question, 2), F.lit("</prosody>"), escape(F.regexp_extract(s, question, 3)), F.lit("</s>"))
-    return F.when(s.rlike(question), raised).otherwise(F.concat(F.lit("<s>"), escape(s), F.lit("</s>")))
+    return F.when(s.contains("?") & s.rlike(question), raised).otherwise(F.concat(F.lit("<s>"), escape(s), F.lit("</s>")))
 
 
 def enhanced_ssml(text: Column, label: str = "Kapitel") -> Column:
@@ -70,10 +70,9 @@ def enhanced_ssml(text: Column, label: str = "Kapitel") -> Column:
         return F.concat(F.lit('<s><emphasis level="moderate">'), escape(p), F.lit('</emphasis></s><break time="'), ms.cast("string"), F.lit('ms"/>'))
 
     def prose(p: Column) -> Column:
-        said = F.filter(F.transform(F.split(p, SENTENCE_BOUNDARY), trim), lambda s: s != "")
-        n = F.size(said)
-        each = F.transform(said, lambda s, i: F.concat(sentence_markup(s), F.when(i == n - 1, pause(PARAGRAPH)).otherwise(pause(SENTENCE))))
-        return F.concat(F.lit("<p>"), F.array_join(each, ""), F.lit("</p>"))
+        said = F.transform(F.filter(F.transform(F.split(p, SENTENCE_BOUNDARY), trim), lambda s: s != ""), sentence_markup)
+        # Each sentence but the last of a paragraph is followed by a pause, the last by a longer one.
+        return once(said, lambda each: F.concat(F.lit("<p>"), F.array_join(each, pause(SENTENCE)), F.when(F.size(each) > 0, pause(PARAGRAPH)).otherwise(""), F.lit("</p>")))
 
     def one(p: Column) -> Column:
         announced = p.rlike(rf"(?iU)^{name}\s+.+[.!?]\z")
@@ -93,14 +92,16 @@ def enhanced_ssml(text: Column, label: str = "Kapitel") -> Column:
 
 def plain_speech(markup: Column) -> Column:
     """SSML as text: a pause below 0.35 s is a comma, below 0.8 s or of unknown length a line end, else a blank line."""
-    texts = F.split(markup, "<break[^>]*>")
-    pauses = F.regexp_extract_all(markup, F.lit("<break[^>]*>"), F.lit(0))
 
     def mark(tag: Column) -> Column:
-        s = break_seconds(F.regexp_extract(tag, 'time="([^"]*)"', 1))
-        return F.when(tag.isNull(), "").when(s < 0.35, ", ").when(s.isNull() | (s < 0.8), "\n").otherwise("\n\n")
+        return once(break_seconds(F.regexp_extract(tag, 'time="([^"]*)"', 1)), lambda s: F.when(s < 0.35, ", ").when(s.isNull() | (s < 0.8), "\n").otherwise("\n\n"))
 
-    said = F.array_join(F.transform(texts, lambda t, i: F.concat(unescape(unescape(F.regexp_replace(t, "<[^>]+>", ""))), mark(F.get(pauses, i)))), "")
+    def put_together(m: Column) -> Column:
+        pauses = F.transform(F.regexp_extract_all(m, F.lit("<break[^>]*>"), F.lit(0)), mark)
+        texts = F.transform(F.split(m, "<break[^>]*>"), lambda t: unescape(unescape(F.regexp_replace(t, "<[^>]+>", ""))))
+        return F.array_join(F.flatten(F.zip_with(texts, pauses, lambda t, x: F.array(t, F.coalesce(x, F.lit(""))))), "")
+
+    said = once(markup, put_together)
     one_blank = F.regexp_replace(F.regexp_replace(said, r"[ \t\r\f\x0b]+", " "), r" *\n *", "\n")
     return trim(F.regexp_replace(one_blank, r"\n{3,}", "\n\n"))
 

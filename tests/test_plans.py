@@ -15,3 +15,8 @@ def test_pages_are_cut_into_lines_once(spark, name):
     """A filter that holds the cutting of a page is one that Spark has pushed below it."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if line.lstrip(" +-:").startswith("Filter") and "sequence(0" in line]
+
+
+def test_pauses_of_a_page_are_found_once(spark):
+    plan = entry.queries()["ssml_to_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
