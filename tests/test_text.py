@@ -213,3 +213,33 @@ def test_spaced_letters_of_whole_texts(spark):
     for i, t in texts.items():
         assert "".join(got[i].split()) == "".join(t.split())
         assert got[i] == collapsed("".join(c + " " if c.isalpha() and d.isalpha() else c for c, d in zip(t, t[1:] + "\n", strict=True)))
+
+
+def test_white_space_of_all_kinds_is_normal_afterwards(spark):
+    """Every character that Python or Unicode calls white space, at the ends, single, doubled and before a blank, against str.split."""
+    odd = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
+    texts = [f"{x}a{x}b {x}c{x} d{x}{x}e  f{x}" for x in odd] + ["", " ", "  ", "a", " a b ", "„a“ – b…  c", "\u200ba\u180e b", "\U0001f600 \U0001f600  x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.n, r.e, r.w) for r in rows.select("i", T.normalize_space(F.col("t")).alias("n"), T.trim(F.col("t")).alias("e"), T.n_words(T.normalize_space(F.col("t"))).alias("w")).collect()}
+    assert got == {i: (" ".join(t.split()), t.strip(), len(t.split())) for i, t in enumerate(texts)}
+
+
+def test_headings_by_expression_against_words(spark):
+    """Headings counted by expressions give what their words, one by one, give."""
+    import itertools
+
+    parts = ["Ab", "b", "ÄB", "1a", "1A", "9", "«Z", "ß", "xy", "Éa", "ª", "K", "kr", "IV"]
+    texts = [" ".join(x) for n in (1, 2, 3) for x in itertools.product(parts, repeat=n)] + ["", " ", "A  B", "a\u00a0B"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t, lu, letter = F.col("t"), r"^\p{Lu}", r"\p{L}"
+    w = T.words(t)
+    lettered = F.filter(w, lambda x: x.rlike(letter))
+    cased = (F.size(lettered) >= 2) & F.forall(lettered, lambda x: x.rlike(r"^[^\p{L}]*\p{Lu}"))
+    n_letters, capitals = F.length(F.regexp_replace(t, r"[^\p{L}]", "")), F.length(F.regexp_replace(t, r"[^\p{Lu}]", ""))
+    shape = (n_letters > 0) & ((capitals * 10 >= n_letters * 8) | ((F.size(w) <= 5) & F.forall(w, lambda x: x.rlike(lu))))
+    heading = (F.size(F.filter(w, lambda x: x.rlike(lu))) * 10 >= F.greatest(F.size(w), F.lit(1)) * 6)
+    single = F.array_join(F.filter(w, lambda x: ~x.rlike(r"^\p{L}\z")), " ")
+    pairs = F.array_join(F.filter(w, lambda x: ~(x.rlike(r"^\p{L}{2}\z") & ~x.rlike(r"[\p{Lu}\p{Lt}]") & x.rlike(r"\p{Ll}") & ~x.rlike(f"[{T.VOWELS}]"))), " ")
+    both = [(T.is_title_cased(t), cased), (T.is_heading_shape(t), shape), (T.is_layout_heading(t, F.lit(1)), heading), (T.without_isolated_letters(t), single), (T.without_consonant_pairs(t), pairs)]
+    differ = rows.select("t", *[(~a.eqNullSafe(b)).alias(f"d{i}") for i, (a, b) in enumerate(both)])
+    assert differ.where("d0 or d1 or d2 or d3 or d4").collect() == []
