@@ -22,9 +22,9 @@ def page_number_line(lines: DataFrame, page: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*page)
     order = w.orderBy("top", "left", "line_index")
     digits = T.trim(F.col("text")).rlike(r"(?U)^\d{1,4}$")
-    first = (F.row_number().over(order) == 1) & digits
-    last = (F.row_number().over(w.orderBy(F.desc("top"), F.desc("left"), F.desc("line_index"))) == 1) & digits
-    marked = lines.withColumn("_first", first).withColumn("_last", last)
+    # One order serves for both ends, so the lines of a page are sorted once.
+    first, last = F.lag(F.lit(1)).over(order).isNull(), F.lead(F.lit(1)).over(order).isNull()
+    marked = lines.withColumn("_digits", digits).withColumn("_first", first & F.col("_digits")).withColumn("_last", last & F.col("_digits")).drop("_digits")
     return marked.withColumn("is_number", F.col("_first") | (F.col("_last") & ~F.max("_first").over(w))).drop("_first", "_last")
 
 
@@ -65,8 +65,9 @@ def paragraphs(lines: DataFrame, page: Sequence[str]) -> DataFrame:
         F.sort_array(F.collect_list(item)).alias("_lines"),
         box(F.min("left"), F.min("top"), F.max("right"), F.max("bottom")).alias("bbox"),
     )
+    # The outer generator of one row keeps Spark from laying the filter below it, where the text would be made once more.
     text = T.paragraph_text(F.transform("_lines", lambda x: x["text"]))
-    out = out.withColumn("text", text).where("text <> ''")
+    out = out.select("*", F.explode_outer(F.array(text)).alias("text")).where("text <> ''")
     kind = F.when(T.is_layout_heading(F.col("text"), F.size("_lines")), "chapter_heading").otherwise("paragraph")
     return out.select(*page, "paragraph", kind.alias("kind"), "text", "bbox", F.transform("_lines", lambda x: x["line_index"]).alias("line_indices"))
 
@@ -105,10 +106,9 @@ def reading_order(pages: DataFrame, group: Sequence[str]) -> DataFrame:
 def plausibility(text: Column, mean_confidence: Column, style: str = "detector") -> Column:
     """How much a page reads like text: confidence, share of words with two letters in a row, share of letters, and bonuses for punctuation
     and lower case. The two styles weigh these differently; a page without text has no plausibility at all."""
-    w = T.words(text)
-    valid = F.size(F.filter(w, lambda x: x.rlike("[A-Za-zÄÖÜäöüß]{2,}"))) / F.greatest(F.size(w), F.lit(1))
+    valid = T.once(T.normalize_space(text), lambda t: F.regexp_count(t, F.lit("[A-Za-zÄÖÜäöüß]{2}[^ ]*")) / F.greatest(T.n_words(t), F.lit(1)))
     t = T.trim(text)
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / F.greatest(F.length(t), F.lit(1))
+    letters = T.n_letters(t) / F.greatest(F.length(t), F.lit(1))
     marks, lower = F.when(t.rlike("[.?!,:;]"), 1.0).otherwise(0.0), F.when(t.rlike(r"\p{Ll}"), 1.0).otherwise(0.0)
     a, b, c, d, e = (0.60, 0.25, 0.05, 0.2, 0.1) if style == "detector" else (0.60, 0.24, 0.08, 0.08, 0.08)
     return F.when(t == "", float("-inf")).otherwise(mean_confidence * a + valid * b + letters * c + marks * d + lower * e)
