@@ -20,3 +20,31 @@ def test_pages_are_cut_into_lines_once(spark, name):
 def test_pauses_of_a_page_are_found_once(spark):
     plan = entry.queries()["ssml_to_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def plan_of(spark, name, which="optimizedPlan"):
+    return getattr(entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution(), which)().toString()
+
+
+@pytest.mark.parametrize("name", [*BY_LINE, "orientation_best", "page_kinds", "quoted_dialogue"])
+def test_no_filter_makes_a_text_once_more(spark, name):
+    """Neither the cutting of pages nor the repair of paragraphs stands in a filter, where it would run besides the projection."""
+    assert not [line for line in plan_of(spark, name).split("\n") if line.lstrip(" +-:").startswith("Filter") and ("regexp_replace(" in line or "split(" in line)]
+
+
+@pytest.mark.parametrize("name", ["box_top3", "line_remap", "orientation_vote"])
+def test_a_page_is_walked_once_for_all_its_lines(spark, name):
+    """Lines come from breaks set within the page's text, not from a substring for each of them."""
+    plan = plan_of(spark, name)
+    assert plan.count("split(") == 1 and plan.count("substring(") == 1
+
+
+def test_lines_of_a_page_are_sorted_once(spark):
+    """By book for the numbers of pages, by page for the ends; the last line needs no order of its own."""
+    assert plan_of(spark, "page_number_line", "sparkPlan").count("DESC") == 0
+
+
+@pytest.mark.parametrize("name", ["chapter_markers", "page_kinds", "page_number_pick", "page_speech"])
+def test_lines_that_are_no_number_are_not_cast(spark, name):
+    """A try_cast that fails throws inside, for every line of running text."""
+    assert "cast(regexp_extract(" not in plan_of(spark, name).replace("THEN try_cast(regexp_extract(", "").replace("THEN cast(regexp_extract(", "")
