@@ -48,3 +48,15 @@ def test_lines_of_a_page_are_sorted_once(spark):
 def test_lines_that_are_no_number_are_not_cast(spark, name):
     """A try_cast that fails throws inside, for every line of running text."""
     assert "cast(regexp_extract(" not in plan_of(spark, name).replace("THEN try_cast(regexp_extract(", "").replace("THEN cast(regexp_extract(", "")
+
+
+def test_pages_are_cut_out_of_texts_of_fixed_width(spark):
+    """A substring of text walks all characters before it, so cutting pages out takes time with the square of a text's length."""
+    plan = plan_of(spark, "orientation_best")
+    assert "substring(wide" in plan and plan.count("substring(") == 1
+
+
+def test_a_page_passes_three_expressions(spark):
+    """Blanks, breaks and hyphens; none of them tries a lookbehind at every character."""
+    plan = plan_of(spark, "orientation_best")
+    assert plan.count("regexp_replace(") == 3 and ", (?<=" not in plan
