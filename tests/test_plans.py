@@ -50,6 +50,13 @@ def test_lines_that_are_no_number_are_not_cast(spark, name):
     assert "cast(regexp_extract(" not in plan_of(spark, name).replace("THEN try_cast(regexp_extract(", "").replace("THEN cast(regexp_extract(", "")
 
 
+def test_places_of_lines_need_no_boxes(spark):
+    """line_remap asks for indices alone, so no tops are counted nor boxes made, and its generator holds no lambda."""
+    plan = plan_of(spark, "line_remap")
+    assert "bit_count(" not in plan and "endswith(" not in plan.lower()
+    assert not [line for line in plan.split("\n") if line.lstrip(" +-:").startswith("Generate") and "lambdafunction(" in line]
+
+
 def test_pages_are_cut_out_of_texts_of_fixed_width(spark):
     """A substring of text walks all characters before it, so cutting pages out takes time with the square of a text's length."""
     plan = plan_of(spark, "orientation_best")
