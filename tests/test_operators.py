@@ -77,6 +77,22 @@ def test_recognised_shapes(spark):
     assert got == [("a", 0, "x", 0.5, 4), ("a", 2, "y", 0.0, 0), ("b", 0, "z", 0.9, 4), ("c", 0, "w", 0.25, 4), ("d", 0, "v", 1.0, 0)]
 
 
+def test_recognised_odd_results(spark):
+    """What has texts has no entries; scores and boxes beyond the texts, or without texts, count for nothing."""
+    box = [[0, 0], [4, 0], [4, 2], [0, 2]]
+    results = {
+        "long": {"texts": ["x"], "scores": [0.5, 0.6, 0.7], "boxes": [box, box]}, "both": {"txts": ["t"], "lines": [{"text": "no"}]}, "none": {"txts": [], "lines": [{"text": "no"}]},
+        "stray": {"scores": [0.5], "boxes": [box], "lines": [{"txt": " w "}, {"text": ""}, {"text": "u", "confidence": 0.125}]}, "flat": [[box, "f", 0.75], [box, ["g"]]], "word": "text", "bad": {"lines": 3}, "gaps": {"txts": ["a", None, "b"], "scores": [None, 1, "x"]},
+    }
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in results.items()] + [("null", None)], "page_id string, result string")
+    got = sorted((r["page_id"], r["line_index"], r["text"], r["confidence"], len(r["bbox"])) for r in readers.recognised(df).collect())
+    print(got)
+    assert got == [
+        ("both", 0, "t", 0.0, 0), ("flat", 0, "f", 0.75, 4), ("flat", 1, "g", 0.0, 4), ("gaps", 0, "a", 0.0, 0), ("gaps", 2, "b", 0.0, 0),
+        ("long", 0, "x", 0.5, 4), ("stray", 0, "w", 0.0, 0), ("stray", 2, "u", 0.125, 0),
+    ]
+
+
 def test_device_lines(spark):
     lines = lambda *x: spark.createDataFrame([(i, v) for i, v in enumerate(x)], "position int, line string")
     assert [tuple(r) for r in readers.network_profiles(lines("a\\:b\\\\:u:802-11-wireless:", "x:y:ethernet:z", "bad")).collect()] == [("a:b\\", "u", "802-11-wireless", None)]

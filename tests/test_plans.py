@@ -67,3 +67,16 @@ def test_a_page_passes_three_expressions(spark):
     """Blanks, breaks and hyphens; none of them tries a lookbehind at every character."""
     plan = plan_of(spark, "orientation_best")
     assert plan.count("regexp_replace(") == 3 and ", (?<=" not in plan
+
+
+@pytest.mark.parametrize("name", ["box_measures", "recognised_lines"])
+def test_ends_of_sentences_are_found_once_a_page(spark, name):
+    """Which lines end a sentence is a column: within the lambda that makes a line it would be found for each of them."""
+    assert "shiftright(aggregate(" not in plan_of(spark, name)
+
+
+def test_a_result_is_read_once(spark):
+    """Scores and boxes of a result aren't read anew for each of its texts, and entries are read by compiled code."""
+    plan = plan_of(spark, "recognised_lines")
+    assert not [x for x in plan.split("lambdafunction(")[1:] if "try_variant_get(" in x.split(" AS ")[0]]
+    assert not [line for line in plan.split("\n") if line.lstrip(" +-:").startswith("Generate") and "lambdafunction(" in line]
