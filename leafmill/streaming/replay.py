@@ -14,7 +14,7 @@ from ..operators import sections
 from ..plans.queries import _book_pages, _spoken
 from ..plans.records import _reports
 from ..plans.views import table, v_pages, v_usage
-from ..session import shared_dir
+from ..session import shared_dir, written
 from . import folds, keyed, status, tables
 
 STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,9 +198,9 @@ def stream_closed_days(spark, sf_dir):
     return tables.stored(spark, f"{folder}/periods", tables.PERIODS).drop(tables.BATCH).unionByName(late, allowMissingColumns=True)
 
 
-def delivered(spark, sf_dir) -> DataFrame:
+def delivered(spark, sf_dir, lines: bool = True) -> DataFrame:
     """Reports as they arrive: of a scan that has a left page a report of that alone, a second later the whole one."""
-    whole = _reports(spark, sf_dir).withColumn("seen", F.substring("scan_id", 6, 10).cast("double") * 10 + 1)
+    whole = _reports(spark, sf_dir, lines).withColumn("seen", F.substring("scan_id", 6, 10).cast("double") * 10 + 1)
     left = whole.withColumn("pages", F.filter("pages", lambda p: p["slot"] == "LEFT")).where("size(pages) > 0").withColumn("created_at", F.concat(F.lit("s"), "scan_id")).withColumn("seen", F.col("seen") - 1)
     return whole.unionByName(left)
 
@@ -220,7 +220,8 @@ def stream_report_ingest(spark, sf_dir):
 def stream_report_redelivery(spark, sf_dir):
     """Which pages are read out when, while reports arrive, and what is stored once a scan is closed."""
     sides = F.transform("pages", lambda p: F.lower(p["slot"]))
-    rows = delivered(spark, sf_dir).select("tag_id", "scan_id", "created_at", "seen", sides.alias("sides"), F.size("pages").alias("n_pages"))
+    # Which sides a report holds doesn't hang on its lines, so none are cut; the clock and the feed's ranges ask for the rows again.
+    rows = written(delivered(spark, sf_dir, lines=False).select("tag_id", "scan_id", "created_at", "seen", sides.alias("sides"), F.size("pages").alias("n_pages")), "delivered")
     out = replay(spark, and_clock(rows, "tag_id", "seen", 10.0).fillna({"scan_id": CLOCK_KEY, "created_at": "", "n_pages": 0}).withColumn("sides", F.coalesce("sides", F.array().cast("array<string>"))), "seen", lambda s: keyed.deliveries(s, 5.0))
     closed = out.where("what = 'closed'").select("tag_id", "scan_id", "n_stored")
     return out.where("what = 'page'").select("tag_id", "scan_id", "delivery", "side", "read").join(closed, ["tag_id", "scan_id"])

@@ -165,3 +165,21 @@ def test_mail_is_handled_once(spark):
     for number in (0, 1, 1, 2, 0):
         work(spark.createDataFrame(given[number], tables.MAIL), number)
     assert sorted((r["uid_validity"], r["uid"]) for r in tables.stored(spark, f"{folder}/handled", tables.MAIL).collect()) == [(1, 10), (1, 11), (1, 12), (2, 10)]
+
+
+def test_deliveries_keep_few_states_and_no_lines(spark):
+    """Scans share a bounded number of states, whatever their number, and their reports are made without cutting lines."""
+    given = spark.range(3000).select(F.lit("B").alias("tag_id"), F.concat(F.lit("s"), "id").alias("scan_id"), F.lit("a").alias("created_at"), (F.col("id") * 0.001).alias("seen"), F.array(F.lit("left")).alias("sides"), F.lit(1).alias("n_pages"))
+    folder, counts = folder_of(spark), {}
+    clocked = and_clock(given, "tag_id", "seen", 60.0).fillna({"scan_id": "clock", "created_at": "", "n_pages": 0}).withColumn("sides", F.coalesce("sides", F.array().cast("array<string>")))
+
+    def count(part, number):
+        for r in part.groupBy("what").count().collect():
+            counts[r["what"]] = counts.get(r["what"], 0) + r["count"]
+
+    ran = to_end(keyed.deliveries(feed(clocked, "seen", folder), 5.0), folder, count)
+    assert counts == {"page": 3000, "closed": 3000}
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: json.loads(p.json) if hasattr(p, "json") else p, ran.recentProgress) if p["stateOperators"]]
+    assert max(kept) <= 512 and kept[-1] <= 1
+    plan = delivered(spark, SF, lines=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "UTF-32" not in plan
