@@ -14,7 +14,7 @@ from ..operators import sections
 from ..plans.queries import _book_pages, _spoken
 from ..plans.records import _reports
 from ..plans.views import table, v_pages, v_usage
-from ..session import shared_dir, written
+from ..session import shared_dir, swept, written
 from . import folds, keyed, status, tables
 
 STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,20 +30,25 @@ def folder_of(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/leafmill/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
 
 
-def feed(rows: DataFrame, order: str, folder: str) -> DataFrame:
-    """Rows in ``order`` as a stream of several micro-batches. Each range of the order is a file; their times, by which the source takes them, are set to follow it."""
+def feed(rows: DataFrame, order: str, folder: str, dealt: bool = False) -> DataFrame:
+    """Rows in ``order`` as a stream of several micro-batches. Each range of the order is a file; their times, by which the source takes them, are set to follow it.
+    ``dealt``: partitions are ranges of the order already, and a batch takes as many of their files as make FILES batches."""
     spark = rows.sparkSession
-    rows.repartitionByRange(FILES, order).sortWithinPartitions(order).write.parquet(f"{folder}/in")
+    own = rows if dealt else rows.repartitionByRange(FILES, order).sortWithinPartitions(order)
+    with swept(spark):
+        own.write.option("compression", tables.CODEC).parquet(f"{folder}/in")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = path(f"{folder}/in").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for k, name in enumerate(sorted(f.getPath().toString() for f in files.listStatus(path(f"{folder}/in")) if f.getPath().getName().startswith("part-"))):
+    names = sorted(f.getPath().toString() for f in files.listStatus(path(f"{folder}/in")) if f.getPath().getName().startswith("part-"))
+    for k, name in enumerate(names):
         files.setTimes(path(name), 1_000_000_000_000 + 1000 * k, -1)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-len(names) // FILES))).parquet(f"{folder}/in")
 
 
 def to_end(made: DataFrame, folder: str, store: Callable[[DataFrame, int], None], mode: str = "append"):
     """Run a stream until its source is at its end; returns the query, which has ended."""
-    ran = made.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    with swept(made.sparkSession):
+        ran = made.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     ran.awaitTermination()
     return ran
 
@@ -198,11 +203,13 @@ def stream_closed_days(spark, sf_dir):
     return tables.stored(spark, f"{folder}/periods", tables.PERIODS).drop(tables.BATCH).unionByName(late, allowMissingColumns=True)
 
 
-def delivered(spark, sf_dir, lines: bool = True) -> DataFrame:
+def delivered(spark, sf_dir, lines: bool = True, ranges: int | None = None) -> DataFrame:
     """Reports as they arrive: of a scan that has a left page a report of that alone, a second later the whole one."""
-    whole = _reports(spark, sf_dir, lines).withColumn("seen", F.substring("scan_id", 6, 10).cast("double") * 10 + 1)
-    left = whole.withColumn("pages", F.filter("pages", lambda p: p["slot"] == "LEFT")).where("size(pages) > 0").withColumn("created_at", F.concat(F.lit("s"), "scan_id")).withColumn("seen", F.col("seen") - 1)
-    return whole.unionByName(left)
+    whole = _reports(spark, sf_dir, lines, ranges).withColumn("seen", F.substring("scan_id", 6, 10).cast("double") * 10 + 1)
+    # Both are made of the one row, so that its lines are cut once.
+    left = F.struct(F.concat(F.lit("s"), "scan_id").alias("created_at"), (F.col("seen") - 1).alias("seen"), F.filter("pages", lambda p: p["slot"] == "LEFT").alias("pages"))
+    each = whole.select("tag_id", "scan_id", "language", F.inline(F.array(F.struct("created_at", "seen", "pages"), left)))
+    return each.where("size(pages) > 0").select(whole.columns)
 
 
 @query
@@ -210,8 +217,8 @@ def stream_report_ingest(spark, sf_dir):
     """Reports through ingestion as they arrive."""
     folder = folder_of(spark)
     # Books are scanned one after another, so a batch holds reports of some books and not of all.
-    rows = delivered(spark, sf_dir).withColumn("arrival", F.concat_ws("|", "tag_id", F.format_string("%012.1f", "seen")))
-    to_end(feed(rows, "arrival", folder), folder, tables.merge_reports(folder))
+    ranges = max(FILES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    to_end(feed(delivered(spark, sf_dir, ranges=ranges), "seen", folder, dealt=True), folder, tables.merge_reports(folder))
     columns = "tag_id string, scan_id string, side string, page_id string, page_number int, chapter_number int, chapter_heading string, clean_text string"
     return tables.merged_pages(spark, folder, columns).select([c.split()[0] for c in columns.split(", ")])
 

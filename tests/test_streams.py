@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import sections
 from leafmill.plans.ingest import ingest
 from leafmill.plans.records import _reports
+from leafmill.session import SWEEP
 from leafmill.streaming import folds, keyed, tables
 from leafmill.streaming.replay import and_clock, delivered, feed, folder_of, replay, to_end
 
@@ -183,3 +184,33 @@ def test_deliveries_keep_few_states_and_no_lines(spark):
     assert max(kept) <= 512 and kept[-1] <= 1
     plan = delivered(spark, SF, lines=False)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "UTF-32" not in plan
+
+
+def test_batches_leave_no_shuffles_and_drafts_no_boxes(spark, some_reports):
+    """Shuffle files of a feed and of each batch go with it, and the session's setting is as before. Drafts keep no boxes, and no pages are joined to themselves."""
+    shuffles = lambda: {name for name in map(str, files(spark)) if "shuffle_" in name}
+    before, setting = shuffles(), spark.conf.get(SWEEP, None)
+    folder = folder_of(spark)
+    to_end(feed(some_reports, "seen", folder), folder, tables.merge_reports(folder))
+    assert shuffles() <= before and spark.conf.get(SWEEP, None) == setting
+    assert "bbox" not in spark.read.parquet(f"{folder}/drafts").schema["lines"].dataType.simpleString()
+    assert "Join" not in ingest(some_reports)[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def files(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    found = env.blockManager().diskBlockManager().getAllFiles().iterator()
+    while found.hasNext():
+        yield found.next().getName()
+
+
+def test_reports_in_ranges_are_the_same(spark):
+    """Pages dealt by book and scan before lines are cut make the same reports, each range after the one before."""
+    own = delivered(spark, SF, ranges=5).where("tag_id like '%-0'")
+    placed = own.select("tag_id", "seen", "created_at", F.sha2(F.to_json("pages"), 256).alias("digest"), F.spark_partition_id().alias("at"))
+    got = placed.toPandas()
+    want = delivered(spark, SF).where("tag_id like '%-0'").select("tag_id", "seen", "created_at", F.sha2(F.to_json("pages"), 256).alias("digest")).toPandas()
+    columns = ["tag_id", "seen", "created_at", "digest"]
+    assert rows(got, columns) == rows(want, columns) and len(got) > 10
+    ends = [(min(zip(g["tag_id"], g["seen"])), max(zip(g["tag_id"], g["seen"]))) for _, g in got.groupby("at")]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
